@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import bpe, mixing, pii, quality, simhash, toxicity
+from . import ann, bpe, hmm, mixing, pii, quality, simhash, topk, toxicity
 from .common import table
 
 
@@ -26,11 +26,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": lambda s, d: pii.pii_digests(_documents(s, d)),
         "op4_mixing": lambda s, d: mixing.mix_report(_documents(s, d)),
         "op5_toxicity": lambda s, d: toxicity.toxicity_scores(_documents(s, d), _labels(s, d)),
+        "op6_topk": lambda s, d: topk.top_k(table(s, d, "embeddings")),
+        "op7_ann": lambda s, d: ann.nearest(table(s, d, "embeddings")),
         "op8_simhash": lambda s, d: simhash.simhash_components(_documents(s, d)),
         "op9_quality": lambda s, d: quality.quality_scores(_documents(s, d), _labels(s, d)),
+        "op10_hmm": lambda s, d: hmm.language_scores(_documents(s, d)),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op4_mixing": mixing.ORACLE, "op6_topk": topk.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
