@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import ann, bpe, hmm, mixing, pii, quality, simhash, topk, toxicity
+from . import ann, bpe, hmm, mixing, pii, quality, simhash, suffix, topk, toxicity
 from .common import table
 
 
@@ -22,6 +22,7 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix": lambda s, d: suffix.repeat_digests(_documents(s, d)),
         "op2_byte_bpe": lambda s, d: bpe.token_digests(bpe.public_bpe(s), _documents(s, d)),
         "op3_pii": lambda s, d: pii.pii_digests(_documents(s, d)),
         "op4_mixing": lambda s, d: mixing.mix_report(_documents(s, d)),
