@@ -132,7 +132,7 @@ def select_n_refs(s, d):
 
 @query
 def sample_times_even(s, d):
-    return rounded(sampling.even_times(_media(s, d), 15))
+    return rounded(sampling.even_times(_media(s, d), 9))
 
 
 @query
@@ -210,7 +210,7 @@ def xcorr_lags(s, d):
 
 @query
 def xcorr_long(s, d):
-    return rounded(signals.correlate_long(a.signal_pairs(s), signals.audio_signal(a.energy(s, d), a.BINS), LAGS))
+    return signals.correlate_long(a.signal_pairs(s), signals.audio_signal(a.energy(s, d), a.BINS), LAGS).select("pair_id", F.col("lag").cast("long").alias("lag"), (F.round("x", 4) + F.lit(0.0)).alias("x"))
 
 
 @query
@@ -232,7 +232,7 @@ def cut_offset(s, d):
 def segment_audio_refine(s, d):
     seg = a.signal_pairs(s).crossJoin(s.range(3).select(F.col("id").cast("int").alias("seg_no")))
     seg = seg.withColumns({"target_start": F.col("seg_no") * 200 * HOUR, "target_end": (F.col("seg_no") + 1) * 200 * HOUR, "offset": (F.col("pair_id") - 2) * HOUR})
-    return rounded(signals.refine_segments(seg, signals.rms(a.energy(s, d)), HOUR))
+    return rounded(signals.refine_segments(seg, signals.rms(a.energy(s, d)), HOUR, replace(DEFAULT, refine_peak=0.02)))
 
 
 # --- statistics of samples
@@ -439,7 +439,7 @@ def drift_summary(s, d):
 
 @query
 def drift_issues(s, d):
-    e = a.events(s, d).select(F.col("event_id").alias("pair_id"), F.lit(FPS).alias("fps"), F.when(F.col("event_id") % 5 != 0, F.round("value", 2)).alias("visual_ms"), F.round(F.col("value") * 1.5, 2).alias("audio_ms"), F.when(F.col("event_id") % 3 != 0, F.round(F.col("value") / 2, 2)).alias("scene_ms"))
+    e = a.events(s, d).select(F.col("event_id").alias("pair_id"), F.lit(FPS).alias("fps"), F.when(F.col("event_id") % 5 != 0, F.round("value", 2)).alias("visual_ms"), F.round(F.col("value") * 2, 2).alias("audio_ms"), F.when(F.col("event_id") % 3 != 0, F.round(F.col("value") + 7, 2)).alias("scene_ms"))
     return rounded(verify.drift_issues(e))
 
 

@@ -36,7 +36,7 @@ def probe_media(docs: DataFrame) -> DataFrame:
 def media_summary(media: DataFrame) -> DataFrame:
     """media_id, line: one line about each recording."""
     audio = F.when(F.col("has_audio"), F.coalesce("audio_codec", F.lit("unknown"))).otherwise("none")
-    line = F.concat(F.format_string("%.2fs | %.3f fps | %dx%d | ", F.round("duration", 6), F.round("fps", 6), "width", "height"), F.coalesce("codec_name", F.lit("unknown")), F.format_string(" | %d frames | audio: ", "total_frames"), audio)
+    line = F.concat(F.format_string("%.2fs | %.3f fps | %dx%d | ", F.round("duration", 2), F.round("fps", 3), "width", "height"), F.coalesce("codec_name", F.lit("unknown")), F.format_string(" | %d frames | audio: ", "total_frames"), audio)
     return media.where("error IS NULL").select("media_id", line.alias("line"))
 
 
