@@ -42,7 +42,7 @@ NEEDS = {
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 # The loose generators: what people write beside the strict forms.
 LOOSE = {
-    "email": r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{1,64}+\x20?[\[({]\x20?(?:at|@)\x20?[\])}]\x20?[A-Za-z0-9-]++(?:\x20?(?:[\[({]\x20?)?(?:dot|\.)(?:\x20?[\])}])?\x20?[A-Za-z0-9-]{2,63}+){1,4}",
+    "email": r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{1,64}+\x20?[\[({]\x20?(?:at|@)\x20?[\])}]\x20?[A-Za-z0-9-]++(?:(?:\x20?[\[({]?\x20?dot\x20?[\])}]?\x20?|\.)[A-Za-z0-9-]{2,63}+){1,4}",
     "ip": r"(?:\G|(?<![0-9A-Fa-f:]))(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"[0-9](?:[\x20._/-]{0,2}[0-9]){11,18}+",
     "phone": r"(?<![0-9])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{3,4}[\x20./-][0-9]{3,5}(?![0-9])",
