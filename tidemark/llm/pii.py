@@ -267,7 +267,7 @@ def train(spark: SparkSession, rows: int = EXAMPLES) -> Boosted:
 
 
 def find_spans(docs: DataFrame, model: Boosted | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep, then t (the text, null as empty), base and spans: arrays of (s, k, e) in order of start and kind.
+    """keep_0, keep_1, ... (the columns keep), t (the text, null as empty), base and spans: arrays of (s, k, e) by start and kind.
 
     k is a place in KINDS. base holds what the strict rules accept; spans adds what the model selects, none of which
     overlaps a base span.
@@ -280,7 +280,7 @@ def find_spans(docs: DataFrame, model: Boosted | None = None, text: str = "text"
         passed = F.filter(f"l_{k}", lambda x: model.column(_features(k, x, F.col("t"))) >= model.thresholds[k])
         return F.when(F.size(f"l_{k}") > 0, F.transform(passed, _placed(i))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
 
-    return found.select(*(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)), "t", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", *(chosen(i, k) for i, k in enumerate(KINDS)))).alias("spans"))
+    return found.select(*(f"keep_{i}" for i in range(len(keep))), "t", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", *(chosen(i, k) for i, k in enumerate(KINDS)))).alias("spans"))
 
 
 def _listed(spans: str) -> Column:
@@ -291,7 +291,7 @@ def _listed(spans: str) -> Column:
 def pii_digests(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     """doc_id, n_<kind> of the base, base_sha256, spans of every document."""
     found = find_spans(docs, model)
-    return found.select("doc_id", *(F.size(F.filter("base", _is_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
+    return found.select(F.col("keep_0").alias("doc_id"), *(F.size(F.filter("base", _is_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)), F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("spans").alias("spans"))
 
 
 def redact(docs: DataFrame, model: Boosted | None = None, text: str = "text") -> DataFrame:
@@ -311,6 +311,5 @@ def redact(docs: DataFrame, model: Boosted | None = None, text: str = "text") ->
 
     done = F.aggregate("spans", start, step)
     plain = F.concat(F.array_join(done["out"], ""), F.substring(F.col("t"), done["at"] + 1, F.length("t")))
-    whole = F.when(F.size("spans") > 0, plain).otherwise(F.col(text))
-    # 't' and the arrays are this function's own columns behind those of the documents.
-    return found.select(*(whole.alias(c) if c == text else F.col(c) for c in names))
+    whole = F.when(F.size("spans") > 0, plain).otherwise(F.col(f"keep_{names.index(text)}"))
+    return found.select(*(whole.alias(c) if c == text else F.col(f"keep_{i}").alias(c) for i, c in enumerate(names)))
