@@ -146,6 +146,32 @@ CASE WHEN has_video THEN coalesce(CASE WHEN k % 3 <> 0 THEN nullif(k, 0) END, tr
 has_video AND k % 5 <> 0 AS has_audio, CASE WHEN has_video THEN 'h264' END AS codec_name, CASE WHEN has_video AND k % 5 <> 0 THEN 'aac' END AS audio_codec, CASE WHEN has_video AND k % 5 <> 0 THEN 48000 END::BIGINT AS audio_sample_rate,
 CASE WHEN NOT has_video THEN 'no video stream' WHEN rate IS NULL THEN 'bad frame rate' END AS error FROM pm)"""
 
+
+
+def _walk(near: str, agree: float, state: str, solo: bool) -> str:
+    """CTEs: wr (usable rows in order), wk (one step a row), wa (pair_id, id, grp). state: how the open group is kept, by mean or by list."""
+    first = {"mean": "o AS total, 1 AS cnt", "list": "[o] AS total, 1 AS cnt"}[state]
+    add = {"mean": "k.total + r.o", "list": "list_append(k.total, r.o)"}[state]
+    fresh = {"mean": "k.po + r.o", "list": "[k.po, r.o]"}[state]
+    joins, opens = near, f"k.po IS NOT NULL AND round(abs(r.o - k.po), 9) <= {agree}e0"
+    tail = "UNION ALL SELECT k.pair_id, k.pid, k.grp + 1 FROM wk k JOIN (SELECT pair_id, max(rn) AS rn FROM wr GROUP BY pair_id) z USING (pair_id, rn) WHERE k.po IS NOT NULL AND k.ph <= 4" if solo else ""
+    return f"""wr AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY target_t, id) AS rn FROM s WHERE hd <= 8),
+wk AS (SELECT pair_id, rn, id, 0 AS grp, {first}, NULL::DOUBLE AS po, NULL::BIGINT AS ph, NULL::BIGINT AS pid, 'join' AS act, NULL::BIGINT AS old FROM wr WHERE rn = 1
+UNION ALL SELECT r.pair_id, r.rn, r.id, CASE WHEN {joins} THEN k.grp WHEN {opens} THEN k.grp + 1 ELSE k.grp END,
+CASE WHEN {joins} THEN {add} WHEN {opens} THEN {fresh} ELSE k.total END, CASE WHEN {joins} THEN k.cnt + 1 WHEN {opens} THEN 2 ELSE k.cnt END,
+CASE WHEN {joins} OR ({opens}) THEN NULL ELSE r.o END, CASE WHEN {joins} OR ({opens}) THEN NULL ELSE r.hd END, CASE WHEN {joins} OR ({opens}) THEN NULL ELSE r.id END,
+CASE WHEN {joins} THEN 'join' WHEN {opens} THEN 'open' ELSE 'wait' END, CASE WHEN {joins} THEN NULL WHEN {opens} THEN k.pid END
+FROM wk k JOIN wr r ON r.pair_id = k.pair_id AND r.rn = k.rn + 1),
+wa AS (SELECT pair_id, id, grp FROM wk WHERE act <> 'wait' UNION ALL SELECT pair_id, old, grp FROM wk WHERE act = 'open' {tail}),
+wg AS (SELECT wa.pair_id, wa.id, wa.grp, s.target_t, s.o FROM wa JOIN s ON s.pair_id = wa.pair_id AND s.id = wa.id)"""
+
+
+WALK_MEAN = _walk("round(abs(r.o - k.total / k.cnt), 9) <= 0.3e0", 0.2, "mean", True)
+WALK_MEDIAN = f"""{_walk("round(abs(r.o - list_sort(k.total)[k.cnt // 2 + 1]), 9) <= 0.15e0", 0.15, "list", False)},
+wc AS (SELECT pair_id, grp, count(*) AS n, list_sort(list(o))[count(*) // 2 + 1] AS upper, min(target_t + o) AS first_p, max(target_t + o) AS last_p FROM wg GROUP BY ALL),
+wm AS (SELECT a.pair_id FROM wc a JOIN wc b ON b.pair_id = a.pair_id AND b.grp = 1 WHERE a.grp = 0 AND a.n = 1 AND b.n >= 2 AND round(abs(a.upper - b.upper), 9) <= 0.3e0
+AND NOT EXISTS (SELECT 1 FROM bk WHERE bk.pair_id = a.pair_id AND round(b_end - b_start, 9) >= 0.5e0 AND a.last_p < (b_start + b_end) / 2 AND (b_start + b_end) / 2 < b.first_p)),
+wx AS (SELECT pair_id, id, CASE WHEN grp = 0 AND pair_id IN (SELECT pair_id FROM wm) THEN 1 ELSE grp END AS grp, target_t, o FROM wg)"""
 SQL: dict[str, str] = {
     "nn_single_ref": f"WITH {_refs('f.frame_idx = 10')}, {_coarse(1)} SELECT pair_id, hd, frame_idx, round(frame_idx / 24e0 - ref_t, 6) + 0e0 AS \"offset\", {BAND} AS confidence FROM c JOIN r USING (pair_id, ref_no)",
     "nn_coarse_fine": f"WITH {_refs('f.frame_idx = 10')}, {_coarse(6)}, c2 AS (SELECT * FROM c WHERE hd <= 48), {_fine('c2', 'z')} {_offset('z')}",
@@ -199,6 +225,26 @@ SELECT pair_id, n, despiked, round(spread, 6) AS spread, round(spread, 9) > 0.18
 v AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY pair_id) AS most, row_number() OVER (PARTITION BY pair_id ORDER BY n DESC, cluster) AS lone FROM g) WHERE n >= 2 OR (most < 2 AND lone = 1)),
 w AS (SELECT *, first_value(lh) OVER (PARTITION BY pair_id ORDER BY n DESC, mh, mp DESC, mo) AS best FROM v), t AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY mp DESC, cluster) AS k FROM w WHERE lh <= best + 2)
 SELECT pair_id, round(mo, 6) AS "offset", round(mp, 6) AS primary_t, round(mt, 6) AS target_t, mh AS hd, n FROM t WHERE k = 1 AND mh <= 24""",
+    "segments_sample_walker": f"""WITH RECURSIVE {_samples(False)}, {WALK_MEAN}, g AS (SELECT pair_id, grp, avg(o) AS o, min(target_t) AS a, max(target_t) AS b FROM wg GROUP BY ALL)
+SELECT pair_id, grp::BIGINT AS seg_no, round(coalesce((lag(b) OVER w + a) / 2, 0e0), 4) AS target_start, round(coalesce((b + lead(a) OVER w) / 2, 2592000e0), 4) AS target_end, round(o, 6) AS "offset" FROM g WINDOW w AS (PARTITION BY pair_id ORDER BY grp)""",
+    "segments_cluster_walker": f"WITH RECURSIVE {_samples(False)}, {BLACKS.removeprefix(EV + ', ')}, {WALK_MEDIAN} SELECT pair_id, grp::BIGINT AS grp, count(*) AS n, round(list_sort(list(o))[count(*) // 2 + 1], 6) AS upper, round(min(target_t + o), 6) AS first_p, round(max(target_t + o), 6) AS last_p FROM wx GROUP BY ALL",
+    "segments_with_blacks": f"""WITH RECURSIVE {_samples(False)}, {BLACKS.removeprefix(EV + ', ')}, {WALK_MEDIAN},
+xc AS (SELECT pair_id, grp, median(o) AS med, min(target_t + o) AS first_p, max(target_t + o) AS last_p FROM wx GROUP BY ALL),
+xs AS (SELECT pair_id, grp, avg(o) AS o, count(*) AS inl, stddev_pop(o) AS sd FROM wx JOIN xc USING (pair_id, grp) WHERE round(abs(o - med), 9) <= 0.15e0 GROUP BY ALL),
+xo AS (SELECT *, row_number() OVER w AS no, count(*) OVER (PARTITION BY pair_id) AS k, lead(first_p) OVER w AS hi FROM xc WINDOW w AS (PARTITION BY pair_id ORDER BY grp)),
+sc AS (SELECT pair_id, b_start, (b_start + b_end) / 2 AS mid, round((b_end - b_start) * greatest(1, least(600, coalesce(b_start - lag(b_end) OVER w, 600), coalesce(lead(b_start) OVER w - b_end, 600))), 9) AS score FROM bk WINDOW w AS (PARTITION BY pair_id ORDER BY b_start, b_end)),
+bd AS (SELECT pair_id, no, mid FROM (SELECT xo.pair_id, no, mid, row_number() OVER (PARTITION BY xo.pair_id, no ORDER BY score DESC, b_start) AS q FROM xo JOIN sc ON sc.pair_id = xo.pair_id AND last_p < mid AND mid < hi) WHERE q = 1),
+bo AS (SELECT xo.*, CASE WHEN hi IS NOT NULL THEN coalesce(mid, (last_p + hi) / 2) END AS boundary FROM xo LEFT JOIN bd USING (pair_id, no)),
+sg AS (SELECT bo.pair_id, no, k, boundary, lag(boundary) OVER (PARTITION BY bo.pair_id ORDER BY no) AS bef, xs.o, inl, sd FROM bo JOIN xs USING (pair_id, grp)),
+sa AS (SELECT *, CASE WHEN no = 1 THEN 0e0 ELSE greatest(0e0, bef - o) END AS a FROM sg WHERE k > 1), sb AS (SELECT *, least(2592000e0, CASE WHEN no = k THEN 2592000e0 ELSE greatest(a + 0.001e0, boundary - o) END) AS b FROM sa)
+SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY a, b) - 1 AS seg_no, round(a, 6) AS target_start, round(b, 6) AS target_end, round(o, 6) AS "offset", inl AS phash_inliers, round(sd, 6) AS phash_stdev FROM sb WHERE b > a""",
+    "verification_report": f"""WITH {_VISUAL}, {SMOOTH}, {LAGGED}, {NEAR.removeprefix(EV + ', ')}, vd AS (SELECT pair_id, count(*) AS n, max(abs(frame_idx + shift - ref_t * 24)) * 1000 / 24e0 AS ms, avg((abs(frame_idx + shift - ref_t * 24) <= 0.5e0)::INT) AS half FROM b GROUP BY pair_id),
+ad AS (SELECT pair_id, count(*) AS n, max(abs(round(o, 6) / 3600 * 10)) AS ms FROM bl GROUP BY pair_id),
+mu AS (SELECT pair_id, gap FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, p_id ORDER BY gap, s_t, s_id) AS x, row_number() OVER (PARTITION BY pair_id, s_id ORDER BY gap, p_t, p_id) AS y FROM nc) WHERE x = 1 AND y = 1),
+sd AS (SELECT pair_id, count(*) AS n, max(gap / 3600) * 1000 / 24e0 AS ms FROM mu GROUP BY pair_id),
+al AS (SELECT p.pair_id, vd.n AS vn, vd.ms AS vm, vd.half, ad.n AS an, ad.ms AS am, sd.n AS sn, sd.ms AS sm FROM p LEFT JOIN vd USING (pair_id) LEFT JOIN ad USING (pair_id) LEFT JOIN sd USING (pair_id)),
+il AS (SELECT *, list_filter([CASE WHEN vm > 500 / 24e0 THEN printf('visual max %.2f ms (thr %.2f ms)', round(vm, 2), 20.83e0) END, CASE WHEN am > 1000 / 24e0 THEN printf('audio max %.2f ms (thr %.2f ms)', round(am, 2), 41.67e0) END, CASE WHEN sm > 500 / 24e0 THEN printf('scene-cut max %.2f ms (thr %.2f ms)', round(sm, 2), 20.83e0) END], lambda i: i IS NOT NULL) AS i FROM al)
+SELECT pair_id, coalesce(vn, 0) AS visual_n, round(coalesce(vm, 0e0), 6) AS visual_ms, round(coalesce(half, 0e0), 6) AS visual_half, coalesce(an, 0) AS audio_n, round(coalesce(am, 0e0), 6) AS audio_ms, coalesce(sn, 0) AS scene_n, round(coalesce(sm, 0e0), 6) AS scene_ms, len(i) AS n_issues, coalesce(array_to_string(i, '; '), '') AS issues FROM il""",
     "black_blocking_semi": f"WITH {BLACKS}, {GAPS} SELECT pair_id, gap_no FROM gp WHERE EXISTS (SELECT 1 FROM bk WHERE bk.pair_id = gp.pair_id AND round(b_end - b_start, 9) >= 0.5e0 AND lo < (b_start + b_end) / 2 AND (b_start + b_end) / 2 < hi)",
     "black_boundary_score": f"""WITH {BLACKS}, {GAPS}, sc AS (SELECT pair_id, b_start, (b_start + b_end) / 2 AS mid, round((b_end - b_start) * greatest(1, least(600, coalesce(b_start - lag(b_end) OVER w, 600), coalesce(lead(b_start) OVER w - b_end, 600))), 9) AS score FROM bk WINDOW w AS (PARTITION BY pair_id ORDER BY b_start, b_end)),
 bs AS (SELECT gp.pair_id, gap_no, mid, row_number() OVER (PARTITION BY gp.pair_id, gap_no ORDER BY score DESC, b_start) AS k FROM gp JOIN sc ON sc.pair_id = gp.pair_id AND lo < mid AND mid < hi)

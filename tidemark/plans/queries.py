@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import phash, scalar
-from ..operators import decide, nearest, pairing, sampling, segments, signals, stats, verify
+from ..operators import decide, flow, nearest, pairing, sampling, segments, signals, stats, verify
 from ..sources import adapters as a
 from ..sources import logs
 
@@ -310,7 +310,8 @@ def _primary(s: SparkSession) -> DataFrame:
 
 @query
 def segments_sample_walker(s, d):
-    return rounded(segments.segments_from_groups(segments.grouped_samples(a.samples(s, d)), _durations(s)))
+    out = segments.segments_from_groups(segments.grouped_samples(a.samples(s, d)), _durations(s))
+    return rounded(out.withColumns({c: F.round(c, 4) for c in ("target_start", "target_end")}))
 
 
 @query
@@ -414,6 +415,25 @@ def process_batch(s, d):
     return rounded(pairs.withColumn("slot", F.col("p_id") % 10).join(offsets, "slot", "left").select("folder", "p_id", "t_id", "score", "offset", "confidence", F.when(F.col("offset").isNull(), "No match found").alias("error")))
 
 
+@query
+def intro_anchor(s, d):
+    return rounded(flow.intro_anchor(a.pair_table(s), a.frames(s, d), 4.0, THRESHOLD, replace(DEFAULT, probes=(1.0, 2.0, 4.0, 6.0), content=40.0)))
+
+
+@query
+def dense_refined_offset(s, d):
+    media = a.frames(s, d).groupBy("media_id").agg((F.count("*") / 0.4).alias("duration"))
+    return rounded(flow.refine_visually(a.pair_table(s), a.frames(s, d), media, s.range(10).select(F.col("id").alias("pair_id"), (F.col("id") * 1.0).alias("offset")), 0.4, replace(DEFAULT, content=30.0), n=8, window=10.0, limit=28))
+
+
+@query
+def sync_pairs(s, d):
+    visual = nearest.multi_offset(_refs(s, d, F.col("frame_idx").isin(3, 10, 17, 24, 31)), a.frames(s, d), FPS, 10)
+    signal = audio_offset(s, d).select("pair_id", (F.col("offset") / HOUR).alias("offset"), "peak")
+    cuts = cut_offset(s, d).select("pair_id", (F.col("offset") / HOUR).alias("offset"), (F.col("peak") * 4).alias("peak"))
+    return rounded(flow.sync_pairs(a.pair_table(s), visual, signal, cuts))
+
+
 # --- verification
 
 
