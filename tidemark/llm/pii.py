@@ -135,6 +135,10 @@ def _featured(kind: str):
     return lambda x: _features(kind, x, F.col("t"))
 
 
+def _candidate(kind: str):
+    return lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), _features(kind, x, F.col("t")).alias("x"))
+
+
 def _is_kind(i: int):
     return lambda x: x["k"] == i
 
@@ -150,57 +154,67 @@ def _candidates(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Boosted:
-    """Regression trees on feature structs whose sum is a log-odds score; thresholds: least probability, by kind."""
+    """Boosted trees on feature structs whose sum is a log-odds score; thresholds: least probability, by kind.
+
+    A tree asks the same questions along each level, (feature, bound) pairs, and has a leaf for each pattern of answers. So the
+    forest is a table, and its score one small expression over that table.
+    """
 
     bias: float = 0.0
-    trees: list = field(default_factory=list)
+    trees: list[tuple[list[tuple[int, int]], list[float]]] = field(default_factory=list)
     thresholds: dict = field(default_factory=dict)
 
     def value(self, row: tuple) -> float:
-        z = self.bias
-        for node in self.trees:
-            while isinstance(node, tuple):
-                node = node[2] if row[node[0]] < node[1] else node[3]
-            z += node
-        return z
+        return self.bias + sum(leaves[_leaf(row, asked)] for asked, leaves in self.trees)
 
     def column(self, x: Column) -> Column:
         """The probability as a column expression over a feature struct."""
+        if not self.trees:
+            return F.lit(1 / (1 + math.exp(-self.bias)))
+        row = F.array(*(x[f] for f in FEATURES))
+        table = F.array(*(F.struct(F.array(*(F.lit(f) for f, _ in asked)).alias("f"), F.array(*(F.lit(at) for _, at in asked)).alias("at"), F.array(*map(F.lit, leaves)).alias("leaves")) for asked, leaves in self.trees))
 
-        def branch(node) -> Column:
-            if not isinstance(node, tuple):
-                return F.lit(float(node))
-            return F.when(x[FEATURES[node[0]]] < node[1], branch(node[2])).otherwise(branch(node[3]))
+        def score(z: Column, tree: Column) -> Column:
+            leaf = F.aggregate(F.arrays_zip(tree["f"].alias("f"), tree["at"].alias("at")), F.lit(0), lambda n, q: n * 2 + (F.get(row, q["f"]) >= q["at"]).cast("int"))
+            return z + F.get(tree["leaves"], leaf)
 
-        z = F.lit(float(self.bias))
-        for tree in self.trees:
-            z = z + branch(tree)
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+        return F.aggregate(table, F.lit(float(self.bias)), score, lambda z: F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
 
 
-def _tree(rows: list, depth: int, rate: float):
-    """Fit one tree to (features, gradient, hessian) rows by the gain of splits; leaves are Newton steps."""
-    g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
-    if depth:
+def _leaf(row: tuple, asked: list[tuple[int, int]]) -> int:
+    n = 0
+    for f, at in asked:
+        n = n * 2 + (row[f] >= at)
+    return n
+
+
+def _tree(rows: list, depth: int, rate: float) -> tuple[list[tuple[int, int]], list[float]]:
+    """Fit one tree to (features, gradient, hessian) rows: each level the question with the greatest gain over all leaves."""
+    asked: list[tuple[int, int]] = []
+    for _ in range(depth):
         best, gain = None, 1e-3
         for f in range(len(FEATURES)):
-            sums: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0])
-            for x, gr, he in rows:
-                sums[x[f]][0] += gr
-                sums[x[f]][1] += he
-            gl = hl = 0.0
-            for v in sorted(sums)[:-1]:
-                gl, hl = gl + sums[v][0], hl + sums[v][1]
-                new = gl * gl / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g * g / (h + 1)
-                if new > gain:
-                    best, gain = (f, v + 1), new
-        if best:
-            f, at = best
-            return (f, at, _tree([r for r in rows if r[0][f] < at], depth - 1, rate), _tree([r for r in rows if r[0][f] >= at], depth - 1, rate))
-    return -rate * g / (h + 1)
-
-
-def boost(counts: list[tuple[tuple, int, int]], rounds: int = 25, depth: int = 3, rate: float = 0.3) -> Boosted:
+            for at in sorted({r[0][f] for r in rows})[1:]:
+                sums: dict[tuple[int, bool], list[float]] = defaultdict(lambda: [0.0, 0.0])
+                for x, g, h in rows:
+                    one = sums[_leaf(x, asked), x[f] >= at]
+                    one[0] += g
+                    one[1] += h
+                new = sum(g * g / (h + 1) for g, h in sums.values())
+                if new > gain + 1e-9:
+                    best, gain = (f, at), new
+        if best is None or best in asked:
+            break
+        asked.append(best)
+    sums = defaultdict(lambda: [0.0, 0.0])
+    for x, g, h in rows:
+        one = sums[_leaf(x, asked)]
+        one[0] += g
+        one[1] += h
+    return asked, [-rate * sums[k][0] / (sums[k][1] + 1) if k in sums else 0.0 for k in range(1 << len(asked))]
+
+
+def boost(counts: list[tuple[tuple, int, int]], rounds: int = 30, depth: int = 3, rate: float = 0.3) -> Boosted:
     """Gradient boosting for log loss on distinct feature rows (features, rows, rows with label 1)."""
     n, ones = sum(c[1] for c in counts), sum(c[2] for c in counts)
     share = min(max(ones / n if n else 0.5, 1e-3), 1 - 1e-3)
@@ -210,8 +224,7 @@ def boost(counts: list[tuple[tuple, int, int]], rounds: int = 25, depth: int = 3
         p = [1 / (1 + math.exp(-v)) for v in z]
         tree = _tree([(x, k * q - y, max(k * q * (1 - q), 1e-6)) for (x, k, y), q in zip(counts, p, strict=True)], depth, rate)
         model.trees.append(tree)
-        one = Boosted(0.0, [tree])
-        z = [v + one.value(x) for v, (x, _, _) in zip(z, counts, strict=True)]
+        z = [v + tree[1][_leaf(x, tree[0])] for v, (x, _, _) in zip(z, counts, strict=True)]
     return model
 
 
@@ -276,11 +289,12 @@ def find_spans(docs: DataFrame, model: Boosted | None = None, text: str = "text"
     rows = docs.select(*(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), F.coalesce(F.col(text), F.lit("")).alias("t"))
     found = _candidates(rows)
 
-    def chosen(i: int, k: str) -> Column:
-        passed = F.filter(f"l_{k}", lambda x: model.column(_features(k, x, F.col("t"))) >= model.thresholds[k])
-        return F.when(F.size(f"l_{k}") > 0, F.transform(passed, _placed(i))).otherwise(F.array().cast("array<struct<s:int,k:int,e:int>>"))
-
-    return found.select(*(f"keep_{i}" for i in range(len(keep))), "t", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", *(chosen(i, k) for i, k in enumerate(KINDS)))).alias("spans"))
+    each = F.concat(*(F.transform(f"l_{k}", _candidate(k)) for k in KINDS))
+    found = found.withColumn("loose", F.when(F.size(F.concat(*(f"l_{k}" for k in KINDS))) > 0, each))
+    least = F.array(*(F.lit(float(model.thresholds[k])) for k in KINDS))
+    passed = F.filter("loose", lambda c: model.column(c["x"]) >= F.get(least, c["k"]))
+    chosen = F.coalesce(F.transform(passed, lambda c: F.struct(c["s"].alias("s"), c["k"].alias("k"), c["e"].alias("e"))), F.array().cast("array<struct<s:int,k:int,e:int>>"))
+    return found.select(*(f"keep_{i}" for i in range(len(keep))), "t", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", chosen)).alias("spans"))
 
 
 def _listed(spans: str) -> Column:

@@ -102,21 +102,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     got = texts.select("y", features("text").alias("f")).toArrow()
     y = got.column("y").to_numpy().astype(np.float64)
     each = [np.frombuffer(f.as_py(), dtype="<u4") for f in got.column("f")]
+    del got
     weights, bias = _fit(each, y, ratio)
     return ToxicityModel((weights * ratio).astype(np.float32), bias)
 
 
 def _fit(each: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, rounds: int = 150, l2: float = 1e-5, rate: float = 0.05) -> tuple[np.ndarray, float]:
     """Logistic regression on the scaled features by full-batch Adam; starts from the naive Bayes weights, damped."""
-    row, col = np.repeat(np.arange(len(each)), [len(f) for f in each]), np.concatenate([*each, np.zeros(0, dtype="<u4")]).astype(np.int64)
-    used, at = np.unique(col, return_inverse=True)
-    r = ratio[used]
-    x, p, n = r[at], np.append(np.full(len(used), 0.05), np.log(y.mean() / (1 - y.mean()))), len(each)
+    lens = np.array([len(f) for f in each])
+    ends, n = np.cumsum(lens), len(each)
+    used, at = np.unique(np.concatenate([*each, np.zeros(0, dtype="<u4")]), return_inverse=True)
+    each.clear()
+    x = ratio[used].astype(np.float32)[at]
+    p = np.append(np.full(len(used), 0.05), np.log(y.mean() / (1 - y.mean())))
     m, v = np.zeros_like(p), np.zeros_like(p)
     for k in range(1, rounds + 1):
-        z = np.bincount(row, x * p[at], minlength=n) + p[-1]
+        sums = np.concatenate(([0.0], np.cumsum(x * p[at])))
+        z = sums[ends] - sums[ends - lens] + p[-1]
         e = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y
-        g = np.append(np.bincount(at, x * e[row], minlength=len(used)) / n + l2 * p[:-1], e.mean())
+        g = np.append(np.bincount(at, x * np.repeat(e, lens), minlength=len(used)) / n + l2 * p[:-1], e.mean())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     w = np.zeros(len(ratio))
