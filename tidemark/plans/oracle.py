@@ -97,8 +97,9 @@ def _despiked(source: str, passes: int) -> str:
 
 
 PROBES = f"{_samples(True)}, pr AS (SELECT pair_id, id, target_t, round(target_t + o, 6) AS p, o, hd FROM s WHERE id % 25 = 0)"
-CLUSTERED = f"""{PROBES}, cj AS (SELECT *, coalesce(round(o - lag(o) OVER (PARTITION BY pair_id ORDER BY o, id), 9) > 0.35e0, false)::INT AS j FROM pr),
+CLUSTER_TAIL = """cj AS (SELECT *, coalesce(round(o - lag(o) OVER (PARTITION BY pair_id ORDER BY o, id), 9) > 0.35e0, false)::INT AS j FROM pr),
 cl AS (SELECT *, sum(j) OVER (PARTITION BY pair_id ORDER BY o, id ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM cj)"""
+CLUSTERED = f"{PROBES}, {CLUSTER_TAIL}"
 BLACKS = f"{EV}, bk AS (SELECT user_id % 10 AS pair_id, event_id AS id, t AS b_start, t + value / 100 AS b_end FROM ev WHERE event_type = 'error')"
 GAPS = "gp AS (SELECT p.range AS pair_id, g.range AS gap_no, g.range * 86000e0 AS lo, g.range * 86000e0 + p.range * 2000e0 + 500 AS hi FROM range(10) p, range(1, 31) g)"
 SEGMENTS = """sm AS (SELECT * FROM (VALUES (0,0,0e0,100e0,2e0),(0,1,100e0,200e0,2.029e0),(0,2,200e0,300e0,2.059e0),(1,0,0e0,50e0,-5e0),(1,1,50e0,60e0,-30e0),(1,2,60e0,120e0,-29e0),
@@ -115,9 +116,11 @@ UNION ALL SELECT pair_id, seg_no, 1, 'target', s0, b, b - s0 FROM st WHERE b > s
 CAND = f"""{EV}, cd AS (SELECT event_id AS pair_id, CASE WHEN event_id % 8 <> 3 THEN round(value / 50, 3) END AS v_off, CASE WHEN event_id % 8 <> 3 THEN event_id % 23 END AS v_hd,
 CASE WHEN event_id % 8 <> 5 THEN round(value / 50 + user_id % 9 * 0.1e0, 3) END AS a_off, round(user_id % 11 * 0.07e0, 2) AS a_peak,
 CASE WHEN event_id % 8 <> 6 THEN round(value / 50 + user_id % 7 * 0.12e0, 3) END AS c_off, round(event_id % 13 * 0.05e0, 2) AS c_peak FROM ev)"""
-CONS = f"""{CAND}, co AS (SELECT *, coalesce(round(abs(a_off - c_off), 9) <= 0.15e0 AND round(abs(a_off - v_off), 9) > 0.5e0 AND round(abs(c_off - v_off), 9) > 0.5e0, false) AS overridden FROM cd),
+CONS_TAIL = """co AS (SELECT *, coalesce(round(abs(a_off - c_off), 9) <= 0.15e0 AND round(abs(a_off - v_off), 9) > 0.5e0 AND round(abs(c_off - v_off), 9) > 0.5e0, false) AS overridden FROM cd),
 cn AS (SELECT *, CASE WHEN overridden THEN CASE WHEN greatest(0, a_peak) + greatest(0, c_peak) > 1e-6 THEN (greatest(0, a_peak) * a_off + greatest(0, c_peak) * c_off) / (greatest(0, a_peak) + greatest(0, c_peak)) ELSE (a_off + c_off) / 2 END ELSE v_off END AS o FROM co)"""
-CASCADE = f"""{CONS}, fc AS (SELECT *, CASE WHEN overridden THEN 'consensus' WHEN v_off IS NOT NULL THEN 'visual' WHEN coalesce(c_peak >= 0.3e0, false) AND c_off IS NOT NULL THEN 'cut' WHEN coalesce(a_peak >= 0.35e0, false) AND a_off IS NOT NULL THEN 'audio' ELSE 'none' END AS source FROM cn)"""
+CONS = f"{CAND}, {CONS_TAIL}"
+CASCADE_TAIL = """fc AS (SELECT *, CASE WHEN overridden THEN 'consensus' WHEN v_off IS NOT NULL THEN 'visual' WHEN coalesce(c_peak >= 0.3e0, false) AND c_off IS NOT NULL THEN 'cut' WHEN coalesce(a_peak >= 0.35e0, false) AND a_off IS NOT NULL THEN 'audio' ELSE 'none' END AS source FROM cn)"""
+CASCADE = f"{CONS}, {CASCADE_TAIL}"
 NEAR = f"""{EV}, nc AS (SELECT p.user_id AS pair_id, p.event_id AS p_id, p.t AS p_t, s.event_id AS s_id, s.t AS s_t, round(abs(p.t - s.t), 6) AS gap FROM ev p JOIN ev s ON p.user_id = s.user_id AND p.event_type = 'click' AND s.event_type = 'view' WHERE round(abs(p.t - s.t), 6) <= 3600)"""
 DRIFT = f"""{EV}, dr AS (SELECT user_id % 10 AS pair_id, event_id AS id, t, round(value / 100 - 0.5e0, 6) AS df FROM ev),
 ds AS (SELECT pair_id, count(*) AS n, max(abs(df)) AS mx, avg(abs(df)) AS mean, max(abs(df)) * 1000 / 24e0 AS ms, avg((abs(df) <= 0.5e0)::INT) AS half FROM dr GROUP BY pair_id)"""
@@ -172,6 +175,24 @@ wc AS (SELECT pair_id, grp, count(*) AS n, list_sort(list(o))[count(*) // 2 + 1]
 wm AS (SELECT a.pair_id FROM wc a JOIN wc b ON b.pair_id = a.pair_id AND b.grp = 1 WHERE a.grp = 0 AND a.n = 1 AND b.n >= 2 AND round(abs(a.upper - b.upper), 9) <= 0.3e0
 AND NOT EXISTS (SELECT 1 FROM bk WHERE bk.pair_id = a.pair_id AND round(b_end - b_start, 9) >= 0.5e0 AND a.last_p < (b_start + b_end) / 2 AND (b_start + b_end) / 2 < b.first_p)),
 wx AS (SELECT pair_id, id, CASE WHEN grp = 0 AND pair_id IN (SELECT pair_id FROM wm) THEN 1 ELSE grp END AS grp, target_t, o FROM wg)"""
+ANCHOR = """g AS (SELECT pair_id, cluster, count(*) AS n, median(hd) AS mh, min(hd) AS lh, median(p) AS mp, median(target_t) AS mt, median(o) AS mo FROM cl GROUP BY ALL),
+v AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY pair_id) AS most, row_number() OVER (PARTITION BY pair_id ORDER BY n DESC, cluster) AS lone FROM g) WHERE n >= 2 OR (most < 2 AND lone = 1)),
+w AS (SELECT *, first_value(lh) OVER (PARTITION BY pair_id ORDER BY n DESC, mh, mp DESC, mo) AS best FROM v), t AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY mp DESC, cluster) AS k FROM w WHERE lh <= best + 2)
+SELECT pair_id, round(mo, 6) AS "offset", round(mp, 6) AS primary_t, round(mt, 6) AS target_t, mh AS hd, n FROM t WHERE k = 1"""
+INTRO = f"""{FR}, {PAIRS}, md AS (SELECT media_id, count(*) AS total FROM f GROUP BY media_id),
+tl AS (SELECT *, list_filter([1e0, 2e0, 4e0, 6e0], lambda t: t < total / 4e0 - 5) AS ts FROM md),
+tm AS (SELECT media_id, total, unnest(CASE WHEN len(ts) > 0 THEN ts ELSE [least(5e0, total / 4e0 * 0.1e0)] END) AS t FROM tl),
+go AS (SELECT media_id, greatest(0, least(total - 1, round_even(t * 4, 0)::BIGINT)) AS goal FROM tm),
+ne AS (SELECT media_id, goal, frame_idx FROM (SELECT go.media_id, goal, f.frame_idx, row_number() OVER (PARTITION BY go.media_id, goal ORDER BY k.range, -s.s) AS q
+FROM go CROSS JOIN range(17) k CROSS JOIN (VALUES (1), (-1)) s(s) JOIN f ON f.media_id = go.media_id AND f.frame_idx = goal + s.s * k.range * 2 WHERE lap_var > 40) WHERE q = 1),
+r AS (SELECT p.pair_id, p.primary_id, goal AS ref_no, f.frame_idx / 4e0 AS ref_t, h0 AS r0, h1 AS r1 FROM p JOIN ne ON ne.media_id = p.target_id JOIN f ON f.media_id = ne.media_id AND f.frame_idx = ne.frame_idx),
+{_coarse(8)}, {_fine("c", "z")}, pr AS (SELECT pair_id, ref_no AS id, ref_t AS target_t, round((frame_idx + shift) / 4e0, 9) AS p, round((frame_idx + shift) / 4e0 - ref_t, 9) AS o, hd FROM z JOIN r USING (pair_id, ref_no))"""
+SYNC = f"""WITH vi AS (WITH {_refs("f.frame_idx IN (3, 10, 17, 24, 31)")}, {_coarse(6)}, c2 AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY hd, ref_no) AS k FROM c) WHERE k = 1), {_fine("c2", "z")}
+SELECT pair_id, hd, (frame_idx + shift) / 24e0 - ref_t AS o FROM z JOIN r USING (pair_id, ref_no) WHERE hd <= 20),
+au AS (WITH {SMOOTH}, {LAGGED} {_by_signal(0.55, 0.35)}), cu2 AS (WITH {CUTS_SMOOTH}, {LAGGED} {_by_signal(0.5, 0.3)}),
+cd AS (SELECT i.range AS pair_id, vi.o AS v_off, vi.hd AS v_hd, au."offset" / 3600 AS a_off, au.peak AS a_peak, cu2."offset" / 3600 AS c_off, cu2.peak * 4 AS c_peak FROM range(10) i LEFT JOIN vi ON vi.pair_id = i.range LEFT JOIN au ON au.pair_id = i.range LEFT JOIN cu2 ON cu2.pair_id = i.range),
+{CONS_TAIL}, {CASCADE_TAIL}
+SELECT pair_id, source, CASE source WHEN 'consensus' THEN -3 WHEN 'cut' THEN -2 WHEN 'audio' THEN -1 WHEN 'visual' THEN v_hd END::BIGINT AS hd, round(CASE source WHEN 'consensus' THEN o WHEN 'visual' THEN o WHEN 'cut' THEN c_off WHEN 'audio' THEN a_off END, 6) AS "offset", CASE WHEN source = 'none' THEN 'No match found' END AS error FROM fc"""
 SQL: dict[str, str] = {
     "nn_single_ref": f"WITH {_refs('f.frame_idx = 10')}, {_coarse(1)} SELECT pair_id, hd, frame_idx, round(frame_idx / 24e0 - ref_t, 6) + 0e0 AS \"offset\", {BAND} AS confidence FROM c JOIN r USING (pair_id, ref_no)",
     "nn_coarse_fine": f"WITH {_refs('f.frame_idx = 10')}, {_coarse(6)}, c2 AS (SELECT * FROM c WHERE hd <= 48), {_fine('c2', 'z')} {_offset('z')}",
@@ -221,10 +242,9 @@ u AS (SELECT s.pair_id, despiked, CASE WHEN despiked THEN d6.o ELSE s.o END AS o
 q AS (SELECT pair_id, count(*) AS n, any_value(despiked) AS despiked, CASE WHEN count(*) >= 4 THEN greatest(0, quantile_cont(o, 0.88) - quantile_cont(o, 0.12)) ELSE max(o) - min(o) END AS spread, coalesce(median(o) FILTER (round(abs(o - med), 9) <= 0.1e0), any_value(med)) AS ro FROM u JOIN m USING (pair_id) GROUP BY pair_id)
 SELECT pair_id, n, despiked, round(spread, 6) AS spread, round(spread, 9) > 0.18e0 AS segmented, CASE WHEN round(spread, 9) <= 0.18e0 THEN round(ro, 6) END AS "offset" FROM q""",
     "offset_clusters": f"WITH {CLUSTERED} SELECT pair_id, id, cluster FROM cl",
-    "anchor_choice": f"""WITH {CLUSTERED}, g AS (SELECT pair_id, cluster, count(*) AS n, median(hd) AS mh, min(hd) AS lh, median(p) AS mp, median(target_t) AS mt, median(o) AS mo FROM cl GROUP BY ALL),
-v AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY pair_id) AS most, row_number() OVER (PARTITION BY pair_id ORDER BY n DESC, cluster) AS lone FROM g) WHERE n >= 2 OR (most < 2 AND lone = 1)),
-w AS (SELECT *, first_value(lh) OVER (PARTITION BY pair_id ORDER BY n DESC, mh, mp DESC, mo) AS best FROM v), t AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY mp DESC, cluster) AS k FROM w WHERE lh <= best + 2)
-SELECT pair_id, round(mo, 6) AS "offset", round(mp, 6) AS primary_t, round(mt, 6) AS target_t, mh AS hd, n FROM t WHERE k = 1 AND mh <= 24""",
+    "anchor_choice": f"WITH {CLUSTERED}, {ANCHOR} AND mh <= 24",
+    "intro_anchor": f"WITH {INTRO}, {CLUSTER_TAIL}, {ANCHOR} AND mh <= 48",
+    "sync_pairs": SYNC,
     "segments_sample_walker": f"""WITH RECURSIVE {_samples(False)}, {WALK_MEAN}, g AS (SELECT pair_id, grp, avg(o) AS o, min(target_t) AS a, max(target_t) AS b FROM wg GROUP BY ALL)
 SELECT pair_id, grp::BIGINT AS seg_no, round(coalesce((lag(b) OVER w + a) / 2, 0e0), 4) AS target_start, round(coalesce((b + lead(a) OVER w) / 2, 2592000e0), 4) AS target_end, round(o, 6) AS "offset" FROM g WINDOW w AS (PARTITION BY pair_id ORDER BY grp)""",
     "segments_cluster_walker": f"WITH RECURSIVE {_samples(False)}, {BLACKS.removeprefix(EV + ', ')}, {WALK_MEDIAN} SELECT pair_id, grp::BIGINT AS grp, count(*) AS n, round(list_sort(list(o))[count(*) // 2 + 1], 6) AS upper, round(min(target_t + o), 6) AS first_p, round(max(target_t + o), 6) AS last_p FROM wx GROUP BY ALL",
