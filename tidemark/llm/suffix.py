@@ -22,21 +22,26 @@ input; texts shorter than the threshold are kept whole.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bound_batches, discard, materialize, release
 
 LENGTH = 100
 ANCHOR = 32
 #: Bytes ranked at once, and strings of round 3 that a task reduces at once.
 BLOCK = 1 << 20
-STRINGS = 1 << 21
+STRINGS = 1 << 19
+#: Strings in a bucket of round 3, and buckets at least (so that a small corpus is shared by several tasks too).
+BUCKET = 500_000
+LEAST_BUCKETS = 16
+#: More than the strings of a run.
+SPAN = 1 << 12
 
 _rng = np.random.default_rng(100)
 _BYTES = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
@@ -142,7 +147,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def anchors(rows: DataFrame, length: int, anchor: int, windows: bool) -> DataFrame:
-    """Round 1: (r) of each run, or with windows (r, w1, w2, d, th, lo, n)."""
+    """Round 1: (r) of each run, or with windows (r, w1, w2, d, th, at), at being the first start times SPAN plus the strings."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,79 +156,131 @@ def anchors(rows: DataFrame, length: int, anchor: int, windows: bool) -> DataFra
                 text, lo, n, r, w1, w2 = anchor_runs(texts, length, anchor)
                 row = np.array(at)[text]
                 if windows:
-                    yield pa.RecordBatch.from_arrays([_long(r), _long(w1), _long(w2), pa.array(d[row]), pa.array(th[row]), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["r", "w1", "w2", "d", "th", "lo", "n"])
+                    yield pa.RecordBatch.from_arrays([_long(r), _long(w1), pa.array((w2 >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(d[row]), pa.array(th[row]), pa.array(lo * SPAN + n)], names=["r", "w1", "w2", "d", "th", "at"])
                 else:
                     yield pa.RecordBatch.from_arrays([_long(r)], names=["r"])
 
-    return rows.mapInArrow(find, "r long, w1 long, w2 long, d long, th long, lo int, n int" if windows else "r long")
+    return rows.mapInArrow(find, "r long, w1 long, w2 int, d long, th long, at long" if windows else "r long")
 
 
-def strings(rows: DataFrame, length: int) -> DataFrame:
-    """Round 3: (repeat, h1, h2, d, th, p) of the strings of the wanted runs (column runs of rows).
+def _packed(d: np.ndarray, th: np.ndarray, p: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> bytes:
+    """Strings in the order of documents and places, with each document written once."""
+    new = np.ones(len(d), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (th[1:] != th[:-1])
+    first = np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(d))).astype("<u4")
+    return b"".join((np.array([len(first), len(d)], dtype="<u4").tobytes(), d[first].tobytes(), th[first].tobytes(), counts.tobytes(), p.astype("<i4").tobytes(), h1.tobytes(), h2.tobytes()))
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
+    k, n = (int(x) for x in np.frombuffer(raw, dtype="<u4", count=2))
+    at, out = 8, []
+    for kind, m in (("<i8", k), ("<i8", k), ("<u4", k), ("<i4", n), ("<u8", n), ("<u4", n)):
+        out.append(np.frombuffer(raw, dtype=kind, count=m, offset=at))
+        at += out[-1].nbytes
+    d, th, counts, p, h1, h2 = out
+    return np.repeat(d, counts), np.repeat(th, counts), p, h1, h2
+
+
+def _heads(d: np.ndarray, th: np.ndarray, p: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Whether each string is the first of its rank (or a second copy of that very place)."""
+    order = np.lexsort((p, th, d, h2, h1))
+    new = np.ones(len(d), dtype=bool)
+    new[1:] = (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])
+    head = np.empty(len(d), dtype=np.int64)
+    head[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return (d == d[head]) & (th == th[head]) & (p == p[head])
+
+
+def strings(rows: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Round 3: (bucket, repeat, data) of the strings of the wanted runs (column runs of rows), packed by bucket of their rank.
 
     A task keeps the first of each rank that it sees, in parts of about STRINGS; the others repeat already. So a string that
-    very many documents share leaves each part once.
+    very many documents share leaves each part once, and no bucket grows with the copies of a string.
     """
 
-    def part(each: list) -> pa.RecordBatch:
+    def parts(each: list) -> Iterator[pa.RecordBatch]:
         d, th, p, h1, h2 = (np.concatenate(x) for x in zip(*each, strict=True))
-        order = np.lexsort((p, th, d, h2, h1))
-        d, th, p, h1, h2 = d[order], th[order], p[order], h1[order], h2[order]
-        new = np.ones(len(d), dtype=bool)
-        new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        same = (d == d[head]) & (th == th[head]) & (p == p[head])
-        # What repeats already needs no rank; its position spreads it.
-        return pa.RecordBatch.from_arrays([pa.array(~same), _long(np.where(same, h1, _mixed(p.astype(np.uint64) ^ th.view(np.uint64)))), _long(np.where(same, h2, np.uint64(0))), pa.array(d), pa.array(th), pa.array(p)], names=["repeat", "h1", "h2", "d", "th", "p"])
+        first = _heads(d, th, p, h1, h2)
+        # What repeats already is spread by its document.
+        bucket = np.where(first, h1 % np.uint64(buckets), th.view(np.uint64) % np.uint64(buckets)).astype(np.int64) * 2 + ~first
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            at = order[lo:hi]
+            b = int(bucket[at[0]])
+            yield pa.RecordBatch.from_arrays([pa.array([b // 2], pa.int32()), pa.array([bool(b % 2)]), pa.array([_packed(d[at], th[at], p[at], h1[at], h2[at])], pa.binary())], names=["bucket", "repeat", "data"])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each, size = [], 0
         for b in batches:
             for d, th, t, runs in zip(b.column("d").to_pylist(), b.column("th").to_pylist(), b.column("t"), b.column("runs"), strict=True):
                 ranks = Ranks(t.as_py().encode("utf-8", "surrogatepass"))
-                lo, n = (runs.values.field(k).to_numpy().astype(np.int64) for k in ("lo", "n"))
+                at = np.sort(runs.values.to_numpy())
+                lo, n = at // SPAN, at % SPAN
                 p = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                each.append((np.full(len(p), d), np.full(len(p), th), p.astype(np.int32), ranks.names(0, p, p + length), ranks.names(1, p, p + length)))
+                h2 = (ranks.names(1, p, p + length) >> np.uint64(32)).astype(np.uint32)
+                each.append((np.full(len(p), d), np.full(len(p), th), p.astype(np.int32), ranks.names(0, p, p + length), h2))
                 size += len(p)
                 if size >= STRINGS:
-                    yield part(each)
+                    yield from parts(each)
                     each, size = [], 0
         if each:
-            yield part(each)
+            yield from parts(each)
+
+    return rows.mapInArrow(find, "bucket int, repeat boolean, data binary")
 
-    return rows.mapInArrow(find, "repeat boolean, h1 long, h2 long, d long, th long, p int")
 
+def repeated_strings(packed: DataFrame, length: int) -> DataFrame:
+    """(d, th, s, e): the byte ranges of the strings of each bucket that are not the first of their rank."""
+
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [_unpacked(x)[:3] for x in pdf["data"][pdf["repeat"]]]
+        firsts = [_unpacked(x) for x in pdf["data"][~pdf["repeat"]]]
+        if firsts:
+            every = [np.concatenate(x) for x in zip(*firsts, strict=True)]
+            later = ~_heads(*every)
+            out.append(tuple(x[later] for x in every[:3]))
+        d, th, p = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((p, th, d))
+        d, th, p = d[order], th[order], p[order].astype(np.int64)
+        new = np.ones(len(d), dtype=bool)
+        new[1:] = (d[1:] != d[:-1]) | (th[1:] != th[:-1]) | (p[1:] > p[:-1] + length)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(d)) - 1 if len(d) else first
+        return pd.DataFrame({"d": d[first], "th": th[first], "s": p[first], "e": p[last] + length})
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of what has been written: it does so when its own garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return packed.groupBy("bucket").applyInPandas(rank, "d long, th long, s long, e long")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, th, spans): for each document with repeated strings, (s, e) byte ranges that they cover, in no order."""
+    if length - anchor + 1 >= SPAN:
+        raise ValueError(f"a run must have fewer than {SPAN} strings")
     spark, rows = docs.sparkSession, _keyed(docs, key, text)
     again = anchors(rows, length, anchor, False).groupBy("r").agg(F.count("*").alias("c")).where("c > 1").select(F.col("r").alias("again"))
     runs = materialize(anchors(rows, length, anchor, True).join(again, F.col("r") == F.col("again")).drop("again"), "runs")
     del again
-    _release(spark)
+    release(spark)
     name = ["r", "w1", "w2"]
-    classes = materialize(runs.groupBy(*name).agg(F.min(F.struct("d", "th", "lo", "n")).alias("f")), "classes")
+    classes = materialize(runs.groupBy(*name).agg(F.min(F.struct("d", "th", "at")).alias("f")), "classes")
     firsts = classes.select(*(F.col(c).alias(f"f_{c}") for c in name), "f")
-    whole = runs.join(firsts, (F.col("r") == F.col("f_r")) & (F.col("w1") == F.col("f_w1")) & (F.col("w2") == F.col("f_w2"))).where(F.struct("d", "th", "lo") != F.struct("f.d", "f.th", "f.lo"))
-    whole = materialize(whole.select("d", "th", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1 + length).alias("e")), "whole")
-    del firsts
+    whole = runs.join(firsts, (F.col("r") == F.col("f_r")) & (F.col("w1") == F.col("f_w1")) & (F.col("w2") == F.col("f_w2"))).where(F.struct("d", "th", "at") != F.col("f"))
+    start, count = F.floor(F.col("at") / SPAN), F.col("at") % SPAN
+    whole = materialize(whole.select("d", "th", start.alias("s"), (start + count - 1 + length).alias("e")), "whole")
     several = classes.groupBy("r").agg(F.count("*").alias("c")).where("c > 1").select(F.col("r").alias("m_r"))
-    wanted = classes.join(several, F.col("r") == F.col("m_r")).select("f.*").groupBy(F.col("d").alias("w_d"), F.col("th").alias("w_th")).agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
+    wanted = classes.join(several, F.col("r") == F.col("m_r")).select("f.*").groupBy(F.col("d").alias("w_d"), F.col("th").alias("w_th")).agg(F.collect_list("at").alias("runs"), F.sum(count).alias("n"))
     wanted = materialize(wanted, "wanted")
-    del several
-    _release(spark)
-    ranked = strings(rows.join(wanted, (F.col("d") == F.col("w_d")) & (F.col("th") == F.col("w_th"))).select("d", "th", "t", "runs"), length)
-    first = F.first(F.struct("d", "th", "p")).over(Window.partitionBy("repeat", "h1", "h2").orderBy("d", "th", "p"))
-    found = ranked.withColumn("first", first).where(F.col("repeat") | (F.struct("d", "th", "p") != F.col("first")))
-    single = materialize(found.select("d", "th", F.col("p").alias("s"), (F.col("p") + length).alias("e")), "single")
-    del ranked, found
-    _release(spark)
+    del firsts, several
+    discard(runs)
+    discard(classes)
+    release(spark)
+    buckets = max(LEAST_BUCKETS, -(-(wanted.agg(F.sum("n")).first()[0] or 0) // BUCKET))
+    packed = strings(rows.join(wanted, (F.col("d") == F.col("w_d")) & (F.col("th") == F.col("w_th"))).select("d", "th", "t", "runs"), length, buckets)
+    single = materialize(repeated_strings(packed, length), "single")
+    del packed
+    discard(wanted)
+    release(spark)
     return whole.unionByName(single).groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
@@ -241,6 +298,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, removed array<struct<s,e>>, kept binary) of each row: its bytes without what repeats earlier ones."""
+    bound_batches(docs.sparkSession)
     spans = repeats(docs, length, anchor, key, text)
     rows = _keyed(docs, key, text).withColumn("id", F.when(F.col("d") != -(1 << 63), F.col("d")))
     both = rows.join(spans.select(F.col("d").alias("s_d"), F.col("th").alias("s_th"), "spans"), (F.col("d") == F.col("s_d")) & (F.col("th") == F.col("s_th")), "left")
