@@ -41,16 +41,19 @@ def fine_scan(refs: DataFrame, coarse: DataFrame, frames: DataFrame, window: int
     near = refs.join(coarse, ["pair_id", "ref_no"]).withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("frame_idx") - window), F.col("frame_idx") + window)))
     primary = frames.select(F.col("media_id").alias("primary_id"), F.col("frame_idx").alias("at"), "h0", "h1")
     keys = ["pair_id", "ref_no"]
-    each = near.join(primary, ["primary_id", "at"]).select(*keys, "hd", "frame_idx", "at", distance().alias("d"))
-    best = each.groupBy(*keys, "hd", "frame_idx").agg(F.min(F.struct("d", F.when(F.col("at") == F.col("frame_idx"), 0).otherwise(1).alias("phase"), "at")).alias("m"))
-    best = best.select(*keys, F.least("hd", "m.d").alias("hd"), F.when(F.col("m.d") < F.col("hd"), F.col("m.at")).otherwise(F.col("frame_idx")).alias("frame_idx"))
-    return with_shift(best, each.select(*keys, "at", "d"), keys)
+    each = near.join(primary, ["primary_id", "at"]).select(*keys, "hd", "frame_idx", F.struct(distance().alias("d"), F.when(F.col("at") == F.col("frame_idx"), 0).otherwise(1).alias("phase"), "at").alias("m"))
+    seen = each.groupBy(*keys, "hd", "frame_idx").agg(F.collect_list("m").alias("seen")).withColumn("m", F.array_min("seen"))
+    best = seen.select(*keys, F.least("hd", "m.d").alias("hd"), F.when(F.col("m.d") < F.col("hd"), F.col("m.at")).otherwise(F.col("frame_idx")).alias("frame_idx"), "seen")
+    return with_shift(best)
 
 
-def with_shift(best: DataFrame, each: DataFrame, keys: list[str]) -> DataFrame:
-    """best (keys, hd, frame_idx) with shift: the vertex through the distances of the frames on both sides, by frame number."""
-    around = best.join(each, keys, "left").groupBy(*keys, "hd", "frame_idx").agg(F.max(F.when(F.col("at") == F.col("frame_idx") - 1, F.col("d"))).alias("before"), F.max(F.when(F.col("at") == F.col("frame_idx") + 1, F.col("d"))).alias("after"))
-    return around.select(*keys, "hd", "frame_idx", vertex_of_minimum(F.col("before"), F.col("hd"), F.col("after")).alias("shift"))
+def with_shift(best: DataFrame) -> DataFrame:
+    """best (hd, frame_idx, seen, ...) with shift for seen: the vertex through the distances of the frames on both sides.
+
+    seen holds the distances within a window around a match, an array as long as the window at most.
+    """
+    beside = lambda k: F.get(F.filter("seen", lambda x: x["at"] == F.col("frame_idx") + k), F.lit(0))["d"]
+    return best.withColumn("shift", vertex_of_minimum(beside(-1), F.col("hd"), beside(1))).drop("seen")
 
 
 def single_offset(refs: DataFrame, frames: DataFrame, fps: float, threshold: int, cfg: Config = DEFAULT, anchor: DataFrame | None = None) -> DataFrame:
@@ -98,9 +101,10 @@ def band_scan(refs: DataFrame, frames: DataFrame, fps: float, window: float, lim
     wanted = wanted.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
     primary = frames.select(F.col("media_id").alias("primary_id"), F.col("frame_idx").alias("at"), "h0", "h1", F.floor(F.col("frame_idx") / width).alias("bucket"))
     keys = ["pair_id", "ref_no", "ref_t"]
-    each = wanted.join(primary, ["primary_id", "bucket"]).where(F.col("at").between(F.col("lo"), F.col("hi"))).select(*keys, "at", distance().alias("d"))
-    best = each.groupBy(*keys).agg(F.min(F.struct("d", "at")).alias("m")).select(*keys, F.col("m.d").alias("hd"), F.col("m.at").alias("frame_idx")).where(F.col("hd") <= limit)
-    return with_shift(best, each, keys).withColumn("offset", (F.col("frame_idx") + F.col("shift")) / F.lit(fps) - F.col("ref_t"))
+    each = wanted.join(primary, ["primary_id", "bucket"]).where(F.col("at").between(F.col("lo"), F.col("hi"))).select(*keys, F.struct(distance().alias("d"), "at").alias("m"))
+    seen = each.groupBy(*keys).agg(F.collect_list("m").alias("seen")).withColumn("m", F.array_min("seen"))
+    best = seen.select(*keys, F.col("m.d").alias("hd"), F.col("m.at").alias("frame_idx"), "seen").where(F.col("hd") <= limit)
+    return with_shift(best).withColumn("offset", (F.col("frame_idx") + F.col("shift")) / F.lit(fps) - F.col("ref_t"))
 
 
 def top_matches(pairs: DataFrame, frames: DataFrame, k: int) -> DataFrame:
