@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 CHUNK = 32768
 OVERLAP = 1024
 
@@ -85,6 +87,7 @@ class ByteBPE:
         Texts up to a chunk long are encoded in place. Longer ones, and only those, are dealt out by chunk, so that
         one very long document is shared by many tasks. Equal long rows are encoded once and repeated.
         """
+        bound_batches(docs.sparkSession)
         rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
         short = rows.where(F.length("t") <= self.chunk).select("k", self._encode_column(F.col("t")).alias("ids"))
         long = rows.where(F.length("t") > self.chunk).groupBy("k", "t").agg(F.count("*").alias("copies"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_fold, labelled_sample, labelled_texts, materialize
+from .common import bound_batches, in_fold, labelled_sample, labelled_texts, materialize
 
 SAMPLE = 20_000
 FEATURES = 384
@@ -83,6 +83,7 @@ class QualityModel:
 
     def score(self, spark, text: Column) -> Column:
         """Probability of label 1 for each text; null counts as empty."""
+        bound_batches(spark)
         shared = spark.sparkContext.broadcast(self)
 
         @F.arrow_udf("double")
@@ -118,6 +119,7 @@ def isotonic(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text") -> QualityModel:
     """Learn from at most `sample` labelled rows outside the held-out fold; without any, every text scores one half."""
+    bound_batches(docs.sparkSession)
     rows = labelled_texts(docs, labelled_sample(labels, "quality", DIVISOR, HELD_OUT, sample), text)
     stats = materialize(rows.select(_statistics("text").alias("x"), "y"), "quality-sample").repartition(SUMS)
     spark, k = stats.sparkSession, len(NAMES)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import bound_batches, materialize
 from .components import connected_components
 
 SHINGLE = 3
@@ -208,12 +208,18 @@ def near_edges(distinct: DataFrame, radius: int = RADIUS, most: int = NODE) -> D
     return keyed.join(plan, ["bits", "prefix"]).select("pair", "side", "f").groupBy("pair").applyInPandas(search, "a long, b long")
 
 
+def _marked(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """Written columns of docs, fingerprints among them."""
+    bound_batches(docs.sparkSession)
+    return materialize(docs.select(*columns), "fingerprints")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """(doc_id, f, component_id) of each row: documents whose fingerprints link, directly or over others, share a component.
 
     component_id is the smallest id of the component. A null id is never the smallest unless all are null.
     """
-    return components(materialize(docs.select(F.col(key).alias("doc_id"), fingerprints(F.col(text)).alias("f")), "fingerprints"), radius)
+    return components(_marked(docs, F.col(key).alias("doc_id"), fingerprints(F.col(text)).alias("f")), radius)
 
 
 def components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -239,7 +245,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     mark = "f"
     while mark in names:
         mark += "_"
-    marked = materialize(docs.withColumn(mark, fingerprints(F.col("text"))), "marked")
+    marked = _marked(docs, "*", fingerprints(F.col("text")).alias(mark))
     found = components(marked.select("doc_id", F.col(mark).alias("f")))
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("f").alias("f")).select(F.col("component_id").alias("c_id"), F.col("f").alias("c_f"))
     rows = marked.join(kept, marked["doc_id"].eqNullSafe(kept["c_id"]) & (marked[mark] == kept["c_f"]))

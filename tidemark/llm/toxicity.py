@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, labelled_sample, labelled_texts, materialize
+from .common import bound_batches, in_fold, labelled_sample, labelled_texts, materialize
 
 BITS = 18
 SIZES = (3, 4, 5)
@@ -49,6 +49,7 @@ class ToxicityModel:
 
     def score(self, spark, text: Column) -> Column:
         """Probability of the toxic class for each text; null counts as empty."""
+        bound_batches(spark)
         shared = spark.sparkContext.broadcast((self.weights, self.bias))
 
         @F.arrow_udf("double")
@@ -85,6 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
 
     Without rows of both classes every text scores the share of the toxic class there (0.5 without any).
     """
+    bound_batches(docs.sparkSession)
     texts = materialize(labelled_texts(docs, labelled_sample(labels, "toxic", DIVISOR, HELD_OUT, sample), text), "toxicity-sample")
     n0, n1, rows0, rows1 = _counts(texts)
     if not rows0 or not rows1:
