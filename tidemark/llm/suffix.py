@@ -258,9 +258,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, key: st
     if length - anchor + 1 >= SPAN:
         raise ValueError(f"a run must have fewer than {SPAN} strings")
     spark, rows = docs.sparkSession, _keyed(docs, key, text)
-    again = anchors(rows, length, anchor, False).groupBy("r").agg(F.count("*").alias("c")).where("c > 1").select(F.col("r").alias("again"))
+    # Written first, so that both sides of the join are plain shuffles, whose large partitions Spark can split.
+    again = materialize(anchors(rows, length, anchor, False).groupBy("r").agg(F.count("*").alias("c")).where("c > 1").select(F.col("r").alias("again")), "again")
+    release(spark)
     runs = materialize(anchors(rows, length, anchor, True).join(again, F.col("r") == F.col("again")).drop("again"), "runs")
-    del again
+    discard(again)
     release(spark)
     name = ["r", "w1", "w2"]
     classes = materialize(runs.groupBy(*name).agg(F.min(F.struct("d", "th", "at")).alias("f")), "classes")
@@ -268,12 +270,12 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, key: st
     whole = runs.join(firsts, (F.col("r") == F.col("f_r")) & (F.col("w1") == F.col("f_w1")) & (F.col("w2") == F.col("f_w2"))).where(F.struct("d", "th", "at") != F.col("f"))
     start, count = F.floor(F.col("at") / SPAN), F.col("at") % SPAN
     whole = materialize(whole.select("d", "th", start.alias("s"), (start + count - 1 + length).alias("e")), "whole")
-    several = classes.groupBy("r").agg(F.count("*").alias("c")).where("c > 1").select(F.col("r").alias("m_r"))
+    several = materialize(classes.groupBy("r").agg(F.count("*").alias("c")).where("c > 1").select(F.col("r").alias("m_r")), "several")
     wanted = classes.join(several, F.col("r") == F.col("m_r")).select("f.*").groupBy(F.col("d").alias("w_d"), F.col("th").alias("w_th")).agg(F.collect_list("at").alias("runs"), F.sum(count).alias("n"))
     wanted = materialize(wanted, "wanted")
-    del firsts, several
-    discard(runs)
-    discard(classes)
+    del firsts
+    for table in (runs, classes, several):
+        discard(table)
     release(spark)
     buckets = max(LEAST_BUCKETS, -(-(wanted.agg(F.sum("n")).first()[0] or 0) // BUCKET))
     packed = strings(rows.join(wanted, (F.col("d") == F.col("w_d")) & (F.col("th") == F.col("w_th"))).select("d", "th", "t", "runs"), length, buckets)
