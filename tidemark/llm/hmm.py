@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, materialize
+from .common import bound_batches, in_fold, materialize
 
 DIVISOR, HELD_OUT = 7, 2
 STATES = 6
@@ -33,7 +33,7 @@ ENDING = 3
 SEED = 10
 #: Bytes of text in a chunk, and padded tokens that the recursions hold at once.
 CHUNK = 16 << 20
-PADDED = 1 << 19
+PADDED = 1 << 18
 
 CHUNK_SCHEMA = "chunk string, words array<string>, cls array<int>, cnt array<int>, doc_ids array<long>, held array<boolean>, lens array<int>, seq binary"
 
@@ -46,18 +46,29 @@ class _Places(dict):
         return n
 
 
+def _slices(lens: np.ndarray) -> Iterator[slice]:
+    """Consecutive documents in slices of about PADDED tokens."""
+    ends, at = np.cumsum(lens), 0
+    while at < len(lens):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PADDED, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
 def _chunk(docs: list, places: _Places) -> pa.RecordBatch:
     words = list(places)
     lens = np.array([len(s) for _, _, s in docs], dtype=np.int64)
-    seq = np.concatenate([s for _, _, s in docs])
-    trained = np.repeat([not h for _, h, _ in docs], lens)
-    cls = [zlib.crc32(w[-ENDING:]) % CLASSES for w in words]
-    row = {
-        "chunk": [uuid.uuid4().hex], "words": [[w.decode("utf-8", "replace") for w in words]], "cls": [cls], "cnt": [np.bincount(seq[trained], minlength=len(words)).tolist()],
-        "doc_ids": [[d for d, _, _ in docs]], "held": [[h for _, h, _ in docs]], "lens": [lens.tolist()], "seq": [seq.astype("<u4").tobytes()],
-    }
-    kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
+    count = np.zeros(len(words), dtype=np.int64)
+    for part in _slices(lens):
+        trained = [s for _, h, s in docs[part] if not h]
+        if trained:
+            count += np.bincount(np.concatenate(trained), minlength=len(words))
+    columns = [
+        pa.array([uuid.uuid4().hex]), pa.array([[w.decode("utf-8", "replace") for w in words]], pa.list_(pa.string())), pa.array([[zlib.crc32(w[-ENDING:]) % CLASSES for w in words]], pa.list_(pa.int32())),
+        pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(count.astype(np.int32))), pa.array([[d for d, _, _ in docs]], pa.list_(pa.int64())), pa.array([[h for _, h, _ in docs]], pa.list_(pa.bool_())),
+        pa.array([lens.tolist()], pa.list_(pa.int32())), pa.array([b"".join(s.tobytes() for _, _, s in docs)], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["chunk", "words", "cls", "cnt", "doc_ids", "held", "lens", "seq"])
 
 
 def tokenise(docs: DataFrame, text: str = "text", key: str = "doc_id", divisor: int = DIVISOR, held_out: int = HELD_OUT) -> DataFrame:
@@ -68,7 +79,8 @@ def tokenise(docs: DataFrame, text: str = "text", key: str = "doc_id", divisor:
         for b in batches:
             for d, h, t in zip(b.column("doc_id").to_pylist(), b.column("held").to_pylist(), b.column("t"), strict=True):
                 raw = (t.as_py() or "").encode("utf-8", "replace")
-                docs.append((d, h, np.array(list(map(places.__getitem__, raw.lower().split())), dtype=np.int64)))
+                words = raw.lower().split()
+                docs.append((d, h, np.fromiter(map(places.__getitem__, words), dtype="<u4", count=len(words))))
                 size += len(raw)
                 if size >= CHUNK:
                     yield _chunk(docs, places)
@@ -76,6 +88,7 @@ def tokenise(docs: DataFrame, text: str = "text", key: str = "doc_id", divisor:
         if docs:
             yield _chunk(docs, places)
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), in_fold(F.col(key), divisor, held_out).alias("held"), F.col(text).alias("t"))
     return rows.mapInArrow(chunks, CHUNK_SCHEMA)
 
@@ -99,37 +112,46 @@ def _padded(cls: np.ndarray, starts: np.ndarray, lens: np.ndarray, end: int) ->
 
 
 def forward(model: tuple, obs: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward probabilities (time, documents, states) and the scale factors (1 where a document is over)."""
+    """Scaled forward probabilities (time, states, documents) and the scale factors (1 where a document is over)."""
     start, move, emit = model
-    alpha, scale = np.zeros((*obs.shape, len(start))), np.ones(obs.shape)
+    back, of = np.ascontiguousarray(move.T), np.ascontiguousarray(emit.T)
+    alpha, scale = np.zeros((len(obs), len(start), obs.shape[1])), np.ones(obs.shape)
     for t in range(len(obs)):
         n = live[t]
-        a = (start if t == 0 else alpha[t - 1, :n] @ move) * emit[obs[t, :n]]
-        s = a.sum(axis=1)
-        alpha[t, :n], scale[t, :n] = a / s[:, None], s
+        a = of[:, obs[t, :n]]
+        a *= start[:, None] if t == 0 else back @ alpha[t - 1, :, :n]
+        s = a.sum(axis=0)
+        np.divide(a, s, out=alpha[t, :, :n])
+        scale[t, :n] = s
     return alpha, scale
 
 
 def expected_counts(model: tuple, cls: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Baum-Welch counts of documents laid end to end: starts, moves and emissions in one flat array."""
     start, move, emit = model
-    k, c = len(start), len(emit)
+    k, c, of = len(start), len(emit), np.ascontiguousarray(emit.T)
     total_start, total_move, total_emit = np.zeros(k), np.zeros((k, k)), np.zeros((c, k))
     begin = np.cumsum(lens) - lens
     for at in _batches(lens):
         obs, live = _padded(cls, begin[at], lens[at], c - 1)
         alpha, scale = forward(model, obs, live)
-        beta, ahead = np.ones_like(alpha), np.zeros_like(alpha)
+        beta = np.ones(alpha.shape[1:])
+        moved = np.zeros((k, k))
         for t in range(len(obs) - 2, -1, -1):
             n = live[t + 1]
-            ahead[t + 1, :n] = emit[obs[t + 1, :n]] * beta[t + 1, :n] / scale[t + 1, :n, None]
-            beta[t, :n] = ahead[t + 1, :n] @ move.T
-        gamma = alpha * beta
-        total_start += gamma[0].sum(axis=0)
-        total_move += move * (alpha[:-1].reshape(-1, k).T @ ahead[1:].reshape(-1, k))
-        flat, weight = obs.ravel(), gamma.reshape(-1, k)
+            ahead = of[:, obs[t + 1, :n]]
+            ahead *= beta[:, :n]
+            ahead /= scale[t + 1, :n]
+            moved += alpha[t, :, :n] @ ahead.T
+            # From here on alpha of t + 1 holds the state probabilities.
+            alpha[t + 1, :, :n] *= beta[:, :n]
+            np.matmul(move, ahead, out=beta[:, :n])
+        alpha[0] *= beta
+        total_start += alpha[0].sum(axis=1)
+        total_move += move * moved
+        flat = obs.ravel()
         for i in range(k):
-            total_emit[:, i] += np.bincount(flat, weight[:, i], minlength=c)
+            total_emit[:, i] += np.bincount(flat, alpha[:, i].ravel(), minlength=c)
     return np.concatenate([total_start, total_move.ravel(), total_emit.ravel()])
 
 
@@ -208,12 +230,18 @@ def language_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", st
                 counts = counts.values.to_numpy().astype(np.int64) if counts.is_valid else np.zeros(0, dtype=np.int64)
                 seq = np.frombuffer(b.column("seq")[row].as_py(), dtype="<u4")
                 n, begin = len(lens), np.cumsum(lens) - lens
-                doc = np.repeat(np.arange(n), lens)
-                c = counts[seq] if len(seq) else np.zeros(0, dtype=np.int64)
-                log_c = np.log10(c + 1.0)
-                base = np.bincount(doc, log_c - base_all, minlength=n) + (np.log10(end_count + 1.0) - base_all)
-                known = np.bincount(doc, c > 0, minlength=n).astype(np.int64) + (end_count > 0)
-                total = np.bincount(doc, log_c - of_class[cls], minlength=n)
+                # By word of the chunk first, then gathered for some documents at a time.
+                log_c = np.log10(counts + 1.0)
+                of_word = log_c - of_class[b.column("cls")[row].values.to_numpy()]
+                base, total, known = np.zeros(n), np.zeros(n), np.zeros(n, dtype=np.int64)
+                for part in _slices(lens):
+                    k = part.stop - part.start
+                    doc, at = np.repeat(np.arange(k), lens[part]), seq[begin[part.start] : begin[part.stop - 1] + lens[part.stop - 1]]
+                    base[part] = np.bincount(doc, log_c[at] - base_all, minlength=k)
+                    total[part] = np.bincount(doc, of_word[at], minlength=k)
+                    known[part] = np.bincount(doc, counts[at] > 0, minlength=k)
+                base += np.log10(end_count + 1.0) - base_all
+                known += end_count > 0
                 for at in _batches(lens):
                     obs, live = _padded(cls, begin[at], lens[at], CLASSES)
                     total[at] += np.log10(forward(hmm, obs, live)[1]).sum(axis=0)
