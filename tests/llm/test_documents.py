@@ -130,6 +130,17 @@ def test_pii(spark, odd, documents, pii_model):
     assert multiset(r[:-1] for r in got) == multiset(want)
 
 
+def test_pii_zero_parts_of_addresses(spark, pii_model):
+    rows = list(enumerate(["at 10.0.0.1 and 192.168.0.1, 0.0.0.0", "1.00.2.000 000.0255.0.00 0.0.0", "0.0.0.256 10.0.0.0256 0.0.0.300", "0" * 3000 + ".0.0.0 " + "0" * 3000 + ".0.0.999", "255.255.255.255 8.8.8.8"]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = []
+    for i, t in rows:
+        b = brute_spans(t)
+        want.append((i, *(sum(k == n for _, k, _ in b) for n in range(4)), sha(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in b).encode())))
+    assert multiset(r[:-1] for r in pii.pii_digests(df, pii_model).collect()) == multiset(want)
+    assert {r.doc_id: r.text for r in pii.redact(df, pii_model).collect()}[0] == "at [IP] and [IP], [IP]"
+
+
 def test_pii_model_adds_and_redacts(spark, odd, pii_model):
     df = spark.createDataFrame([(1, "mail me: bob.x (at) mailer dot com. call 555-123-4567 today; isbn 978-123-4567, 2024/05/17"), (2, None), (3, "a@b.com and 4111.1111.1111.1111")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.redact(df, pii_model).collect()}

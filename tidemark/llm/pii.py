@@ -39,7 +39,7 @@ NEEDS = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11}",
     "phone": r"\+[0-9]",
 }
-_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 # The loose generators: what people write beside the strict forms.
 LOOSE = {
     "email": r"(?i)(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]{1,64}+\x20?[\[({]\x20?(?:at|@)\x20?[\])}]\x20?[A-Za-z0-9-]++(?:(?:\x20?[\[({]?\x20?dot\x20?[\])}]?\x20?|\.)[A-Za-z0-9-]{2,63}+){1,4}",
