@@ -279,6 +279,15 @@ def test_simhash_index_splits_and_finds_every_link(spark):
     assert groups(every, find) == groups(every, lambda x: want[x])
 
 
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    texts_ = [f"{w} alone speaks of {w}s and {w}ness in its own {w} words" for w in ("river", "granite", "violin", "harbour", "meadow", "lantern")]
+    rows = [(None, t) for t in texts_[:3]] + [(None, texts_[0])] + [(7, t) for t in texts_[3:5]] + [(9, texts_[5]), (None, texts_[5]), (8, texts_[5])]
+    prints = {brute_fingerprint(t) for _, t in rows}
+    assert len(set(brute_components(prints).values())) == len(texts_)
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert multiset(got) == multiset([(None, t) for t in texts_[:3]] + [(7, t) for t in texts_[3:5]] + [(8, texts_[5])])
+
+
 def test_simhash_empty(none):
     assert simhash.simhash_components(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
 

@@ -219,19 +219,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
 
     component_id is the smallest id of the component. A null id is never the smallest unless all are null.
     """
-    return components(_marked(docs, F.col(key).alias("doc_id"), fingerprints(F.col(text)).alias("f")), radius)
+    return components(_marked(docs, F.col(key).alias("doc_id"), fingerprints(F.col(text)).alias("f")), radius).select("doc_id", "f", "component_id")
 
 
 def components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, f, component_id) of rows (doc_id, f)."""
+    """(doc_id, f, root, component_id) of rows (doc_id, f). The root, a fingerprint, is the component's key; component_id is not, as ids may repeat or be null."""
     first = materialize(rows.groupBy("f").agg(F.min("doc_id").alias("low")), "distinct")
     roots = connected_components(near_edges(first.select("f"), radius))
     linked = first.join(roots, first["f"] == roots["node"]).select("f", "root", "low")
     lows = linked.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_linked = linked.join(lows, "root").select(F.col("f").alias("lf"), "component_id")
-    of_all = first.join(of_linked, F.col("f") == F.col("lf"), "left").select(F.col("f").alias("ff"), F.coalesce("component_id", "low").alias("component_id"))
+    of_linked = linked.join(lows, "root").select(F.col("f").alias("lf"), "root", "component_id")
+    of_all = first.join(of_linked, F.col("f") == F.col("lf"), "left").select(F.col("f").alias("ff"), F.coalesce("root", "f").alias("root"), F.coalesce("component_id", "low").alias("component_id"))
     of_all = materialize(of_all, "components")
-    return rows.join(of_all, F.col("f") == F.col("ff")).select("doc_id", "f", "component_id")
+    return rows.join(of_all, F.col("f") == F.col("ff")).select("doc_id", "f", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -247,6 +247,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
         mark += "_"
     marked = _marked(docs, "*", fingerprints(F.col("text")).alias(mark))
     found = components(marked.select("doc_id", F.col(mark).alias("f")))
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("f").alias("f")).select(F.col("component_id").alias("c_id"), F.col("f").alias("c_f"))
+    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("c_id"), F.min("f").alias("c_f"))
     rows = marked.join(kept, marked["doc_id"].eqNullSafe(kept["c_id"]) & (marked[mark] == kept["c_f"]))
     return rows.dropDuplicates(["doc_id", mark]).select(*names)
