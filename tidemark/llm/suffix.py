@@ -1,7 +1,7 @@
 """Exact removal of repeated byte strings by suffix ranks (operator 1).
 
-Method: distributed prefix doubling. A rank names the bytes that follow a position; rounds compare ranks of growing lengths,
-drop the positions whose rank is unique and go on with the rest until the threshold length. Two things make this fit a
+Method: anchor hashing, in place of the dealt prefix doubling; no round sorts pairs of ranks. A rank names the bytes that follow
+a position; three rounds group by ranks of fixed lengths, drop what is unique and go on with the rest to the threshold length. Two things make this fit a
 cluster's disks:
 
 * Ranks are names made from content (two independent 64-bit polynomial names), not places in a global order. Equality is
