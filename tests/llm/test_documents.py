@@ -337,52 +337,95 @@ def test_reject_toxic_keeps_columns(odd, labels):
 # --- language model
 
 
-def test_forward_is_exact_and_counts_sum():
+def path_sums(model, obs):
+    """Probability of the observations and the expected counts, over all state paths one by one."""
+    start, move, emit = model
+    k, total = len(start), 0.0
+    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros(emit.shape)
+    for path in np.ndindex(*[k] * len(obs)):
+        p = start[path[0]] * emit[obs[0], path[0]]
+        for t in range(1, len(obs)):
+            p *= move[path[t - 1], path[t]] * emit[obs[t], path[t]]
+        total += p
+        starts[path[0]] += p
+        for t in range(1, len(obs)):
+            moves[path[t - 1], path[t]] += p
+        for t, o in enumerate(obs):
+            emits[o, path[t]] += p
+    return total, np.concatenate([starts, moves.ravel(), emits.ravel()]) / total
+
+
+def test_recursions_equal_sums_over_paths():
     rng = np.random.default_rng(1)
     model = hmm._normalised(rng.random(2 + 4 + 2 * 4), 2)
-    seqs = [np.array([0, 1, 2, 1]), np.array([], dtype=int), np.array([2])]
+    seqs = [np.array([0, 1, 2, 1]), np.array([], dtype=int), np.array([2]), np.array([1, 1, 0, 2, 2, 0, 1])]
     lens = np.array([len(s) for s in seqs])
-    cls = np.concatenate(seqs)
-    begin, got = np.cumsum(lens) - lens, np.zeros(3)
-    for at in hmm._batches(lens):
-        obs, live = hmm._padded(cls, begin[at], lens[at], 3)
-        got[at] = np.log(hmm.forward(model, obs, live)[1]).sum(axis=0)
-    for s, x in zip(seqs, got, strict=True):
-        full = [*s, 3]
-        total = 0.0
-        for path in np.ndindex(*[2] * len(full)):
-            p = model[0][path[0]]
-            for t, k in enumerate(path):
-                p *= (model[1][path[t - 1], k] if t else 1) * model[2][full[t], k]
-            total += p
-        assert math.isclose(x, math.log(total), rel_tol=1e-12)
-    counts = hmm.expected_counts(model, cls, lens)
-    assert np.allclose([counts[:2].sum(), counts[2:6].sum(), counts[6:].sum()], [3, 8 - 3, 8])
+    cls = np.concatenate(seqs).astype(np.int16)
+    each = [path_sums(model, [*s, 3]) for s in seqs]
+    assert np.allclose(hmm.log_likelihood(model, cls, lens), [math.log10(p) for p, _ in each], rtol=1e-12)
+    want = sum(c for _, c in each)
+    for held, piece, uncut in ((1 << 20, 1 << 10, 1 << 12), (3, 1 << 10, 1 << 12), (1 << 20, 2, 0), (4, 3, 4), (1, 1, 1)):
+        assert np.allclose(hmm.expected_counts(model, cls, lens, held, piece, uncut), want, rtol=1e-5), (held, piece, uncut)
+
+
+def test_a_text_of_a_million_words_is_counted_in_pieces():
+    rng = np.random.default_rng(2)
+    model = hmm._normalised(rng.random(6 + 36 + 6 * 1025), 6)
+    cls, lens = rng.integers(0, 1024, 1_000_000).astype(np.int16), np.array([1_000_000])
+    assert max(b - a for a, b in hmm.Packed(cls[:5000], np.array([2000, 3000])).segments(10)) <= 10
+    got = hmm.expected_counts(model, cls, lens, held=1 << 16)
+    assert np.allclose([got[:6].sum(), got[6:42].sum(), got[42:].sum()], [1, 1_000_000, 1_000_001], rtol=1e-4)
+    assert np.isfinite(hmm.log_likelihood(model, cls, lens)).all()
+
+
+def hmm_state(df):
+    """What the operator learns from: class frequencies and kinds, word counts; by plain Python."""
+    c = collections.Counter()
+    for i, t in texts(df):
+        if fold(i, 7) != 2:
+            c.update([*t.encode().lower().split(), b"\n"])
+    cls = lambda w: hmm.CLASSES if w == b"\n" else zlib.crc32(w[-hmm.ENDING :]) % hmm.CLASSES
+    freq, kinds = np.zeros(hmm.CLASSES + 1), np.zeros(hmm.CLASSES + 1)
+    for w, n in c.items():
+        freq[cls(w)] += n
+        kinds[cls(w)] += w != b"\n"
+    return c, cls, freq, kinds
+
+
+def plain_forward(model, obs):
+    a, total = model[0], 0.0
+    for t, o in enumerate(obs):
+        a = (a if t == 0 else a @ model[1]) * model[2][o]
+        total += math.log10(a.sum())
+        a = a / a.sum()
+    return total
 
 
 def test_baum_welch_raises_likelihood(documents):
     chunks = hmm.tokenise(documents).cache()
-    rows = chunks.collect()
-    freq = np.zeros(hmm.CLASSES + 1)
-    for r in rows:
-        np.add.at(freq, np.array(r.cls), np.array(r.cnt))
-        freq[-1] += sum(not h for h in r.held)
-
-    def likelihood(model):
-        total = 0.0
-        for r in rows:
-            cls, lens = np.array(r.cls)[np.frombuffer(r.seq, dtype="<u4")], np.array(r.lens)
-            keep = ~np.array(r.held)
-            cls, lens = cls[np.repeat(keep, lens)], lens[keep]
-            for at in hmm._batches(lens):
-                obs, live = hmm._padded(cls, (np.cumsum(lens) - lens)[at], lens[at], hmm.CLASSES)
-                total += np.log(hmm.forward(model, obs, live)[1]).sum()
-        return total
-
-    values = [likelihood(hmm.train(chunks, freq, rounds=k)) for k in (0, 1, 3)]
+    c, cls, freq, _ = hmm_state(documents)
+    seqs = [[cls(w) for w in [*t.encode().lower().split(), b"\n"]] for i, t in texts(documents) if fold(i, 7) != 2]
+    values = [sum(plain_forward(hmm.train(chunks, freq, rounds=k), s) for s in seqs[:60]) for k in (0, 1, 3)]
     assert values[0] < values[1] < values[2]
 
 
+@pytest.mark.parametrize("which", ["documents", "odd"])
+def test_language_model_score_end_to_end(request, which):
+    """The score of every text again, from the model: forward recursion in plain Python, and the words within classes."""
+    df = request.getfixturevalue(which)
+    c, cls, freq, kinds = hmm_state(df)
+    model = hmm.train(hmm.tokenise(df), freq)
+    norm = np.log10(freq + kinds + 1)
+    want = []
+    for i, t in texts(df):
+        w = t.encode().lower().split()
+        within = sum(math.log10(c[x] + 1) - norm[cls(x)] for x in w)
+        want.append((str(i), within + plain_forward(model, [*map(cls, w), hmm.CLASSES])))
+    got = sorted((str(r.doc_id), r.score) for r in hmm.language_scores(df).collect())
+    for (i, x), (j, y) in zip(got, sorted(want), strict=True):
+        assert i == j and math.isclose(x, y, rel_tol=1e-6), (i, x, y)
+
+
 @pytest.mark.parametrize("which", ["documents", "odd"])
 def test_language_scores(request, which):
     df = request.getfixturevalue(which)

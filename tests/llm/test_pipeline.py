@@ -28,3 +28,32 @@ def test_stages_take_effect_and_keep_columns(spark, sf, documents):
     assert sorted(map(tuple, last)) == sorted(map(tuple, bpe.token_digests(bpe.public_bpe(spark), docs).collect()))
     assert len(last) == docs.count() and seen == ["toxicity", "near_duplicates", "pii", "mixing"]
     assert sorted(map(tuple, cp.run(spark, sf).collect())) == sorted(map(tuple, last))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    """No machine-local folder on a cluster; a local session gets a temporary one and keeps its settings."""
+    import types
+
+    import pytest
+
+    from tidemark.llm import common
+
+    conf = types.SimpleNamespace(get=lambda key, default=None: default)
+    at = lambda master: types.SimpleNamespace(conf=conf, sparkContext=types.SimpleNamespace(master=master))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(at(master))
+    assert common.shared_dir(at("local[4]")) == common.shared_dir(at("local"))
+
+
+def test_materialize_keeps_settings_and_discard_empties(spark):
+    from tidemark.llm.common import discard, setting
+
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    df = materialize(spark.range(10), "test-settings")
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before and df.count() == 10
+    with setting(spark, "spark.tidemark.test", "1"):
+        assert spark.conf.get("spark.tidemark.test") == "1"
+    assert spark.conf.get("spark.tidemark.test", None) is None
+    discard(df)
+    assert spark.read.parquet(df.written_to).count() == 0

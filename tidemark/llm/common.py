@@ -9,66 +9,87 @@ Conventions that hold for every operator here unless its docstring says otherwis
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The characters that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]++"
-#: Rows in a batch of texts.
-BATCH = 1000
+#: Bytes of texts that Spark hands to Python at once.
+BATCH = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none (tests)."""
+    """The folder that all executors share, named by spark.checkpoint.dir.
+
+    Where none is named, a local session (one machine, as in tests) gets a temporary one; on a cluster that is an error, as
+    each executor would write to a disk of its own.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="tidemark-"))
+        at = _own[0]
     return at.rstrip("/")
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session for the length of a block; what was there before comes back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The shuffles of the writing query are removed with its end, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Empty the tables that materialize wrote and that nothing reads any more."""
+    for df in tables:
+        df.sparkSession.createDataFrame([], "gone int").write.mode("overwrite").parquet(df.written_to)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of what has been written: it does so when its own garbage is collected.
+def bound_batches(spark: SparkSession) -> None:
+    """Hand texts to Python at most BATCH bytes at a time, as each batch is held on both sides; a lower setting stays.
 
-    Twice, as listeners hold the last query for a moment.
+    Queries are planned when they run, so this holds for the session.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Hand texts to Python at most BATCH rows at a time: they can be long, and each batch is held on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH:
-        spark.conf.set(key, str(BATCH))
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(-?\d+)\s*([kmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
 
 
 def remainder(doc_id: Column, divisor: int) -> Column:

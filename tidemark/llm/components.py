@@ -5,30 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the edges (a, b), both long: root is the smallest node that it reaches.
 
-    Each round is two aggregations and is written to the shared folder; the rounds grow with the logarithm of the
+    Each round is two aggregations and is written to the shared folder; rounds go on until nothing changes, and grow with the logarithm of the
     longest chain. Stars are reduced by min() before anything else, so a node with many neighbours is no bottleneck:
     neighbours are joined to the minimum of their node, never gathered in a list.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(least, "a")
         small = star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        now = materialize(small, "edges")
+        done, now = now, materialize(small, "edges")
+        discard(done)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError(f"the components did not settle in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, materialize, release
+from .common import bound_batches, discard, materialize
 
 LENGTH = 100
 ANCHOR = 32
@@ -257,13 +257,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, key: st
     """(d, th, spans): for each document with repeated strings, (s, e) byte ranges that they cover, in no order."""
     if length - anchor + 1 >= SPAN:
         raise ValueError(f"a run must have fewer than {SPAN} strings")
-    spark, rows = docs.sparkSession, _keyed(docs, key, text)
+    rows = _keyed(docs, key, text)
     # Written first, so that both sides of the join are plain shuffles, whose large partitions Spark can split.
     again = materialize(anchors(rows, length, anchor, False).groupBy("r").agg(F.count("*").alias("c")).where("c > 1").select(F.col("r").alias("again")), "again")
-    release(spark)
     runs = materialize(anchors(rows, length, anchor, True).join(again, F.col("r") == F.col("again")).drop("again"), "runs")
     discard(again)
-    release(spark)
     name = ["r", "w1", "w2"]
     classes = materialize(runs.groupBy(*name).agg(F.min(F.struct("d", "th", "at")).alias("f")), "classes")
     firsts = classes.select(*(F.col(c).alias(f"f_{c}") for c in name), "f")
@@ -273,16 +271,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, key: st
     several = materialize(classes.groupBy("r").agg(F.count("*").alias("c")).where("c > 1").select(F.col("r").alias("m_r")), "several")
     wanted = classes.join(several, F.col("r") == F.col("m_r")).select("f.*").groupBy(F.col("d").alias("w_d"), F.col("th").alias("w_th")).agg(F.collect_list("at").alias("runs"), F.sum(count).alias("n"))
     wanted = materialize(wanted, "wanted")
-    del firsts
-    for table in (runs, classes, several):
-        discard(table)
-    release(spark)
+    discard(runs, classes, several)
     buckets = max(LEAST_BUCKETS, -(-(wanted.agg(F.sum("n")).first()[0] or 0) // BUCKET))
     packed = strings(rows.join(wanted, (F.col("d") == F.col("w_d")) & (F.col("th") == F.col("w_th"))).select("d", "th", "t", "runs"), length, buckets)
     single = materialize(repeated_strings(packed, length), "single")
-    del packed
     discard(wanted)
-    release(spark)
     return whole.unionByName(single).groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
 
 
