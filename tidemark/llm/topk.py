@@ -5,7 +5,12 @@ the cells alone bounds every score from both sides. A first reading fetches the
 kth score decides which others can still matter, and a second reading fetches just those, so the result is certain.
 
 Distribution: the approximations (a byte a component) are dealt to shards of a fixed size; each block of queries visits
-each shard, and a shard passes on only what its own kth lower bound leaves open. Exact vectors move only for candidates.
+each shard, and a shard passes on only what its own kth lower bound leaves open. Shards and blocks are as large as a task
+holds, as what moves is the cells once for each block and the queries once for each shard. Exact vectors move only for candidates.
+
+Defined cases: rows that valid_rows leaves out take no part; equal quantised vectors are searched once and stand for their rows;
+components saturate at plus or minus 2^63 - 1, scores are exact and saturate there too (equal ones tie); ties go to smaller
+ids, null ids last; fewer candidates give fewer rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -15,24 +20,28 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .vectors import BLOCK, across, matrix, number, shards_of, valid_vectors
+from .common import discard, materialize
+from .vectors import across, best_groups, folded, matrix, number, query_vectors, ranked_rows, valid_rows
 
 EVERY = 100
 K = 10
 SCALE = 1024
 CELLS = 256
-TILE = 256
-#: Sums up to this are exact in double precision; larger ones are bounded in Python's integers.
+#: Rows of a shard, shards at least (so that several tasks share a small table), queries of a block.
+SHARD, LEAST, BLOCK = 65536, 8, 16384
+#: Bounds (queries by rows) held at once.
+TILE = 1 << 22
+#: Sums up to this are exact in double precision; bounds of larger ones are widened.
 EXACT = 1 << 52
+LARGEST = (1 << 63) - 1
 
 
-def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v array<long>): floor(scale * x) of each component."""
-    return vectors.select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
+def quantised(rows: DataFrame, scale: int = SCALE) -> DataFrame:
+    """(vec_id, v array<long>): floor(scale * x) of each component, in double precision."""
+    return rows.select("vec_id", F.transform("v", lambda x: F.greatest(F.floor(x.cast("double") * F.lit(float(scale))), F.lit(-LARGEST))).alias("v"))
 
 
 def ranges(vectors: DataFrame) -> DataFrame:
@@ -54,86 +63,104 @@ def ranges(vectors: DataFrame) -> DataFrame:
     return places.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("r")).select("dim", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
 
 
-def bounds(codes: np.ndarray, lo: np.ndarray, step: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(queries, rows): least and greatest possible score of each row, from its cells alone."""
-    low = lo + codes.astype(np.int64) * step
-    high = low + step - 1
-    kind = np.float64 if int(np.abs(q).max(initial=0)) * int(max(np.abs(low).max(initial=0), np.abs(high).max(initial=0))) * max(1, q.shape[1]) < EXACT else object
-    low, high, up, down = low.astype(kind), high.astype(kind), np.maximum(q, 0).astype(kind), np.minimum(q, 0).astype(kind)
-    return up @ low.T + down @ high.T, up @ high.T + down @ low.T
+class Grid:
+    """The cells of each dimension: its least and greatest component and a cell's width. Differences are unsigned, so any long fits."""
 
+    def __init__(self, lo: list[int], hi: list[int]):
+        self.lo, self.hi = np.array(lo, dtype=np.int64), np.array(hi, dtype=np.int64)
+        self.step = np.array([max(1, -(-(h - b + 1) // CELLS)) for b, h in zip(lo, hi, strict=True)], dtype=np.uint64)
 
-def _inner(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x)
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        return ((x.view(np.uint64) - self.lo.view(np.uint64)) // self.step).astype(np.uint8)
 
+    def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest component of each cell, as doubles, and never inside it."""
+        low = self.lo.view(np.uint64) + codes.astype(np.uint64) * self.step
+        high = low + np.minimum(self.step - np.uint64(1), self.hi.view(np.uint64) - low)
+        return low.view(np.int64).astype(np.float64), high.view(np.int64).astype(np.float64)
+
+
+def bounds(low: np.ndarray, high: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(queries, rows): least and greatest possible score of each row, from the edges of its cells alone."""
+    q = q.astype(np.float64)
+    up, down = np.maximum(q, 0), np.minimum(q, 0)
+    least, most = up @ low.T + down @ high.T, up @ high.T + down @ low.T
+    size = np.abs(q).sum(axis=1) * max(np.abs(low).max(initial=0), np.abs(high).max(initial=0))
+    slack = np.where(size < EXACT, 0, size * 1e-12)[:, None]
+    return least - slack, most + slack
 
-def top_k(df: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k highest integer inner products of each row whose id `every` divides.
 
-    Candidates are all other rows that valid_vectors keeps; ties go to smaller ids; fewer candidates give fewer rows.
-    """
+def inner(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Inner products of lists of longs, row by row: exact, then cut to the range of a long."""
+    sizes = np.diff(a.offsets.to_numpy())
+    x, y = a.flatten().to_numpy(), b.flatten().to_numpy()
+    if not len(x):
+        return pa.array(np.zeros(len(a), dtype=np.int64))
+    starts = np.cumsum(sizes) - sizes
+    safe = np.add.reduceat(np.abs(x.astype(np.float64) * y.astype(np.float64)), starts) < 1 << 62
+    out = np.add.reduceat(x * y, starts)
+    for i in np.flatnonzero(~safe):
+        at = slice(starts[i], starts[i] + sizes[i])
+        out[i] = max(-LARGEST, min(LARGEST, sum(s * t for s, t in zip(x[at].tolist(), y[at].tolist(), strict=True))))
+    return pa.array(out)
+
+
+def top_k(df: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k highest integer inner products of each row whose id `every` divides, among all other rows."""
     spark = df.sparkSession
-    exact = materialize(quantised(valid_vectors(df, key, vector), scale).withColumn("dim", F.size("v")), "exact")
-    counted = exact.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
-    shards, blocks = shards_of(counted["n"]), max(1, -(-counted["q"] // BLOCK))
-    grid = {r["dim"]: (np.array(r["lo"]), np.array([max(1, -(-(h - b + 1) // CELLS)) for b, h in zip(r["lo"], r["hi"], strict=True)])) for r in ranges(exact).collect()}
-    grid = spark.sparkContext.broadcast(grid)  # two numbers a dimension
+    rows = materialize(quantised(valid_rows(df, key, vector), scale), "quantised")
+    groups, (asked, queries) = folded(rows, k + 1), query_vectors(rows, every)
+    counted = {"n": groups.count(), "q": queries.count()}
+    shards, blocks = max(LEAST, -(-counted["n"] // SHARD)), max(1, -(-counted["q"] // BLOCK))
+    grids = spark.sparkContext.broadcast({r["dim"]: Grid(r["lo"], r["hi"]) for r in ranges(rows).collect()})  # a few numbers a dimension
+    discard(rows)
 
     @F.arrow_udf("binary")
     def cells(vs: pa.Array) -> pa.Array:
-        out = []
-        for v in vs:
-            x = v.values.to_numpy()
-            lo, step = grid.value[len(x)]
-            out.append(((x - lo) // step).astype(np.uint8).tobytes())
-        return pa.array(out, pa.binary())
-
-    queries = exact.where(F.col("vec_id") % every == 0)
-    approx = exact.select("vec_id", "dim", number(F.col("vec_id"), shards).alias("shard"), cells("v").alias("codes"))
+        return pa.array([grids.value[len(v)].codes(v.values.to_numpy()).tobytes() for v in vs], pa.binary())
 
     def scan(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = {"query_id": [], "vec_id": [], "low": [], "high": []}
+        out = {"q": [], "g": [], "low": [], "high": []}
         if len(left) and len(right):
-            ids, lo, step = left["vec_id"].to_numpy(), *grid.value[keys[0]]
-            codes = np.frombuffer(b"".join(left["codes"]), dtype=np.uint8).reshape(len(ids), -1)
-            q, query_ids = matrix(right["v"]), right["vec_id"].to_numpy()
-            for a in range(0, len(q), TILE):
-                for i, low, high in zip(query_ids[a : a + TILE], *bounds(codes, lo, step, q[a : a + TILE]), strict=True):
-                    at = np.flatnonzero(ids != i)
-                    if len(at) > k:
-                        at = at[high[at] >= np.sort(low[at])[-k]]
-                    out["query_id"].append(np.full(len(at), i))
-                    out["vec_id"].append(ids[at])
-                    out["low"].append(low[at])
-                    out["high"].append(high[at])
-        return pd.DataFrame({name: np.concatenate(x).astype(np.int64) if x else np.zeros(0, dtype=np.int64) for name, x in out.items()})
+            g, low_id = left["g"].to_numpy(), left["low"].to_numpy()
+            low, high = grids.value[keys[0]].edges(np.frombuffer(b"".join(left["codes"]), dtype=np.uint8).reshape(len(g), -1))
+            q, names = matrix(right["v"]), right["q"].to_numpy()
+            tile = max(1, TILE // len(g))
+            for a in range(0, len(q), tile):
+                for name, least, most in zip(names[a : a + tile], *bounds(low, high, q[a : a + tile]), strict=True):
+                    at = np.arange(len(g)) if len(g) <= k + 1 else np.flatnonzero(most >= np.partition(least, len(g) - k - 1)[len(g) - k - 1])
+                    for column, x in zip(out, (np.full(len(at), name), g[at], low_id[at], most[at]), strict=True):
+                        out[column].append(x)
+        return pd.DataFrame({c: np.concatenate(x) if x else [] for c, x in out.items()})
 
     at = ["dim", "shard", "block"]
-    sides = across(approx, blocks, "block").groupBy(*at).cogroup(across(queries.withColumn("block", number(F.col("vec_id"), blocks)), shards, "shard").groupBy(*at))
-    order = Window.partitionBy("query_id")
-    found = sides.applyInPandas(scan, "query_id long, vec_id long, low long, high long")
-    found = found.withColumn("place", F.row_number().over(order.orderBy(F.desc("low"), "vec_id"))).withColumn("least", F.min(F.when(F.col("place") <= k, F.col("low"))).over(order))
-    found = materialize(found.where(F.col("high") >= F.col("least")).withColumn("turn", F.row_number().over(order.orderBy(F.desc("high"), "vec_id"))), "candidates")
+    approx = groups.select("g", "low", "dim", number(F.col("g"), shards).alias("shard"), cells("v").alias("codes"))
+    visitors = queries.withColumn("block", number(F.col("q"), blocks))
+    sides = across(approx, blocks, "block").groupBy(*at).cogroup(across(visitors, shards, "shard").groupBy(*at))
+    found = materialize(sides.applyInPandas(scan, "q long, g long, low long, high double"), "candidates")
+    exact = F.arrow_udf(inner, "long")
 
     def read(candidates: DataFrame) -> DataFrame:
-        rows = candidates.select("query_id", "vec_id").join(exact.select("vec_id", "v"), "vec_id").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-        return rows.select("query_id", "vec_id", _inner(F.col("v"), F.col("q")).alias("score"))
+        pairs = candidates.select("q", "g", "low").join(groups.select(F.col("g").alias("gg"), F.col("v").alias("gv")), F.col("g") == F.col("gg"))
+        pairs = pairs.join(queries.select(F.col("q").alias("qq"), F.col("v").alias("qv")), F.col("q") == F.col("qq"))
+        return pairs.select("q", "g", "low", exact("gv", "qv").alias("score"), (F.col("gv") == F.col("qv")).alias("same"))
 
-    first = materialize(read(found.where(F.col("turn") <= k)), "first-reading")
-    kth = first.groupBy("query_id").agg(F.min("score").alias("kth"))
-    second = read(found.where(F.col("turn") > k).join(kth, "query_id").where(F.col("high") >= F.col("kth")))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return first.unionByName(second).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # The best k + 1 bounds of a query by a row number that each task limits before the shuffle: no query's candidates meet in one task.
+    order = Window.partitionBy("q").orderBy(F.desc("high"), "g")
+    first = materialize(read(found.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k + 1)), "first-reading")
+    kth = first.groupBy(F.col("q").alias("kq")).agg(F.min("score").cast("double").alias("kth"))
+    rest = found.join(kth, F.col("q") == F.col("kq")).where(F.col("high") >= F.col("kth")).join(first.select("q", "g"), ["q", "g"], "left_anti")
+    return ranked_rows(best_groups(first.unionByName(read(rest)), k + 1), groups, asked, k)
 
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0
+  SELECT q.n, q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.n <> v.n AND len(q.e) = len(v.e) WHERE q.vec_id % 100 = 0
 ), r AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+  SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
