@@ -36,9 +36,9 @@ from .vectors import best_groups, folded, matrix, query_vectors, ranked_rows, va
 
 EVERY = 20
 K = 20
-TREES = 12
+TREES = 8
 #: Rows of a leaf.
-LEAF = 32
+LEAF = 64
 #: Rows of the leaves that a query takes, those that several trees hold counted each time.
 LOOK = 24576
 #: Leaves that a query takes at most where leaves are larger.
@@ -46,8 +46,9 @@ VISITS = 1024
 #: Rows that the trees are fitted on, and leaves of a tree, at most.
 SAMPLE = 32768
 MOST = 4096
-#: Rows of the leaves that a task handles together.
+#: Rows of the leaves that a task handles together, queries that a task sends on their way, and such tasks at least.
 BUNDLE = 32768
+QUERIES, LEAST = 4096, 16
 SEED = 7
 #: log of the normal distribution function at -8, -8 + 1/32, ..., 8.
 LOG_NORMAL = np.array([math.log(0.5 * math.erfc(-z / 32 / math.sqrt(2))) for z in range(-256, 257)])
@@ -285,7 +286,9 @@ def nearest(df: DataFrame, every: int = EVERY, k: int = K, key: str = "vec_id",
     at = ["dim", "tree", "bundle"]
     kind = groups.schema["v"].dataType.simpleString()
     left = groups.select("g", "low", "dim", "v").mapInPandas(to_leaves, f"g long, low long, dim int, v {kind}, tree int, bundle int, leaf int").groupBy(*at)
-    right = queries.mapInPandas(to_visits, f"q long, dim int, v {kind}, least double, tree int, bundle int, leaves array<int>, takes array<int>").groupBy(*at)
+    # By number, as the rows are few but each is much work.
+    dealt = queries.repartition(max(LEAST, -(-queries.count() // QUERIES)), "q")
+    right = dealt.mapInPandas(to_visits, f"q long, dim int, v {kind}, least double, tree int, bundle int, leaves array<int>, takes array<int>").groupBy(*at)
     found = left.cogroup(right).applyInPandas(meet, "q long, g long, low long, score double, same boolean")
     return ranked_rows(best_groups(found, k + 1), groups, asked, k)
 
