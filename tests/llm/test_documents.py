@@ -151,6 +151,37 @@ def test_pii_model_adds_and_redacts(spark, odd, pii_model):
     assert spans[1].count(":") >= 4 and spans[2] == ""
 
 
+def test_pii_of_a_long_text_of_matches(spark, pii_model):
+    """A megabyte of matches in one text: all found and replaced, in time that grows about as the text does."""
+    import time
+
+    n = 60_000
+    text = " ".join(f"ab{i}@x{i % 7}.org" if i % 3 else "call (555) 123-4567" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = pii.pii_digests(df, pii_model).first()
+    b = brute_spans(text)
+    assert got.n_email == len(b) == n - n // 3 and got.base_sha256 == sha(",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in b).encode())
+    spans = [x.split(":") for x in got.spans.split(",")]
+    want = text
+    for k, s, e in reversed(spans):
+        want = want[: int(s)] + f"[{k.upper()}]" + want[int(e) :]
+    assert pii.redact(df, pii_model).first().text == want and len(text) > 900_000
+    assert time.time() - began < 120
+
+
+def test_pii_reads_and_places_across_pages_and_blocks(spark, pii_model):
+    texts_ = ["日" * (pii.PAGE - 3) + " a@b.co " + "é" * pii.PAGE + " call 555-123-4567 now", "x@y.z " * (pii.BLOCK * 2 + 1), "x@y.z", " " * pii.PAGE + "x@y.z", "a" * (pii.PAGE * 2)]
+    df = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.pii_digests(df, pii_model).collect()}
+    for r in pii.redact(df, pii_model).collect():
+        want = texts_[r.doc_id]
+        for k, s, e in reversed([x.split(":") for x in spans[r.doc_id].split(",") if x]):
+            want = want[: int(s)] + f"[{k.upper()}]" + want[int(e) :]
+        assert r.text == want
+    assert spans[1].count("email") == pii.BLOCK * 2 + 1 and "phone" in spans[0] and spans[4] == ""
+
+
 def test_pii_plan_has_no_python(odd, pii_model):
     plan = pii.pii_digests(odd, pii_model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

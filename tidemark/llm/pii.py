@@ -9,6 +9,12 @@ number is a parameter. Training collects only the distinct feature rows with the
 
 Positions: a pattern is applied twice, to extract its matches and to split the text at them. Both find the same leftmost
 non-overlapping matches, so the lengths of the pieces and of the matches add up to starts and ends, in code points.
+
+Long texts: arrays are walked in blocks of BLOCK, and a text is read at a place by way of its pages of PAGE code points, so the
+work stays near to linear in the text and in its matches.
+
+Defined cases: a null text has no spans (and stays null when redacted); repeated rows each get a row; an empty table gives an
+empty result; columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -62,6 +68,9 @@ WORDS = {
 AGAINST = r"(?i)isbn|order|ref|serial|version|build|id\b|token|sha|hash|invoice|part|time|date|mac\b|page"
 FEATURES = ("kind", "strict", "digits", "seps", "luhn", "word", "against", "glued", "groups", "parens")
 NO_SPANS = "array<struct<m:string,s:int,e:int>>"
+#: Elements of a block of an array, code points of a page of a text.
+BLOCK = 128
+PAGE = 4096
 
 
 def _digits(m: Column) -> Column:
@@ -79,17 +88,47 @@ def accepts(kind: str, m: Column) -> Column:
     }[kind]()
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once, however often the body's own loops name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """An array of at least one element as an array of arrays of BLOCK elements."""
+    return _let(items, lambda x: F.transform(F.sequence(F.lit(0), F.ceil(F.size(x) / BLOCK).cast("int") - 1), lambda k: F.slice(x, k * BLOCK + 1, BLOCK)))
+
+
+def _before(values: Column, zero: Column, add) -> Column:
+    """For each element the sum (by add) of all before it."""
+    return _let(values, lambda v: F.transform(v, lambda _, i: F.aggregate(F.slice(v, 1, i), zero, add)))
+
+
 def _located(matches: Column, pieces: Column) -> Column:
-    """Array of (m, s, e): each match with its start and end, from the pieces between matches."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(NO_SPANS).alias("out"))
+    """Array of (m, s, e): each match with its start and end, from the pieces between matches. For at least one match."""
 
     def step(a: Column, x: Column) -> Column:
-        s = a["at"] + F.length(x["p"])
+        s = a["at"] + x["p"]
         e = s + F.length(x["m"])
         return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(x["m"].alias("m"), s.alias("s"), e.alias("e")))).alias("out"))
 
-    both = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("p"), matches.alias("m"))
-    return F.aggregate(both, start, step)["out"]
+    def place(block: Column, start: Column) -> Column:
+        return F.aggregate(block, F.struct(start.alias("at"), F.array().cast(NO_SPANS).alias("out")), step)["out"]
+
+    both = F.zip_with(matches, F.slice(pieces, 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), F.length(p).alias("p")))
+    sizes = lambda blocks: F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["p"] + F.length(x["m"])))
+    return _let(_blocks(both), lambda blocks: F.flatten(F.zip_with(blocks, _before(sizes(blocks), F.lit(0), lambda a, x: a + x), place)))
+
+
+def _pages(t: Column) -> Column:
+    """A text's pages; reading at a place counts code points from the start of a page, not of the text."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(t) / PAGE).cast("int")), lambda k: F.substring(t, k * PAGE + 1, F.lit(PAGE)))
+
+
+def _read(pages: Column, start: Column, size: Column) -> Column:
+    """`size` code points from `start` (counted from 0)."""
+    first = F.floor(start / PAGE).cast("int")
+    some = F.array_join(F.slice(pages, first + 1, F.floor((start + size) / PAGE).cast("int") - first + 1), "")
+    return F.substring(some, start - first * PAGE + 1, size)
 
 
 def _spans(docs: DataFrame, patterns: dict[str, str], needs: dict[str, str], prefix: str) -> DataFrame:
@@ -102,10 +141,10 @@ def _spans(docs: DataFrame, patterns: dict[str, str], needs: dict[str, str], pre
     return out.drop(*(f"{prefix}{k}_" for k in kinds))
 
 
-def _features(kind: str, x: Column, t: Column) -> Column:
-    """The features of span x of text t as a struct of small ints, in the order of FEATURES."""
-    left = F.substring(t, F.greatest(F.lit(1), x["s"] - 23), F.least(F.lit(24), x["s"]))
-    right = F.substring(t, x["e"] + 1, F.lit(1))
+def _features(kind: str, x: Column, pages: Column) -> Column:
+    """The features of span x of a text as a struct of small ints, in the order of FEATURES."""
+    left = _read(pages, F.greatest(F.lit(0), x["s"] - 24), F.least(F.lit(24), x["s"]))
+    right = _read(pages, x["e"], F.lit(1))
     digits = _digits(x["m"])
     as_int = lambda c: F.coalesce(c, F.lit(False)).cast("int")
     tidy = {"email": r"\.[A-Za-z]{2,6}$|dot\x20?[\])}]?\x20?[A-Za-z]{2,6}$", "ip": r"^(?:[0-9A-Fa-f]{3,4}:|[0-9.]+$)", "card": r"^(?:[0-9]{4}[\x20._/-]){3}[0-9]{4}$|^[0-9]{16}$", "phone": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"}[kind]
@@ -132,11 +171,11 @@ def _placed(i: int):
 
 
 def _featured(kind: str):
-    return lambda x: _features(kind, x, F.col("t"))
+    return lambda x: _features(kind, x, F.col("pages"))
 
 
 def _candidate(kind: str):
-    return lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), _features(kind, x, F.col("t")).alias("x"))
+    return lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), _features(kind, x, F.col("pages")).alias("x"))
 
 
 def _is_kind(i: int):
@@ -148,8 +187,14 @@ def _candidates(docs: DataFrame) -> DataFrame:
     out = _spans(_spans(docs, BASE, NEEDS, "b_"), LOOSE, LOOSE_NEEDS, "l_")
     out = out.withColumns({f"b_{k}": F.filter(f"b_{k}", _accepted(k)) for k in KINDS})
     out = out.withColumn("base", F.concat(*(F.transform(f"b_{k}", _placed(i)) for i, k in enumerate(KINDS))))
-    free = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    return out.withColumns({f"l_{k}": F.when(F.size(f"l_{k}") > 0, F.filter(f"l_{k}", free)).otherwise(F.col(f"l_{k}")) for k in KINDS})
+    # Strict spans in blocks by start, each with the range that it covers: a loose one looks only into blocks that it meets.
+    ranged = F.transform(_blocks(F.array_sort("base")), lambda b: F.struct(F.get(b, F.lit(0))["s"].alias("s"), F.aggregate(b, F.lit(0), lambda a, x: F.greatest(a, x["e"])).alias("e"), b.alias("b")))
+    loose = F.size(F.concat(*(f"l_{k}" for k in KINDS))) > 0
+    out = out.withColumn("strict", F.when(loose & (F.size("base") > 0), ranged))
+    meets = lambda b, x: (b["s"] < x["e"]) & (x["s"] < b["e"])
+    free = lambda x: ~F.exists("strict", lambda r: F.when(meets(r, x), F.exists(r["b"], lambda b: meets(b, x))).otherwise(False))
+    out = out.withColumns({f"l_{k}": F.when(F.col("strict").isNotNull(), F.filter(f"l_{k}", free)).otherwise(F.col(f"l_{k}")) for k in KINDS})
+    return out.drop("strict").withColumn("pages", F.when(loose, _pages(F.col("t"))))
 
 
 @dataclass
@@ -270,7 +315,7 @@ def examples(spark: SparkSession, rows: int = EXAMPLES) -> DataFrame:
 
 def train(spark: SparkSession, rows: int = EXAMPLES) -> Boosted:
     """Fit the trees on three quarters of the examples and the thresholds on the rest."""
-    found = _candidates(examples(spark, rows))
+    found = _candidates(examples(spark, rows)).withColumn("pages", _pages(F.col("t")))
     each = F.concat(*(F.transform(f"{p}_{k}", _featured(k)) for k in KINDS for p in ("b", "l")))
     counts = found.select((F.col("id") % 4 == 3).alias("held"), "y", F.explode(each).alias("x")).groupBy("held", "x").agg(F.count("*").alias("n"), F.sum("y").alias("ones")).orderBy("held", "x").collect()
     split = {h: [(tuple(r["x"]), r["n"], r["ones"]) for r in counts if r["held"] == h] for h in (False, True)}
@@ -314,16 +359,20 @@ def redact(docs: DataFrame, model: Boosted | None = None, text: str = "text") ->
     Spans that overlap are replaced together, by the kind of the first.
     """
     names = docs.columns
-    found = find_spans(docs, model, text, tuple(names))
+    found = find_spans(docs, model, text, tuple(names)).withColumn("pages", F.when(F.size("spans") > 0, _pages(F.col("t"))))
     tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         inside = x["s"] < a["at"]
-        new = F.concat(a["out"], F.array(F.substring(F.col("t"), a["at"] + 1, x["s"] - a["at"]), tags[x["k"]]))
+        new = F.concat(a["out"], F.array(_read(F.col("pages"), a["at"], x["s"] - a["at"]), tags[x["k"]]))
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(inside, a["out"]).otherwise(new).alias("out"))
 
-    done = F.aggregate("spans", start, step)
-    plain = F.concat(F.array_join(done["out"], ""), F.substring(F.col("t"), done["at"] + 1, F.length("t")))
+    def written(block: Column, start: Column) -> Column:
+        return F.array_join(F.aggregate(block, F.struct(start.alias("at"), F.array().cast("array<string>").alias("out")), step)["out"], "")
+
+    ends = lambda blocks: F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: F.greatest(a, x["e"])))
+    done = _let(_blocks(F.col("spans")), lambda blocks: F.array_join(F.zip_with(blocks, _before(ends(blocks), F.lit(0), lambda a, x: F.greatest(a, x)), written), ""))
+    last = F.array_max(F.transform("spans", lambda x: x["e"]))
+    plain = F.concat(done, _read(F.col("pages"), last, F.length("t") - last))
     whole = F.when(F.size("spans") > 0, plain).otherwise(F.col(f"keep_{names.index(text)}"))
     return found.select(*(whole.alias(c) if c == text else F.col(f"keep_{i}").alias(c) for i, c in enumerate(names)))

@@ -4,14 +4,18 @@ Method: a hierarchical index over fingerprints in Gray order. Consecutive finger
 pattern; an upper node stands for the patterns of all below it. Two nodes whose patterns already differ in more bits
 than allowed are dropped with everything below; otherwise their children are compared, with the difference carried on.
 
-Distribution: the upper nodes are made by counting fingerprints by prefix (never by collecting fingerprints) and split
-until each holds at most NODE of them. Pairs of near nodes are dealt out; each task descends from its pair with the
+Distribution: the upper nodes are made by counting fingerprints by prefix and split until each holds at most NODE of them; they
+are a table, and near ones meet by equality of patterns with up to two bits flipped. Pairs of near nodes are dealt out; each task descends from its pair with the
 fingerprints of two nodes and returns a spanning forest of the links that it finds, not all pairs. Copies have one
 fingerprint and are counted once.
+
+Defined cases: a null text or one without words has fingerprint zero, which links like any other; repeated rows each get a row;
+a null id is never the smallest unless all of its component are null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,8 @@ RADIUS = 2
 NODE = 32768
 #: Pairs of ranges of at most so many comparisons are compared one by one.
 SMALL = 64
+#: Bits that a level of upper nodes adds.
+STEP = 4
 #: Node pairs that are expanded at once.
 FRONT = 1 << 20
 
@@ -76,33 +82,39 @@ def _prefix(f: Column, bits: int) -> Column:
     return F.shiftrightunsigned(f, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def upper_nodes(distinct: DataFrame, most: int = NODE, step: int = 4) -> list[tuple[int, int, int]]:
-    """(bits, prefix, count) of nodes that together hold each fingerprint once, at most `most` each.
+def upper_nodes(distinct: DataFrame, most: int = NODE, step: int = STEP) -> tuple[DataFrame, list[int]]:
+    """((bits, prefix) of nodes that together hold each fingerprint once, at most `most` each; the levels that occur).
 
-    Only nodes that are too large are counted again, by a longer prefix. The list is at most about
-    2**step times the fingerprints divided by `most`, a few bytes each.
+    Only nodes that are too large are counted again, by a longer prefix. The nodes stay a table.
     """
-    nodes, open_, bits = [], [(0, 0, distinct.count())], 0
-    while open_:
-        nodes += [x for x in open_ if x[2] <= most or bits == 64]
-        large = [x[1] for x in open_ if x[2] > most and bits < 64]
-        if not large:
-            break
-        of = distinct.where(_prefix(F.col("f"), bits).isin(large)) if bits else distinct
+    empty = distinct.sparkSession.createDataFrame([], "bits int, prefix long, n long")
+    counted = materialize(distinct.groupBy(F.lit(0).alias("bits"), F.lit(0).cast("long").alias("prefix")).agg(F.count("*").alias("n")), "nodes")
+    nodes, levels, bits = empty, [], 0
+    while True:
+        whole = F.lit(True) if bits == 64 else F.col("n") <= most
+        nodes, levels = nodes.unionByName(counted.where(whole)), [*levels, bits]
+        large = counted.where(~whole)
+        if large.isEmpty():
+            return nodes.select("bits", "prefix"), levels
+        open_ = distinct.join(large.select(F.col("prefix").alias("large")), _prefix(F.col("f"), bits) == F.col("large"), "left_semi")
         bits = min(64, bits + step)
-        open_ = [(bits, r["p"], r["n"]) for r in of.groupBy(_prefix(F.col("f"), bits).alias("p")).agg(F.count("*").alias("n")).collect()]
-    return nodes
+        counted = materialize(open_.groupBy(F.lit(bits).alias("bits"), _prefix(F.col("f"), bits).alias("prefix")).agg(F.count("*").alias("n")), "nodes")
+
 
+def near_node_pairs(nodes: DataFrame, levels: list[int], radius: int = RADIUS) -> DataFrame:
+    """(a_bits, a_prefix, b_bits, b_prefix) of node pairs whose shared masked bits differ in at most `radius` places.
 
-def near_node_pairs(nodes: list[tuple[int, int, int]], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Index pairs (i <= j) of nodes whose shared masked bits differ in at most `radius` places."""
-    out, left = [], np.array([n[1] for n in nodes], dtype=np.uint64)
-    bits = np.array([n[0] for n in nodes], dtype=np.uint64)
-    for i in range(len(nodes)):
-        shared = np.minimum(bits[i], bits[i:])
-        a, b = left[i] >> (bits[i] - shared), left[i:] >> (bits[i:] - shared)
-        out += [(i, i + int(j)) for j in np.flatnonzero(np.bitwise_count(a ^ b) <= radius)]
-    return out
+    b is the node with the shorter or the same pattern. It is found by equality: a's pattern, cut to b's length, with at most
+    `radius` of its bits flipped. The flips are a fixed table for each level.
+    """
+    flips = [(bits, sum(1 << i for i in at)) for bits in levels for k in range(radius + 1) for at in itertools.combinations(range(bits), k)]
+    masks = nodes.sparkSession.createDataFrame([(bits, x - (1 << 64) if x >= 1 << 63 else x) for bits, x in flips], "b_bits int, mask long")
+    shorter = F.explode(F.filter(F.array(*map(F.lit, levels)), lambda b: b <= F.col("bits"))).alias("b_bits")
+    longer = nodes.select(F.col("bits").alias("a_bits"), F.col("prefix").alias("a_prefix"), shorter).join(F.broadcast(masks), "b_bits")
+    cut = F.when(F.col("b_bits") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", "a_prefix", F.col("a_bits") - F.col("b_bits")))
+    wanted = longer.select("a_bits", "a_prefix", "b_bits", cut.bitwiseXOR(F.col("mask")).alias("b_prefix"))
+    found = wanted.join(nodes.select(F.col("bits").alias("b_bits"), F.col("prefix").alias("b_prefix")), ["b_bits", "b_prefix"])
+    return found.where((F.col("a_bits") > F.col("b_bits")) | (F.col("a_prefix") >= F.col("b_prefix"))).select("a_bits", "a_prefix", "b_bits", "b_prefix")
 
 
 def _children(g: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,17 +195,14 @@ def spanning_forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> n
 
 def near_edges(distinct: DataFrame, radius: int = RADIUS, most: int = NODE) -> DataFrame:
     """Edges (a, b) between fingerprints (column f, distinct) that join all that lie within `radius` bits."""
-    spark = distinct.sparkSession
-    nodes = upper_nodes(distinct, most)
-    pairs = near_node_pairs(nodes, radius)
-    partners: dict[int, list[tuple[int, int]]] = {}
-    for k, (i, j) in enumerate(pairs):
-        partners.setdefault(i, []).append((k, 0))
-        if i != j:
-            partners.setdefault(j, []).append((k, 1))
+    nodes, levels = upper_nodes(distinct, most)
+    pairs = near_node_pairs(nodes, levels, radius)
+    pair = F.struct("a_bits", "a_prefix", "b_bits", "b_prefix").alias("pair")
+    alone = (F.col("a_bits") == F.col("b_bits")) & (F.col("a_prefix") == F.col("b_prefix"))
+    left = pairs.select(F.col("a_bits").alias("bits"), F.col("a_prefix").alias("prefix"), pair, F.lit(0).alias("side"))
+    right = pairs.where(~alone).select(F.col("b_bits").alias("bits"), F.col("b_prefix").alias("prefix"), pair, F.lit(1).alias("side"))
     # Grows with the fingerprints divided by `most`, times the nodes within the radius; a row is a few bytes.
-    plan = spark.createDataFrame([(n[0], n[1], k, s) for i, n in enumerate(nodes) for k, s in partners.get(i, ())] or [(0, 0, 0, 0)], "bits int, prefix long, pair int, side int")
-    levels = sorted({n[0] for n in nodes})
+    plan = materialize(left.unionByName(right), "node-pairs")
     keyed = distinct.select("f", F.explode(F.array(*(F.struct(F.lit(b).alias("bits"), _prefix(F.col("f"), b).alias("prefix")) for b in levels))).alias("n")).select("f", "n.bits", "n.prefix")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
