@@ -16,6 +16,10 @@ from .stats import upper_median
 SAMPLE_TYPES = "pair_id long, id long, target_t double, offset double, hd int, grp int"
 
 
+#: Seconds of a bucket of time in which gaps meet dark intervals.
+BUCKET = 3600.0
+
+
 def walk_by_mean(rows: list[tuple[float, int]], cfg: Config = DEFAULT) -> list[int]:
     """Group of each (offset, hd) in time order, -1 for those dropped: groups follow their running mean.
 
@@ -81,11 +85,20 @@ def clusters(grouped: DataFrame) -> DataFrame:
     return p.groupBy("pair_id", "grp").agg(F.count("*").alias("n"), upper_median("offset").alias("upper"), F.min("p").alias("first_p"), F.max("p").alias("last_p"))
 
 
+def _within(gaps: DataFrame, points: DataFrame, bucket: float, how: str) -> DataFrame:
+    """gaps (pair_id, lo, hi, ...) joined to points (b_pair, mid, ...) strictly inside: an equi-join on buckets of time."""
+    first, last = F.floor(F.col("lo") / bucket).cast("long"), F.floor(F.col("hi") / bucket).cast("long")
+    spread = gaps.where("lo < hi").withColumn("g_bucket", F.explode(F.sequence(first, last)))
+    placed = points.withColumn("b_bucket", F.floor(F.col("mid") / bucket).cast("long"))
+    inside = (F.col("pair_id") == F.col("b_pair")) & (F.col("g_bucket") == F.col("b_bucket")) & (F.col("lo") < F.col("mid")) & (F.col("mid") < F.col("hi"))
+    return spread.join(placed, inside, how).drop("g_bucket", "b_bucket")
+
+
 def blocking_gaps(gaps: DataFrame, blacks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """The gaps (pair_id, lo, hi, ...) that hold the middle of a long enough dark interval."""
     mid = (F.col("b_start") + F.col("b_end")) / 2
     long_ = blacks.where(F.round(F.col("b_end") - F.col("b_start"), 9) >= cfg.blocking).select(F.col("pair_id").alias("b_pair"), mid.alias("mid"))
-    return gaps.join(long_, (F.col("pair_id") == F.col("b_pair")) & (F.col("lo") < F.col("mid")) & (F.col("mid") < F.col("hi")), "left_semi")
+    return _within(gaps, long_, BUCKET, "left_semi").distinct()
 
 
 def merge_first_single(grouped: DataFrame, blacks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -110,7 +123,7 @@ def boundary_in_gaps(gaps: DataFrame, blacks: DataFrame, cfg: Config = DEFAULT)
     apart = F.least(F.coalesce(F.col("b_start") - F.lag("b_end").over(w), F.lit(cfg.isolation[1])), F.coalesce(F.lead("b_start").over(w) - F.col("b_end"), F.lit(cfg.isolation[1])))
     score = F.round((F.col("b_end") - F.col("b_start")) * F.greatest(F.lit(cfg.isolation[0]), F.least(F.lit(cfg.isolation[1]), apart)), 9)
     scored = blacks.select(F.col("pair_id").alias("b_pair"), "b_start", ((F.col("b_start") + F.col("b_end")) / 2).alias("mid"), score.alias("score"))
-    inside = gaps.join(scored, (F.col("pair_id") == F.col("b_pair")) & (F.col("lo") < F.col("mid")) & (F.col("mid") < F.col("hi")))
+    inside = _within(gaps, scored, BUCKET, "inner")
     best = inside.groupBy("pair_id", "gap_no").agg(F.min(F.struct((-F.col("score")).alias("s"), "b_start", "mid")).alias("m"))
     return gaps.join(best, ["pair_id", "gap_no"], "left").select("pair_id", "gap_no", "lo", "hi", F.coalesce("m.mid", (F.col("lo") + F.col("hi")) / 2).alias("boundary"))
 

@@ -47,7 +47,7 @@ n AS (SELECT w.pair_id, w.ref_no, w.ref_t, w.hd, w.frame_idx, max(CASE WHEN e.fr
 b AS (SELECT *, {SHIFT} AS shift FROM n)"""
 
 
-_VISUAL = _band("f.frame_idx % 4 = 0", "round_even(ref_t * 24, 0)::BIGINT - 6", "round_even(ref_t * 24, 0)::BIGINT + 6")
+_VISUAL = _band("true", "round_even(ref_t * 24, 0)::BIGINT - 6", "round_even(ref_t * 24, 0)::BIGINT + 6")
 MEDIA = f"{EV}, m AS (SELECT user_id AS media_id, round((max(t) - min(t)) / 1000, 3) AS duration FROM ev GROUP BY user_id)"
 EDGE = "CASE WHEN duration <= 11 THEN 0e0 ELSE 5e0 END"
 
@@ -60,7 +60,7 @@ _NB = "OVER (PARTITION BY media_id ORDER BY bin)"
 SMOOTH = f"""{ACTIVE}, s1 AS (SELECT media_id, bin, CASE WHEN v = 0 AND lag(v) {_NB} = 1 AND lead(v) {_NB} = 1 THEN 1e0 ELSE v END AS v FROM ac),
 s2 AS (SELECT media_id, bin, CASE WHEN v = 1 AND lag(v) {_NB} = 0 AND lead(v) {_NB} = 0 THEN 0e0 ELSE v END AS v FROM s1),
 sg AS (SELECT media_id, bin, v - avg(v) OVER (PARTITION BY media_id) AS v FROM s2)"""
-CUTS = f"""{EV}, ct AS (SELECT event_type AS media_id, t FROM ev WHERE event_id % 7 = 0),
+CUTS = f"""{EV}, ct AS (SELECT event_type AS media_id, t FROM ev),
 hi AS (SELECT DISTINCT media_id, round_even(t / 3600, 0)::BIGINT AS bin FROM ct WHERE round_even(t / 3600, 0) BETWEEN 0 AND 719),
 hg AS (SELECT media_id, g.bin, (hi.bin IS NOT NULL)::INT::DOUBLE AS v FROM (SELECT media_id, range AS bin FROM (SELECT DISTINCT media_id FROM hi), range(720)) g LEFT JOIN hi USING (media_id, bin))"""
 CUTS_SMOOTH = f"""{CUTS}, ks AS (SELECT media_id, bin, (v + 0.25e0 * coalesce(lag(v, 2) {_NB}, 0) + 0.5e0 * coalesce(lag(v, 1) {_NB}, 0) + 0.5e0 * coalesce(lead(v, 1) {_NB}, 0) + 0.25e0 * coalesce(lead(v, 2) {_NB}, 0)) / 2.5e0 AS v FROM hg),
@@ -96,7 +96,7 @@ def _despiked(source: str, passes: int) -> str:
     return ",\n".join(out)
 
 
-PROBES = f"{_samples(True)}, pr AS (SELECT pair_id, id, target_t, round(target_t + o, 6) AS p, o, hd FROM s WHERE id % 25 = 0)"
+PROBES = f"{_samples(True)}, pr AS (SELECT pair_id, id, target_t, round(target_t + o, 6) AS p, o, hd FROM s)"
 CLUSTER_TAIL = """cj AS (SELECT *, coalesce(round(o - lag(o) OVER (PARTITION BY pair_id ORDER BY o, id), 9) > 0.35e0, false)::INT AS j FROM pr),
 cl AS (SELECT *, sum(j) OVER (PARTITION BY pair_id ORDER BY o, id ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM cj)"""
 CLUSTERED = f"{PROBES}, {CLUSTER_TAIL}"
@@ -200,7 +200,7 @@ SQL: dict[str, str] = {
     "nn_relock": f"""WITH {_refs('f.frame_idx = 10')}, {_coarse(6)}, c2 AS (SELECT * FROM c WHERE hd <= 48), {_fine('c2', 'z')},
 c3 AS (SELECT pair_id, ref_no, 999::BIGINT AS hd, round_even(pair_id / 6e0 * 24, 0)::BIGINT AS frame_idx FROM z WHERE (frame_idx + shift) / 24e0 < pair_id / 6e0 - 0.5e0 AND pair_id * 4 <= 24), {_fine('c3', 'y')},
 zz AS (SELECT * FROM y UNION ALL SELECT * FROM z ANTI JOIN y USING (pair_id, ref_no)) {_offset('zz')}""",
-    "nn_band_dense": f"WITH {_band('f.frame_idx % 5 = 0', 'trunc((ref_t + 0.1e0 - 0.25e0) * 24)::BIGINT', 'trunc((ref_t + 0.1e0 + 0.25e0) * 24)::BIGINT')} SELECT pair_id, ref_no, round(ref_t, 6) AS ref_t, hd, frame_idx, round(shift, 6) + 0e0 AS shift, round((frame_idx + shift) / 24e0 - ref_t, 6) + 0e0 AS \"offset\" FROM b",
+    "nn_band_dense": f"WITH {_band('true', 'trunc((ref_t + 0.1e0 - 0.25e0) * 24)::BIGINT', 'trunc((ref_t + 0.1e0 + 0.25e0) * 24)::BIGINT')} SELECT pair_id, ref_no, round(ref_t, 6) AS ref_t, hd, frame_idx, round(shift, 6) + 0e0 AS shift, round((frame_idx + shift) / 24e0 - ref_t, 6) + 0e0 AS \"offset\" FROM b",
     "verify_visual": f"WITH {_VISUAL} SELECT pair_id, ref_no, round(ref_t, 6) AS ref_t, hd, round(frame_idx + shift - ref_t * 24, 6) + 0e0 AS delta_frames, round((frame_idx + shift - ref_t * 24) / 24e0 * 1000, 6) + 0e0 AS delta_ms FROM b",
     "hamming_pairs_topk": f"WITH {_refs('true')}, t AS (SELECT pair_id, ref_no AS ref_frame, f.frame_idx, {HD} AS hd, row_number() OVER (PARTITION BY pair_id, ref_no ORDER BY {HD}, f.frame_idx) AS rank FROM r JOIN f ON f.media_id = r.primary_id) SELECT pair_id, ref_frame, rank, frame_idx, hd FROM t WHERE rank <= 3",
     "frame_lookup": f"WITH {FR} SELECT w.range AS media_id, i.idx AS frame_idx, h0, h1 FROM range(10) w CROSS JOIN (VALUES (5::BIGINT), (100000::BIGINT)) i(idx) LEFT JOIN f ON f.media_id = w.range AND f.frame_idx = i.idx",
@@ -294,7 +294,7 @@ UNION ALL SELECT pair_id, 1, t, id, {_timecode('t')} || ' ' || printf('%+.2f', r
     "name_normalize_batch": f"WITH {NAMES} SELECT id, {BATCH} AS name FROM nm",
     "name_normalize_ui": f"WITH {NAMES} SELECT id, {UI} AS name FROM nm",
     "name_levenshtein_topk": f"WITH {DISTANCE} SELECT folder, p_id, rank, t_id, distance::BIGINT AS distance FROM lk WHERE rank <= 2",
-    "pairs_zip": f"WITH {NAMES}, z AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY id) AS place FROM nm WHERE id % 7 <> 3) SELECT p.place, p.path AS \"primary\", t.path AS target FROM z p JOIN z t ON p.place = t.place AND p.side = 'primary' AND t.side = 'target'",
+    "pairs_zip": f"WITH {NAMES}, z AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY id) AS place FROM nm) SELECT p.place, p.path AS \"primary\", t.path AS target FROM z p JOIN z t ON p.place = t.place AND p.side = 'primary' AND t.side = 'target'",
     "pairs_leftover_anti": f"WITH {DISTANCE}, u AS (SELECT unnest([p_id, t_id]) AS id FROM lk WHERE rank = 1 AND distance <= 1) SELECT side, id FROM nm WHERE id NOT IN (SELECT id FROM u)",
     "list_ingest": f"WITH {NAMES} SELECT side, min(id) AS id, path FROM nm WHERE {VIDEO} GROUP BY side, path",
     "extension_filter": f"WITH {NAMES} SELECT id, path FROM nm WHERE {VIDEO}",

@@ -81,12 +81,12 @@ def nn_relock(s, d):
 
 @query
 def nn_band_dense(s, d):
-    return rounded(nearest.band_scan(_refs(s, d, F.col("frame_idx") % 5 == 0), a.frames(s, d), FPS, 0.25, 28, 0.1))
+    return rounded(nearest.band_scan(_refs(s, d, F.lit(True)), a.frames(s, d), FPS, 0.25, 28, 0.1))
 
 
 @query
 def verify_visual(s, d):
-    return rounded(nearest.verify_visual(_refs(s, d, F.col("frame_idx") % 4 == 0), a.frames(s, d), FPS, CFG, 28))
+    return rounded(nearest.verify_visual(_refs(s, d, F.lit(True)), a.frames(s, d), FPS, CFG, 28))
 
 
 @query
@@ -170,7 +170,7 @@ def _energy(s: SparkSession, d: str) -> DataFrame:
 
 
 def _cuts(s: SparkSession, d: str) -> DataFrame:
-    return a.events(s, d).where("event_id % 7 = 0").select(F.col("event_type").alias("media_id"), "t")
+    return a.events(s, d).select(F.col("event_type").alias("media_id"), "t")
 
 
 @query
@@ -274,7 +274,7 @@ def segment_trigger(s, d):
 
 
 def _probes(s: SparkSession, d: str) -> DataFrame:
-    e = a.samples(s, d, True).where("id % 25 = 0")
+    e = a.samples(s, d, True)
     return e.withColumn("primary_t", F.round(F.col("target_t") + F.col("offset"), 6)).select("pair_id", "id", "target_t", "primary_t", "offset", "hd")
 
 
@@ -470,7 +470,7 @@ def report_lines(s, d):
 
 @query
 def verification_report(s, d):
-    visual = nearest.verify_visual(_refs(s, d, F.col("frame_idx") % 4 == 0), a.frames(s, d), FPS, CFG, 28).select("pair_id", "delta_frames")
+    visual = nearest.verify_visual(_refs(s, d, F.lit(True)), a.frames(s, d), FPS, CFG, 28).select("pair_id", "delta_frames")
     audio = audio_offset(s, d).select("pair_id", (F.col("offset") / HOUR * 10).alias("delta_ms"))
     scene = verify.mutual_cuts(a.cuts(s, d, "click"), a.cuts(s, d, "view"), HOUR).select("pair_id", (F.col("gap") / HOUR).alias("delta_frames"))
     return rounded(verify.verification_report(visual, audio, scene, a.pair_table(s), FPS))
@@ -506,7 +506,7 @@ def autosort_review(s, d):
 
 @query
 def pairs_zip(s, d):
-    return rounded(pairing.zip_lists(a.names(s, d).where("id % 7 <> 3")))
+    return rounded(pairing.zip_lists(a.names(s, d)))
 
 
 @query
