@@ -355,6 +355,58 @@ def test_scores_ignore_other_columns(documents, labels):
     assert a == b
 
 
+def test_toxicity_scores_are_sums_over_ngrams(odd, documents, spark):
+    """Each score again from the fitted weights, n-gram by n-gram in plain Python."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = toxicity.train(documents, labels)
+
+    def places(t):
+        c, out, mask = [ord(x) for x in f" {t.lower()} "], set(), (1 << 64) - 1
+        for n in toxicity.SIZES:
+            for i in range(len(c) - n + 1):
+                h = n
+                for k in range(n):
+                    h = ((h ^ c[i + k]) * 0x9E3779B97F4A7C15) & mask
+                    h ^= h >> 29
+                out.add(h >> (64 - toxicity.BITS))
+        return out
+
+    df = documents.select("doc_id", "text").limit(40).unionByName(odd.select("doc_id", "text").where("length(text) < 500 or text is null"))
+    want = sorted((str(i), 1 / (1 + math.exp(-max(-40, min(40, model.bias + sum(float(model.weights[p]) for p in places(t))))))) for i, t in texts(df))
+    got = sorted((str(r.doc_id), r.score) for r in df.select("doc_id", model.score(spark, F.col("text")).alias("score")).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-6)
+
+
+def test_toxicity_learns_from_few_texts_by_parameter(spark):
+    rows = [(i, ("you vile rotten scum" if i % 2 else "a calm and kindly note") + f" {i}") for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few = spark.createDataFrame([(i, 0, i % 2) for i in range(1, 7)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(df, few, least_texts=1)
+    got = {r.doc_id: r.score for r in df.select("doc_id", model.score(spark, F.col("text")).alias("score")).collect()}
+    assert min(got[i] for i in got if i % 2) > max(got[i] for i in got if not i % 2)
+
+
+def test_quality_scores_again_from_the_model(spark, odd, documents):
+    model = quality.train(documents, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    w = np.random.default_rng(quality.SEED)
+    directions, shifts = w.normal(0, quality.WIDTH, (len(quality.NAMES), quality.FEATURES)), w.uniform(0, 2 * np.pi, quality.FEATURES)
+    df = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    want = []
+    for i, t in texts(df):
+        x = np.clip((quality.statistics(t) - model.mean) / model.scale, -8, 8)
+        value = sum(math.cos(x @ directions[:, k] + shifts[k]) * math.sqrt(2 / quality.FEATURES) * model.weights[k] for k in range(quality.FEATURES)) + model.weights[-1]
+        at = np.searchsorted(model.knots, value)
+        if at in (0, len(model.knots)):
+            p = model.levels[0] if at == 0 else model.levels[-1]
+        else:
+            part = (value - model.knots[at - 1]) / (model.knots[at] - model.knots[at - 1])
+            p = model.levels[at - 1] + part * (model.levels[at] - model.levels[at - 1])
+        want.append((str(i), float(p)))
+    got = sorted((str(r.doc_id), r.score) for r in df.select("doc_id", model.score(spark, F.col("text")).alias("score")).collect())
+    want.sort()
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-8)
+
+
 def test_isotonic():
     got = quality.isotonic(np.array([1.0, 3.0, 2.0, 2.0, 5.0]), np.array([1.0, 1.0, 1.0, 1.0, 2.0]))
     assert np.allclose(got, [1, 7 / 3, 7 / 3, 7 / 3, 5])

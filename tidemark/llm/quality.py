@@ -3,7 +3,11 @@
 Method: statistics of a document (lengths, character classes, repetition) go through random Fourier features, which
 approximate a Gaussian kernel; ridge regression on the labels is fitted by normal equations that partitions sum; an
 isotonic fit maps its values to probabilities. The model learns from a bounded sample of labelled rows (SAMPLE, a
-parameter) and is fixed in size, whatever the corpus.
+parameter) and is fixed in size, whatever the corpus. One row in CALIBRATION, by a hash of its statistics (so that copies stay
+together), is kept from the ridge and calibrates it; if that leaves either without rows, both use all.
+
+Defined cases: a null text counts as empty and scores like one; repeated rows each get a row; an empty table gives an empty
+result; without labels every text scores one half.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ DIVISOR, HELD_OUT = 4, 2
 #: Partitions that sum the normal equations; each sends one matrix of (FEATURES + 1)**2 numbers.
 SUMS = 8
 CELLS = 2000
+CALIBRATION = 5
 NAMES = ("chars", "words", "lines", "upper", "digit", "punct", "space", "other", "word_len", "word_len_sd", "distinct_words", "distinct_pairs", "top_word", "distinct_lines", "bang", "bar", "sign", "stop_end", "line_words", "long_word", "caps_words", "zip", "short_words", "symbol_words")
 
 _KIND = np.full(256, 7, dtype=np.uint8)
@@ -121,12 +126,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
     """Learn from at most `sample` labelled rows outside the held-out fold; without any, every text scores one half."""
     bound_batches(docs.sparkSession)
     rows = labelled_texts(docs, labelled_sample(labels, "quality", DIVISOR, HELD_OUT, sample), text)
-    stats = materialize(rows.select(_statistics("text").alias("x"), "y"), "quality-sample").repartition(SUMS)
+    stats = materialize(rows.select(_statistics("text").alias("x"), "y"), "quality-sample").withColumn("held", F.pmod(F.xxhash64("x"), F.lit(CALIBRATION)) == 0).repartition(SUMS)
     spark, k = stats.sparkSession, len(NAMES)
     moments = stats.agg(F.count("*").alias("n"), *(F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(k)), *(F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(k)))
     got = moments.first()
     if not got["n"]:
         return QualityModel(np.zeros(k), np.ones(k), np.zeros(FEATURES + 1), np.array([0.0, 1.0]), np.array([0.5, 0.5]))
+    kept = stats.where("held").count()
+    to_fit, to_calibrate = (stats.where("NOT held"), stats.where("held")) if 0 < kept < got["n"] else (stats, stats)
     mean, scale = np.array([got[f"m{i}"] for i in range(k)]), np.array([max(got[f"s{i}"], 1e-3) for i in range(k)])
 
     def features(b: pa.RecordBatch) -> np.ndarray:
@@ -140,7 +147,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
                 total += z.T @ np.hstack([z, b.column("y").to_numpy().astype(float)[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
 
-    total = sum(np.frombuffer(r["m"]).reshape(FEATURES + 1, -1) for r in stats.mapInArrow(equations, "m binary").collect())
+    total = sum(np.frombuffer(r["m"]).reshape(FEATURES + 1, -1) for r in to_fit.mapInArrow(equations, "m binary").collect())
     penalty = np.diag(np.append(np.full(FEATURES, RIDGE * got["n"] / FEATURES), 0))
     weights = np.linalg.solve(total[:, :-1] + penalty + 1e-9 * np.eye(FEATURES + 1), total[:, -1])
 
@@ -153,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
                 n += np.stack([np.bincount(at, minlength=CELLS), np.bincount(at, y, minlength=CELLS)])
         yield pa.RecordBatch.from_arrays([pa.array([n.tobytes()], pa.binary())], names=["m"])
 
-    n, ones = sum(np.frombuffer(r["m"]).reshape(2, -1) for r in stats.mapInArrow(cells, "m binary").collect())
+    n, ones = sum(np.frombuffer(r["m"]).reshape(2, -1) for r in to_calibrate.mapInArrow(cells, "m binary").collect())
     at = np.flatnonzero(n)
     levels = isotonic(ones[at] / n[at], n[at])
     return QualityModel(mean, scale, weights, (at + 0.5) / CELLS * 2 - 0.5, levels)

@@ -3,6 +3,12 @@
 Method: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios. The
 ratios and the logistic weights are learnt from a bounded sample of labelled rows (SAMPLE, a parameter); every whole
 text is then scored by adding up the weights of the n-grams that it holds. An n-gram counts once a text.
+
+Two parameters of the fit leave features without weight: least_ratio (log-count ratios nearer to zero) and least_texts (n-grams
+that fewer training texts hold). They shape the model; no text and no row is left out by them.
+
+Defined cases: a null text counts as empty and scores like one; repeated rows each get a row; an empty table gives an empty
+result; without labels of both classes every text scores the share of the toxic class (0.5 without any).
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from .common import bound_batches, in_fold, labelled_sample, labelled_texts, mat
 BITS = 18
 SIZES = (3, 4, 5)
 SAMPLE = 20_000
-#: Features whose log-count ratio is nearer to zero than this, or that fewer training texts hold, get no weight.
+#: Defaults of least_ratio and least_texts.
 LEAST_RATIO = 0.4
 LEAST_TEXTS = 5
 DIVISOR, HELD_OUT = 5, 0
@@ -81,7 +87,7 @@ def _counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     return n[0][:-1], n[1][:-1], int(n[0][-1]), int(n[1][-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", least_ratio: float = LEAST_RATIO, least_texts: int = LEAST_TEXTS) -> ToxicityModel:
     """Learn from at most `sample` labelled rows outside the held-out fold.
 
     Without rows of both classes every text scores the share of the toxic class there (0.5 without any).
@@ -93,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str =
         share = rows1 / (rows0 + rows1) if rows0 + rows1 else 0.5
         return ToxicityModel(np.zeros(1 << BITS, dtype=np.float32), float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -40, 40)))
     ratio = np.log((n1 + 1) / (n1.sum() + len(n1))) - np.log((n0 + 1) / (n0.sum() + len(n0)))
-    ratio[(np.abs(ratio) < LEAST_RATIO) | (n0 + n1 < LEAST_TEXTS)] = 0
+    ratio[(np.abs(ratio) < least_ratio) | (n0 + n1 < least_texts)] = 0
     kept = texts.sparkSession.sparkContext.broadcast(ratio != 0)
 
     @F.arrow_udf("binary")
