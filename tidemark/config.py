@@ -80,6 +80,8 @@ class Config:
     verify_edge: float = 5.0
     verify_hd: int = 28
     verify_audio: float = 15.0
+    verify_lag: float = 0.50
+    verify_peak: float = 0.20
     pair_cuts: float = 1.00
     # names
     similar: float = 0.40

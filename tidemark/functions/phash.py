@@ -31,7 +31,8 @@ def block_means(gray: np.ndarray, n: int = GRID) -> np.ndarray:
 def phash(rgb: bytes, width: int, height: int) -> list[int]:
     """256 bits as four signed words: low frequencies above their median."""
     x = np.frombuffer(rgb, dtype=np.uint8).reshape(height, width, 3).astype(np.float64)
-    low = _cosines(GRID, SIZE) @ block_means(x @ np.array([0.299, 0.587, 0.114])) @ _cosines(GRID, SIZE).T
+    # Rounded, so that equal frequencies stay equal whatever the order of the sums.
+    low = np.round(_cosines(GRID, SIZE) @ block_means(x @ np.array([0.299, 0.587, 0.114])) @ _cosines(GRID, SIZE).T, 6)
     bits = np.packbits((low > np.median(low)).ravel())
     return bits.view(">i8").astype(np.int64).tolist()
 

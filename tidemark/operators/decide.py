@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -68,6 +68,26 @@ def render_script(chunks: DataFrame) -> DataFrame:
     return worth.groupBy("pair_id").agg(F.count("*").alias("n_parts"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", part.alias("p")))), lambda x: x["p"]), ";").alias("script"))
 
 
+def render_graph(chunks: DataFrame, media: DataFrame, sample_rate: int = 48000) -> DataFrame:
+    """pair_id, n_parts, graph: the filter graph that plays the chunks worth rendering one after another.
+
+    media: pair_id, width, height, fps_rational of the primary. Each part starts at time zero at the primary's size and rate;
+    fillers are black and silent.
+    """
+    c = chunks.where(((F.col("kind") == "filler") & (F.col("duration") >= 0.030)) | ((F.col("kind") == "target") & (F.col("duration") >= 0.001))).join(media, "pair_id")
+    i = (F.row_number().over(Window.partitionBy("pair_id").orderBy("chunk_no")) - 1).cast("string")
+    span = F.format_string("start=%.6f:end=%.6f", "target_start", "target_end")
+    size = F.concat_ws(":", "width", "height")
+    play = F.concat(F.lit("[0:v]trim="), span, F.lit(",setpts=PTS-STARTPTS,scale="), size, F.lit(":force_original_aspect_ratio=decrease,pad="), size, F.lit(":(ow-iw)/2:(oh-ih)/2,setsar=1,fps="), F.col("fps_rational"), F.lit("[v"), F.col("i"), F.lit("];[0:a]atrim="), span, F.lit(",asetpts=PTS-STARTPTS[a"), F.col("i"), F.lit("]"))
+    length = F.format_string("%.6f", "duration")
+    fill = F.concat(F.lit("color=c=black:s="), F.concat_ws("x", "width", "height"), F.lit(":r="), F.col("fps_rational"), F.lit(":d="), length, F.lit(",setsar=1[v"), F.col("i"), F.lit(f"];anullsrc=r={sample_rate}:cl=stereo,atrim=duration="), length, F.lit("[a"), F.col("i"), F.lit("]"))
+    parts = c.withColumn("i", i).select("pair_id", "chunk_no", "i", F.when(F.col("kind") == "filler", fill).otherwise(play).alias("part"))
+    g = parts.groupBy("pair_id").agg(F.count("*").alias("n_parts"), F.array_sort(F.collect_list(F.struct("chunk_no", "i", "part"))).alias("p"))
+    joined = F.array_join(F.transform("p", lambda x: x["part"]), ";")
+    inputs = F.array_join(F.transform("p", lambda x: F.concat(F.lit("[v"), x["i"], F.lit("][a"), x["i"], F.lit("]"))), "")
+    return g.select("pair_id", "n_parts", F.concat(joined, F.lit(";"), inputs, F.lit("concat=n="), F.col("n_parts").cast("string"), F.lit(":v=1:a=1[v][a]")).alias("graph"))
+
+
 def batch_counts(results: DataFrame) -> DataFrame:
     """succeeded, failed over results with an error column."""
     return results.agg(F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from . import decide, nearest, sampling, stats
+from ..functions.scalar import output_path, time_to_frame
+from . import decide, nearest, pairing, sampling, segments, signals, stats, verify
+from .lineage import written
 
 
 class OffsetEngine(Protocol):
@@ -64,6 +66,86 @@ def sync_pairs(pairs: DataFrame, visual: DataFrame, audio: DataFrame, cuts: Data
     return decide.fallback_cascade(c, cfg).withColumn("error", F.when(F.col("source") == "none", "No match found"))
 
 
+def segment_offsets(pairs: DataFrame, samples: DataFrame, blacks: DataFrame, energy: DataFrame, durations: DataFrame, bin_s: float, cfg: Config = DEFAULT) -> DataFrame:
+    """pair_id, seg_no, target_start, target_end, offset, source, reason: segments with the offset that visual and audio settle on.
+
+    samples: judged samples; durations: pair_id, duration (of the target). Pairs without a dark interval are cut by their
+    samples alone.
+    """
+    dark = blacks.where(F.round(F.col("b_end") - F.col("b_start"), 9) >= cfg.black_min)
+    some = dark.select("pair_id").distinct()
+    cut = segments.segments_with_blacks(samples.join(some, "pair_id", "left_semi"), dark, durations, cfg)
+    plain = segments.segments_from_groups(segments.grouped_samples(samples.join(some, "pair_id", "left_anti"), cfg=cfg), durations)
+    plain = plain.withColumns({"phash_inliers": F.lit(0), "phash_stdev": F.lit(0.0)})
+    segs = written(cut.unionByName(plain))
+    heard = signals.refine_segments(segs.join(pairs, "pair_id"), energy, bin_s, cfg, residual=max(1, round(cfg.refine_residual / bin_s)))
+    settled = decide.adjudicate(segs, heard.select("pair_id", "seg_no", F.col("offset").alias("a_off"), F.col("peak").alias("a_peak")), cfg)
+    return segs.select("pair_id", "seg_no", "target_start", "target_end").join(settled, ["pair_id", "seg_no"])
+
+
+def sync_timeline(pairs: DataFrame, found: DataFrame, samples: DataFrame, blacks: DataFrame, energy: DataFrame, durations: DataFrame, bin_s: float, cfg: Config = DEFAULT, constant_only: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(plans, chunks) of every pair from what the search found to what is played.
+
+    found: pair_id, offset (null: nothing found) as sync_pairs gives it; samples: dense samples; durations: pair_id, duration
+    (target), primary_duration; energy: media_id, bin, rms. plans: pair_id, mode, offset, error; mode is 'segmented' where the
+    offset changes over time (then chunks has the pair's playback chunks, and the offset is null), 'single' with the median of
+    the samples, or what was found without any, and 'none' where nothing was found. constant_only keeps to single offsets.
+    What several steps read (offsets found, judged samples, segments) is written.
+    """
+    found = written(found.select("pair_id", "offset"))
+    judged = written(stats.judged_samples(samples.join(found.where("offset IS NOT NULL").select("pair_id"), "pair_id", "left_semi"), cfg))
+    verdict = stats.triggered(judged, cfg).select("pair_id", "segmented", F.col("offset").alias("better"))
+    if constant_only:
+        verdict = stats.robust_offset(judged, cfg).select("pair_id", F.lit(False).alias("segmented"), F.col("offset").alias("better"))
+    verdict = written(verdict)
+    rows = found.select("pair_id", "offset").join(verdict, "pair_id", "left")
+    many = F.coalesce("segmented", F.lit(False))
+    mode = F.when(F.col("offset").isNull(), "none").when(many, "segmented").otherwise("single")
+    plans = rows.select("pair_id", mode.alias("mode"), F.when(~many, F.coalesce("better", "offset")).alias("offset"), F.when(F.col("offset").isNull(), "No match found").alias("error"))
+    changing = judged.join(verdict.where("segmented").select("pair_id"), "pair_id", "left_semi").drop("despiked")
+    settled = segment_offsets(pairs, changing, blacks, energy, durations, bin_s, cfg)
+    return plans, segments.playback_chunks(settled, durations.select("pair_id", "primary_duration"), cfg)
+
+
+def verify_sync(pairs: DataFrame, frames: DataFrame, energy: DataFrame, primary_cuts: DataFrame, synced_cuts: DataFrame, durations: DataFrame, fps: float, bin_s: float, cfg: Config = DEFAULT) -> DataFrame:
+    """The verification report of aligned pairs: pictures at midpoints, sound by windows, scene cuts paired greedily.
+
+    pairs: pair_id, primary_id, target_id (the synced recording); durations: pair_id, duration, the shorter of the two. A
+    moment without detail in the primary is no sample; one without a near enough picture is counted as unreliable, a window
+    without a clear peak as skipped.
+    """
+    length = durations.select(F.col("pair_id").alias("media_id"), "duration")
+    times = sampling.middle_times(length, cfg.verify_samples, cfg).select(F.col("media_id").alias("pair_id"), "sample_no", time_to_frame(F.col("t"), F.lit(fps)).alias("frame_idx"))
+    swapped = pairs.select("pair_id", F.col("target_id").alias("primary_id"), F.col("primary_id").alias("target_id"))
+    wanted = times.join(pairs.select("pair_id", F.col("primary_id").alias("media_id")), "pair_id")
+    seen = wanted.join(frames, ["media_id", "frame_idx"], "left")
+    clear = seen.where(F.coalesce(F.col("lap_var") > cfg.content, F.lit(True)))
+    refs = clear.where("h0 IS NOT NULL").join(swapped.select("pair_id", "primary_id"), "pair_id")
+    refs = refs.select("pair_id", "primary_id", F.col("sample_no").alias("ref_no"), F.col("frame_idx").alias("ref_frame"), (F.col("frame_idx") / F.lit(fps)).alias("ref_t"), F.col("h0").alias("r0"), F.col("h1").alias("r1"))
+    visual = nearest.verify_visual(refs, frames, fps, cfg)
+    windows = sampling.verify_windows(length, cfg).withColumnRenamed("media_id", "pair_id").join(pairs, "pair_id")
+    audio = signals.drift_windows(windows, energy, bin_s, cfg)
+    matches = verify.pair_cuts(primary_cuts, synced_cuts, cfg.pair_cuts)
+    counts = (verify.unmet(clear, visual, "visual_unreliable"), verify.unmet(windows, audio, "audio_skipped"), verify.scene_counts(primary_cuts, synced_cuts, matches))
+    return verify.verification_report(visual, audio, verify.scene_drift(matches, fps), pairs, fps, counts)
+
+
+def run_batch(files: DataFrame, group: str, engine: OffsetEngine, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(results, leftovers) of all folders at once: files (group, side, id, path) are paired by name and each pair searched.
+
+    results: group, p_id, t_id, score, what the engine gives (its pair_id is the primary's id), output (the path to write) and
+    error, null for success. leftovers: side, id of the files in no pair.
+    """
+    paired = pairing.pair_by_name(files, group, cfg.similar)
+    found = engine(paired.select(F.col("p_id").alias("pair_id"), F.col("p_id").alias("primary_id"), F.col("t_id").alias("target_id")))
+    to = files.where("side = 'target'").select(F.col("id").alias("t_id"), output_path(F.col("path")).alias("output"))
+    rows = paired.join(found.withColumnRenamed("pair_id", "p_id"), "p_id", "left").join(to, "t_id")
+    extra = [c for c in found.columns if c != "pair_id"]
+    lost = F.col("offset").isNull()
+    results = rows.select(group, "p_id", "t_id", "score", *extra, F.when(~lost, F.col("output")).alias("output"), F.when(lost, "No match found").alias("error"))
+    return results, pairing.leftovers(files, paired)
+
+
 def start_tagged(spark: SparkSession, tag: str) -> None:
     """Name the jobs that this thread starts from now on, so that cancel can stop them."""
     spark.addTag(tag)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +25,26 @@ def scan_folder(spark, path: str) -> DataFrame:
     return files.where(is_video(F.col("path"))).orderBy("path")
 
 
-def ingest_list(files: DataFrame) -> DataFrame:
-    """The first of equal paths (id is the order of arrival), videos only."""
+def normal_path(path: Column) -> Column:
+    """The path without empty and '.' steps, '..' taken back; only the text is looked at."""
+    def step(steps: Column, x: Column) -> Column:
+        up = F.when(F.size(steps) > 0, F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0)))).otherwise(steps)
+        return F.when(x.isin("", "."), steps).when(x == "..", up).otherwise(F.array_append(steps, x))
+
+    steps = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    return F.concat(F.when(path.startswith("/"), "/").otherwise(""), F.array_join(steps, "/"))
+
+
+def ingest_list(files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """side, id, path: the first of equal paths (id is the order of arrival), videos only, paths normalised.
+
+    With existing (path), what does not exist is left out, and a path that is a folder stands for the files in it, by name.
+    """
+    files = files.select("side", "id", normal_path(F.col("path")).alias("path"))
+    if existing is not None:
+        there = existing.select(normal_path(F.col("path")).alias("e_path")).distinct().withColumn("e_folder", F.regexp_extract("e_path", r"^(.*)/[^/]*$", 1))
+        within = files.join(there, F.col("path") == F.col("e_folder")).select("side", "id", F.col("e_path").alias("path"))
+        files = files.join(there, F.col("path") == F.col("e_path"), "left_semi").unionByName(within)
     first = F.row_number().over(Window.partitionBy("side", "path").orderBy("id"))
     return files.where(is_video(F.col("path"))).withColumn("n", first).where("n = 1").drop("n")
 
@@ -40,10 +58,11 @@ def zip_lists(files: DataFrame) -> DataFrame:
     return p.join(t, "place").where("primary <> '' AND target <> ''")
 
 
-def greedy_pairs(scores: list[tuple[int, int, float]], least: float) -> list[tuple[int, int, float]]:
+def greedy_pairs(scores: list[tuple[int, int, float]], least: float, refused: frozenset[tuple[int, int]] | None = None) -> list[tuple[int, int, float]]:
     """(primary place, target place, score) rows: each primary in order takes the best target left, the first on ties.
 
-    A pair must score above zero and at least `least`; a primary whose best is lower takes none.
+    A pair must score above zero and at least `least`; a primary whose best is lower takes none. With refused, there is no
+    least score: a primary takes its best unless that pair was refused, and then none.
     """
     by: dict[int, list[tuple[float, int]]] = {}
     for p, t, s in scores:
@@ -51,7 +70,7 @@ def greedy_pairs(scores: list[tuple[int, int, float]], least: float) -> list[tup
     taken, out = set(), []
     for p in sorted(by):
         best = min((x for x in by[p] if x[1] not in taken), default=None)
-        if best and -best[0] > 0 and -best[0] >= least:
+        if best and ((p, best[1]) not in refused if refused is not None else -best[0] > 0 and -best[0] >= least):
             taken.add(best[1])
             out.append((p, best[1], -best[0]))
     return out
@@ -79,9 +98,34 @@ def pair_by_name(files: DataFrame, group: str, least: float = DEFAULT.similar, u
     return scored_names(files, group, ui).groupBy(group).applyInPandas(run, f"{group} {files.schema[group].dataType.simpleString()}, p_id long, t_id long, score double")
 
 
-def auto_sort(files: DataFrame, group: str, cfg: Config = DEFAULT) -> DataFrame:
-    """pair_by_name of the list view, every primary's best, with needs_review for scores below the automatic limit."""
-    return pair_by_name(files, group, 0.0, ui=True).withColumn("needs_review", F.col("score") < cfg.similar_ui)
+def auto_sort(files: DataFrame, group: str, cfg: Config = DEFAULT, refused: DataFrame | None = None) -> DataFrame:
+    """group, place, p_id, t_id, score, needs_review: the target list put beside the primary list of each group.
+
+    Each primary in order takes the best target left. Pairs below the automatic limit need a review; those the reviewer
+    refused (refused: p_id, t_id) leave the primary's place empty and the target free for later ones. Targets left over
+    follow below, without a primary.
+    """
+    scores = scored_names(files, group, ui=True)
+    no = F.lit(False)
+    if refused is not None:
+        marks = refused.select("p_id", "t_id").distinct().withColumn("mark", F.lit(True))
+        no = F.coalesce("mark", no) & (F.col("score") < cfg.similar_ui)
+        scores = scores.join(marks, ["p_id", "t_id"], "left")
+    scores = scores.select(group, "p_id", "p_place", "t_id", "t_place", "score", no.alias("no"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        p, t = dict(zip(pdf["p_place"], pdf["p_id"], strict=True)), dict(zip(pdf["t_place"], pdf["t_id"], strict=True))
+        barred = pdf[pdf["no"]]
+        rows = greedy_pairs(list(zip(pdf["p_place"], pdf["t_place"], pdf["score"], strict=True)), 0.0, frozenset(zip(barred["p_place"], barred["t_place"], strict=True)))
+        return pd.DataFrame({"p_id": [p[r[0]] for r in rows], "t_id": [t[r[1]] for r in rows], "score": [r[2] for r in rows]})
+
+    pairs = scores.groupBy(group).applyInPandas(run, "p_id long, t_id long, score double")
+    used = pairs.select("p_id", "t_id", "score")
+    left = files.where("side = 'primary'").select(group, F.col("id").alias("p_id")).join(used, "p_id", "left").select(group, F.lit(0).alias("below"), "p_id", "t_id", "score")
+    free = files.where("side = 'target'").select(group, F.col("id").alias("t_id")).join(used.select("t_id"), "t_id", "left_anti")
+    rows = left.unionByName(free.select(group, F.lit(1).alias("below"), F.lit(None).cast("long").alias("p_id"), "t_id", F.lit(None).cast("double").alias("score")))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("below", F.coalesce("p_id", "t_id")))
+    return rows.select(group, place.alias("place"), "p_id", "t_id", "score", (F.col("score") < cfg.similar_ui).alias("needs_review"))
 
 
 def leftovers(files: DataFrame, paired: DataFrame) -> DataFrame:

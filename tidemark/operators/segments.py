@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from .lineage import written
 from .stats import upper_median
 
 SAMPLE_TYPES = "pair_id long, id long, target_t double, offset double, hd int, grp int"
@@ -132,10 +133,10 @@ def segments_with_blacks(samples: DataFrame, blacks: DataFrame, durations: DataF
     """pair_id, seg_no, target_start, target_end, offset, phash_inliers, phash_stdev: clusters with boundaries at dark intervals.
 
     A pair with one cluster gets one segment over its length, without statistics; one with fewer than two usable samples, or
-    without a segment left, falls back on the walker by mean.
+    without a segment left, falls back on the walker by mean. The groups are read several times and so are written.
     """
-    raw = grouped_samples(samples, walk_by_median, cfg)
-    grouped = merge_first_single(raw, blacks, cfg)
+    raw = written(grouped_samples(samples, walk_by_median, cfg))
+    grouped = written(merge_first_single(raw, blacks, cfg))
     pair = Window.partitionBy("pair_id")
     w = pair.orderBy("grp")
     c = clusters(grouped).withColumns({"hi": F.lead("first_p").over(w), "k": F.count("*").over(pair), "no": F.row_number().over(w)})

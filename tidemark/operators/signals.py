@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.scalar import peak_band, vertex_of_maximum
+from .lineage import written
 
 
 def rms(pcm: DataFrame, full: int | None = None) -> DataFrame:
@@ -139,27 +140,50 @@ def cut_offset(pairs: DataFrame, cuts: DataFrame, bins: int, bin_s: float, lags:
     return offset_by_signal(ok, cut_signal(cuts, bins, bin_s), lags, bin_s, cfg.cut_bands)
 
 
+def window_offsets(windows: DataFrame, energy: DataFrame, bin_s: float, lags: int, cfg: Config = DEFAULT) -> DataFrame:
+    """name, offset, peak: the lag between the activity of the two sides of each window; no row where a side is too still.
+
+    windows: name (unique), primary_id, target_id, primary_b0, target_b0 (first bins), nb (bins). energy: media_id, bin, rms.
+    The activity threshold is taken anew within each window.
+    """
+    side_id = {side: F.concat_ws(":", "name", F.lit(side)) for side in ("primary", "target")}
+    look = energy.select("media_id", F.col("bin").alias("eb"), "rms")
+    parts = []
+    for side, name in side_id.items():
+        grid = windows.select(name.alias("side_id"), F.col(f"{side}_id").alias("media_id"), F.col(f"{side}_b0").alias("b0"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("bin"))
+        rows = grid.withColumn("eb", F.col("b0") + F.col("bin")).join(look, ["media_id", "eb"], "left")
+        parts.append(rows.select(F.col("side_id").alias("media_id"), "bin", F.coalesce("rms", F.lit(1e-6)).alias("rms")))
+    active = smoothed(activity(parts[0].unionByName(parts[1]), cfg))
+    loud = active.groupBy("media_id").agg(F.avg("v").alias("share")).where(F.col("share") >= cfg.speech).select("media_id")
+    signal = written(centred(active).join(loud, "media_id", "left_semi"))
+    ids = windows.select(F.col("name").alias("pair_id"), side_id["primary"].alias("primary_id"), side_id["target"].alias("target_id"))
+    return offset_by_signal(ids, signal, lags, bin_s, cfg.audio_bands).select(F.col("pair_id").alias("name"), "offset", "peak")
+
+
 def refine_segments(segments: DataFrame, energy: DataFrame, bin_s: float, cfg: Config = DEFAULT, min_length: float | None = None, min_bins: int | None = None, residual: int = 2) -> DataFrame:
     """pair_id, seg_no, offset, peak: the audio offset of each segment, searched around its own.
 
-    segments: pair_id, seg_no, primary_id, target_id, target_start, target_end, offset. energy: media_id, bin, rms. The activity
-    threshold is taken anew within each window. Windows that are too short or too still, and low peaks, have no row.
+    segments: pair_id, seg_no, primary_id, target_id, target_start, target_end, offset. energy: media_id, bin, rms. Windows that
+    are too short or too still, and low peaks, have no row.
     """
     min_length, min_bins = cfg.refine_min_length if min_length is None else min_length, cfg.refine_min_bins if min_bins is None else min_bins
     shift = F.greatest(F.lit(0.0), -(F.col("target_start") + F.col("offset")))
     seg = segments.withColumn("t0", F.col("target_start") + shift).withColumn("t1", F.col("target_end")).where(F.col("t1") - F.col("t0") >= min_length)
     seg = seg.withColumn("nb", F.floor((F.col("t1") - F.col("t0")) / bin_s).cast("long")).where(F.col("nb") >= min_bins)
-    first = {"target": F.floor(F.col("t0") / bin_s).cast("long"), "primary": F.bround((F.col("t0") + F.col("offset")) / bin_s).cast("long")}
-    keys = ["pair_id", "seg_no"]
-    parts = []
-    for side in ("primary", "target"):
-        grid = seg.select(*keys, F.col(f"{side}_id").alias("media_id"), first[side].alias("b0"), "nb").withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-        look = energy.select("media_id", F.col("bin").alias("eb"), "rms")
-        parts.append(grid.withColumn("eb", F.col("b0") + F.col("bin")).join(look, ["media_id", "eb"], "left").select(F.concat_ws(":", "pair_id", "seg_no", F.lit(side)).alias("media_id"), "bin", F.coalesce("rms", F.lit(1e-6)).alias("rms")))
-    active = smoothed(activity(parts[0].unionByName(parts[1]), cfg))
-    loud = active.groupBy("media_id").agg(F.avg("v").alias("share")).where(F.col("share") >= cfg.speech).select("media_id")
-    signal = centred(active).join(loud, "media_id", "left_semi")
-    name = F.concat_ws(":", "pair_id", "seg_no")
-    ids = seg.select(name.alias("pair_id"), F.concat_ws(":", "pair_id", "seg_no", F.lit("primary")).alias("primary_id"), F.concat_ws(":", "pair_id", "seg_no", F.lit("target")).alias("target_id"))
-    found = offset_by_signal(ids, signal, residual, bin_s, cfg.audio_bands).where(F.col("peak") >= cfg.refine_peak)
-    return seg.withColumn("name", name).join(found.select(F.col("pair_id").alias("name"), F.col("offset").alias("residual"), "peak"), "name").select(*keys, (F.col("offset") + F.col("residual")).alias("offset"), "peak")
+    first = {"target_b0": F.floor(F.col("t0") / bin_s).cast("long"), "primary_b0": F.bround((F.col("t0") + F.col("offset")) / bin_s).cast("long")}
+    seg = seg.withColumns(first | {"name": F.concat_ws(":", "pair_id", "seg_no")})
+    found = window_offsets(seg, energy, bin_s, residual, cfg).where(F.col("peak") >= cfg.refine_peak)
+    return seg.join(found.select("name", F.col("offset").alias("residual"), "peak"), "name").select("pair_id", "seg_no", (F.col("offset") + F.col("residual")).alias("offset"), "peak")
+
+
+def drift_windows(windows: DataFrame, energy: DataFrame, bin_s: float, cfg: Config = DEFAULT, min_length: float = 5.0) -> DataFrame:
+    """pair_id, window_no, w_start, w_end, delta_ms, peak: what is left of the offset in each window of an aligned pair.
+
+    windows: pair_id, window_no, primary_id, target_id, w_start, w_end, the same times on both sides. Windows that are too
+    short, too still on a side or without a clear peak within the greatest lag have no row.
+    """
+    w = windows.where(F.col("w_end") - F.col("w_start") >= min_length)
+    b0 = F.floor(F.col("w_start") / bin_s).cast("long")
+    w = w.withColumns({"name": F.concat_ws(":", "pair_id", "window_no"), "primary_b0": b0, "target_b0": b0, "nb": F.floor((F.col("w_end") - F.col("w_start")) / bin_s).cast("long")}).where("nb > 0")
+    found = window_offsets(w, energy, bin_s, max(1, round(cfg.verify_lag / bin_s)), cfg).where(F.col("peak") >= cfg.verify_peak)
+    return w.join(found, "name").select("pair_id", "window_no", "w_start", "w_end", (F.col("offset") * 1000).alias("delta_ms"), "peak")

@@ -56,15 +56,24 @@ def despike(samples: DataFrame, passes: int | None = None, cfg: Config = DEFAULT
     return out
 
 
-def segment_trigger(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """pair_id, n, despiked, spread, segmented, offset: whether the offset changes over time, and the single offset if not."""
+def judged_samples(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """samples (pair_id, id, target_t, offset, hd) with despiked: pairs of enough and widely spread samples lose their lone spikes."""
     raw = spread(samples, cfg).select("pair_id", ((F.col("n") >= 8) & (F.round("spread", 9) > 0.45)).alias("despiked"))
     cleaned = despike(samples, cfg=cfg).select("pair_id", F.col("id").alias("c_id"), F.col("offset").alias("c_offset"))
     used = samples.join(raw, "pair_id").join(cleaned.withColumnRenamed("pair_id", "c_pair"), (F.col("pair_id") == F.col("c_pair")) & (F.col("id") == F.col("c_id")))
-    used = used.select("pair_id", "id", "target_t", F.when(F.col("despiked"), F.col("c_offset")).otherwise(F.col("offset")).alias("offset"), "hd")
+    return used.select("pair_id", "id", "target_t", F.when(F.col("despiked"), F.col("c_offset")).otherwise(F.col("offset")).alias("offset"), "hd", "despiked")
+
+
+def segment_trigger(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """pair_id, n, despiked, spread, segmented, offset: whether the offset changes over time, and the single offset if not."""
+    return triggered(judged_samples(samples, cfg), cfg)
+
+
+def triggered(used: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """segment_trigger of samples that are judged already."""
     wide = spread(used, cfg).select("pair_id", "n", F.when(F.col("n") >= 4, F.col("robust")).otherwise(F.col("spread")).alias("spread"))
     segmented = F.round("spread", 9) > cfg.trigger
-    out = wide.join(raw, "pair_id").join(robust_offset(used, cfg), "pair_id")
+    out = wide.join(used.groupBy("pair_id").agg(F.first("despiked").alias("despiked")), "pair_id").join(robust_offset(used, cfg), "pair_id")
     return out.select("pair_id", "n", "despiked", "spread", segmented.alias("segmented"), F.when(~segmented, F.col("offset")).alias("offset"))
 
 

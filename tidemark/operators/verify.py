@@ -47,17 +47,47 @@ def greedy_matches(p: list[tuple[float, int]], s: list[tuple[float, int]], toler
     return out
 
 
+def cut_stretches(primary: DataFrame, synced: DataFrame, tolerance: float) -> DataFrame:
+    """pair_id, stretch, side (0 primary, 1 synced), id, t: a stretch ends where the next cut is beyond the tolerance, so no match crosses."""
+    both = primary.select("pair_id", F.lit(0).alias("side"), "id", "t").unionByName(synced.select("pair_id", F.lit(1).alias("side"), "id", "t"))
+    w = Window.partitionBy("pair_id").orderBy("t", "side", "id")
+    far = F.coalesce(F.col("t") - F.lag("t").over(w) > tolerance + 1e-6, F.lit(False)).cast("int")
+    return both.where("t IS NOT NULL").withColumn("far", far).withColumn("stretch", F.sum("far").over(w)).drop("far")
+
+
 def pair_cuts(primary: DataFrame, synced: DataFrame, tolerance: float = DEFAULT.pair_cuts) -> DataFrame:
-    """pair_id, p_id, s_id, gap: the greedy one-to-one pairing; a pair's cuts (some hundreds) are walked in one task."""
+    """pair_id, p_id, s_id, p_t, s_t, gap: the greedy one-to-one pairing, walked a stretch of cuts at a time."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = [sorted(zip(x["t"], x["id"], strict=True)) for x in (pdf[pdf["side"] == 0], pdf[pdf["side"] == 1])]
+        rows = greedy_matches(*([(t, i) for i, (t, _) in enumerate(x)] for x in side), tolerance)
+        p, s = [side[0][r[0]] for r in rows], [side[1][r[1]] for r in rows]
+        columns = {"p_id": [x[1] for x in p], "s_id": [x[1] for x in s], "p_t": [x[0] for x in p], "s_t": [x[0] for x in s], "gap": [r[2] for r in rows]}
+        return pd.DataFrame({"pair_id": pdf["pair_id"].iloc[0], **columns})
+
+    out = "pair_id long, p_id long, s_id long, p_t double, s_t double, gap double"
+    return cut_stretches(primary, synced, tolerance).groupBy("pair_id", "stretch").applyInPandas(run, out)
+
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame({"pair_id": [], "p_id": [], "s_id": [], "gap": []})
-        side = [sorted(zip(x["t"], x["id"], strict=True)) for x in (left, right)]
-        rows = greedy_matches(side[0], side[1], tolerance)
-        return pd.DataFrame({"pair_id": left["pair_id"].iloc[0], "p_id": [r[0] for r in rows], "s_id": [r[1] for r in rows], "gap": [r[2] for r in rows]})
+def scene_drift(matches: DataFrame, fps: float) -> DataFrame:
+    """matches of pair_cuts with delta_frames and delta_ms: how much later the synced cut comes, negative if earlier."""
+    late = F.round(F.col("s_t") - F.col("p_t"), 6)
+    return matches.withColumns({"delta_frames": late * fps, "delta_ms": late * 1000})
 
-    return primary.groupBy("pair_id").cogroup(synced.groupBy("pair_id")).applyInPandas(run, "pair_id long, p_id long, s_id long, gap double")
+
+def scene_counts(primary: DataFrame, synced: DataFrame, matches: DataFrame) -> DataFrame:
+    """pair_id, cuts_primary, cuts_synced, unmatched_primary, unmatched_synced of every pair with a cut."""
+    one, none = F.lit(1), F.lit(0)
+    rows = primary.select("pair_id", one.alias("p"), none.alias("s"), none.alias("m")).unionByName(synced.select("pair_id", none.alias("p"), one.alias("s"), none.alias("m")))
+    rows = rows.unionByName(matches.select("pair_id", none.alias("p"), none.alias("s"), one.alias("m")))
+    g = rows.groupBy("pair_id").agg(F.sum("p").alias("cuts_primary"), F.sum("s").alias("cuts_synced"), F.sum("m").alias("m"))
+    return g.select("pair_id", "cuts_primary", "cuts_synced", (F.col("cuts_primary") - F.col("m")).alias("unmatched_primary"), (F.col("cuts_synced") - F.col("m")).alias("unmatched_synced"))
+
+
+def unmet(wanted: DataFrame, met: DataFrame, column: str) -> DataFrame:
+    """pair_id and, under the given name, how many of a pair's wanted rows (references, windows) have no row in met."""
+    rows = wanted.select("pair_id", F.lit(1).alias("n")).unionByName(met.select("pair_id", F.lit(-1).alias("n")))
+    return rows.groupBy("pair_id").agg(F.sum("n").alias(column))
 
 
 def drift_summary(drift: DataFrame, fps: float) -> DataFrame:
@@ -90,14 +120,18 @@ def write_report(lines: DataFrame, path: str) -> None:
     lines.repartition("pair_id").sortWithinPartitions("pair_id", "line_no").select("pair_id", F.col("line").alias("value")).write.partitionBy("pair_id").mode("overwrite").text(path)
 
 
-def verification_report(visual: DataFrame, audio: DataFrame, scene: DataFrame, pairs: DataFrame, fps: float) -> DataFrame:
-    """One row a pair: counts and greatest drifts of the three checks (0 without samples) and the issues."""
+def verification_report(visual: DataFrame, audio: DataFrame, scene: DataFrame, pairs: DataFrame, fps: float, counts: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """One row a pair: counts and greatest drifts of the three checks (0 without samples) and the issues.
+
+    visual: verify_visual; audio: signals.drift_windows; scene: scene_drift; counts: tables keyed by pair whose columns (what
+    the checks left out) join the report, 0 where a pair has no row.
+    """
     v = drift_summary(visual, fps).select("pair_id", F.col("n").alias("visual_n"), F.col("max_ms").alias("visual_ms"), F.col("within_half").alias("visual_half"))
     a = audio.groupBy("pair_id").agg(F.count("*").alias("audio_n"), F.max(F.abs("delta_ms")).alias("audio_ms"))
     s = drift_summary(scene, fps).select("pair_id", F.col("n").alias("scene_n"), F.col("max_ms").alias("scene_ms"))
     rows = pairs.select("pair_id").withColumn("fps", F.lit(fps))
-    for part in (v, a, s):
+    for part in (v, a, s, *counts):
         rows = rows.join(part, "pair_id", "left")
     out = rows.join(drift_issues(rows), "pair_id")
-    counts = [c for c in out.columns if c.endswith("_n") and c != "n_issues"]
-    return out.na.fill(0, counts).na.fill(0.0, [c for c in out.columns if c.endswith(("_ms", "_half"))]).drop("fps")
+    whole = [c for c in out.columns if c.endswith("_n") and c != "n_issues"] + [c for t in counts for c in t.columns if c != "pair_id"]
+    return out.na.fill(0, whole).na.fill(0.0, [c for c in out.columns if c.endswith(("_ms", "_half"))]).drop("fps")

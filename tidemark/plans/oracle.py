@@ -53,33 +53,53 @@ EDGE = "CASE WHEN duration <= 11 THEN 0e0 ELSE 5e0 END"
 
 ENERGY = f"{EV}, en AS (SELECT event_type AS media_id, floor(t / 3600)::BIGINT AS bin, sqrt(avg(value * value) + 1e-12) AS rms FROM ev GROUP BY ALL)"
 GRID = "g AS (SELECT media_id, range AS bin FROM (SELECT DISTINCT media_id FROM en), range(720))"
-ACTIVE = f"""{ENERGY}, {GRID}, lv AS (SELECT g.media_id, g.bin, log10(coalesce(rms, 0) + 1e-6) AS level FROM g LEFT JOIN en USING (media_id, bin)),
-cu AS (SELECT media_id, quantile_cont(level, 0.3) AS a, quantile_cont(level, 0.9) AS b FROM lv GROUP BY media_id),
+THRESHOLD = """cu AS (SELECT media_id, quantile_cont(level, 0.3) AS a, quantile_cont(level, 0.9) AS b FROM lv GROUP BY media_id),
 ac AS (SELECT media_id, bin, (round(level, 9) > round(a + 0.5e0 * (b - a), 9))::INT::DOUBLE AS v FROM lv JOIN cu USING (media_id))"""
+ACTIVE = f"""{ENERGY}, {GRID}, lv AS (SELECT g.media_id, g.bin, log10(coalesce(rms, 0) + 1e-6) AS level FROM g LEFT JOIN en USING (media_id, bin)), {THRESHOLD}"""
 _NB = "OVER (PARTITION BY media_id ORDER BY bin)"
-SMOOTH = f"""{ACTIVE}, s1 AS (SELECT media_id, bin, CASE WHEN v = 0 AND lag(v) {_NB} = 1 AND lead(v) {_NB} = 1 THEN 1e0 ELSE v END AS v FROM ac),
+SMOOTHED = f"""s1 AS (SELECT media_id, bin, CASE WHEN v = 0 AND lag(v) {_NB} = 1 AND lead(v) {_NB} = 1 THEN 1e0 ELSE v END AS v FROM ac),
 s2 AS (SELECT media_id, bin, CASE WHEN v = 1 AND lag(v) {_NB} = 0 AND lead(v) {_NB} = 0 THEN 0e0 ELSE v END AS v FROM s1),
 sg AS (SELECT media_id, bin, v - avg(v) OVER (PARTITION BY media_id) AS v FROM s2)"""
+SMOOTH = f"{ACTIVE}, {SMOOTHED}"
 CUTS = f"""{EV}, ct AS (SELECT event_type AS media_id, t FROM ev),
 hi AS (SELECT DISTINCT media_id, round_even(t / 3600, 0)::BIGINT AS bin FROM ct WHERE round_even(t / 3600, 0) BETWEEN 0 AND 719),
 hg AS (SELECT media_id, g.bin, (hi.bin IS NOT NULL)::INT::DOUBLE AS v FROM (SELECT media_id, range AS bin FROM (SELECT DISTINCT media_id FROM hi), range(720)) g LEFT JOIN hi USING (media_id, bin))"""
 CUTS_SMOOTH = f"""{CUTS}, ks AS (SELECT media_id, bin, (v + 0.25e0 * coalesce(lag(v, 2) {_NB}, 0) + 0.5e0 * coalesce(lag(v, 1) {_NB}, 0) + 0.5e0 * coalesce(lead(v, 1) {_NB}, 0) + 0.25e0 * coalesce(lead(v, 2) {_NB}, 0)) / 2.5e0 AS v FROM hg),
 sg AS (SELECT media_id, bin, v - avg(v) OVER (PARTITION BY media_id) AS v FROM ks)"""
 _KINDS = "['click', 'error', 'purchase', 'signup', 'view']"
-LAGGED = f"""sp AS (SELECT range AS pair_id, {_KINDS}[range + 1] AS primary_id, {_KINDS}[(range + 1) % 5 + 1] AS target_id FROM range(5)),
-xc AS (SELECT pair_id, l.range AS lag, sum(coalesce(a.v * b.v, 0)) AS x FROM sp CROSS JOIN range(-25, 26) l JOIN sg b ON b.media_id = sp.target_id LEFT JOIN sg a ON a.media_id = sp.primary_id AND a.bin = b.bin + l.range GROUP BY ALL),
+SIGNAL_PAIRS = f"sp AS (SELECT range AS pair_id, {_KINDS}[range + 1] AS primary_id, {_KINDS}[(range + 1) % 5 + 1] AS target_id FROM range(5))"
+
+
+def _lagged(lags: int) -> str:
+    """CTEs from sp (pairs) and sg (signals) to bl: the best lag of a pair."""
+    return f"""xc AS (SELECT pair_id, l.range AS lag, sum(coalesce(a.v * b.v, 0)) AS x FROM sp CROSS JOIN range({-lags - 1}, {lags + 2}) l JOIN sg b ON b.media_id = sp.target_id LEFT JOIN sg a ON a.media_id = sp.primary_id AND a.bin = b.bin + l.range GROUP BY ALL),
 xr AS (SELECT pair_id, lag, round(x, 9) AS x FROM xc),
-pk AS (SELECT pair_id, lag, x FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY x DESC, lag) AS k FROM xr WHERE abs(lag) <= 24) WHERE k = 1),
+pk AS (SELECT pair_id, lag, x FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY x DESC, lag) AS k FROM xr WHERE abs(lag) <= {lags}) WHERE k = 1),
 pv AS (SELECT pk.pair_id, pk.lag, pk.x, b.x AS bf, a.x AS af FROM pk LEFT JOIN xr b ON b.pair_id = pk.pair_id AND b.lag = pk.lag - 1 LEFT JOIN xr a ON a.pair_id = pk.pair_id AND a.lag = pk.lag + 1),
 bl AS (SELECT pair_id, lag, x, (lag + coalesce(CASE WHEN abs(bf - 2 * x + af) >= 1e-12 THEN greatest(-1e0, least(1e0, 0.5e0 * (bf - af) / (bf - 2 * x + af))) END, 0)) * 3600e0 AS o FROM pv),
 pw AS (SELECT media_id, sum(v * v) AS e FROM sg GROUP BY media_id)"""
 
 
+LAGGED = f"{SIGNAL_PAIRS}, {_lagged(24)}"
+
+
 def _by_signal(hi: float, mid: float, where: str = "true") -> str:
     return f"""SELECT pair_id, lag, round(o, 6) + 0e0 AS "offset", round(peak, 6) AS peak, CASE WHEN peak >= {hi}e0 THEN 'high' WHEN peak >= {mid}e0 THEN 'medium' ELSE 'low' END AS confidence FROM (
 SELECT bl.pair_id, bl.lag, o, round(greatest(0, least(1, x / (sqrt(a.e * b.e) + 1e-12))), 9) AS peak, primary_id, target_id FROM bl JOIN sp USING (pair_id) JOIN pw a ON a.media_id = primary_id JOIN pw b ON b.media_id = target_id) WHERE {where}"""
 
 
+WINDOWED = f"""lv AS (SELECT name || ':' || side AS media_id, x.bin, log10(coalesce(rms, 1e-6) + 1e-6) AS level FROM (SELECT name, side, b0, src, unnest(range(nb)) AS bin FROM
+(SELECT name, 'p' AS side, pb AS b0, primary_id AS src, nb FROM wi UNION ALL SELECT name, 't', tb, target_id, nb FROM wi)) x LEFT JOIN en ON en.media_id = src AND en.bin = b0 + x.bin), {THRESHOLD}, {SMOOTHED},
+sp AS (SELECT name AS pair_id, name || ':p' AS primary_id, name || ':t' AS target_id FROM wi), {_lagged(2)}, ld AS (SELECT media_id FROM s2 GROUP BY media_id HAVING avg(v) >= 0.05e0),
+wo AS (SELECT bl.pair_id AS name, o, round(greatest(0, least(1, x / (sqrt(a.e * b.e) + 1e-12))), 9) AS peak FROM bl JOIN sp USING (pair_id) JOIN pw a ON a.media_id = primary_id JOIN pw b ON b.media_id = target_id
+WHERE primary_id IN (SELECT media_id FROM ld) AND target_id IN (SELECT media_id FROM ld))"""
+REFINED = f"""{ENERGY}, s0 AS (SELECT pair_id, seg_no.range AS seg_no, primary_id, target_id, seg_no.range * 720000e0 AS t0, (seg_no.range + 1) * 720000e0 AS t1, (pair_id - 2) * 3600e0 AS off FROM (WITH {SIGNAL_PAIRS} SELECT * FROM sp), range(3) seg_no),
+sx AS (SELECT * REPLACE (t0 + greatest(0, -(t0 + off)) AS t0) FROM s0),
+wi AS (SELECT *, pair_id || ':' || seg_no AS name, round_even((t0 + off) / 3600, 0)::BIGINT AS pb, floor(t0 / 3600)::BIGINT AS tb, floor((t1 - t0) / 3600)::BIGINT AS nb FROM sx WHERE t1 - t0 >= 30 AND floor((t1 - t0) / 3600) >= 50), {WINDOWED}"""
+DRIFTED = f"""{ENERGY}, wi AS (SELECT pair_id, w.range AS window_no, primary_id, target_id, pair_id || ':' || w.range AS name, 5 + w.range * 48 AS pb, 5 + w.range * 48 AS tb, 48 AS nb FROM (WITH {SIGNAL_PAIRS} SELECT * FROM sp), range(14) w), {WINDOWED},
+dw AS (SELECT pair_id, window_no, pb * 3600e0 AS w_start, (pb + 48) * 3600e0 AS w_end, o * 1000 AS delta_ms, peak FROM wi JOIN wo USING (name) WHERE peak >= 0.02e0)"""
+
+
 def _samples(noisy: bool) -> str:
     o = "value / 100" if noisy else "floor(t / 864000) * 0.4e0 + value / 10000"
     return f"{EV}, s AS (SELECT user_id % 10 AS pair_id, event_id AS id, t AS target_t, round({o}, 6) AS o, event_id % 17 AS hd FROM ev)"
@@ -122,6 +142,12 @@ CONS = f"{CAND}, {CONS_TAIL}"
 CASCADE_TAIL = """fc AS (SELECT *, CASE WHEN overridden THEN 'consensus' WHEN v_off IS NOT NULL THEN 'visual' WHEN coalesce(c_peak >= 0.3e0, false) AND c_off IS NOT NULL THEN 'cut' WHEN coalesce(a_peak >= 0.35e0, false) AND a_off IS NOT NULL THEN 'audio' ELSE 'none' END AS source FROM cn)"""
 CASCADE = f"{CONS}, {CASCADE_TAIL}"
 NEAR = f"""{EV}, nc AS (SELECT p.user_id AS pair_id, p.event_id AS p_id, p.t AS p_t, s.event_id AS s_id, s.t AS s_t, round(abs(p.t - s.t), 6) AS gap FROM ev p JOIN ev s ON p.user_id = s.user_id AND p.event_type = 'click' AND s.event_type = 'view' WHERE round(abs(p.t - s.t), 6) <= 3600)"""
+GREEDY = f"""{NEAR}, gc AS (SELECT pair_id, p_id, p_t, list({{'s': s_id, 'st': s_t, 'g': gap}} ORDER BY gap, s_t, s_id) AS c, row_number() OVER (PARTITION BY pair_id ORDER BY p_t, p_id) AS k FROM nc GROUP BY pair_id, p_id, p_t),
+gw AS (SELECT DISTINCT pair_id, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS p_id, NULL::DOUBLE AS p_t, NULL::STRUCT(s BIGINT, st DOUBLE, g DOUBLE) AS b FROM gc
+UNION ALL SELECT pair_id, k, CASE WHEN b IS NULL THEN taken ELSE list_append(taken, b.s) END, p_id, p_t, b FROM (SELECT gc.pair_id, gc.k, taken, gc.p_id, gc.p_t, list_filter(c, lambda x: NOT list_contains(taken, x.s))[1] AS b FROM gw JOIN gc ON gc.pair_id = gw.pair_id AND gc.k = gw.k + 1) z),
+gm AS (SELECT pair_id, p_id, b.s AS s_id, p_t, b.st AS s_t, b.g AS gap, round(b.st - p_t, 6) AS late FROM gw WHERE b IS NOT NULL),
+gn AS (SELECT user_id AS pair_id, count(*) FILTER (event_type = 'click') AS cp, count(*) FILTER (event_type = 'view') AS cs FROM ev WHERE event_type IN ('click', 'view') GROUP BY user_id),
+gk AS (SELECT gn.pair_id, cp AS cuts_primary, cs AS cuts_synced, cp - coalesce(m, 0) AS unmatched_primary, cs - coalesce(m, 0) AS unmatched_synced FROM gn LEFT JOIN (SELECT pair_id, count(*) AS m FROM gm GROUP BY pair_id) USING (pair_id))"""
 DRIFT = f"""{EV}, dr AS (SELECT user_id % 10 AS pair_id, event_id AS id, t, round(value / 100 - 0.5e0, 6) AS df FROM ev),
 ds AS (SELECT pair_id, count(*) AS n, max(abs(df)) AS mx, avg(abs(df)) AS mean, max(abs(df)) * 1000 / 24e0 AS ms, avg((abs(df) <= 0.5e0)::INT) AS half FROM dr GROUP BY pair_id)"""
 
@@ -258,13 +284,23 @@ bo AS (SELECT xo.*, CASE WHEN hi IS NOT NULL THEN coalesce(mid, (last_p + hi) /
 sg AS (SELECT bo.pair_id, no, k, boundary, lag(boundary) OVER (PARTITION BY bo.pair_id ORDER BY no) AS bef, xs.o, inl, sd FROM bo JOIN xs USING (pair_id, grp)),
 sa AS (SELECT *, CASE WHEN no = 1 THEN 0e0 ELSE greatest(0e0, bef - o) END AS a FROM sg WHERE k > 1), sb AS (SELECT *, least(2592000e0, CASE WHEN no = k THEN 2592000e0 ELSE greatest(a + 0.001e0, boundary - o) END) AS b FROM sa)
 SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY a, b) - 1 AS seg_no, round(a, 6) AS target_start, round(b, 6) AS target_end, round(o, 6) AS "offset", inl AS phash_inliers, round(sd, 6) AS phash_stdev FROM sb WHERE b > a""",
-    "verification_report": f"""WITH {_VISUAL}, {SMOOTH}, {LAGGED}, {NEAR.removeprefix(EV + ', ')}, vd AS (SELECT pair_id, count(*) AS n, max(abs(frame_idx + shift - ref_t * 24)) * 1000 / 24e0 AS ms, avg((abs(frame_idx + shift - ref_t * 24) <= 0.5e0)::INT) AS half FROM b GROUP BY pair_id),
-ad AS (SELECT pair_id, count(*) AS n, max(abs(round(o, 6) / 3600 * 10)) AS ms FROM bl GROUP BY pair_id),
-mu AS (SELECT pair_id, gap FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, p_id ORDER BY gap, s_t, s_id) AS x, row_number() OVER (PARTITION BY pair_id, s_id ORDER BY gap, p_t, p_id) AS y FROM nc) WHERE x = 1 AND y = 1),
-sd AS (SELECT pair_id, count(*) AS n, max(gap / 3600) * 1000 / 24e0 AS ms FROM mu GROUP BY pair_id),
-al AS (SELECT p.pair_id, vd.n AS vn, vd.ms AS vm, vd.half, ad.n AS an, ad.ms AS am, sd.n AS sn, sd.ms AS sm FROM p LEFT JOIN vd USING (pair_id) LEFT JOIN ad USING (pair_id) LEFT JOIN sd USING (pair_id)),
+    "verification_report": f"""WITH {_VISUAL}, gm AS (WITH RECURSIVE {GREEDY} SELECT * FROM gm), gk AS (WITH RECURSIVE {GREEDY} SELECT * FROM gk), dw AS (WITH {DRIFTED} SELECT pair_id, round(delta_ms, 6) AS delta_ms FROM dw),
+vd AS (SELECT pair_id, count(*) AS n, max(abs(frame_idx + shift - ref_t * 24)) * 1000 / 24e0 AS ms, avg((abs(frame_idx + shift - ref_t * 24) <= 0.5e0)::INT) AS half FROM b GROUP BY pair_id),
+ad AS (SELECT pair_id, count(*) AS n, max(abs(delta_ms / 360000)) AS ms FROM dw GROUP BY pair_id),
+sd AS (SELECT pair_id, count(*) AS n, max(abs(late / 3600)) * 1000 / 24e0 AS ms FROM gm GROUP BY pair_id),
+al AS (SELECT p.pair_id, vd.n AS vn, vd.ms AS vm, vd.half, ad.n AS an, ad.ms AS am, sd.n AS sn, sd.ms AS sm, gk.* EXCLUDE pair_id FROM p LEFT JOIN vd USING (pair_id) LEFT JOIN ad USING (pair_id) LEFT JOIN sd USING (pair_id) LEFT JOIN gk USING (pair_id)),
 il AS (SELECT *, list_filter([CASE WHEN vm > 500 / 24e0 THEN printf('visual max %.2f ms (thr %.2f ms)', round(vm, 2), 20.83e0) END, CASE WHEN am > 1000 / 24e0 THEN printf('audio max %.2f ms (thr %.2f ms)', round(am, 2), 41.67e0) END, CASE WHEN sm > 500 / 24e0 THEN printf('scene-cut max %.2f ms (thr %.2f ms)', round(sm, 2), 20.83e0) END], lambda i: i IS NOT NULL) AS i FROM al)
-SELECT pair_id, coalesce(vn, 0) AS visual_n, round(coalesce(vm, 0e0), 6) AS visual_ms, round(coalesce(half, 0e0), 6) AS visual_half, coalesce(an, 0) AS audio_n, round(coalesce(am, 0e0), 6) AS audio_ms, coalesce(sn, 0) AS scene_n, round(coalesce(sm, 0e0), 6) AS scene_ms, len(i) AS n_issues, coalesce(array_to_string(i, '; '), '') AS issues FROM il""",
+SELECT pair_id, coalesce(vn, 0) AS visual_n, round(coalesce(vm, 0e0), 6) AS visual_ms, round(coalesce(half, 0e0), 6) AS visual_half, coalesce(an, 0) AS audio_n, round(coalesce(am, 0e0), 6) AS audio_ms, coalesce(sn, 0) AS scene_n, round(coalesce(sm, 0e0), 6) AS scene_ms,
+coalesce(cuts_primary, 0) AS cuts_primary, coalesce(cuts_synced, 0) AS cuts_synced, coalesce(unmatched_primary, 0) AS unmatched_primary, coalesce(unmatched_synced, 0) AS unmatched_synced, len(i) AS n_issues, coalesce(array_to_string(i, '; '), '') AS issues FROM il""",
+    "audio_drift_windows": f"WITH {DRIFTED} SELECT pair_id, window_no, round(w_start, 6) AS w_start, round(w_end, 6) AS w_end, round(delta_ms, 6) + 0e0 AS delta_ms, round(peak, 6) AS peak FROM dw",
+    "segment_audio_refine": f"WITH {REFINED} SELECT pair_id, seg_no, round(off + o, 6) + 0e0 AS \"offset\", round(peak, 6) AS peak FROM wi JOIN wo USING (name) WHERE peak >= 0.02e0",
+    "cut_greedy_pairing": f"WITH RECURSIVE {GREEDY} SELECT pair_id, p_id, s_id, round(p_t, 6) AS p_t, round(s_t, 6) AS s_t, round(gap, 6) AS gap, round(late * (24e0 / 3600e0), 6) + 0e0 AS delta_frames, round(late * 1000, 6) + 0e0 AS delta_ms FROM gm",
+    "scene_counts": f"WITH RECURSIVE {GREEDY} SELECT * FROM gk",
+    "pcm_windows": f"WITH {EV}, pc AS (SELECT event_type AS media_id, event_id AS i, round(value * 10)::INT / 32768e0 AS amp FROM ev), w AS (SELECT media_id, n.range AS window_no, (n.range + 1) * 125 AS lo FROM (SELECT unnest({_KINDS}) AS media_id), range(3) n) SELECT w.media_id, window_no, nullif(count(i), 0) AS n, round(sum(amp), 6) AS total FROM w LEFT JOIN pc ON pc.media_id = w.media_id AND window_no < 2 AND i >= lo AND i < lo + 125 GROUP BY ALL",
+    "render_graph": f"""WITH {CHUNKS}, w AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY chunk_no) - 1 AS i, printf('start=%.6f:end=%.6f', target_start, target_end) AS span FROM ck WHERE (kind = 'filler' AND duration >= 0.03e0) OR (kind = 'target' AND duration >= 0.001e0)),
+x AS (SELECT *, CASE kind WHEN 'filler' THEN 'color=c=black:s=1920x1080:r=24000/1001:d=' || printf('%.6f', duration) || ',setsar=1[v' || i || '];anullsrc=r=48000:cl=stereo,atrim=duration=' || printf('%.6f', duration) || '[a' || i || ']'
+ELSE '[0:v]trim=' || span || ',setpts=PTS-STARTPTS,scale=1920:1080:force_original_aspect_ratio=decrease,pad=1920:1080:(ow-iw)/2:(oh-ih)/2,setsar=1,fps=24000/1001[v' || i || '];[0:a]atrim=' || span || ',asetpts=PTS-STARTPTS[a' || i || ']' END AS part FROM w)
+SELECT pair_id::BIGINT AS pair_id, count(*) AS n_parts, string_agg(part, ';' ORDER BY chunk_no) || ';' || string_agg('[v' || i || '][a' || i || ']', '' ORDER BY chunk_no) || 'concat=n=' || count(*) || ':v=1:a=1[v][a]' AS graph FROM x GROUP BY pair_id""",
     "black_blocking_semi": f"WITH {BLACKS}, {GAPS} SELECT pair_id, gap_no FROM gp WHERE EXISTS (SELECT 1 FROM bk WHERE bk.pair_id = gp.pair_id AND round(b_end - b_start, 9) >= 0.5e0 AND lo < (b_start + b_end) / 2 AND (b_start + b_end) / 2 < hi)",
     "black_boundary_score": f"""WITH {BLACKS}, {GAPS}, sc AS (SELECT pair_id, b_start, (b_start + b_end) / 2 AS mid, round((b_end - b_start) * greatest(1, least(600, coalesce(b_start - lag(b_end) OVER w, 600), coalesce(lead(b_start) OVER w - b_end, 600))), 9) AS score FROM bk WINDOW w AS (PARTITION BY pair_id ORDER BY b_start, b_end)),
 bs AS (SELECT gp.pair_id, gap_no, mid, row_number() OVER (PARTITION BY gp.pair_id, gap_no ORDER BY score DESC, b_start) AS k FROM gp JOIN sc ON sc.pair_id = gp.pair_id AND lo < mid AND mid < hi)
@@ -296,7 +332,7 @@ UNION ALL SELECT pair_id, 1, t, id, {_timecode('t')} || ' ' || printf('%+.2f', r
     "name_levenshtein_topk": f"WITH {DISTANCE} SELECT folder, p_id, rank, t_id, distance::BIGINT AS distance FROM lk WHERE rank <= 2",
     "pairs_zip": f"WITH {NAMES}, z AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY id) AS place FROM nm) SELECT p.place, p.path AS \"primary\", t.path AS target FROM z p JOIN z t ON p.place = t.place AND p.side = 'primary' AND t.side = 'target'",
     "pairs_leftover_anti": f"WITH {DISTANCE}, u AS (SELECT unnest([p_id, t_id]) AS id FROM lk WHERE rank = 1 AND distance <= 1) SELECT side, id FROM nm WHERE id NOT IN (SELECT id FROM u)",
-    "list_ingest": f"WITH {NAMES} SELECT side, min(id) AS id, path FROM nm WHERE {VIDEO} GROUP BY side, path",
+    "list_ingest": f"WITH {NAMES} SELECT side, min(id) AS id, path FROM (SELECT side, id, path FROM nm UNION ALL SELECT 'primary', -1, path FROM nm) WHERE {VIDEO} GROUP BY side, path",
     "extension_filter": f"WITH {NAMES} SELECT id, path FROM nm WHERE {VIDEO}",
     "output_path": rf"WITH {NAMES} SELECT id, regexp_replace(path, '(\.[^./]*)$', '_synced\1') AS out FROM nm",
     "probe_json": f"WITH {PROBE} SELECT media_id, duration, round(fps, 6) AS fps, fps_rational, total_frames, width, height, has_audio, codec_name, audio_codec, audio_sample_rate, error FROM pd",

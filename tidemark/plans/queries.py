@@ -401,6 +401,12 @@ def preview_plan(s, d):
     return rounded(decide.preview_plan(_media(s, d).select(F.col("media_id").alias("pair_id"), (F.col("duration") % 50).alias("primary_duration"))))
 
 
+@query
+def render_graph(s, d):
+    media = _primary(s).select("pair_id", F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit("24000/1001").alias("fps_rational"))
+    return rounded(decide.render_graph(segments.playback_chunks(_segments(s), _primary(s)), media))
+
+
 @query
 def batch_counts(s, d):
     f = decide.fallback_cascade(_candidates(s, d))
@@ -409,10 +415,10 @@ def batch_counts(s, d):
 
 @query
 def process_batch(s, d):
-    """Name pairs of every folder, an offset for each by the pair's recording, errors as a column."""
-    pairs = pairing.pair_by_name(a.names(s, d), "folder")
+    """Name pairs of every folder; a pair's offset is that of the recording numbered by the last digit of its primary."""
     offsets = nn_coarse_fine(s, d).select(F.col("pair_id").alias("slot"), "offset", "confidence")
-    return rounded(pairs.withColumn("slot", F.col("p_id") % 10).join(offsets, "slot", "left").select("folder", "p_id", "t_id", "score", "offset", "confidence", F.when(F.col("offset").isNull(), "No match found").alias("error")))
+    engine = lambda pairs: pairs.withColumn("slot", F.col("primary_id") % 10).join(offsets, "slot").select("pair_id", "offset", "confidence")
+    return rounded(flow.run_batch(a.names(s, d), "folder", engine)[0])
 
 
 @query
@@ -447,9 +453,53 @@ def cut_mutual_nn(s, d):
     return rounded(verify.mutual_cuts(a.cuts(s, d, "click"), a.cuts(s, d, "view"), HOUR))
 
 
+def _matches(s: SparkSession, d: str) -> DataFrame:
+    return verify.pair_cuts(a.cuts(s, d, "click"), a.cuts(s, d, "view"), HOUR)
+
+
 @query
 def cut_greedy_pairing(s, d):
-    return rounded(verify.pair_cuts(a.cuts(s, d, "click"), a.cuts(s, d, "view"), HOUR))
+    return rounded(verify.scene_drift(_matches(s, d), FPS / HOUR))
+
+
+@query
+def scene_counts(s, d):
+    return verify.scene_counts(a.cuts(s, d, "click"), a.cuts(s, d, "view"), _matches(s, d))
+
+
+#: Windows of two days among hourly bins, five hours from either end.
+WINDOWS = replace(DEFAULT, verify_edge=5 * HOUR, verify_audio=48 * HOUR, verify_lag=2 * HOUR, verify_peak=0.02)
+
+
+@query
+def audio_drift_windows(s, d):
+    pairs = a.signal_pairs(s)
+    media = pairs.select(F.col("pair_id").alias("media_id"), F.lit(a.BINS * HOUR).alias("duration"))
+    windows = sampling.verify_windows(media, WINDOWS).withColumnRenamed("media_id", "pair_id").join(pairs, "pair_id")
+    return rounded(signals.drift_windows(windows, signals.rms(a.energy(s, d)), HOUR, WINDOWS))
+
+
+@query
+def verify_sync(s, d):
+    """Frames, energy and cuts on one clock: a frame and a bin an hour."""
+    f, pairs = a.frames(s, d), a.pair_table(s)
+    n = f.groupBy("media_id").agg(F.count("*").alias("n"))
+    length = pairs.join(n.select(F.col("media_id").alias("primary_id"), F.col("n").alias("p")), "primary_id").join(n.select(F.col("media_id").alias("target_id"), F.col("n").alias("t")), "target_id")
+    energy = signals.rms(a.events(s, d).select((F.col("user_id") % 10).alias("media_id"), F.floor(F.col("t") / HOUR).cast("long").alias("bin"), F.col("value").alias("amp")))
+    cfg = replace(WINDOWS, verify_samples=40, verify_window=6 * HOUR, pair_cuts=HOUR, content=30.0)
+    durations = length.select("pair_id", (F.least("p", "t") * HOUR).alias("duration"))
+    return rounded(flow.verify_sync(pairs, f, energy, a.cuts(s, d, "click"), a.cuts(s, d, "view"), durations, 1 / HOUR, HOUR, cfg))
+
+
+@query
+def sync_timeline(s, d):
+    """From what the search finds to what is played, for ten pairs of kinds of event."""
+    kinds = a.signal_pairs(s).select(F.col("pair_id").alias("slot"), "primary_id", "target_id")
+    pairs = s.range(10).select(F.col("id").alias("pair_id"), (F.col("id") % 5).alias("slot")).join(kinds, "slot").drop("slot")
+    durations = _durations(s).withColumn("primary_duration", F.col("duration") - F.col("pair_id") * HOUR)
+    cfg = replace(DEFAULT, refine_peak=0.02, refine_residual=2 * HOUR, audio_quality=0.05, audio_reach=3 * HOUR)
+    plans, chunks = flow.sync_timeline(pairs, sync_pairs(s, d), a.samples(s, d), a.blacks(s, d), signals.rms(a.energy(s, d)), durations, HOUR, cfg)
+    return rounded(plans.join(chunks, "pair_id", "left"))
 
 
 @query
@@ -471,9 +521,10 @@ def report_lines(s, d):
 @query
 def verification_report(s, d):
     visual = nearest.verify_visual(_refs(s, d, F.lit(True)), a.frames(s, d), FPS, CFG, 28).select("pair_id", "delta_frames")
-    audio = audio_offset(s, d).select("pair_id", (F.col("offset") / HOUR * 10).alias("delta_ms"))
-    scene = verify.mutual_cuts(a.cuts(s, d, "click"), a.cuts(s, d, "view"), HOUR).select("pair_id", (F.col("gap") / HOUR).alias("delta_frames"))
-    return rounded(verify.verification_report(visual, audio, scene, a.pair_table(s), FPS))
+    audio = audio_drift_windows(s, d).select("pair_id", (F.col("delta_ms") / 360_000).alias("delta_ms"))
+    matches = _matches(s, d)
+    counts = verify.scene_counts(a.cuts(s, d, "click"), a.cuts(s, d, "view"), matches)
+    return rounded(verify.verification_report(visual, audio, verify.scene_drift(matches, 1 / HOUR), a.pair_table(s), FPS, (counts,)))
 
 
 # --- names and files
@@ -501,7 +552,11 @@ def name_ratio_pairing(s, d):
 
 @query
 def autosort_review(s, d):
-    return rounded(pairing.auto_sort(a.names(s, d), "folder"))
+    """The reviewer refuses what is offered to primaries that are text files."""
+    files = a.names(s, d)
+    no = files.where("side = 'primary' AND path LIKE '%.txt'").select("folder", F.col("id").alias("p_id"))
+    refused = no.join(files.where("side = 'target'").select("folder", F.col("id").alias("t_id")), "folder")
+    return rounded(pairing.auto_sort(files, "folder", refused=refused))
 
 
 @query
@@ -518,8 +573,11 @@ def pairs_leftover_anti(s, d):
 
 @query
 def list_ingest(s, d):
+    """Every file twice, and their folder, on the list of primaries."""
     files = a.names(s, d)
-    return pairing.ingest_list(files.unionByName(files.withColumn("id", F.col("id") + 1_000_000))).select("side", "id", "path")
+    folder = s.createDataFrame([("primary", -1, "/media/./x/..//")], "side string, id long, path string")
+    given = files.select("side", "id", "path")
+    return pairing.ingest_list(given.unionByName(given.withColumn("id", F.col("id") + 1_000_000)).unionByName(folder), files.select("path"))
 
 
 @query
@@ -593,6 +651,15 @@ def pcm_window(s, d):
     return rounded(logs.pcm_window(pcm, 0.01, 0.02))
 
 
+@query
+def pcm_windows(s, d):
+    pcm = a.events(s, d).select(F.col("event_type").alias("media_id"), F.col("event_id").alias("sample_idx"), F.round(F.col("value") * 10).cast("int").alias("value"))
+    w = a.signal_pairs(s).select(F.col("primary_id").alias("media_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("window_no"))
+    start = F.when(F.col("window_no") == 2, 1e6).otherwise((F.col("window_no") + 1) * 0.0078125)
+    w = w.withColumn("w_start", start).withColumn("w_end", F.col("w_start") + 0.0078125)
+    return rounded(logs.pcm_windows(pcm, w).select("media_id", "window_no", "n", F.aggregate("amps", F.lit(0.0), lambda x, y: x + y).alias("total")))
+
+
 @query
 def frame_hashes(s, d):
     """Hash and detail of small synthetic frames: the bytes of a text as pixels."""

@@ -79,3 +79,18 @@ def pcm_window(pcm: DataFrame, start: float, length: float, rate: int = DEFAULT.
     """media_id, sample_idx, amp (-1 to 1) of a time window of 16-bit samples; the range reaches the file scan."""
     first, last = int(start * rate), int((start + length) * rate)
     return pcm.where((F.col("sample_idx") >= first) & (F.col("sample_idx") < last)).select("media_id", "sample_idx", (F.col("value") / F.lit(32768.0)).alias("amp"))
+
+
+def pcm_windows(pcm: DataFrame, windows: DataFrame, rate: int = DEFAULT.sample_rate, strict: bool = False) -> DataFrame:
+    """windows (media_id, window_no, w_start, w_end) with n and amps, the samples in order; both null where there are none.
+
+    Samples meet windows by second. strict raises an error at a window without samples instead.
+    """
+    first, last = (F.col("w_start") * rate).cast("long"), (F.col("w_end") * rate).cast("long")
+    w = windows.withColumns({"lo": first, "hi": last})
+    spread = w.where("hi > lo").withColumn("sec", F.explode(F.sequence(F.floor(F.col("lo") / rate), F.floor((F.col("hi") - 1) / rate))))
+    rows = pcm.select("media_id", F.floor(F.col("sample_idx") / rate).alias("sec"), "sample_idx", (F.col("value") / F.lit(32768.0)).alias("amp"))
+    inside = spread.join(rows, ["media_id", "sec"]).where("sample_idx >= lo AND sample_idx < hi")
+    got = inside.groupBy("media_id", "window_no").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("sample_idx", "amp"))).alias("s"))
+    out = w.join(got, ["media_id", "window_no"], "left").select(*windows.columns, "n", F.transform("s", lambda x: x["amp"]).alias("amps"))
+    return out.withColumn("n", F.coalesce("n", F.raise_error(F.lit("no samples in the window")).cast("long"))) if strict else out
