@@ -134,6 +134,14 @@ def test_frame_hashes(spark, sf):
         assert math.isclose(got[item].detail, statistics.pvariance(lap), rel_tol=1e-9, abs_tol=2e-6)
 
 
+def test_vertex_is_flat_without_a_bend_or_a_neighbour(spark):
+    from tidemark.functions.scalar import vertex_of_maximum
+
+    rows = spark.createDataFrame([(3.0, 2.0, 1.0), (None, 2.0, 1.0), (1.0, 2.0, None), (1.0, 2.0, 1.5)], "a double, b double, c double")
+    got = [r[0] for r in rows.select(vertex_of_maximum(F.col("a"), F.col("b"), F.col("c"))).collect()]
+    assert got[:3] == [0.0, 0.0, 0.0] and math.isclose(got[3], 1 / 6)
+
+
 def test_pair_cuts_across_stretches(spark):
     rng = np.random.default_rng(9)
     sides = [[(k, i, float(t)) for k in range(3) for i, t in enumerate(np.round(rng.random(60) * 80, 2))] for _ in range(2)]

@@ -50,8 +50,10 @@ def vertex_of_minimum(before: Column, at: Column, after: Column, cfg: Config = D
 def vertex_of_maximum(before: Column, at: Column, after: Column) -> Column:
     """Sub-bin shift of a maximum, held within a bin; 0 without both neighbours or on a flat vertex."""
     bend = before - 2 * at + after
-    shift = 0.5 * (before - after) / F.when(F.abs(bend) >= 1e-12, bend)
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), shift)), F.lit(0.0))
+    curved = F.abs(bend) >= 1e-12
+    shift = 0.5 * (before - after) / F.when(curved, bend)
+    # The bounds stay within the case: greatest and least pass over nulls.
+    return F.when(curved, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), shift))).otherwise(F.lit(0.0))
 
 
 def visual_band(hd: Column, threshold: int) -> Column:
