@@ -66,7 +66,9 @@ def pair_cuts(primary: DataFrame, synced: DataFrame, tolerance: float = DEFAULT.
         return pd.DataFrame({"pair_id": pdf["pair_id"].iloc[0], **columns})
 
     out = "pair_id long, p_id long, s_id long, p_t double, s_t double, gap double"
-    return cut_stretches(primary, synced, tolerance).groupBy("pair_id", "stretch").applyInPandas(run, out)
+    whole = Window.partitionBy("pair_id", "stretch")
+    both = cut_stretches(primary, synced, tolerance).withColumn("sides", F.max("side").over(whole) - F.min("side").over(whole)).where("sides = 1")
+    return both.groupBy("pair_id", "stretch").applyInPandas(run, out)
 
 
 def scene_drift(matches: DataFrame, fps: float) -> DataFrame:
