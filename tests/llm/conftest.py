@@ -18,7 +18,7 @@ def odd(spark):
     rows += [(8, prose(60), "en", "c", 1)] * 2 + [(9, "same", "en", "c", 4), (10, "same", "en", "c", 4), (11, "a" * 70000, "en", "c", 1), (12, "Mail bob@x.org or call +1 (243) 555-7962 now", "en", "", 1)]
     rows += [(20 + i, prose(rng.randint(1, 40)), rng.choice(["en", "fr"]), rng.choice(["a", "b", "c", None]), 1) for i in range(40)]
     df = spark.createDataFrame(rows, SCHEMA)
-    for name in ("f", "t", "k", "d", "th", "h", "size", "taken", "score", "spans", "base", "ids", "part", "toxicity", "copy", "rk", "words"):
+    for name in ("f", "t", "k", "d", "th", "h", "size", "taken", "score", "spans", "base", "ids", "part", "toxicity", "copy", "rk", "words", "row", "id", "digest", "node", "n", "word", "g", "run", "doc"):
         df = df.withColumn(name, F.lit(7))
     return df
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import ann, bpe, hmm, mixing, pii, quality, simhash, suffix, topk, toxicity
+from . import ann, bpe, exactdup, hmm, mixing, pii, quality, simhash, spelling, suffix, topk, toxicity, whitening
 from .common import table
 
 
@@ -32,9 +32,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": lambda s, d: simhash.simhash_components(_documents(s, d)),
         "op9_quality": lambda s, d: quality.quality_scores(_documents(s, d), _labels(s, d)),
         "op10_hmm": lambda s, d: hmm.language_scores(_documents(s, d)),
+        "op11_whitening": lambda s, d: whitening.whiten(table(s, d, "embeddings")),
+        "op12_exact_dedup": lambda s, d: exactdup.exact_duplicates(_documents(s, d)),
+        "op13_spelling": lambda s, d: spelling.variant_groups(_documents(s, d)),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE, "op6_topk": topk.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op4_mixing": mixing.ORACLE, "op6_topk": topk.ORACLE, "op12_exact_dedup": exactdup.ORACLE, "op13_spelling": spelling.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
