@@ -19,22 +19,27 @@ class OffsetEngine(Protocol):
     def __call__(self, pairs: DataFrame) -> DataFrame: ...
 
 
-def intro_anchor(pairs: DataFrame, frames: DataFrame, fps: float, threshold: int, cfg: Config = DEFAULT, coarse_step: int = 8) -> DataFrame:
-    """pair_id, offset, primary_t, target_t, hd, n: where both recordings first share content, by the agreement of probes.
+def intro_probes(pairs: DataFrame, frames: DataFrame, fps: float, cfg: Config = DEFAULT, coarse_step: int = 8) -> DataFrame:
+    """pair_id, id, target_frame, primary_frame, target_t, primary_t, offset, hd: the match of each early probe of a target.
 
-    Each probe time takes the detailed frame nearest to it; its match in the primary is the best of a coarse and a fine scan,
-    whatever its distance; the offsets are clustered.
+    A probe takes the detailed frame nearest to its time; its match in the primary is the best of a coarse and a fine scan,
+    whatever its distance.
     """
-    media = frames.groupBy("media_id").agg(F.count("*").alias("total_frames")).withColumn("duration", F.col("total_frames") / F.lit(fps))
+    own = frames.join(pairs.select(F.col("target_id").alias("media_id")).distinct(), "media_id", "left_semi")
+    media = own.groupBy("media_id").agg(F.count("*").alias("total_frames")).withColumn("duration", F.col("total_frames") / F.lit(fps))
     goals = sampling.probe_times(media, cfg).join(media.select("media_id", "total_frames"), "media_id")
     goal = F.greatest(F.lit(0).cast("long"), F.least(F.col("total_frames") - 1, F.bround(F.col("t") * fps).cast("long")))
-    goals = goals.select("media_id", goal.alias("ref_no"), goal.alias("goal"), F.lit(max(1, int(fps // 2))).cast("long").alias("step"), F.lit(int(8 * fps)).cast("long").alias("reach"))
-    found = sampling.near_content(goals, frames, ["media_id", "ref_no"], cfg).where("found")
-    refs = nearest.reference_rows(pairs, frames, found.select("media_id", "ref_no", "frame_idx"), fps)
-    best = nearest.fine_scan(refs, nearest.coarse_scan(refs, frames, coarse_step), frames, cfg.fine_window).join(refs.select("pair_id", "ref_no", "ref_t"), ["pair_id", "ref_no"])
+    goals = goals.select("media_id", goal.alias("ref_no"), goal.alias("goal"), F.lit(max(1, int(fps // 2))).cast("long").alias("step"), F.lit(max(1, int(8 * fps)) - 1).cast("long").alias("reach"))
+    found = sampling.near_content(goals, own, ["media_id", "ref_no"], cfg).where("found")
+    refs = nearest.reference_rows(pairs, own, found.select("media_id", "ref_no", "frame_idx"), fps)
+    best = nearest.fine_scan(refs, nearest.coarse_scan(refs, frames, coarse_step), frames, cfg.fine_window).join(refs.select("pair_id", "ref_no", "ref_frame", "ref_t"), ["pair_id", "ref_no"])
     primary = (F.col("frame_idx") + F.col("shift")) / F.lit(fps)
-    probes = best.select("pair_id", F.col("ref_no").alias("id"), F.col("ref_t").alias("target_t"), F.round(primary, 9).alias("primary_t"), F.round(primary - F.col("ref_t"), 9).alias("offset"), "hd")
-    return stats.choose_anchor(stats.probe_clusters(probes, cfg), threshold, cfg)
+    return best.select("pair_id", F.col("ref_no").alias("id"), F.col("ref_frame").alias("target_frame"), F.col("frame_idx").alias("primary_frame"), F.col("ref_t").alias("target_t"), F.round(primary, 9).alias("primary_t"), F.round(primary - F.col("ref_t"), 9).alias("offset"), "hd")
+
+
+def intro_anchor(pairs: DataFrame, frames: DataFrame, fps: float, threshold: int, cfg: Config = DEFAULT, coarse_step: int = 8) -> DataFrame:
+    """pair_id, offset, primary_t, target_t, hd, n: where both recordings first share content, by the agreement of probes."""
+    return stats.choose_anchor(stats.probe_clusters(intro_probes(pairs, frames, fps, cfg, coarse_step), cfg), threshold, cfg)
 
 
 def dense_samples(pairs: DataFrame, frames: DataFrame, media: DataFrame, offsets: DataFrame, fps: float, cfg: Config = DEFAULT, n: int | None = None, window: float | None = None, limit: int | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ def fine_scan(refs: DataFrame, coarse: DataFrame, frames: DataFrame, window: int
     near = refs.join(coarse, ["pair_id", "ref_no"]).withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("frame_idx") - window), F.col("frame_idx") + window)))
     primary = frames.select(F.col("media_id").alias("primary_id"), F.col("frame_idx").alias("at"), "h0", "h1")
     keys = ["pair_id", "ref_no"]
-    each = near.join(primary, ["primary_id", "at"]).select(*keys, "hd", "frame_idx", F.struct(distance().alias("d"), F.when(F.col("at") == F.col("frame_idx"), 0).otherwise(1).alias("phase"), "at").alias("m"))
+    each = near.join(primary, ["primary_id", "at"]).select(*keys, "hd", "frame_idx", F.struct(distance().alias("d"), "at").alias("m"))
     seen = each.groupBy(*keys, "hd", "frame_idx").agg(F.collect_list("m").alias("seen")).withColumn("m", F.array_min("seen"))
     best = seen.select(*keys, F.least("hd", "m.d").alias("hd"), F.when(F.col("m.d") < F.col("hd"), F.col("m.at")).otherwise(F.col("frame_idx")).alias("frame_idx"), "seen")
     return with_shift(best)

@@ -42,30 +42,53 @@ def reference_frame(frames: DataFrame, fps: float, cfg: Config = DEFAULT, skip:
 
 
 def reference_targets(media: DataFrame, n: int, cfg: Config = DEFAULT) -> DataFrame:
-    """media_id, ref_no, goal: n evenly spaced frames between the skipped start and end, from media_id, total_frames, fps."""
+    """media_id, ref_no, goal, step, reach: n evenly spaced frames between the skipped start and end, from media_id, total_frames, fps.
+
+    reach is the last frame on either side that is tried; the search ends before refs_search seconds.
+    """
     lo = F.least((cfg.refs_skip_start * F.col("fps")).cast("long"), F.greatest(F.lit(0), F.col("total_frames") - 1))
     hi = F.greatest(F.col("lo") + 1, F.col("total_frames") - (cfg.refs_skip_end * F.col("fps")).cast("long"))
     rows = media.where("total_frames > 0 AND fps > 0").withColumn("lo", lo).withColumn("hi", hi)
     goal = F.least(F.col("total_frames") - 1, (F.col("lo") + F.col("ref_no") * (F.col("hi") - F.col("lo")) / F.lit(n + 1)).cast("long"))
-    return rows.withColumn("ref_no", F.explode(F.sequence(F.lit(1), F.lit(n)))).select("media_id", "ref_no", goal.alias("goal"), F.greatest(F.lit(1), F.floor(F.col("fps") / 2)).cast("long").alias("step"), (cfg.refs_search * F.col("fps")).cast("long").alias("reach"))
+    return rows.withColumn("ref_no", F.explode(F.sequence(F.lit(1), F.lit(n)))).select("media_id", "ref_no", goal.alias("goal"), F.greatest(F.lit(1), F.floor(F.col("fps") / 2)).cast("long").alias("step"), ((cfg.refs_search * F.col("fps")).cast("long") - 1).alias("reach"))
 
 
 def near_content(goals: DataFrame, frames: DataFrame, keys: list[str], cfg: Config = DEFAULT) -> DataFrame:
     """keys, goal, frame_idx, found: the detailed frame nearest to each goal on its step, later before earlier; else the goal.
 
-    goals has the keys with media_id among them, goal, step and reach (in frames). Only frames on the step are looked up,
-    by an equi-join on (media_id, frame_idx).
+    goals has the keys with media_id among them, goal, step and reach (in frames).
     """
+    best = _tries(goals, frames, cfg).groupBy(*keys).agg(F.min(F.struct("k", (-F.col("sign")).alias("s"), "frame_idx")).alias("m"))
+    return goals.select(*keys, "goal").join(best, keys, "left").select(*keys, "goal", F.coalesce("m.frame_idx", "goal").alias("frame_idx"), F.col("m").isNotNull().alias("found"))
+
+
+def _tries(goals: DataFrame, frames: DataFrame, cfg: Config) -> DataFrame:
+    """goals with k, sign, frame_idx of each detailed frame on the step within reach; an equi-join on (media_id, frame_idx)."""
     tries = goals.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("reach") / F.col("step")).cast("long")))).withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).where((F.col("k") > 0) | (F.col("sign") > 0))
     tries = tries.withColumn("frame_idx", F.col("goal") + F.col("sign") * F.col("k") * F.col("step"))
     good = frames.where(F.col("lap_var") > cfg.content).select("media_id", "frame_idx")
-    best = tries.join(good, ["media_id", "frame_idx"], "left_semi").groupBy(*keys).agg(F.min(F.struct("k", (-F.col("sign")).alias("s"), "frame_idx")).alias("m"))
-    return goals.select(*keys, "goal").join(best, keys, "left").select(*keys, "goal", F.coalesce("m.frame_idx", "goal").alias("frame_idx"), F.col("m").isNotNull().alias("found"))
+    return tries.join(good, ["media_id", "frame_idx"], "left_semi")
 
 
 def reference_frames(media: DataFrame, frames: DataFrame, n: int, cfg: Config = DEFAULT) -> DataFrame:
-    """media_id, ref_no, goal, frame_idx, found: n reference frames; windows of neighbours are taken to be apart."""
-    return near_content(reference_targets(media, n, cfg), frames, ["media_id", "ref_no"], cfg)
+    """media_id, ref_no, goal, frame_idx, found: n reference frames in order, each taking what no earlier one has taken.
+
+    A reference takes the nearest free detailed frame (as near_content), else its goal; one whose goal is taken too has no
+    row. A recording has n goals with a search window each, so its candidates are few and are walked as one array.
+    """
+    goals = reference_targets(media, n, cfg)
+    found = _tries(goals, frames, cfg).groupBy("media_id", "ref_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", (-F.col("sign")).alias("s"), "frame_idx"))), lambda x: x["frame_idx"]).alias("near"))
+    each = goals.join(found, ["media_id", "ref_no"], "left").select("media_id", F.struct("ref_no", "goal", F.coalesce("near", F.array().cast("array<long>")).alias("near")).alias("g"))
+    kind = "array<struct<ref_no:int,goal:bigint,frame_idx:bigint,found:boolean>>"
+
+    def take(have: Column, g: Column) -> Column:
+        free = F.filter(g["near"], lambda x: ~F.exists(have, lambda h: h["frame_idx"] == x))
+        one = F.struct(g["ref_no"].alias("ref_no"), g["goal"].alias("goal"), F.coalesce(F.get(free, F.lit(0)), g["goal"]).alias("frame_idx"), (F.size(free) > 0).alias("found"))
+        lost = (F.size(free) == 0) & F.exists(have, lambda h: h["frame_idx"] == g["goal"])
+        return F.when(lost, have).otherwise(F.concat(have, F.array(one)).cast(kind))
+
+    walked = each.groupBy("media_id").agg(F.array_sort(F.collect_list("g")).alias("gs")).select("media_id", F.explode(F.aggregate("gs", F.array().cast(kind), take)).alias("r"))
+    return walked.select("media_id", "r.*")
 
 
 def even_times(media: DataFrame, n: int) -> DataFrame:

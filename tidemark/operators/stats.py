@@ -84,12 +84,8 @@ def probe_clusters(probes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return probes.withColumn("jump", jump.cast("int")).withColumn("cluster", F.sum("jump").over(w).cast("int")).drop("jump")
 
 
-def choose_anchor(clustered: DataFrame, threshold: int, cfg: Config = DEFAULT) -> DataFrame:
-    """pair_id, offset, primary_t, target_t, hd, n: the anchor of the best cluster, none if its distances are too high.
-
-    Best: two probes at least (else the largest), then most probes, least median distance, latest in the primary. Among
-    clusters whose least distance is near the best one's, the latest in the primary wins.
-    """
+def _best_cluster(clustered: DataFrame, threshold: int, cfg: Config) -> DataFrame:
+    """pair_id, cluster, n and the medians of the cluster that choose_anchor describes."""
     g = clustered.groupBy("pair_id", "cluster").agg(F.count("*").alias("n"), F.median("hd").alias("med_hd"), F.min("hd").alias("min_hd"), F.median("primary_t").alias("med_p"), F.median("target_t").alias("med_t"), F.median("offset").alias("med_o"))
     pair = Window.partitionBy("pair_id")
     g = g.withColumn("most", F.max("n").over(pair)).withColumn("lone", F.row_number().over(pair.orderBy(F.desc("n"), "cluster")))
@@ -98,4 +94,24 @@ def choose_anchor(clustered: DataFrame, threshold: int, cfg: Config = DEFAULT) -
     viable = viable.withColumn("best_hd", F.min(F.when(F.col("place") == 1, F.col("min_hd"))).over(pair))
     tied = viable.where(F.col("min_hd") <= F.col("best_hd") + cfg.probe_margin)
     last = tied.withColumn("late", F.row_number().over(pair.orderBy(F.desc("med_p"), "cluster"))).where("late = 1")
-    return last.where(F.col("med_hd") <= 2 * threshold).select("pair_id", F.col("med_o").alias("offset"), F.col("med_p").alias("primary_t"), F.col("med_t").alias("target_t"), F.col("med_hd").alias("hd"), "n")
+    return last.where(F.col("med_hd") <= 2 * threshold)
+
+
+def choose_anchor(clustered: DataFrame, threshold: int, cfg: Config = DEFAULT) -> DataFrame:
+    """pair_id, offset, primary_t, target_t, hd, n: the anchor of the best cluster, none if its distances are too high.
+
+    Best: two probes at least (else the largest), then most probes, least median distance, latest in the primary. Among
+    clusters whose least distance is near the best one's, the latest in the primary wins.
+    """
+    return _best_cluster(clustered, threshold, cfg).select("pair_id", F.col("med_o").alias("offset"), F.col("med_p").alias("primary_t"), F.col("med_t").alias("target_t"), F.col("med_hd").alias("hd"), "n")
+
+
+def anchor_frames(clustered: DataFrame, threshold: int, cfg: Config = DEFAULT) -> DataFrame:
+    """choose_anchor with primary_frame and target_frame: those of the cluster's nearest probe (ties: least offset, first probe).
+
+    The probes also have target_frame and primary_frame.
+    """
+    best = _best_cluster(clustered, threshold, cfg)
+    probes = clustered.join(best.select("pair_id", "cluster"), ["pair_id", "cluster"], "left_semi")
+    nearest = probes.groupBy("pair_id").agg(F.min(F.struct("hd", "offset", "id", "target_frame", "primary_frame")).alias("m"))
+    return choose_anchor(clustered, threshold, cfg).join(nearest, "pair_id").select("pair_id", "offset", "primary_t", "target_t", "hd", "n", "m.target_frame", "m.primary_frame")

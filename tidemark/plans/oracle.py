@@ -26,12 +26,22 @@ def _coarse(step: int) -> str:
     return f"c AS (SELECT pair_id, ref_no, hd, frame_idx FROM (SELECT pair_id, ref_no, {HD} AS hd, f.frame_idx, row_number() OVER (PARTITION BY pair_id, ref_no ORDER BY {HD}, f.frame_idx) AS k FROM r JOIN f ON f.media_id = r.primary_id WHERE f.frame_idx % {step} = 0) WHERE k = 1)"
 
 
+def _reference_frames(skip_start: int, skip_end: int, refs: int, reach: int, step: int, content: int = 50) -> str:
+    """CTE nr (media_id, ref_no, goal, frame_idx, found, lost) from f: a step a reference, which takes a frame that none before it has."""
+    return f"""nt AS (SELECT media_id, count(*) AS total FROM f GROUP BY media_id), nl AS (SELECT media_id, total, least({skip_start}, total - 1) AS lo, greatest(least({skip_start}, total - 1) + 1, total - {skip_end}) AS hi FROM nt),
+ng AS (SELECT media_id, r.range AS ref_no, least(total - 1, trunc(lo + r.range * (hi - lo) / {refs + 1}e0)::BIGINT) AS goal FROM nl, range(1, {refs + 1}) r),
+nk AS (SELECT ng.media_id, ref_no, list(f.frame_idx ORDER BY k.range, -s.s) AS near FROM ng, range({-(-reach // step)}) k, (VALUES (1), (-1)) s(s), f WHERE f.media_id = ng.media_id AND f.frame_idx = goal + s.s * k.range * {step} AND (k.range > 0 OR s.s > 0) AND lap_var > {content} GROUP BY ALL),
+nr AS (SELECT media_id, 0::BIGINT AS ref_no, NULL::BIGINT AS goal, NULL::BIGINT AS frame_idx, false AS found, false AS lost, []::BIGINT[] AS taken FROM nt
+UNION ALL SELECT media_id, ref_no, goal, coalesce(free[1], goal), len(free) > 0, len(free) = 0 AND list_contains(taken, goal), list_append(taken, coalesce(free[1], goal)) FROM (SELECT ng.media_id, ng.ref_no, ng.goal, nr.taken, list_filter(coalesce(near, []), lambda x: NOT list_contains(nr.taken, x)) AS free
+FROM nr JOIN ng ON ng.media_id = nr.media_id AND ng.ref_no = nr.ref_no + 1 LEFT JOIN nk ON nk.media_id = ng.media_id AND nk.ref_no = ng.ref_no) z)"""
+
+
 SHIFT = "coalesce(CASE WHEN abs(af - 2 * hd + bf) > 1e-9 AND abs(0.5e0 * (bf - af) / (af - 2 * hd + bf)) < 0.95e0 THEN 0.5e0 * (bf - af) / (af - 2 * hd + bf) END, 0e0)"
 
 
 def _fine(c: str, out: str) -> str:
     return f"""{out}_e AS (SELECT r.pair_id, r.ref_no, c.hd, c.frame_idx, f.frame_idx AS fr, {HD} AS d FROM r JOIN {c} c USING (pair_id, ref_no) JOIN f ON f.media_id = r.primary_id AND f.frame_idx BETWEEN c.frame_idx - 22 AND c.frame_idx + 22),
-{out}_w AS (SELECT pair_id, ref_no, least(hd, d) AS hd, CASE WHEN d < hd THEN fr ELSE frame_idx END AS frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, ref_no ORDER BY d, (fr <> frame_idx)::INT, fr) AS k FROM {out}_e) WHERE k = 1),
+{out}_w AS (SELECT pair_id, ref_no, least(hd, d) AS hd, CASE WHEN d < hd THEN fr ELSE frame_idx END AS frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, ref_no ORDER BY d, fr) AS k FROM {out}_e) WHERE k = 1),
 {out}_n AS (SELECT w.pair_id, w.ref_no, w.hd, w.frame_idx, max(CASE WHEN e.fr = w.frame_idx - 1 THEN d END) AS bf, max(CASE WHEN e.fr = w.frame_idx + 1 THEN d END) AS af FROM {out}_w w JOIN {out}_e e USING (pair_id, ref_no) GROUP BY ALL),
 {out} AS (SELECT pair_id, ref_no, hd, frame_idx, {SHIFT} AS shift FROM {out}_n)"""
 
@@ -210,7 +220,7 @@ tl AS (SELECT *, list_filter([1e0, 2e0, 4e0, 6e0], lambda t: t < total / 4e0 - 5
 tm AS (SELECT media_id, total, unnest(CASE WHEN len(ts) > 0 THEN ts ELSE [least(5e0, total / 4e0 * 0.1e0)] END) AS t FROM tl),
 go AS (SELECT media_id, greatest(0, least(total - 1, round_even(t * 4, 0)::BIGINT)) AS goal FROM tm),
 ne AS (SELECT media_id, goal, frame_idx FROM (SELECT go.media_id, goal, f.frame_idx, row_number() OVER (PARTITION BY go.media_id, goal ORDER BY k.range, -s.s) AS q
-FROM go CROSS JOIN range(17) k CROSS JOIN (VALUES (1), (-1)) s(s) JOIN f ON f.media_id = go.media_id AND f.frame_idx = goal + s.s * k.range * 2 WHERE lap_var > 40) WHERE q = 1),
+FROM go CROSS JOIN range(16) k CROSS JOIN (VALUES (1), (-1)) s(s) JOIN f ON f.media_id = go.media_id AND f.frame_idx = goal + s.s * k.range * 2 WHERE lap_var > 40) WHERE q = 1),
 r AS (SELECT p.pair_id, p.primary_id, goal AS ref_no, f.frame_idx / 4e0 AS ref_t, h0 AS r0, h1 AS r1 FROM p JOIN ne ON ne.media_id = p.target_id JOIN f ON f.media_id = ne.media_id AND f.frame_idx = ne.frame_idx),
 {_coarse(8)}, {_fine("c", "z")}, pr AS (SELECT pair_id, ref_no AS id, ref_t AS target_t, round((frame_idx + shift) / 4e0, 9) AS p, round((frame_idx + shift) / 4e0 - ref_t, 9) AS o, hd FROM z JOIN r USING (pair_id, ref_no))"""
 SYNC = f"""WITH vi AS (WITH {_refs("f.frame_idx IN (3, 10, 17, 24, 31)")}, {_coarse(6)}, c2 AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY hd, ref_no) AS k FROM c) WHERE k = 1), {_fine("c2", "z")}
@@ -236,10 +246,7 @@ zz AS (SELECT * FROM y UNION ALL SELECT * FROM z ANTI JOIN y USING (pair_id, ref
     "select_reference_tiers": f"""WITH {FR}, n AS (SELECT *, least(8, greatest(0, max(frame_idx) OVER (PARTITION BY media_id) + 1 - 40)) AS start FROM f),
 t AS (SELECT media_id, frame_idx, CASE WHEN (frame_idx - start) % 4 = 0 AND frame_idx - start < 120 AND lap_var > 50 THEN 1 WHEN frame_idx - start < 240 AND lap_var > 25 THEN 2 WHEN frame_idx = start THEN 3 END AS tier FROM n WHERE frame_idx >= start)
 SELECT media_id, tier::BIGINT AS tier, frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY tier, frame_idx) AS k FROM t WHERE tier IS NOT NULL) WHERE k = 1""",
-    "select_n_refs": f"""WITH {FR}, n AS (SELECT media_id, count(*) AS total FROM f GROUP BY media_id), l AS (SELECT media_id, total, least(4, total - 1) AS lo, greatest(least(4, total - 1) + 1, total - 6) AS hi FROM n),
-g AS (SELECT media_id, r.range AS ref_no, least(total - 1, trunc(lo + r.range * (hi - lo) / 5e0)::BIGINT) AS goal FROM l, range(1, 5) r),
-y AS (SELECT g.*, k.range AS k, s.s FROM g, range(4) k, (VALUES (1), (-1)) s(s)), h AS (SELECT y.media_id, ref_no, f.frame_idx, row_number() OVER (PARTITION BY y.media_id, ref_no ORDER BY k, -s) AS o FROM y JOIN f ON f.media_id = y.media_id AND f.frame_idx = goal + s * k WHERE lap_var > 50)
-SELECT g.media_id, g.ref_no, goal, coalesce(frame_idx, goal) AS frame_idx, frame_idx IS NOT NULL AS found FROM g LEFT JOIN (SELECT * FROM h WHERE o = 1) h USING (media_id, ref_no)""",
+    "select_n_refs": f"""WITH RECURSIVE {FR}, {_reference_frames(4, 6, 4, 3, 1)} SELECT media_id, ref_no, goal, frame_idx, found FROM nr WHERE ref_no > 0 AND NOT lost""",
     "sample_times_even": f"WITH {MEDIA}, l AS (SELECT media_id, greatest(0, least(30, duration - 1)) AS lo, duration FROM m WHERE duration > 0) SELECT media_id, r.range AS sample_no, round(lo + r.range * (greatest(lo + 1, duration - 60) - lo) / 10e0, 6) AS t FROM l, range(1, 10) r",
     "sample_times_mid": f"WITH {MEDIA}, l AS (SELECT media_id, duration, {EDGE} AS edge FROM m WHERE duration > 0) SELECT media_id, r.range AS sample_no, round(edge + (r.range + 0.5e0) * (duration - 2 * edge) / 20e0, 6) AS t FROM l, range(20) r",
     "probe_times": f"WITH {MEDIA}, l AS (SELECT media_id, duration % 120 AS d FROM m), x AS (SELECT media_id, d, list_filter([2e0, 8e0, 18e0, 35e0, 60e0, 90e0], lambda t: t < d - 5) AS ts FROM l) SELECT media_id, round(unnest(CASE WHEN len(ts) > 0 THEN ts ELSE [least(5e0, d * 0.1e0)] END), 6) AS t FROM x",
