@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT
 from tidemark.functions.scalar import batch_name, list_name
-from tidemark.operators import flow, pairing, verify
-from tidemark.plans.queries import CATALOGUE
+from tidemark.operators import engines, flow, pairing, verify
+from tidemark.plans.queries import CATALOGUE, CLOCK
 from tidemark.sources import adapters
 from tidemark.sources.logs import pcm_windows
 
@@ -47,14 +47,17 @@ def test_name_ratio_pairing(spark, sf):
 
 
 def test_process_batch(spark, sf):
-    offsets = {r.pair_id: (r.offset, r.confidence) for r in CATALOGUE["nn_coarse_fine"](spark, sf).collect()}
+    engine = engines.VisualEngine(adapters.variant_frames(spark, sf), 1.0, CLOCK.threshold, CLOCK, references="off")
+    slots = spark.createDataFrame([(100 * m + t, m, 100 + t) for m in (0, 1) for t in range(16)], "pair_id long, primary_id long, target_id long")
+    offsets = {divmod(r.pair_id, 100): r for r in engine(slots).collect()}
+    assert 0 < len(offsets) < 32
     paths = {r.id: r.path for r in adapters.names(spark, sf).collect()}
     want = []
     for folder, p, t, score in name_pairs(spark, sf):
-        offset, confidence = offsets.get(p % 10, (None, None))
+        found = offsets.get((p // 2 % 2, t % 16))
         base, dot, ext = paths[t].rpartition(".")
-        want.append((folder, p, t, score, offset, confidence, f"{base}_synced{dot}{ext}" if offset is not None else None, None if offset is not None else "No match found"))
-    got = [tuple(r) for r in CATALOGUE["process_batch"](spark, sf).select("folder", "p_id", "t_id", "score", "offset", "confidence", "output", "error").collect()]
+        want.append((folder, p, t, score, *((round(found.offset, 6) + 0.0, found.hd, found.confidence, f"{base}_synced{dot}{ext}", None) if found else (None, None, None, None, "No match found"))))
+    got = [tuple(r) for r in CATALOGUE["process_batch"](spark, sf).select("folder", "p_id", "t_id", "score", "offset", "hd", "confidence", "output", "error").collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 

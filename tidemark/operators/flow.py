@@ -112,6 +112,22 @@ def sync_timeline(pairs: DataFrame, found: DataFrame, samples: DataFrame, blacks
     return plans, segments.playback_chunks(settled, durations.select("pair_id", "primary_duration"), cfg)
 
 
+def sync_recordings(pairs: DataFrame, found: DataFrame, frames: DataFrame, energy: DataFrame, blacks: DataFrame, fps: float, bin_s: float, cfg: Config = DEFAULT, constant_only: bool = False, **dense) -> tuple[DataFrame, DataFrame]:
+    """(plans, chunks) of sync_timeline from tables of recordings and what the search decided (pair_id, offset).
+
+    frames: media_id, frame_idx, h0, h1, lap_var; energy: media_id, bin, rms; blacks: media_id, b_start, b_end. Dense samples are
+    searched around the decided offset of each pair, only for pairs that have one.
+    """
+    solved = written(found.where("offset IS NOT NULL").select("pair_id", "offset"))
+    open_ = pairs.join(solved.select("pair_id"), "pair_id", "left_semi")
+    length = frames.groupBy("media_id").agg((F.count("*") / F.lit(fps)).alias("duration"))
+    samples = dense_samples(open_, frames, length, solved, fps, cfg, **dense)
+    of = lambda side, name: length.select(F.col("media_id").alias(f"{side}_id"), F.col("duration").alias(name))
+    durations = pairs.join(of("target", "duration"), "target_id").join(of("primary", "primary_duration"), "primary_id").select("pair_id", "duration", "primary_duration")
+    dark = pairs.select("pair_id", F.col("primary_id").alias("media_id")).join(blacks, "media_id").select("pair_id", "b_start", "b_end")
+    return sync_timeline(pairs, found, samples, dark, energy, written(durations), bin_s, cfg, constant_only)
+
+
 def verify_sync(pairs: DataFrame, frames: DataFrame, energy: DataFrame, primary_cuts: DataFrame, synced_cuts: DataFrame, durations: DataFrame, fps: float, bin_s: float, cfg: Config = DEFAULT) -> DataFrame:
     """The verification report of aligned pairs: pictures at midpoints, sound by windows, scene cuts paired greedily.
 

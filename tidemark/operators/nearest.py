@@ -74,11 +74,19 @@ def single_offset(refs: DataFrame, frames: DataFrame, fps: float, threshold: int
     return fine.join(refs.select("pair_id", "ref_no", "ref_t"), ["pair_id", "ref_no"]).select("pair_id", "ref_no", "hd", "frame_idx", offset.alias("offset"), visual_band(F.col("hd"), threshold).alias("confidence"))
 
 
-def multi_offset(refs: DataFrame, frames: DataFrame, fps: float, threshold: int, cfg: Config = DEFAULT) -> DataFrame:
-    """As single_offset for the reference with the least distance, the earliest on ties; it is rejected after the fine scan."""
+def multi_match(refs: DataFrame, frames: DataFrame, threshold: int, cfg: Config = DEFAULT) -> DataFrame:
+    """pair_id, ref_no, hd, frame_idx, shift: the reference with the least distance, the earliest on ties, after a fine scan.
+
+    A pair whose distance exceeds twice the threshold after that has no row.
+    """
     coarse = coarse_scan(refs, frames, cfg.coarse_step)
     winner = coarse.groupBy("pair_id").agg(F.min(F.struct("hd", "ref_no", "frame_idx")).alias("m")).select("pair_id", "m.ref_no", "m.hd", "m.frame_idx")
-    fine = fine_scan(refs, winner, frames, cfg.fine_window).where(F.col("hd") <= cfg.reject_factor * threshold)
+    return fine_scan(refs, winner, frames, cfg.fine_window).where(F.col("hd") <= cfg.reject_factor * threshold)
+
+
+def multi_offset(refs: DataFrame, frames: DataFrame, fps: float, threshold: int, cfg: Config = DEFAULT) -> DataFrame:
+    """As single_offset for the reference that multi_match chooses."""
+    fine = multi_match(refs, frames, threshold, cfg)
     offset = (F.col("frame_idx") + F.col("shift")) / F.lit(fps) - F.col("ref_t")
     return fine.join(refs.select("pair_id", "ref_no", "ref_t"), ["pair_id", "ref_no"]).select("pair_id", "ref_no", "hd", "frame_idx", offset.alias("offset"), visual_band(F.col("hd"), threshold).alias("confidence"))
 

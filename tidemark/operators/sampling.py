@@ -64,7 +64,7 @@ def near_content(goals: DataFrame, frames: DataFrame, keys: list[str], cfg: Conf
 
 def _tries(goals: DataFrame, frames: DataFrame, cfg: Config) -> DataFrame:
     """goals with k, sign, frame_idx of each detailed frame on the step within reach; an equi-join on (media_id, frame_idx)."""
-    tries = goals.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("reach") / F.col("step")).cast("long")))).withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).where((F.col("k") > 0) | (F.col("sign") > 0))
+    tries = goals.where("reach >= 0").withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("reach") / F.col("step")).cast("long")))).withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1)))).where((F.col("k") > 0) | (F.col("sign") > 0))
     tries = tries.withColumn("frame_idx", F.col("goal") + F.col("sign") * F.col("k") * F.col("step"))
     good = frames.where(F.col("lap_var") > cfg.content).select("media_id", "frame_idx")
     return tries.join(good, ["media_id", "frame_idx"], "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..sources.adapters import EDITS
+
 EV = "ev AS (SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS t, user_id, event_type, value, props FROM events)"
 
 
@@ -211,6 +213,18 @@ wc AS (SELECT pair_id, grp, count(*) AS n, list_sort(list(o))[count(*) // 2 + 1]
 wm AS (SELECT a.pair_id FROM wc a JOIN wc b ON b.pair_id = a.pair_id AND b.grp = 1 WHERE a.grp = 0 AND a.n = 1 AND b.n >= 2 AND round(abs(a.upper - b.upper), 9) <= 0.3e0
 AND NOT EXISTS (SELECT 1 FROM bk WHERE bk.pair_id = a.pair_id AND round(b_end - b_start, 9) >= 0.5e0 AND a.last_p < (b_start + b_end) / 2 AND (b_start + b_end) / 2 < b.first_p)),
 wx AS (SELECT pair_id, id, CASE WHEN grp = 0 AND pair_id IN (SELECT pair_id FROM wm) THEN 1 ELSE grp END AS grp, target_t, o FROM wg)"""
+def _bounded(duration: str, join: str) -> str:
+    """CTEs from wx (grouped samples) and bk (dark intervals) to sb: the segments of pairs with several groups."""
+    return f"""xc AS (SELECT pair_id, grp, median(o) AS med, min(target_t + o) AS first_p, max(target_t + o) AS last_p FROM wx GROUP BY ALL),
+xs AS (SELECT pair_id, grp, avg(o) AS o, count(*) AS inl, stddev_pop(o) AS sd FROM wx JOIN xc USING (pair_id, grp) WHERE round(abs(o - med), 9) <= 0.15e0 GROUP BY ALL),
+xo AS (SELECT *, row_number() OVER w AS no, count(*) OVER (PARTITION BY pair_id) AS k, lead(first_p) OVER w AS hi FROM xc WINDOW w AS (PARTITION BY pair_id ORDER BY grp)),
+sc AS (SELECT pair_id, b_start, (b_start + b_end) / 2 AS mid, round((b_end - b_start) * greatest(1, least(600, coalesce(b_start - lag(b_end) OVER w, 600), coalesce(lead(b_start) OVER w - b_end, 600))), 9) AS score FROM bk WINDOW w AS (PARTITION BY pair_id ORDER BY b_start, b_end)),
+bd AS (SELECT pair_id, no, mid FROM (SELECT xo.pair_id, no, mid, row_number() OVER (PARTITION BY xo.pair_id, no ORDER BY score DESC, b_start) AS q FROM xo JOIN sc ON sc.pair_id = xo.pair_id AND last_p < mid AND mid < hi) WHERE q = 1),
+bo AS (SELECT xo.*, CASE WHEN hi IS NOT NULL THEN coalesce(mid, (last_p + hi) / 2) END AS boundary FROM xo LEFT JOIN bd USING (pair_id, no)),
+sg AS (SELECT bo.pair_id, no, k, boundary, lag(boundary) OVER (PARTITION BY bo.pair_id ORDER BY no) AS bef, xs.o, inl, sd FROM bo JOIN xs USING (pair_id, grp)),
+sa AS (SELECT *, CASE WHEN no = 1 THEN 0e0 ELSE greatest(0e0, bef - o) END AS a FROM sg WHERE k > 1), sb AS (SELECT *, least({duration}, CASE WHEN no = k THEN {duration} ELSE greatest(a + 0.001e0, boundary - o) END) AS b FROM sa {join})"""
+
+
 ANCHOR = """g AS (SELECT pair_id, cluster, count(*) AS n, median(hd) AS mh, min(hd) AS lh, median(p) AS mp, median(target_t) AS mt, median(o) AS mo FROM cl GROUP BY ALL),
 v AS (SELECT * FROM (SELECT *, max(n) OVER (PARTITION BY pair_id) AS most, row_number() OVER (PARTITION BY pair_id ORDER BY n DESC, cluster) AS lone FROM g) WHERE n >= 2 OR (most < 2 AND lone = 1)),
 w AS (SELECT *, first_value(lh) OVER (PARTITION BY pair_id ORDER BY n DESC, mh, mp DESC, mo) AS best FROM v), t AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY mp DESC, cluster) AS k FROM w WHERE lh <= best + 2)
@@ -229,6 +243,65 @@ au AS (WITH {SMOOTH}, {LAGGED} {_by_signal(0.55, 0.35)}), cu2 AS (WITH {CUTS_SMO
 cd AS (SELECT i.range AS pair_id, vi.o AS v_off, vi.hd AS v_hd, au."offset" / 3600 AS a_off, au.peak AS a_peak, cu2."offset" / 3600 AS c_off, cu2.peak * 4 AS c_peak FROM range(10) i LEFT JOIN vi ON vi.pair_id = i.range LEFT JOIN au ON au.pair_id = i.range LEFT JOIN cu2 ON cu2.pair_id = i.range),
 {CONS_TAIL}, {CASCADE_TAIL}
 SELECT pair_id, source, CASE source WHEN 'consensus' THEN -3 WHEN 'cut' THEN -2 WHEN 'audio' THEN -1 WHEN 'visual' THEN v_hd END::BIGINT AS hd, round(CASE source WHEN 'consensus' THEN o WHEN 'visual' THEN o WHEN 'cut' THEN c_off WHEN 'audio' THEN a_off END, 6) AS "offset", CASE WHEN source = 'none' THEN 'No match found' END AS error FROM fc"""
+_EDITS = ", ".join(f"({v}, '{stream}', {other}, {first}, {last}, {at})" for v, stream, other, first, last, at in EDITS)
+VARIANTS = f"""{EV}, p AS (SELECT range AS pair_id, range // 8 AS primary_id, range + 100 AS target_id FROM range(16)),
+ed AS (SELECT 100 + 8 * m + v AS variant, stream, CASE WHEN other = 1 THEN 1 - m ELSE m END AS source, a, b, at_ FROM (VALUES {_EDITS}) e(v, stream, other, a, b, at_), (VALUES (0), (1)) m(m)),
+f0 AS ({FR.removeprefix('f AS (').replace('label::BIGINT AS media_id', '(label % 2)::BIGINT AS media_id').replace('PARTITION BY label', 'PARTITION BY label % 2')},
+f AS (SELECT * FROM f0 UNION ALL SELECT variant, at_ + frame_idx - a, CASE stream WHEN 'spoilt' THEN xor(h1, 2863311530) ELSE h0 END, CASE stream WHEN 'spoilt' THEN xor(h0, 1431655765) ELSE h1 END, lap_var FROM f0 JOIN ed ON media_id = source AND stream IN ('frames', 'spoilt') AND frame_idx >= a AND frame_idx < b),
+e0 AS (SELECT user_id % 2 AS media_id, floor(t / 3600)::BIGINT AS bin, value FROM ev),
+en AS (SELECT media_id, bin, sqrt(avg(value * value) + 1e-12) AS rms FROM (SELECT * FROM e0 UNION ALL SELECT variant, at_ + bin - a, value FROM e0 JOIN ed ON media_id = source AND stream = 'sound' AND bin >= a AND bin < b) GROUP BY ALL),
+c0 AS (SELECT user_id % 2 AS media_id, t / 3600 AS t FROM ev WHERE event_type = 'click'),
+ct AS (SELECT * FROM c0 UNION ALL SELECT variant, at_ + (t - a) FROM c0 JOIN ed ON media_id = source AND stream = 'cuts' AND t >= a AND t < b),
+bk AS (SELECT pair_id, t / 3600 AS b_start, t / 3600 + value / 100 AS b_end FROM ev JOIN p ON user_id % 2 = primary_id WHERE event_type = 'error' AND round(t / 3600 + value / 100 - t / 3600, 9) >= 0.3e0)"""
+_ANCHORED = ANCHOR[: ANCHOR.index("\nSELECT")]
+_SP = "sp AS (SELECT * FROM p)"
+_PEAKS = """SELECT bl.pair_id, o / 3600 AS o, round(greatest(0, least(1, x / (sqrt(a.e * b.e) + 1e-12))), 9) AS peak FROM bl JOIN sp USING (pair_id) JOIN pw a ON a.media_id = primary_id JOIN pw b ON b.media_id = target_id"""
+SEARCH = rf"""{VARIANTS}, {_reference_frames(40, 20, 4, 5, 1, 40)},
+an AS (WITH tm AS (SELECT media_id, total, unnest(list_filter([2e0, 8e0, 18e0, 35e0, 60e0, 90e0], lambda t: t < total - 5)) AS t FROM nt),
+go AS (SELECT media_id, greatest(0, least(total - 1, t::BIGINT)) AS goal FROM tm),
+ne AS (SELECT media_id, goal, frame_idx FROM (SELECT go.media_id, goal, f.frame_idx, row_number() OVER (PARTITION BY go.media_id, goal ORDER BY k.range, -s.s) AS q
+FROM go CROSS JOIN range(8) k CROSS JOIN (VALUES (1), (-1)) s(s) JOIN f ON f.media_id = go.media_id AND f.frame_idx = goal + s.s * k.range WHERE lap_var > 40) WHERE q = 1),
+r AS (SELECT p.pair_id, p.primary_id, goal AS ref_no, f.frame_idx AS ref_t, h0 AS r0, h1 AS r1 FROM p JOIN ne ON ne.media_id = p.target_id JOIN f ON f.media_id = ne.media_id AND f.frame_idx = ne.frame_idx),
+{_coarse(8)}, {_fine("c", "z")}, pr AS (SELECT pair_id, ref_no AS id, ref_t AS target_t, ref_t AS tf, frame_idx AS pf, round(frame_idx + shift, 9) AS p, round(frame_idx + shift - ref_t, 9) AS o, hd FROM z JOIN r USING (pair_id, ref_no)),
+{CLUSTER_TAIL}, {_ANCHORED}
+SELECT pair_id, mp, mt, mh, tf, pf FROM t JOIN (SELECT pair_id, cluster, tf, pf, row_number() OVER (PARTITION BY pair_id, cluster ORDER BY hd, o, id) AS q FROM cl) USING (pair_id, cluster) WHERE k = 1 AND q = 1 AND mh <= 12),
+fc1 AS (SELECT media_id, frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY lap_var <= 40, frame_idx) AS k FROM f WHERE frame_idx < 120 AND lap_var > 25) WHERE k = 1),
+fc2 AS (SELECT media_id, frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY tier, frame_idx) AS k FROM (SELECT media_id, frame_idx, CASE WHEN gone < 30 AND lap_var > 40 THEN 1 WHEN gone < 60 AND lap_var > 25 THEN 2 WHEN gone = 0 THEN 3 END AS tier
+FROM (SELECT f.media_id, frame_idx, lap_var, frame_idx - least(2, greatest(0, total - 10)) AS gone FROM f JOIN nt USING (media_id)) WHERE gone >= 0) WHERE tier IS NOT NULL) WHERE k = 1),
+rf AS (SELECT pair_id, primary_id, target_id, coalesce(an.tf, fc1.frame_idx, fc2.frame_idx) AS frame_idx FROM p LEFT JOIN an USING (pair_id) LEFT JOIN fc1 ON fc1.media_id = target_id LEFT JOIN fc2 ON fc2.media_id = target_id),
+si AS (WITH r AS (SELECT pair_id, primary_id, 0 AS ref_no, rf.frame_idx AS ref_t, h0 AS r0, h1 AS r1 FROM rf JOIN f ON f.media_id = target_id AND f.frame_idx = rf.frame_idx), {_coarse(6)}, c2 AS (SELECT * FROM c WHERE hd <= 12), {_fine("c2", "z")},
+c3 AS (SELECT pair_id, 0 AS ref_no, 999::BIGINT AS hd, pf AS frame_idx FROM z JOIN an USING (pair_id) WHERE mh <= 6 AND z.frame_idx + shift < mp - 8), {_fine("c3", "y")},
+zz AS (SELECT pair_id, y.hd, y.frame_idx + shift - tf AS o FROM y JOIN an USING (pair_id) UNION ALL SELECT pair_id, hd, frame_idx + shift - ref_t FROM z JOIN r USING (pair_id, ref_no) WHERE pair_id NOT IN (SELECT pair_id FROM y)) SELECT pair_id, 'single' AS stage, hd, o FROM zz),
+mu AS (WITH r AS (SELECT p.pair_id, p.primary_id, ref_no, nr.frame_idx AS ref_t, h0 AS r0, h1 AS r1 FROM p JOIN nr ON nr.media_id = p.target_id AND ref_no > 0 AND NOT lost JOIN f ON f.media_id = nr.media_id AND f.frame_idx = nr.frame_idx),
+{_coarse(6)}, c2 AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY hd, ref_no) AS k FROM c) WHERE k = 1), {_fine("c2", "z")}
+SELECT pair_id, 'multi' AS stage, hd, frame_idx + shift - ref_t AS o FROM z JOIN r USING (pair_id, ref_no) WHERE hd <= 12 AND pair_id NOT IN (SELECT pair_id FROM si)),
+vi AS (SELECT * FROM si UNION ALL SELECT * FROM mu),
+au AS (WITH {GRID}, lv AS (SELECT g.media_id, g.bin, log10(coalesce(rms, 0) + 1e-6) AS level FROM g LEFT JOIN en USING (media_id, bin)), {THRESHOLD}, {SMOOTHED}, {_SP}, {_lagged(60)} {_PEAKS}),
+cx AS (WITH hi AS (SELECT DISTINCT media_id, round_even(t, 0)::BIGINT AS bin FROM ct WHERE round_even(t, 0) BETWEEN 0 AND 719), {CUTS_SMOOTH[CUTS_SMOOTH.index("hg AS"):]},
+{_SP}, {_lagged(60)}, en5 AS (SELECT media_id FROM ct GROUP BY media_id HAVING count(*) >= 5) {_PEAKS} WHERE primary_id IN (SELECT media_id FROM en5) AND target_id IN (SELECT media_id FROM en5)),
+cd AS (SELECT p.pair_id, stage, vi.hd AS v_hd, vi.o AS v_off, au.o AS a_off, au.peak AS a_peak, cx.o AS c_off, cx.peak AS c_peak FROM p LEFT JOIN vi USING (pair_id) LEFT JOIN au USING (pair_id) LEFT JOIN cx USING (pair_id)),
+{CONS_TAIL}, {CASCADE_TAIL},
+de AS (SELECT *, CASE source WHEN 'cut' THEN c_off WHEN 'audio' THEN a_off WHEN 'none' THEN NULL ELSE o END AS off FROM fc)"""
+_AGREES = "CASE WHEN v_off IS NULL OR {o} IS NULL THEN NULL WHEN abs(round({o} - v_off, 9)) <= 0.1e0 THEN 'confirmed' WHEN abs(round({o} - v_off, 9)) <= 0.5e0 THEN 'borderline' ELSE 'disagree' END"
+_SETTLED = f"""ad AS (SELECT sm.pair_id, sm.seg_no, sm.a, sm.b, sm.o, inl >= 3 AND sd <= 0.08e0 AS trusted, sm.o + wo.o / 3600 AS a_off, wo.peak AS a_peak FROM s9 sm LEFT JOIN wo ON wo.name = sm.pair_id || ':' || sm.seg_no AND wo.peak >= 0.2e0),
+sm AS (SELECT pair_id, seg_no, a, b, CASE WHEN a_off IS NULL OR (trusted AND round(abs(a_off - o), 9) <= 0.3e0) THEN o WHEN a_peak >= 0.3e0 AND round(abs(a_off - o), 9) <= 1.5e0 THEN a_off ELSE o END AS o FROM ad)"""
+FROM_FRAMES = f"""{SEARCH}, ln AS (SELECT media_id, count(*)::DOUBLE AS dur FROM f GROUP BY media_id), pd AS (SELECT pair_id, t.dur AS tdur, q.dur AS primary_duration FROM p JOIN ln t ON t.media_id = target_id JOIN ln q ON q.media_id = primary_id),
+du AS (SELECT pair_id, primary_duration FROM pd),
+s AS (WITH l AS (SELECT media_id, dur, greatest(0, least(30, dur - 1)) AS lo FROM ln), tm AS (SELECT media_id, r.range AS sample_no, round_even(lo + r.range * (greatest(lo + 1, dur - 60) - lo) / 25e0, 0)::BIGINT AS frame FROM l, range(1, 25) r),
+r AS (SELECT p.pair_id, p.primary_id, sample_no AS ref_no, frame_idx AS ref_t, h0 AS r0, h1 AS r1, off FROM p JOIN de USING (pair_id) JOIN tm ON tm.media_id = target_id JOIN f ON f.media_id = target_id AND frame_idx = frame WHERE lap_var > 40 AND off IS NOT NULL),
+e AS (SELECT pair_id, ref_no, ref_t, f.frame_idx AS fr, {HD} AS d FROM r JOIN f ON f.media_id = r.primary_id AND f.frame_idx BETWEEN greatest(0, trunc(ref_t + off - 6)::BIGINT) AND trunc(ref_t + off + 6)::BIGINT),
+w AS (SELECT pair_id, ref_no, ref_t, d AS hd, fr AS frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, ref_no ORDER BY d, fr) AS k FROM e) WHERE k = 1 AND d <= 16),
+n AS (SELECT w.pair_id, w.ref_no, w.ref_t, w.hd, w.frame_idx, max(CASE WHEN e.fr = w.frame_idx - 1 THEN d END) AS bf, max(CASE WHEN e.fr = w.frame_idx + 1 THEN d END) AS af FROM w JOIN e USING (pair_id, ref_no) GROUP BY ALL)
+SELECT pair_id, ref_no AS id, ref_t::DOUBLE AS target_t, round(frame_idx + {SHIFT} - ref_t, 9) AS o, hd FROM n),
+{_despiked('s', 6)}, gd AS (SELECT pair_id, count(*) >= 8 AND round(max(o) - min(o), 9) > 0.45e0 AS despiked FROM s GROUP BY pair_id),
+us AS (SELECT s.pair_id, s.id, s.target_t, s.hd, CASE WHEN despiked THEN d6.o ELSE s.o END AS o FROM s JOIN gd USING (pair_id) JOIN d6 ON d6.pair_id = s.pair_id AND d6.id = s.id), um AS (SELECT pair_id, median(o) AS med FROM us GROUP BY pair_id),
+uq AS (SELECT pair_id, CASE WHEN count(*) >= 4 THEN greatest(0, quantile_cont(o, 0.88) - quantile_cont(o, 0.12)) ELSE max(o) - min(o) END AS spread, coalesce(median(o) FILTER (round(abs(o - med), 9) <= 0.1e0), any_value(med)) AS ro FROM us JOIN um USING (pair_id) GROUP BY pair_id),
+vd AS (SELECT pair_id, round(spread, 9) > 0.18e0 AS many, ro FROM uq),
+pl AS (SELECT pair_id, CASE WHEN off IS NULL THEN 'none' WHEN many THEN 'segmented' ELSE 'single' END AS mode, CASE WHEN coalesce(many, false) THEN NULL ELSE coalesce(ro, off) END AS o, CASE WHEN off IS NULL THEN 'No match found' END AS error FROM de LEFT JOIN vd USING (pair_id)),
+sn AS (WITH RECURSIVE s AS (SELECT us.* FROM us JOIN vd USING (pair_id) WHERE many), {WALK_MEDIAN}, {_bounded("tdur", "JOIN pd USING (pair_id)")} SELECT * FROM sb WHERE b > a),
+s9 AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY a, b) - 1 AS seg_no, a, b, o, inl, sd FROM sn),
+wi AS (SELECT pair_id || ':' || seg_no AS name, primary_id, target_id, round_even(t0 + o, 0)::BIGINT AS pb, floor(t0)::BIGINT AS tb, floor(b - t0)::BIGINT AS nb FROM (SELECT s9.*, primary_id, target_id, a + greatest(0, -(a + o)) AS t0 FROM s9 JOIN p USING (pair_id)) WHERE b - t0 >= 30 AND floor(b - t0) >= 20),
+{WINDOWED}, {_SETTLED}, {CHUNKS.removeprefix(SEGMENTS + ", ")}"""
 SQL: dict[str, str] = {
     "nn_single_ref": f"WITH {_refs('f.frame_idx = 10')}, {_coarse(1)} SELECT pair_id, hd, frame_idx, round(frame_idx / 24e0 - ref_t, 6) + 0e0 AS \"offset\", {BAND} AS confidence FROM c JOIN r USING (pair_id, ref_no)",
     "nn_coarse_fine": f"WITH {_refs('f.frame_idx = 10')}, {_coarse(6)}, c2 AS (SELECT * FROM c WHERE hd <= 48), {_fine('c2', 'z')} {_offset('z')}",
@@ -278,18 +351,14 @@ SELECT pair_id, n, despiked, round(spread, 6) AS spread, round(spread, 9) > 0.18
     "anchor_choice": f"WITH {CLUSTERED}, {ANCHOR} AND mh <= 24",
     "intro_anchor": f"WITH {INTRO}, {CLUSTER_TAIL}, {ANCHOR} AND mh <= 48",
     "sync_pairs": SYNC,
+    "sync_search": f"""WITH RECURSIVE {SEARCH} SELECT pair_id, source, CASE WHEN source IN ('visual', 'consensus') THEN stage END AS stage, CASE source WHEN 'consensus' THEN -3 WHEN 'cut' THEN -2 WHEN 'audio' THEN -1 WHEN 'visual' THEN v_hd END::BIGINT AS hd, round(off, 6) + 0e0 AS "offset",
+CASE source WHEN 'consensus' THEN 'high' WHEN 'visual' THEN CASE WHEN v_hd <= 2 THEN 'high' WHEN v_hd <= 6 THEN 'medium' ELSE 'low' END WHEN 'cut' THEN CASE WHEN c_peak >= 0.5e0 THEN 'high' ELSE 'medium' END WHEN 'audio' THEN CASE WHEN a_peak >= 0.55e0 THEN 'high' ELSE 'medium' END END AS confidence,
+{_AGREES.format(o="a_off")} AS audio, {_AGREES.format(o="c_off")} AS cut, CASE WHEN source = 'none' THEN 'No match found' END AS error FROM de""",
+    "sync_from_frames": f"""WITH RECURSIVE {FROM_FRAMES} SELECT pair_id, mode, round(pl.o, 6) + 0e0 AS "offset", error, chunk_no, kind, round(target_start, 6) AS target_start, round(target_end, 6) AS target_end, round(duration, 6) AS duration FROM pl LEFT JOIN ck USING (pair_id)""",
     "segments_sample_walker": f"""WITH RECURSIVE {_samples(False)}, {WALK_MEAN}, g AS (SELECT pair_id, grp, avg(o) AS o, min(target_t) AS a, max(target_t) AS b FROM wg GROUP BY ALL)
 SELECT pair_id, grp::BIGINT AS seg_no, round(coalesce((lag(b) OVER w + a) / 2, 0e0), 4) AS target_start, round(coalesce((b + lead(a) OVER w) / 2, 2592000e0), 4) AS target_end, round(o, 6) AS "offset" FROM g WINDOW w AS (PARTITION BY pair_id ORDER BY grp)""",
     "segments_cluster_walker": f"WITH RECURSIVE {_samples(False)}, {BLACKS.removeprefix(EV + ', ')}, {WALK_MEDIAN} SELECT pair_id, grp::BIGINT AS grp, count(*) AS n, round(list_sort(list(o))[count(*) // 2 + 1], 6) AS upper, round(min(target_t + o), 6) AS first_p, round(max(target_t + o), 6) AS last_p FROM wx GROUP BY ALL",
-    "segments_with_blacks": f"""WITH RECURSIVE {_samples(False)}, {BLACKS.removeprefix(EV + ', ')}, {WALK_MEDIAN},
-xc AS (SELECT pair_id, grp, median(o) AS med, min(target_t + o) AS first_p, max(target_t + o) AS last_p FROM wx GROUP BY ALL),
-xs AS (SELECT pair_id, grp, avg(o) AS o, count(*) AS inl, stddev_pop(o) AS sd FROM wx JOIN xc USING (pair_id, grp) WHERE round(abs(o - med), 9) <= 0.15e0 GROUP BY ALL),
-xo AS (SELECT *, row_number() OVER w AS no, count(*) OVER (PARTITION BY pair_id) AS k, lead(first_p) OVER w AS hi FROM xc WINDOW w AS (PARTITION BY pair_id ORDER BY grp)),
-sc AS (SELECT pair_id, b_start, (b_start + b_end) / 2 AS mid, round((b_end - b_start) * greatest(1, least(600, coalesce(b_start - lag(b_end) OVER w, 600), coalesce(lead(b_start) OVER w - b_end, 600))), 9) AS score FROM bk WINDOW w AS (PARTITION BY pair_id ORDER BY b_start, b_end)),
-bd AS (SELECT pair_id, no, mid FROM (SELECT xo.pair_id, no, mid, row_number() OVER (PARTITION BY xo.pair_id, no ORDER BY score DESC, b_start) AS q FROM xo JOIN sc ON sc.pair_id = xo.pair_id AND last_p < mid AND mid < hi) WHERE q = 1),
-bo AS (SELECT xo.*, CASE WHEN hi IS NOT NULL THEN coalesce(mid, (last_p + hi) / 2) END AS boundary FROM xo LEFT JOIN bd USING (pair_id, no)),
-sg AS (SELECT bo.pair_id, no, k, boundary, lag(boundary) OVER (PARTITION BY bo.pair_id ORDER BY no) AS bef, xs.o, inl, sd FROM bo JOIN xs USING (pair_id, grp)),
-sa AS (SELECT *, CASE WHEN no = 1 THEN 0e0 ELSE greatest(0e0, bef - o) END AS a FROM sg WHERE k > 1), sb AS (SELECT *, least(2592000e0, CASE WHEN no = k THEN 2592000e0 ELSE greatest(a + 0.001e0, boundary - o) END) AS b FROM sa)
+    "segments_with_blacks": f"""WITH RECURSIVE {_samples(False)}, {BLACKS.removeprefix(EV + ', ')}, {WALK_MEDIAN}, {_bounded("2592000e0", "")}
 SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY a, b) - 1 AS seg_no, round(a, 6) AS target_start, round(b, 6) AS target_end, round(o, 6) AS "offset", inl AS phash_inliers, round(sd, 6) AS phash_stdev FROM sb WHERE b > a""",
     "verification_report": f"""WITH {_VISUAL}, gm AS (WITH RECURSIVE {GREEDY} SELECT * FROM gm), gk AS (WITH RECURSIVE {GREEDY} SELECT * FROM gk), dw AS (WITH {DRIFTED} SELECT pair_id, round(delta_ms, 6) AS delta_ms FROM dw),
 vd AS (SELECT pair_id, count(*) AS n, max(abs(frame_idx + shift - ref_t * 24)) * 1000 / 24e0 AS ms, avg((abs(frame_idx + shift - ref_t * 24) <= 0.5e0)::INT) AS half FROM b GROUP BY pair_id),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import phash, scalar
-from ..operators import decide, flow, nearest, pairing, sampling, segments, signals, stats, verify
+from ..operators import decide, engines, flow, nearest, pairing, sampling, segments, signals, stats, verify
 from ..sources import adapters as a
 from ..sources import logs
 
@@ -413,14 +413,6 @@ def batch_counts(s, d):
     return decide.batch_counts(f.withColumn("error", F.when(F.col("source") == "none", "No match found")))
 
 
-@query
-def process_batch(s, d):
-    """Name pairs of every folder; a pair's offset is that of the recording numbered by the last digit of its primary."""
-    offsets = nn_coarse_fine(s, d).select(F.col("pair_id").alias("slot"), "offset", "confidence")
-    engine = lambda pairs: pairs.withColumn("slot", F.col("primary_id") % 10).join(offsets, "slot").select("pair_id", "offset", "confidence")
-    return rounded(flow.run_batch(a.names(s, d), "folder", engine)[0])
-
-
 @query
 def intro_anchor(s, d):
     return rounded(flow.intro_anchor(a.pair_table(s), a.frames(s, d), 4.0, THRESHOLD, replace(DEFAULT, probes=(1.0, 2.0, 4.0, 6.0), content=40.0)))
@@ -440,6 +432,43 @@ def sync_pairs(s, d):
     return rounded(flow.sync_pairs(a.pair_table(s), visual, signal, cuts))
 
 
+#: Two recordings and their variants on one clock: a frame, a bin and a unit of time an hour.
+CLOCK = replace(DEFAULT, content=40.0, threshold=6, refs_skip_start=40.0, refs_skip_end=20.0, multi_refs=4, dense_samples=24, dense_window=6.0, refine_min_bins=20)
+
+
+def _search(s: SparkSession, d: str) -> engines.Search:
+    visual = engines.VisualEngine(a.variant_frames(s, d), 1.0, CLOCK.threshold, CLOCK)
+    audio = engines.AudioEngine(signals.rms(a.variant_energy(s, d)), a.BINS, 1.0, CLOCK)
+    cuts = engines.CutEngine(a.variant_cuts(s, d), a.BINS, 1.0, CLOCK)
+    return engines.search(a.variant_pairs(s), visual, audio, cuts, "fallback", "fallback", CLOCK)
+
+
+@query
+def sync_search(s, d):
+    """What the chain of engines decides on each pair of a recording and a variant."""
+    return rounded(_search(s, d).decisions)
+
+
+@query
+def sync_from_frames(s, d):
+    """From frames, energy, cuts and dark intervals to what is played."""
+    found = _search(s, d).decisions
+    plans, chunks = flow.sync_recordings(a.variant_pairs(s), found, a.variant_frames(s, d), signals.rms(a.variant_energy(s, d)), a.variant_blacks(s, d), 1.0, 1.0, CLOCK)
+    return rounded(plans.join(chunks, "pair_id", "left"))
+
+
+def _contents(s: SparkSession, d: str) -> DataFrame:
+    """file_id, media_id: primaries hold one of the two recordings, targets a variant."""
+    return a.names(s, d).select(F.col("id").alias("file_id"), F.when(F.col("side") == "primary", F.floor(F.col("id") / 2) % 2).otherwise(100 + F.col("id") % 16).cast("long").alias("media_id"))
+
+
+@query
+def process_batch(s, d):
+    """The files of every folder paired by name, and each pair of recordings that they hold searched by its frames."""
+    engine = engines.VisualEngine(a.variant_frames(s, d), 1.0, CLOCK.threshold, CLOCK, references="off")
+    return rounded(flow.run_batch(a.names(s, d), "folder", engines.by_content(engine, _contents(s, d)))[0])
+
+
 # --- verification
 
 
