@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT, Config
 from ..functions.scalar import batch_name, is_video, list_name
+from .lineage import written
+from .name_index import greedy_pairs_by_index
 
 
 @F.pandas_udf(T.DoubleType())
@@ -87,8 +89,8 @@ def scored_names(files: DataFrame, group: str, ui: bool = False) -> DataFrame:
     return p.join(t, group).select(group, "p_id", "p_place", "t_id", "t_place", name_ratio("p_name", "t_name").alias("score"))
 
 
-def pair_by_name(files: DataFrame, group: str, least: float = DEFAULT.similar, ui: bool = False) -> DataFrame:
-    """group, p_id, t_id, score: greedy pairs in each group; a group is the lists of one folder pair, walked in one task."""
+def pair_by_all_scores(files: DataFrame, group: str, least: float = DEFAULT.similar, ui: bool = False) -> DataFrame:
+    """pair_by_name over the scores of all pairs of a group: quadratic, for small groups and as a check."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p, t = dict(zip(pdf["p_place"], pdf["p_id"], strict=True)), dict(zip(pdf["t_place"], pdf["t_id"], strict=True))
@@ -98,30 +100,20 @@ def pair_by_name(files: DataFrame, group: str, least: float = DEFAULT.similar, u
     return scored_names(files, group, ui).groupBy(group).applyInPandas(run, f"{group} {files.schema[group].dataType.simpleString()}, p_id long, t_id long, score double")
 
 
+def pair_by_name(files: DataFrame, group: str, least: float = DEFAULT.similar, ui: bool = False) -> DataFrame:
+    """group, p_id, t_id, score: greedy pairs in each group (the lists of one folder pair), scored in the order of their bounds."""
+    return greedy_pairs_by_index(files, group, least, ui)
+
+
 def auto_sort(files: DataFrame, group: str, cfg: Config = DEFAULT, refused: DataFrame | None = None) -> DataFrame:
     """group, place, p_id, t_id, score, needs_review: the target list put beside the primary list of each group.
 
     Each primary in order takes the best target left. Pairs below the automatic limit need a review; those the reviewer
-    refused (refused: p_id, t_id) leave the primary's place empty and the target free for later ones. Targets left over
-    follow below, without a primary.
+    refused (refused: p_id, t_id; a null t_id refuses whatever the primary is offered) leave the primary's place empty and the
+    target free for later ones. Targets left over follow below, without a primary.
     """
-    scores = scored_names(files, group, ui=True)
-    no = F.lit(False)
-    if refused is not None:
-        marks = refused.select("p_id", "t_id").distinct().withColumn("mark", F.lit(True))
-        no = F.coalesce("mark", no) & (F.col("score") < cfg.similar_ui)
-        scores = scores.join(marks, ["p_id", "t_id"], "left")
-    scores = scores.select(group, "p_id", "p_place", "t_id", "t_place", "score", no.alias("no"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, t = dict(zip(pdf["p_place"], pdf["p_id"], strict=True)), dict(zip(pdf["t_place"], pdf["t_id"], strict=True))
-        barred = pdf[pdf["no"]]
-        rows = greedy_pairs(list(zip(pdf["p_place"], pdf["t_place"], pdf["score"], strict=True)), 0.0, frozenset(zip(barred["p_place"], barred["t_place"], strict=True)))
-        return pd.DataFrame({"p_id": [p[r[0]] for r in rows], "t_id": [t[r[1]] for r in rows], "score": [r[2] for r in rows]})
-
-    pairs = scores.groupBy(group).applyInPandas(run, "p_id long, t_id long, score double")
-    used = pairs.select("p_id", "t_id", "score")
-    left = files.where("side = 'primary'").select(group, F.col("id").alias("p_id")).join(used, "p_id", "left").select(group, F.lit(0).alias("below"), "p_id", "t_id", "score")
+    used = written(greedy_pairs_by_index(files, group, None, ui=True, refused=refused, limit=cfg.similar_ui))
+    left = files.where("side = 'primary'").select(group, F.col("id").alias("p_id")).join(used.select("p_id", "t_id", "score"), "p_id", "left").select(group, F.lit(0).alias("below"), "p_id", "t_id", "score")
     free = files.where("side = 'target'").select(group, F.col("id").alias("t_id")).join(used.select("t_id"), "t_id", "left_anti")
     rows = left.unionByName(free.select(group, F.lit(1).alias("below"), F.lit(None).cast("long").alias("p_id"), "t_id", F.lit(None).cast("double").alias("score")))
     place = F.row_number().over(Window.partitionBy(group).orderBy("below", F.coalesce("p_id", "t_id")))

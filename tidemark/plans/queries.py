@@ -583,8 +583,7 @@ def name_ratio_pairing(s, d):
 def autosort_review(s, d):
     """The reviewer refuses what is offered to primaries that are text files."""
     files = a.names(s, d)
-    no = files.where("side = 'primary' AND path LIKE '%.txt'").select("folder", F.col("id").alias("p_id"))
-    refused = no.join(files.where("side = 'target'").select("folder", F.col("id").alias("t_id")), "folder")
+    refused = files.where("side = 'primary' AND path LIKE '%.txt'").select(F.col("id").alias("p_id"), F.lit(None).cast("long").alias("t_id"))
     return rounded(pairing.auto_sort(files, "folder", refused=refused))
 
 
