@@ -8,11 +8,14 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, hmm, mixing, pii, quality, simhash, suffix, toxicity
 from tidemark.llm.common import in_fold
 
+from .conftest import SCHEMA
+
 sha = lambda b: hashlib.sha256(b).hexdigest()
 
 
@@ -89,6 +92,20 @@ def test_bpe(spark, odd, chunk, overlap):
     assert got == multiset(want)
 
 
+@pytest.mark.parametrize("size", [200_000, 5_000_000])
+def test_bpe_of_long_runs(spark, size):
+    """Runs of one kind of character far longer than a chunk, alone and within text, equal their pre-tokens encoded one by one."""
+    encoder = bpe.public_bpe(spark)
+    enc, split = bpe._encoding(encoder.ranks.value, encoder.pattern), regex.compile(encoder.pattern)
+    runs = [" " * size, "\n" * size, "ab" * (size // 2), "7" * size, "x" + " " * size + "y and more", "Ñ\x1c" + "\t " * (size // 2) + "日本 it's " * 20_000 + "!" * size]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(runs if size < 1_000_000 else runs[::2])], SCHEMA)
+    texts_ = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in bpe.token_digests(encoder, docs).collect():
+        ids = [i for m in split.finditer(texts_[r.doc_id]) for i in enc._core_bpe.encode_single_piece(m.group().encode())]
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts_[r.doc_id].encode()).hexdigest()
+
+
 def test_bpe_empty(spark, none):
     assert bpe.token_digests(bpe.public_bpe(spark), none).count() == 0
 

@@ -7,7 +7,9 @@ The pieces between stitches are encoded independently and their ids concatenated
 Why a stitch is exact: the pattern looks ahead but never behind, so from a true pre-token boundary on the split is
 the same whatever stands before. The first chunk starts at a true boundary. If the boundaries of chunk i are true from
 its stitch on, a boundary that chunk i+1 shares with them is a true one, and chunk i+1 is right from there.
-A document in which two neighbours share no boundary (an unbroken run longer than the overlap) is encoded as one piece.
+A document in which two neighbours share no boundary (an unbroken run longer than the overlap) is encoded by one task, in segments
+between pre-token boundaries; a single pre-token longer than a segment is merged without the pattern, whose
+backtracking would give up on runs of hundreds of thousands of blanks.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +27,8 @@ from .common import bound_batches
 
 CHUNK = 32768
 OVERLAP = 1024
+#: Characters that are handed to the encoder's own splitting at once.
+SEGMENT = 65536
 
 _encodings: dict = {}
 
@@ -44,6 +49,32 @@ def _encoding(ranks: bytes, pattern: str):
     return _encodings[key]
 
 
+def _ids(enc, pattern: str, text: str) -> np.ndarray:
+    """The ids of a text of any length and shape."""
+    if len(text) <= SEGMENT:
+        return enc.encode_to_numpy(text, disallowed_special=())
+    import regex
+
+    out, start, last = [], 0, 0
+
+    def flush(upto: int) -> None:
+        nonlocal start
+        if upto > start:
+            out.append(enc.encode_to_numpy(text[start:upto], disallowed_special=()))
+            start = upto
+
+    for m in regex.compile(pattern).finditer(text):
+        if m.end() - start > SEGMENT:
+            flush(last)
+        if m.end() - start > SEGMENT:
+            flush(m.start())
+            out.append(np.array(enc._core_bpe.encode_single_piece(m.group().encode()), np.uint32))
+            start = m.end()
+        last = m.end()
+    flush(len(text))
+    return np.concatenate(out)
+
+
 class ByteBPE:
     """Encoder and decoder for one vocabulary. ranks: content of a rank file; pattern: the pre-token pattern."""
 
@@ -61,7 +92,7 @@ class ByteBPE:
             enc = _encoding(ranks.value, pattern)
             out, offsets, n = [], [0], 0
             for t in texts:
-                ids = enc.encode_to_numpy(t.as_py() or "", disallowed_special=()).astype("int32")
+                ids = _ids(enc, pattern, t.as_py() or "").astype("int32")
                 n += len(ids)
                 out.append(pa.array(ids))
                 offsets.append(n)
