@@ -115,8 +115,11 @@ def band_scan(refs: DataFrame, frames: DataFrame, fps: float, window: float, lim
     return with_shift(best).withColumn("offset", (F.col("frame_idx") + F.col("shift")) / F.lit(fps) - F.col("ref_t"))
 
 
-def top_matches(pairs: DataFrame, frames: DataFrame, k: int) -> DataFrame:
-    """pair_id, ref_frame, rank, frame_idx, hd: the k nearest primary frames of every target frame."""
+def top_matches_by_scan(pairs: DataFrame, frames: DataFrame, k: int) -> DataFrame:
+    """pair_id, ref_frame, rank, frame_idx, hd: the k nearest primary frames of every target frame, by all frames of a pair.
+
+    hash_index.top_matches gives the same without comparing all.
+    """
     from pyspark.sql import Window
 
     target = frames.select(F.col("media_id").alias("target_id"), F.col("frame_idx").alias("ref_frame"), F.col("h0").alias("r0"), F.col("h1").alias("r1"))

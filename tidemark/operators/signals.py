@@ -87,22 +87,33 @@ def correlate(pairs: DataFrame, signal: DataFrame, lags: int) -> DataFrame:
     return every.join(products, ["pair_id", "lag"], "left").select("pair_id", "lag", F.coalesce("x", F.lit(0.0)).alias("x"))
 
 
-def correlate_long(pairs: DataFrame, signal: DataFrame, lags: int) -> DataFrame:
-    """correlate by FFT, one pair a group: for signals whose bins times lags would be too many rows."""
-    sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.col("primary_id").alias("media_id"), F.lit(0).alias("side")), F.struct(F.col("target_id").alias("media_id"), F.lit(1).alias("side")))).alias("s")).select("pair_id", "s.*")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(pdf["bin"].max()) + 1
-        p, t = np.zeros(n), np.zeros(n)
-        for side, out in ((0, p), (1, t)):
+def correlate_long(pairs: DataFrame, signal: DataFrame, lags: int, block: int = 8192) -> DataFrame:
+    """correlate by FFT in blocks, for signals whose bins times lags would be too many rows.
+
+    The target is cut into blocks of bins (at least as long as the lags reach); a block meets the primary's bins that its lags
+    touch, which neighbouring blocks share. Each block's sums by lag come from one transform of its own, and the sums of a pair's blocks
+    are added. So a pair, however long, is shared by many tasks, and a task holds about three blocks of bins.
+    """
+    reach = lags + 1
+    block = max(block, 2 * reach)
+    own = F.expr(f"floor(bin / {block})")
+    target = pairs.select("pair_id", F.col("target_id").alias("media_id")).join(signal, "media_id").select("pair_id", own.alias("block"), F.lit(1).alias("side"), "bin", "v")
+    primary = pairs.select("pair_id", F.col("primary_id").alias("media_id")).join(signal, "media_id")
+    touched = F.sequence(F.expr(f"floor((bin - {reach}) / {block})"), F.expr(f"floor((bin + {reach}) / {block})"))
+    primary = primary.select("pair_id", F.explode(touched).alias("block"), F.lit(0).alias("side"), "bin", "v")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[1]) * block
+        t, p = np.zeros(block), np.zeros(block + 2 * reach)
+        for side, out, start in ((1, t, first), (0, p, first - reach)):
             rows = pdf[pdf["side"] == side]
-            out[rows["bin"].to_numpy()] = rows["v"].to_numpy()
-        size = 1 << (2 * n - 1).bit_length()
+            out[rows["bin"].to_numpy() - start] = rows["v"].to_numpy()
+        size = 1 << (len(p) - 1).bit_length()
         full = np.fft.irfft(np.fft.rfft(p, size) * np.conj(np.fft.rfft(t, size)), size)
-        k = np.arange(-lags - 1, lags + 2)
-        return pd.DataFrame({"pair_id": pdf["pair_id"].iloc[0], "lag": k, "x": np.where(np.abs(k) < n, full[k % size], 0.0)})
+        return pd.DataFrame({"pair_id": key[0], "lag": np.arange(-reach, reach + 1), "x": full[: 2 * reach + 1]})
 
-    return sides.join(signal, "media_id").groupBy("pair_id").applyInPandas(run, "pair_id long, lag int, x double")
+    parts = target.unionByName(primary).groupBy("pair_id", "block").applyInPandas(run, "pair_id long, lag int, x double")
+    return parts.groupBy("pair_id", "lag").agg(F.sum("x").alias("x"))
 
 
 def best_lag(corr: DataFrame, lags: int, bin_s: float, digits: int = 9) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import phash, scalar
-from ..operators import decide, engines, flow, nearest, pairing, sampling, segments, signals, stats, verify
+from ..operators import decide, engines, flow, hash_index, nearest, pairing, sampling, segments, signals, stats, verify
 from ..sources import adapters as a
 from ..sources import logs
 
@@ -91,7 +91,7 @@ def verify_visual(s, d):
 
 @query
 def hamming_pairs_topk(s, d):
-    return rounded(nearest.top_matches(a.pair_table(s), a.frames(s, d), 3))
+    return rounded(hash_index.top_matches(a.pair_table(s), a.frames(s, d), 3))
 
 
 @query
