@@ -12,7 +12,9 @@ Inner product becomes an angle by one more coordinate, sqrt(M^2 - |x|^2) for row
 
 Distribution: the trees are fitted on a bounded sample (SAMPLE rows) and broadcast (MOST leaves each at most). Every row goes
 down every tree to a leaf; a query goes to the leaves that its queue takes until they hold LOOK rows. The two meet by
-(tree, leaf), and each leaf is scored for all its queries at once. So a query's work does not grow with the table. If leaves
+(tree, leaf), and each leaf is scored for all its queries at once. LOOK is a least number: how many rows a query has to look at
+for a recall of RECALL is measured on PROBES queries, whose true neighbours are found by comparing them with all rows, and
+their leaves' places in the queue; vectors without structure need a share of the table, others far less. If leaves
 hold far more than LEAF rows, as the sample is bounded, each goes on as a tree below that node, and a query takes as many of its
 rows as the leaf's probability gives it.
 
@@ -39,10 +41,10 @@ K = 20
 TREES = 8
 #: Rows of a leaf.
 LEAF = 64
-#: Rows of the leaves that a query takes, those that several trees hold counted each time.
+#: Rows of the leaves that a query takes at least, those that several trees hold counted each time.
 LOOK = 24576
-#: Leaves that a query takes at most where leaves are larger.
-VISITS = 1024
+#: Share of the true neighbours that the leaves taken shall hold, and the queries on which that is measured.
+RECALL, PROBES = 0.95, 64
 #: Rows that the trees are fitted on, and leaves of a tree, at most.
 SAMPLE = 32768
 MOST = 4096
@@ -192,16 +194,28 @@ class Forest:
         y = raised(x, *self.frame)
         return np.stack([t.leaf_of(y) for t in self.trees])
 
-    def visits(self, q: np.ndarray, leaf: int, look: int, visits: int) -> list[tuple[int, int, int]]:
+    def visits(self, q: np.ndarray, leaf: int, look: int) -> list[tuple[int, int, int]]:
         """(tree, leaf, rows to take) of a query, the likeliest first; a leaf of a usual size is taken whole."""
         queue, out, have = Queue(self.trees, directions(q[None, :])[0], self.reach, self.deviation), [], 0.0
-        while have < look and len(out) < visits and (got := queue.pop()) is not None:
+        while have < look and (got := queue.pop()) is not None:
             size, part = self.sizes[got[1]][got[2]], look * math.exp(got[0]) / len(self.trees)
             take = size if size <= 4 * leaf else min(size, max(leaf, part))
             out.append((got[1], got[2], math.ceil(take)))
             have += take
         return out
 
+    def rows_until(self, q: np.ndarray, neighbours: np.ndarray) -> list[float]:
+        """How many rows a query looks at until its queue has taken a leaf of each of the neighbours."""
+        queue, have, open_, out = Queue(self.trees, directions(q[None, :])[0], self.reach, self.deviation), 0.0, {}, {}
+        for t, of in enumerate(self.route(neighbours)):
+            for n, at in enumerate(of):
+                open_.setdefault((t, int(at)), []).append(n)
+        while len(out) < len(neighbours) and (got := queue.pop()) is not None:
+            have += self.sizes[got[1]][got[2]]
+            for n in open_.get(got[1:], ()):
+                out.setdefault(n, have)
+        return [out[n] for n in range(len(neighbours))]
+
     def least(self, q: np.ndarray) -> float:
         """A score that k + 1 rows reach: what scores less cannot be among the best. Minus infinity if the sample is too small."""
         if len(self.sample) < self.wanted:
@@ -232,12 +246,17 @@ def score_leaf(x: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> tuple
     return i[ok], j[ok], s[ok]
 
 
-def nearest(df: DataFrame, every: int = EVERY, k: int = K, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf: int = LEAF, look: int = LOOK, visits: int = VISITS, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each row whose id `every` divides, among all other rows."""
+def nearest(df: DataFrame, every: int = EVERY, k: int = K, key: str = "vec_id", vector: str = "embedding", trees: int = TREES, leaf: int = LEAF, look: int | None = None, sample: int = SAMPLE) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each row whose id `every` divides, among all other rows.
+
+    look: the rows that a query looks at; measured (see looks_for) if not given.
+    """
     rows = materialize(valid_rows(df, key, vector).where(F.exists("v", lambda x: x != 0)), "rows")
     groups, (asked, queries) = folded(rows, k + 1), query_vectors(rows, every)
     discard(rows)
-    forests = df.sparkSession.sparkContext.broadcast(fit(groups, k, trees, leaf, sample))
+    fitted = fit(groups, k, trees, leaf, sample)
+    forests = df.sparkSession.sparkContext.broadcast(fitted)
+    looks = {d: look for d in fitted} if look else looks_for(groups, queries, fitted, k)
 
     def to_leaves(batches):
         for b in batches:
@@ -252,7 +271,7 @@ def nearest(df: DataFrame, every: int = EVERY, k: int = K, key: str = "vec_id",
             out = []
             for q, d, v in zip(b["q"], b["dim"], b["v"], strict=True):
                 forest, each, wide = forests.value[d], {}, v.astype(np.float64)
-                for t, n, take in forest.visits(wide, leaf, look, visits):
+                for t, n, take in forest.visits(wide, leaf, looks[d]):
                     each.setdefault((t, n // forest.bundle), []).append((n, take))
                 least = forest.least(wide)
                 out += [(q, d, v, least, t, n, [x for x, _ in at], [x for _, x in at]) for (t, n), at in each.items()]
@@ -293,6 +312,38 @@ def nearest(df: DataFrame, every: int = EVERY, k: int = K, key: str = "vec_id",
     return ranked_rows(best_groups(found, k + 1), groups, asked, k)
 
 
+def looks_for(groups: DataFrame, queries: DataFrame, forests: dict[int, Forest], k: int) -> dict[int, int]:
+    """The rows to look at for each vector length: LOOK, or more where PROBES queries need more for a recall of RECALL.
+
+    The probes are the query vectors with the least hashes. They are compared with all rows; each task passes on the k best of a
+    probe, so that a few thousand rows come to the driver, however large the table.
+    """
+    out = {}
+    for d, forest in forests.items():
+        probes = queries.where(F.col("dim") == d).orderBy(F.xxhash64("q"), "q").limit(PROBES).select("q", "v").toPandas()
+        out[d] = LOOK
+        if not len(probes):
+            continue
+        asked = groups.sparkSession.sparkContext.broadcast((probes["q"].to_numpy(), matrix(probes["v"])))
+
+        def compare(batches):
+            name, q = asked.value
+            for b in batches:
+                x, g, low = matrix(b["v"]), b["g"].to_numpy(), b["low"].to_numpy()
+                for i in range(len(q)):
+                    s = scores(x, q[i])
+                    best = np.argsort(-s, kind="stable")[: k + 1]
+                    yield pd.DataFrame({"q": name[i], "g": g[best], "low": low[best], "score": s[best], "same": (x[best] == q[i]).all(axis=1)})
+
+        near = groups.where(F.col("dim") == d).select("g", "low", "v").mapInPandas(compare, "q long, g long, low long, score double, same boolean")
+        true = best_groups(near, k + 1).where(~F.col("same")).join(groups.select("g", "v"), "g").select("q", "v").toPandas()
+        wide = dict(zip(*asked.value, strict=True))
+        needed = [n for q, some in true.groupby("q") for n in forest.rows_until(wide[q].astype(np.float64), matrix(some["v"]))]
+        if needed:
+            out[d] = max(LOOK, math.ceil(np.quantile(needed, RECALL, method="higher")))
+    return out
+
+
 def fit(groups: DataFrame, k: int, trees: int, leaf: int, sample: int) -> dict[int, Forest]:
     """A forest for each vector length, fitted on at most `sample` of its vectors, those with the least hashes."""
     out, most = {}, F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
