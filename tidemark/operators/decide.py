@@ -71,21 +71,42 @@ def render_script(chunks: DataFrame) -> DataFrame:
 def render_graph(chunks: DataFrame, media: DataFrame, sample_rate: int = 48000) -> DataFrame:
     """pair_id, n_parts, graph: the filter graph that plays the chunks worth rendering one after another.
 
-    media: pair_id, width, height, fps_rational of the primary. Each part starts at time zero at the primary's size and rate;
-    fillers are black and silent.
+    media: pair_id, width, height, fps_rational of the primary. Each part starts at time zero at the primary's size and rate, with
+    stereo sound of one sample rate; fillers are black and silent. Both joined streams start at time zero again, as joining
+    leaves a first time above zero, which some editors reject.
     """
     c = chunks.where(((F.col("kind") == "filler") & (F.col("duration") >= 0.030)) | ((F.col("kind") == "target") & (F.col("duration") >= 0.001))).join(media, "pair_id")
     i = (F.row_number().over(Window.partitionBy("pair_id").orderBy("chunk_no")) - 1).cast("string")
     span = F.format_string("start=%.6f:end=%.6f", "target_start", "target_end")
     size = F.concat_ws(":", "width", "height")
-    play = F.concat(F.lit("[0:v]trim="), span, F.lit(",setpts=PTS-STARTPTS,scale="), size, F.lit(":force_original_aspect_ratio=decrease,pad="), size, F.lit(":(ow-iw)/2:(oh-ih)/2,setsar=1,fps="), F.col("fps_rational"), F.lit("[v"), F.col("i"), F.lit("];[0:a]atrim="), span, F.lit(",asetpts=PTS-STARTPTS[a"), F.col("i"), F.lit("]"))
+    play = F.concat(F.lit("[0:v]trim="), span, F.lit(",setpts=PTS-STARTPTS,scale="), size, F.lit(":force_original_aspect_ratio=decrease,pad="), size, F.lit(":(ow-iw)/2:(oh-ih)/2,setsar=1,fps="), F.col("fps_rational"), F.lit("[v"), F.col("i"), F.lit("];[0:a]atrim="), span, F.lit(f",asetpts=PTS-STARTPTS,aresample={sample_rate},aformat=channel_layouts=stereo[a"), F.col("i"), F.lit("]"))
     length = F.format_string("%.6f", "duration")
     fill = F.concat(F.lit("color=c=black:s="), F.concat_ws("x", "width", "height"), F.lit(":r="), F.col("fps_rational"), F.lit(":d="), length, F.lit(",setsar=1[v"), F.col("i"), F.lit(f"];anullsrc=r={sample_rate}:cl=stereo,atrim=duration="), length, F.lit("[a"), F.col("i"), F.lit("]"))
     parts = c.withColumn("i", i).select("pair_id", "chunk_no", "i", F.when(F.col("kind") == "filler", fill).otherwise(play).alias("part"))
     g = parts.groupBy("pair_id").agg(F.count("*").alias("n_parts"), F.array_sort(F.collect_list(F.struct("chunk_no", "i", "part"))).alias("p"))
     joined = F.array_join(F.transform("p", lambda x: x["part"]), ";")
     inputs = F.array_join(F.transform("p", lambda x: F.concat(F.lit("[v"), x["i"], F.lit("][a"), x["i"], F.lit("]"))), "")
-    return g.select("pair_id", "n_parts", F.concat(joined, F.lit(";"), inputs, F.lit("concat=n="), F.col("n_parts").cast("string"), F.lit(":v=1:a=1[v][a]")).alias("graph"))
+    return g.select("pair_id", "n_parts", F.concat(joined, F.lit(";"), inputs, F.lit("concat=n="), F.col("n_parts").cast("string"), F.lit(":v=1:a=1[vj][aj];[vj]setpts=PTS-STARTPTS[v];[aj]asetpts=PTS-STARTPTS[a]")).alias("graph"))
+
+
+#: How the joined streams are encoded, so that editing programs open the file.
+ENCODING = (
+    "-c:v libx264 -crf 18 -preset veryfast -pix_fmt yuv420p -profile:v high -level 4.0 -x264-params keyint=48:min-keyint=48:no-scenecut=1:open-gop=0 -bf 2 -refs 3"
+    " -color_primaries bt709 -color_trc bt709 -colorspace bt709 -color_range tv -fps_mode cfr"
+    " -c:a aac -b:a 192k -ar 48000 -ac 2 -profile:a aac_low -movflags +faststart -avoid_negative_ts make_zero -f mp4"
+)
+
+
+def render_command(graphs: DataFrame, files: DataFrame) -> DataFrame:
+    """pair_id, arguments, output: the encoder's arguments for each graph (pair_id, graph), one element an argument.
+
+    files: pair_id, path of the target. The output stands beside it and is an MP4 whatever the target is. A pair without a file
+    or a graph has no row.
+    """
+    out = F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit("_synced.mp4"))
+    rows = graphs.join(files.select("pair_id", "path").where("path IS NOT NULL"), "pair_id").withColumn("output", out)
+    given = F.array(F.lit("-y"), F.lit("-i"), F.col("path"), F.lit("-filter_complex"), F.col("graph"), F.lit("-map"), F.lit("[v]"), F.lit("-map"), F.lit("[a]"))
+    return rows.select("pair_id", F.concat(given, F.split(F.lit(ENCODING), " "), F.array("output")).alias("arguments"), "output")
 
 
 def batch_counts(results: DataFrame) -> DataFrame:

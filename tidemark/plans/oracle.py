@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.decide import ENCODING
 from ..sources.adapters import EDITS
 
 EV = "ev AS (SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS t, user_id, event_type, value, props FROM events)"
@@ -140,7 +141,7 @@ du AS (SELECT * FROM (VALUES (0,302.05e0),(1,80e0),(2,1000e0),(3,320e0),(4,15e0)
 TRIM = """ce AS (SELECT *, round(sum(duration) OVER (PARTITION BY pair_id ORDER BY seg_no, place ROWS UNBOUNDED PRECEDING), 9) AS e FROM ch JOIN du USING (pair_id)),
 kp AS (SELECT *, CASE WHEN e > primary_duration + 1e-3 THEN e - primary_duration ELSE 0e0 END AS less FROM ce WHERE NOT (e > primary_duration + 1e-3 AND e - duration >= primary_duration - 1e-3)),
 ck AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY seg_no, place) - 1 AS chunk_no, kind, target_start, target_end - less AS target_end, duration - less AS duration FROM kp)"""
-CHUNKS = f"""{SEGMENTS}, gx AS (SELECT *, lag(b + o) OVER (PARTITION BY pair_id ORDER BY seg_no) AS prev FROM sm),
+CHUNKS = f"""gx AS (SELECT *, lag(b + o) OVER (PARTITION BY pair_id ORDER BY seg_no) AS prev FROM sm),
 gg AS (SELECT *, round(a + o - coalesce(prev, 0), 9) AS gap, prev IS NULL AS first FROM gx),
 st AS (SELECT *, CASE WHEN (first AND gap > 0) OR (NOT first AND gap >= 0.03e0) THEN gap END AS filler, a + CASE WHEN gap < 0 AND (first OR gap < -1e-6) THEN -gap ELSE 0 END AS s0 FROM gg),
 ch AS (SELECT pair_id, seg_no, 0 AS place, 'filler' AS kind, NULL::DOUBLE AS target_start, NULL::DOUBLE AS target_end, filler AS duration FROM st WHERE filler IS NOT NULL
@@ -301,7 +302,12 @@ pl AS (SELECT pair_id, CASE WHEN off IS NULL THEN 'none' WHEN many THEN 'segment
 sn AS (WITH RECURSIVE s AS (SELECT us.* FROM us JOIN vd USING (pair_id) WHERE many), {WALK_MEDIAN}, {_bounded("tdur", "JOIN pd USING (pair_id)")} SELECT * FROM sb WHERE b > a),
 s9 AS (SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY a, b) - 1 AS seg_no, a, b, o, inl, sd FROM sn),
 wi AS (SELECT pair_id || ':' || seg_no AS name, primary_id, target_id, round_even(t0 + o, 0)::BIGINT AS pb, floor(t0)::BIGINT AS tb, floor(b - t0)::BIGINT AS nb FROM (SELECT s9.*, primary_id, target_id, a + greatest(0, -(a + o)) AS t0 FROM s9 JOIN p USING (pair_id)) WHERE b - t0 >= 30 AND floor(b - t0) >= 20),
-{WINDOWED}, {_SETTLED}, {CHUNKS.removeprefix(SEGMENTS + ", ")}"""
+{WINDOWED}, {_SETTLED}, {CHUNKS}"""
+PLANNED = f"""{_samples(False)}, {BLACKS.removeprefix(EV + ', ')}, {WALK_MEDIAN}, {_bounded("2592000e0", "")}, {SEGMENTS.replace("sm AS (", "sm AS (SELECT pair_id + 100 AS pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY a, b) - 1 AS seg_no, round(a, 3) AS a, round(b, 3) AS b, round(o, 3) AS o FROM sb WHERE b > a UNION ALL ", 1).replace("du AS (", "du AS (SELECT pair_id + 100 AS pair_id, max(target_t) AS primary_duration FROM s GROUP BY pair_id UNION ALL ", 1)}, {CHUNKS}"""
+GRAPHS = f"""{PLANNED}, gw AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY chunk_no) - 1 AS i, printf('start=%.6f:end=%.6f', target_start, target_end) AS span FROM ck WHERE (kind = 'filler' AND duration >= 0.03e0) OR (kind = 'target' AND duration >= 0.001e0)),
+gp2 AS (SELECT *, CASE kind WHEN 'filler' THEN 'color=c=black:s=1920x1080:r=24000/1001:d=' || printf('%.6f', duration) || ',setsar=1[v' || i || '];anullsrc=r=48000:cl=stereo,atrim=duration=' || printf('%.6f', duration) || '[a' || i || ']'
+ELSE '[0:v]trim=' || span || ',setpts=PTS-STARTPTS,scale=1920:1080:force_original_aspect_ratio=decrease,pad=1920:1080:(ow-iw)/2:(oh-ih)/2,setsar=1,fps=24000/1001[v' || i || '];[0:a]atrim=' || span || ',asetpts=PTS-STARTPTS,aresample=48000,aformat=channel_layouts=stereo[a' || i || ']' END AS part FROM gw),
+gr AS (SELECT pair_id::BIGINT AS pair_id, count(*) AS n_parts, string_agg(part, ';' ORDER BY chunk_no) || ';' || string_agg('[v' || i || '][a' || i || ']', '' ORDER BY chunk_no) || 'concat=n=' || count(*) || ':v=1:a=1[vj][aj];[vj]setpts=PTS-STARTPTS[v];[aj]asetpts=PTS-STARTPTS[a]' AS graph FROM gp2 GROUP BY pair_id)"""
 SQL: dict[str, str] = {
     "nn_single_ref": f"WITH {_refs('f.frame_idx = 10')}, {_coarse(1)} SELECT pair_id, hd, frame_idx, round(frame_idx / 24e0 - ref_t, 6) + 0e0 AS \"offset\", {BAND} AS confidence FROM c JOIN r USING (pair_id, ref_no)",
     "nn_coarse_fine": f"WITH {_refs('f.frame_idx = 10')}, {_coarse(6)}, c2 AS (SELECT * FROM c WHERE hd <= 48), {_fine('c2', 'z')} {_offset('z')}",
@@ -373,16 +379,15 @@ coalesce(cuts_primary, 0) AS cuts_primary, coalesce(cuts_synced, 0) AS cuts_sync
     "cut_greedy_pairing": f"WITH RECURSIVE {GREEDY} SELECT pair_id, p_id, s_id, round(p_t, 6) AS p_t, round(s_t, 6) AS s_t, round(gap, 6) AS gap, round(late * (24e0 / 3600e0), 6) + 0e0 AS delta_frames, round(late * 1000, 6) + 0e0 AS delta_ms FROM gm",
     "scene_counts": f"WITH RECURSIVE {GREEDY} SELECT * FROM gk",
     "pcm_windows": f"WITH {EV}, pc AS (SELECT event_type AS media_id, event_id AS i, round(value * 10)::INT / 32768e0 AS amp FROM ev), w AS (SELECT media_id, n.range AS window_no, (n.range + 1) * 125 AS lo FROM (SELECT unnest({_KINDS}) AS media_id), range(3) n) SELECT w.media_id, window_no, nullif(count(i), 0) AS n, round(sum(amp), 6) AS total FROM w LEFT JOIN pc ON pc.media_id = w.media_id AND window_no < 2 AND i >= lo AND i < lo + 125 GROUP BY ALL",
-    "render_graph": f"""WITH {CHUNKS}, w AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY chunk_no) - 1 AS i, printf('start=%.6f:end=%.6f', target_start, target_end) AS span FROM ck WHERE (kind = 'filler' AND duration >= 0.03e0) OR (kind = 'target' AND duration >= 0.001e0)),
-x AS (SELECT *, CASE kind WHEN 'filler' THEN 'color=c=black:s=1920x1080:r=24000/1001:d=' || printf('%.6f', duration) || ',setsar=1[v' || i || '];anullsrc=r=48000:cl=stereo,atrim=duration=' || printf('%.6f', duration) || '[a' || i || ']'
-ELSE '[0:v]trim=' || span || ',setpts=PTS-STARTPTS,scale=1920:1080:force_original_aspect_ratio=decrease,pad=1920:1080:(ow-iw)/2:(oh-ih)/2,setsar=1,fps=24000/1001[v' || i || '];[0:a]atrim=' || span || ',asetpts=PTS-STARTPTS[a' || i || ']' END AS part FROM w)
-SELECT pair_id::BIGINT AS pair_id, count(*) AS n_parts, string_agg(part, ';' ORDER BY chunk_no) || ';' || string_agg('[v' || i || '][a' || i || ']', '' ORDER BY chunk_no) || 'concat=n=' || count(*) || ':v=1:a=1[v][a]' AS graph FROM x GROUP BY pair_id""",
+    "render_graph": f"WITH RECURSIVE {GRAPHS} SELECT * FROM gr",
+    "render_command": rf"""WITH RECURSIVE {GRAPHS}, {NAMES}, op AS (SELECT pair_id, graph, path, regexp_replace(path, '\.[^./]*$', '') || '_synced.mp4' AS output FROM gr JOIN nm ON id = pair_id)
+SELECT pair_id, concat_ws(chr(10), '-y', '-i', path, '-filter_complex', graph, '-map', '[v]', '-map', '[a]', replace('{ENCODING}', ' ', chr(10)), output) AS lines, output FROM op""",
     "black_blocking_semi": f"WITH {BLACKS}, {GAPS} SELECT pair_id, gap_no FROM gp WHERE EXISTS (SELECT 1 FROM bk WHERE bk.pair_id = gp.pair_id AND round(b_end - b_start, 9) >= 0.5e0 AND lo < (b_start + b_end) / 2 AND (b_start + b_end) / 2 < hi)",
     "black_boundary_score": f"""WITH {BLACKS}, {GAPS}, sc AS (SELECT pair_id, b_start, (b_start + b_end) / 2 AS mid, round((b_end - b_start) * greatest(1, least(600, coalesce(b_start - lag(b_end) OVER w, 600), coalesce(lead(b_start) OVER w - b_end, 600))), 9) AS score FROM bk WINDOW w AS (PARTITION BY pair_id ORDER BY b_start, b_end)),
 bs AS (SELECT gp.pair_id, gap_no, mid, row_number() OVER (PARTITION BY gp.pair_id, gap_no ORDER BY score DESC, b_start) AS k FROM gp JOIN sc ON sc.pair_id = gp.pair_id AND lo < mid AND mid < hi)
 SELECT gp.pair_id, gp.gap_no, lo, hi, round(coalesce(mid, (lo + hi) / 2), 6) AS boundary FROM gp LEFT JOIN (SELECT * FROM bs WHERE k = 1) bs USING (pair_id, gap_no)""",
-    "playback_chunks": f"WITH {CHUNKS} SELECT pair_id::BIGINT AS pair_id, chunk_no, kind, round(target_start, 6) AS target_start, round(target_end, 6) AS target_end, round(duration, 6) AS duration FROM ck",
-    "render_script": f"WITH {CHUNKS} SELECT pair_id::BIGINT AS pair_id, count(*) AS n_parts, string_agg(CASE kind WHEN 'filler' THEN printf('black:%.3f', duration) ELSE printf('play:%.3f-%.3f', target_start, target_end) END, ';' ORDER BY chunk_no) AS script FROM ck WHERE (kind = 'filler' AND duration >= 0.03e0) OR (kind = 'target' AND duration >= 0.001e0) GROUP BY pair_id",
+    "playback_chunks": f"WITH RECURSIVE {PLANNED} SELECT pair_id::BIGINT AS pair_id, chunk_no, kind, round(target_start, 6) AS target_start, round(target_end, 6) AS target_end, round(duration, 6) AS duration FROM ck",
+    "render_script": f"WITH RECURSIVE {PLANNED} SELECT pair_id::BIGINT AS pair_id, count(*) AS n_parts, string_agg(CASE kind WHEN 'filler' THEN printf('black:%.3f', duration) ELSE printf('play:%.3f-%.3f', target_start, target_end) END, ';' ORDER BY chunk_no) AS script FROM ck WHERE (kind = 'filler' AND duration >= 0.03e0) OR (kind = 'target' AND duration >= 0.001e0) GROUP BY pair_id",
     "playback_tail_trim": f"WITH {EV}, ch AS (SELECT user_id % 10 AS pair_id, event_id AS seg_no, 1 AS place, 'target' AS kind, t AS target_start, t + value AS target_end, value AS duration FROM ev WHERE event_type = 'error'), du AS (SELECT range AS pair_id, range * 100e0 + 50 AS primary_duration FROM range(10)), {TRIM} SELECT pair_id, chunk_no, kind, round(target_start, 6) AS target_start, round(target_end, 6) AS target_end, round(duration, 6) AS duration FROM ck",
     "agreement_bands": f"WITH {CAND} SELECT pair_id, "
     + ", ".join(f"CASE WHEN v_off IS NULL OR {o} IS NULL THEN NULL WHEN abs(round({o} - v_off, 9)) <= 0.1e0 THEN 'confirmed' WHEN abs(round({o} - v_off, 9)) <= 0.5e0 THEN 'borderline' ELSE 'disagree' END AS {n}" for o, n in (("a_off", "audio"), ("c_off", "cut")))

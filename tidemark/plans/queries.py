@@ -295,17 +295,30 @@ def _durations(s: SparkSession) -> DataFrame:
     return s.range(10).select(F.col("id").alias("pair_id"), F.lit(SPAN).alias("duration"))
 
 
-def _segments(s: SparkSession) -> DataFrame:
-    """Fixed segments with the edge cases of the planner: short gaps, overlaps that swallow a segment, tails."""
+def _segments(s: SparkSession, d: str) -> DataFrame:
+    """The segments of ten pairs (100 to 109), and fixed ones with the edge cases of the planner: short gaps, overlaps that swallow a segment, tails."""
     rows = [
         (0, 0, 0.0, 100.0, 2.0), (0, 1, 100.0, 200.0, 2.029), (0, 2, 200.0, 300.0, 2.059), (1, 0, 0.0, 50.0, -5.0), (1, 1, 50.0, 60.0, -30.0), (1, 2, 60.0, 120.0, -29.0),
         (2, 0, 0.0, 3.0, -4.0), (2, 1, 3.0, 90.0, -4.0), (3, 0, 0.0, 80.0, 0.0), (3, 1, 80.0, 400.0, 0.5), (3, 2, 400.0, 450.0, 0.2), (4, 0, 0.0, 10.0, 0.01), (4, 1, 10.0, 20.0, 0.01),
     ]
-    return s.createDataFrame(rows, "pair_id long, seg_no int, target_start double, target_end double, offset double")
+    fixed = s.createDataFrame(rows, "pair_id long, seg_no int, target_start double, target_end double, offset double")
+    found = segments.segments_with_blacks(a.samples(s, d), a.blacks(s, d), _durations(s))
+    return fixed.unionByName(found.select(F.col("pair_id") + 100, "seg_no", F.round("target_start", 3), F.round("target_end", 3), F.round("offset", 3)).toDF(*fixed.columns))
 
 
-def _primary(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([(0, 302.05), (1, 80.0), (2, 1000.0), (3, 320.0), (4, 15.0)], "pair_id long, primary_duration double")
+def _primary(s: SparkSession, d: str) -> DataFrame:
+    """The primary of one of the ten pairs ends with its last sample."""
+    fixed = s.createDataFrame([(0, 302.05), (1, 80.0), (2, 1000.0), (3, 320.0), (4, 15.0)], "pair_id long, primary_duration double")
+    return fixed.unionByName(a.samples(s, d).groupBy((F.col("pair_id") + 100).alias("pair_id")).agg(F.max("target_t").alias("primary_duration")))
+
+
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    return segments.playback_chunks(_segments(s, d), _primary(s, d))
+
+
+def _graphs(s: SparkSession, d: str) -> DataFrame:
+    media = _primary(s, d).select("pair_id", F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit("24000/1001").alias("fps_rational"))
+    return decide.render_graph(_chunks(s, d), media)
 
 
 @query
@@ -340,12 +353,12 @@ def black_boundary_score(s, d):
 
 @query
 def playback_chunks(s, d):
-    return rounded(segments.playback_chunks(_segments(s), _primary(s)))
+    return rounded(_chunks(s, d))
 
 
 @query
 def render_script(s, d):
-    return rounded(decide.render_script(segments.playback_chunks(_segments(s), _primary(s))))
+    return rounded(decide.render_script(_chunks(s, d)))
 
 
 @query
@@ -403,8 +416,14 @@ def preview_plan(s, d):
 
 @query
 def render_graph(s, d):
-    media = _primary(s).select("pair_id", F.lit(1920).alias("width"), F.lit(1080).alias("height"), F.lit("24000/1001").alias("fps_rational"))
-    return rounded(decide.render_graph(segments.playback_chunks(_segments(s), _primary(s)), media))
+    return rounded(_graphs(s, d))
+
+
+@query
+def render_command(s, d):
+    """Arguments by a line each; the targets are the files numbered by their pair."""
+    files = a.names(s, d).select(F.col("id").alias("pair_id"), "path")
+    return decide.render_command(_graphs(s, d), files).select("pair_id", F.array_join("arguments", "\n").alias("lines"), "output")
 
 
 @query
