@@ -339,7 +339,7 @@ SELECT media_id, tier::BIGINT AS tier, frame_idx FROM (SELECT *, row_number() OV
     "cut_histogram": f"WITH {CUTS} SELECT * FROM hg",
     "cut_smoothed": f"WITH {CUTS_SMOOTH} SELECT media_id, bin, round(v, 6) + 0e0 AS v FROM sg",
     "xcorr_lags": f"WITH {SMOOTH}, {LAGGED} SELECT pair_id, lag, round(x, 6) + 0e0 AS x FROM xc",
-    "xcorr_long": f"WITH {SMOOTH}, {LAGGED} SELECT pair_id, lag, round(x, 4) + 0e0 AS x FROM xc",
+    "xcorr_long": f"WITH {SMOOTH}, {LAGGED} SELECT pair_id, lag, round(round(x, 9), 4) + 0e0 AS x FROM xc",
     "xcorr_peak": f"WITH {SMOOTH}, {LAGGED} SELECT pair_id, lag, round(x, 6) + 0e0 AS x, round(o, 6) + 0e0 AS \"offset\" FROM bl",
     "audio_offset": f"WITH {SMOOTH}, {LAGGED} {_by_signal(0.55, 0.35)}",
     "cut_offset": f"WITH {CUTS_SMOOTH}, {LAGGED}, en5 AS (SELECT media_id FROM ct GROUP BY media_id HAVING count(*) >= 5) {_by_signal(0.5, 0.3, 'primary_id IN (SELECT media_id FROM en5) AND target_id IN (SELECT media_id FROM en5)')}",

@@ -210,7 +210,7 @@ def xcorr_lags(s, d):
 
 @query
 def xcorr_long(s, d):
-    return signals.correlate_long(a.signal_pairs(s), signals.audio_signal(a.energy(s, d), a.BINS), LAGS).select("pair_id", F.col("lag").cast("long").alias("lag"), (F.round("x", 4) + F.lit(0.0)).alias("x"))
+    return signals.correlate_long(a.signal_pairs(s), signals.audio_signal(a.energy(s, d), a.BINS), LAGS).select("pair_id", F.col("lag").cast("long").alias("lag"), (F.round(F.round("x", 9), 4) + F.lit(0.0)).alias("x"))
 
 
 @query
