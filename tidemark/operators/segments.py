@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from .lineage import written
+from .ranges import BLOCK, blocks, numbered, running_sum
 from .stats import upper_median
 
 SAMPLE_TYPES = "pair_id long, id long, target_t double, offset double, hd int, grp int"
@@ -196,3 +197,13 @@ def trim_tail(chunks: DataFrame, durations: DataFrame) -> DataFrame:
     less = F.when(over, F.col("e") - F.col("primary_duration")).otherwise(0.0)
     kept = c.where(~(over & (F.col("b") >= F.col("primary_duration") - 1e-3))).withColumn("less", less)
     return kept.select("pair_id", (F.row_number().over(w) - 1).alias("chunk_no"), "kind", "target_start", (F.col("target_end") - F.col("less")).alias("target_end"), (F.col("duration") - F.col("less")).alias("duration"))
+
+
+def trim_tail_in_blocks(chunks: DataFrame, durations: DataFrame, size: int = BLOCK) -> DataFrame:
+    """trim_tail of pairs of any number of chunks: lengths and numbers are carried from block to block."""
+    parts = blocks(numbered(chunks, ["pair_id"], ["seg_no", "place"]), 0, size)
+    c = running_sum(parts, ["pair_id"], ["_place"], F.col("duration")).withColumn("e", F.round("_sum", 9)).drop("_sum").join(durations, "pair_id").withColumn("b", F.col("e") - F.col("duration"))
+    over = F.col("e") > F.col("primary_duration") + 1e-3
+    less = F.when(over, F.col("e") - F.col("primary_duration")).otherwise(0.0)
+    kept = running_sum(c.where(~(over & (F.col("b") >= F.col("primary_duration") - 1e-3))).withColumn("less", less), ["pair_id"], ["_place"], F.lit(1))
+    return kept.select("pair_id", (F.col("_sum") - 1).alias("chunk_no"), "kind", "target_start", (F.col("target_end") - F.col("less")).alias("target_end"), (F.col("duration") - F.col("less")).alias("duration"))

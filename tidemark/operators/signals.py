@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.scalar import peak_band, vertex_of_maximum
 from .lineage import written
+from .ranges import BLOCK, attach, blocks
+from .ranks import SMALL, percentiles
 
 
 def rms(pcm: DataFrame, full: int | None = None) -> DataFrame:
@@ -40,9 +42,9 @@ def _by_bin(*more: str) -> Window:
     return Window.partitionBy("media_id", *more).orderBy("bin")
 
 
-def smoothed(signal: DataFrame) -> DataFrame:
+def smoothed(signal: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Holes of one bin filled, then blips of one bin removed; the end bins stay."""
-    w = _by_bin()
+    w = _by_bin(*by)
 
     def both(value: float) -> Column:
         return (F.lag("v").over(w) == value) & (F.lead("v").over(w) == value)
@@ -51,6 +53,24 @@ def smoothed(signal: DataFrame) -> DataFrame:
     return filled.withColumn("v", F.when((F.col("v") == 1) & both(0.0), 0.0).otherwise(F.col("v")))
 
 
+def smoothed_in_blocks(signal: DataFrame, size: int = BLOCK) -> DataFrame:
+    """smoothed of recordings of any length: both steps look one bin to either side, so blocks of bins need a halo of two."""
+    return smoothed(blocks(signal, 2, size, "bin"), ("_block",)).where("_own").drop("_block", "_own")
+
+
+def kernel_smoothed_in_blocks(signal: DataFrame, size: int = BLOCK) -> DataFrame:
+    """kernel_smoothed of recordings of any length, in blocks of bins."""
+    return kernel_smoothed(blocks(signal, 2, size, "bin"), ("_block",)).where("_own").drop("_block", "_own")
+
+
+def activity_of_long(energy: DataFrame, cfg: Config = DEFAULT, small: int = SMALL) -> DataFrame:
+    """activity of recordings of any length: the two percentiles are found by narrowing instead of in one buffer a recording."""
+    rows = energy.withColumn("level", F.log10(F.col("rms") + 1e-6))
+    cut = written(percentiles(rows, ["media_id"], "level", [cfg.low_pct, cfg.high_pct], small).withColumnsRenamed({"n": "_n", "p": "_p"}))
+    limit = F.col("_p")[0] + cfg.mix * (F.col("_p")[1] - F.col("_p")[0])
+    return attach(rows, cut, ["media_id"]).select("media_id", "bin", (F.round("level", 9) > F.round(limit, 9)).cast("double").alias("v"))
+
+
 def centred(signal: DataFrame) -> DataFrame:
     return signal.withColumn("v", F.col("v") - F.avg("v").over(Window.partitionBy("media_id")))
 
@@ -67,9 +87,9 @@ def cut_histogram(cuts: DataFrame, bins: int, bin_s: float) -> DataFrame:
     return on_grid(at.withColumn("v", F.lit(1.0)), bins, "v")
 
 
-def kernel_smoothed(signal: DataFrame) -> DataFrame:
+def kernel_smoothed(signal: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """A five-bin kernel, zeros beyond the ends."""
-    w = _by_bin()
+    w = _by_bin(*by)
     terms = [(F.lag("v", 2), 0.25), (F.lag("v", 1), 0.5), (F.lead("v", 1), 0.5), (F.lead("v", 2), 0.25)]
     total = F.col("v")
     for f, k in terms:

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from .ranges import BLOCK, blocks, numbered, owned, running_sum
 
 
 def upper_median(values: str) -> Column:
-    """The element at n // 2 of the sorted values (an aggregate)."""
-    return F.expr(f"array_sort(collect_list({values}))[cast(count({values}) div 2 as int)]")
+    """The element at n // 2 of the sorted values (an aggregate): from above, the first that covers half of them."""
+    return F.expr(f"percentile_disc(0.5D) WITHIN GROUP (ORDER BY {values} DESC)")
 
 
 def spread(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -41,12 +42,12 @@ def trimmed(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return kept.groupBy("pair_id").agg(F.count("*").alias("inliers"), F.avg("offset").alias("mean"), F.stddev_pop("offset").alias("stdev"))
 
 
-def despike(samples: DataFrame, passes: int | None = None, cfg: Config = DEFAULT) -> DataFrame:
+def despike(samples: DataFrame, passes: int | None = None, cfg: Config = DEFAULT, by: tuple[str, ...] = ("pair_id",)) -> DataFrame:
     """samples with the offsets of lone spikes replaced by the mean of their neighbours, and fixes: the passes that changed a row.
 
     A pass reads what the pass before left. One that changes nothing is a fixed point, so a fixed number needs no loop.
     """
-    w = Window.partitionBy("pair_id").orderBy("target_t", "id")
+    w = Window.partitionBy(*by).orderBy("target_t", "id")
     out = samples.withColumn("fixes", F.lit(0))
     for _ in range(cfg.passes if passes is None else passes):
         out = out.withColumns({"before": F.lag("offset").over(w), "after": F.lead("offset").over(w)})
@@ -56,6 +57,16 @@ def despike(samples: DataFrame, passes: int | None = None, cfg: Config = DEFAULT
     return out
 
 
+def despike_in_blocks(samples: DataFrame, passes: int | None = None, cfg: Config = DEFAULT, size: int = BLOCK) -> DataFrame:
+    """despike of pairs of any number of samples: a pass reads one row to either side, so a halo of as many rows as passes is enough.
+
+    All passes run over (pair, block) after one shuffle; the rows of the halo, wrong from the outer end inwards, are dropped.
+    """
+    n = cfg.passes if passes is None else passes
+    parts = blocks(numbered(samples, ["pair_id"], ["target_t", "id"]), n, size)
+    return owned(despike(parts, n, cfg, ("pair_id", "_block")))
+
+
 def judged_samples(samples: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """samples (pair_id, id, target_t, offset, hd) with despiked: pairs of enough and widely spread samples lose their lone spikes."""
     raw = spread(samples, cfg).select("pair_id", ((F.col("n") >= 8) & (F.round("spread", 9) > 0.45)).alias("despiked"))
@@ -84,6 +95,20 @@ def probe_clusters(probes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return probes.withColumn("jump", jump.cast("int")).withColumn("cluster", F.sum("jump").over(w).cast("int")).drop("jump")
 
 
+def probe_clusters_in_blocks(probes: DataFrame, cfg: Config = DEFAULT, size: int = BLOCK) -> DataFrame:
+    """probe_clusters of pairs of any number of probes: over distinct offsets in blocks, with the jumps of earlier blocks carried on.
+
+    Equal offsets share a cluster, and so do all null offsets (the first cluster).
+    """
+    distinct = probes.select("pair_id", "offset").distinct()
+    parts = blocks(numbered(distinct, ["pair_id"], ["offset"]), 1, size)
+    before = F.lag("offset").over(Window.partitionBy("pair_id", "_block").orderBy("_place"))
+    jumps = parts.withColumn("_jump", F.coalesce(F.round(F.col("offset") - before, 9) > cfg.probe_tolerance, F.lit(False)).cast("int")).where("_own")
+    summed = running_sum(jumps, ["pair_id"], ["_place"], F.col("_jump"))
+    found = summed.select(F.col("pair_id").alias("_pair"), F.col("offset").alias("_offset"), F.col("_sum").cast("int").alias("cluster"))
+    return probes.join(found, F.col("pair_id").eqNullSafe(F.col("_pair")) & F.col("offset").eqNullSafe(F.col("_offset"))).drop("_pair", "_offset")
+
+
 def _best_cluster(clustered: DataFrame, threshold: int, cfg: Config) -> DataFrame:
     """pair_id, cluster, n and the medians of the cluster that choose_anchor describes."""
     g = clustered.groupBy("pair_id", "cluster").agg(F.count("*").alias("n"), F.median("hd").alias("med_hd"), F.min("hd").alias("min_hd"), F.median("primary_t").alias("med_p"), F.median("target_t").alias("med_t"), F.median("offset").alias("med_o"))

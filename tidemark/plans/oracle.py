@@ -425,3 +425,9 @@ UNION ALL SELECT pair_id, 1, t, id, {_timecode('t')} || ' ' || printf('%+.2f', r
     "progress_parse": f"WITH {EV}, x AS (SELECT event_id AS id, event_id * 1000 / 1e6 AS m, user_id, user_id % 3 AS dur FROM ev) SELECT id, round(m, 6) AS done_s, round(CASE WHEN dur = 0 THEN 1 ELSE least(1, m / dur) END, 6) AS share, CASE WHEN id % 2 = 0 THEN user_id::DOUBLE END AS fps, CASE WHEN id % 2 = 0 THEN 1.5e0 END AS speed FROM x",
     "pcm_window": f"WITH {EV} SELECT event_type AS media_id, event_id AS sample_idx, round(round(value * 10)::INT / 32768e0, 6) AS amp FROM ev WHERE event_id >= 160 AND event_id < 480",
 }
+SQL["despike_blocks"] = SQL["despike_full"]
+SQL["offset_clusters_blocks"] = SQL["offset_clusters"]
+SQL["vad_smoothed_blocks"] = SQL["vad_smoothed"]
+SQL["playback_tail_trim_blocks"] = SQL["playback_tail_trim"]
+SQL["percentiles_of_groups"] = """SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice::DOUBLE, 0.12e0), 6) AS p12, round(quantile_cont(l_extendedprice::DOUBLE, 0.5e0), 6) AS p50, round(quantile_cont(l_extendedprice::DOUBLE, 0.88e0), 6) AS p88,
+list_sort(list(l_quantity::DOUBLE))[count(*) // 2 + 1] AS upper_quantity FROM lineitem GROUP BY l_returnflag"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import phash, scalar
-from ..operators import decide, engines, flow, hash_index, nearest, pairing, sampling, segments, signals, stats, verify
+from ..operators import decide, engines, flow, hash_index, nearest, pairing, ranks, sampling, segments, signals, stats, verify
 from ..sources import adapters as a
 from ..sources import logs
 
@@ -268,6 +268,34 @@ def despike_full(s, d):
     return rounded(stats.despike(a.samples(s, d, True)).groupBy("pair_id").agg(F.sum("offset").alias("total"), F.sum("fixes").alias("fixes")))
 
 
+@query
+def despike_blocks(s, d):
+    return rounded(stats.despike_in_blocks(a.samples(s, d, True), size=1024).groupBy("pair_id").agg(F.sum("offset").alias("total"), F.sum("fixes").alias("fixes")))
+
+
+@query
+def offset_clusters_blocks(s, d):
+    return rounded(stats.probe_clusters_in_blocks(_probes(s, d), size=1024).select("pair_id", "id", "cluster"))
+
+
+@query
+def vad_smoothed_blocks(s, d):
+    return rounded(signals.centred(signals.smoothed_in_blocks(signals.activity_of_long(_energy(s, d), small=64), 128)))
+
+
+@query
+def playback_tail_trim_blocks(s, d):
+    return rounded(segments.trim_tail_in_blocks(*_tail_chunks(s, d), size=1024))
+
+
+@query
+def percentiles_of_groups(s, d):
+    """Percentiles and upper medians of prices: a third of all lines and more share a group."""
+    lines = a.read(s, d, "lineitem")
+    p = ranks.percentiles(lines, ["l_returnflag"], "l_extendedprice", [0.12, 0.5, 0.88], small=1024).select("l_returnflag", "n", F.col("p")[0].alias("p12"), F.col("p")[1].alias("p50"), F.col("p")[2].alias("p88"))
+    return rounded(p.join(ranks.upper_medians(lines, ["l_returnflag"], "l_quantity", small=1024).select("l_returnflag", F.col("upper").alias("upper_quantity")), "l_returnflag"))
+
+
 @query
 def segment_trigger(s, d):
     return rounded(stats.segment_trigger(a.samples(s, d)))
@@ -363,9 +391,13 @@ def render_script(s, d):
 
 @query
 def playback_tail_trim(s, d):
+    return rounded(segments.trim_tail(*_tail_chunks(s, d)))
+
+
+def _tail_chunks(s, d):
     e = a.events(s, d).where("event_type = 'error'").select((F.col("user_id") % 10).alias("pair_id"), F.col("event_id").cast("int").alias("seg_no"), F.lit(1).alias("place"), F.lit("target").alias("kind"), F.col("t").alias("target_start"), F.col("value").alias("duration"))
     e = e.withColumn("target_end", F.col("target_start") + F.col("duration"))
-    return rounded(segments.trim_tail(e, s.range(10).select(F.col("id").alias("pair_id"), (F.col("id") * 100.0 + 50).alias("primary_duration"))))
+    return e, s.range(10).select(F.col("id").alias("pair_id"), (F.col("id") * 100.0 + 50).alias("primary_duration"))
 
 
 # --- decisions
