@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.scalar import agreement
+from ..functions.scalar import agreement, output_path
 
 
 def agreement_bands(candidates: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -112,3 +112,33 @@ def render_command(graphs: DataFrame, files: DataFrame) -> DataFrame:
 def batch_counts(results: DataFrame) -> DataFrame:
     """succeeded, failed over results with an error column."""
     return results.agg(F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+
+
+def edit_command(plan: DataFrame, files: DataFrame) -> DataFrame:
+    """pair_id, arguments, output: the encoder's arguments of each edit plan, for a target that only moves as a whole.
+
+    files: pair_id, path of the target. Trimming seeks before the input; padding repeats the first picture and delays every sound channel by
+    the same time, in fractions of a millisecond, so that picture and sound stay together. A pair without a file has no row.
+    """
+    rows = plan.join(files.select("pair_id", "path").where("path IS NOT NULL"), "pair_id").withColumn("output", output_path(F.col("path")))
+    delay = F.format_string("%.6f", "delay_ms")
+    trim = F.array(F.lit("-y"), F.lit("-ss"), F.format_string("%.6f", "seek"), F.lit("-i"), F.col("path"))
+    pad = F.array(F.lit("-y"), F.lit("-i"), F.col("path"), F.lit("-vf"), F.concat(F.lit("tpad=start_duration="), F.format_string("%.6f", "pad"), F.lit(":start_mode=clone")), F.lit("-af"), F.concat(F.lit("adelay="), delay, F.lit("|"), delay, F.lit(":all=1")))
+    ends = F.array(F.lit("-t"), F.format_string("%.6f", "length"), F.col("output"))
+    return rows.select("pair_id", F.concat(F.when(F.col("action") == "trim", trim).otherwise(pad), ends).alias("arguments"), "output")
+
+
+def preview_command(plan: DataFrame, files: DataFrame) -> DataFrame:
+    """pair_id, arguments, output: the arguments of a difference preview, black where the two recordings agree.
+
+    files: pair_id, primary_path, synced_path. Both are fitted into the plan's size, so that recordings of unlike sizes can be compared.
+    """
+    rows = plan.join(files.select("pair_id", "primary_path", "synced_path").where("primary_path IS NOT NULL AND synced_path IS NOT NULL"), "pair_id")
+    size = F.concat_ws(":", "width", "height")
+    fit = lambda i, out: F.concat(F.lit(f"[{i}:v]scale="), size, F.lit(":force_original_aspect_ratio=decrease,pad="), size, F.lit(f":(ow-iw)/2:(oh-ih)/2,setsar=1[{out}];"))
+    output = F.concat(F.regexp_replace("synced_path", r"\.[^./]*$", ""), F.lit("_diff_preview"), F.regexp_extract("synced_path", r"(\.[^./]*)$", 1))
+    at = F.format_string("%.6f", "seek")
+    parts = [F.lit("-y"), F.lit("-ss"), at, F.lit("-i"), F.col("primary_path"), F.lit("-ss"), at, F.lit("-i"), F.col("synced_path"), F.lit("-filter_complex")]
+    graph = F.concat(fit(0, "a"), fit(1, "b"), F.lit("[a][b]blend=all_mode=difference[v]"))
+    ends = [graph, F.lit("-map"), F.lit("[v]"), F.lit("-t"), F.format_string("%.6f", "length"), F.lit("-an"), F.col("output")]
+    return rows.withColumn("output", output).select("pair_id", F.array(*parts, *ends).alias("arguments"), "output")

@@ -168,10 +168,10 @@ def run_batch(files: DataFrame, group: str, engine: OffsetEngine, cfg: Config =
 
 
 def start_tagged(spark: SparkSession, tag: str) -> None:
-    """Name the jobs that this thread starts from now on, so that cancel can stop them."""
-    spark.addTag(tag)
+    """Name the jobs that this thread starts from now on, so that cancel can stop them from any thread."""
+    spark.sparkContext.addJobTag(tag)
 
 
-def cancel(spark: SparkSession, tag: str) -> list[str]:
-    """Stop the running jobs of a tag."""
-    return spark.interruptTag(tag)
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Stop the running jobs of a tag; later jobs of the tag are not stopped. A session's own tags can't serve: another thread does not see them."""
+    spark.sparkContext.cancelJobsWithTag(tag)

@@ -436,14 +436,36 @@ def adjudicate_segments(s, d):
     return rounded(decide.adjudicate(seg, c.select("pair_id", "seg_no", "a_off", "a_peak")))
 
 
+def _edits(s, d):
+    return decide.edit_plan(_candidates(s, d).where("a_off IS NOT NULL").select("pair_id", (F.col("a_off") - 0.5).alias("offset"), F.lit(1440.0).alias("primary_duration")))
+
+
+def _previews(s, d):
+    return decide.preview_plan(_media(s, d).select(F.col("media_id").alias("pair_id"), (F.col("duration") % 50).alias("primary_duration")))
+
+
 @query
 def edit_plan(s, d):
-    return rounded(decide.edit_plan(_candidates(s, d).where("a_off IS NOT NULL").select("pair_id", (F.col("a_off") - 0.5).alias("offset"), F.lit(1440.0).alias("primary_duration"))))
+    return rounded(_edits(s, d))
+
+
+@query
+def edit_command(s, d):
+    """Arguments by a line each; times to the millisecond, as their sixth digit may fall either side of a half."""
+    plan = _edits(s, d).withColumns({c: F.round(c, 3) for c in ("seek", "pad", "delay_ms")})
+    return decide.edit_command(plan, a.names(s, d).select(F.col("id").alias("pair_id"), "path")).select("pair_id", F.array_join("arguments", "\n").alias("lines"), "output")
 
 
 @query
 def preview_plan(s, d):
-    return rounded(decide.preview_plan(_media(s, d).select(F.col("media_id").alias("pair_id"), (F.col("duration") % 50).alias("primary_duration"))))
+    return rounded(_previews(s, d))
+
+
+@query
+def preview_command(s, d):
+    plan = _previews(s, d).withColumn("seek", F.round("seek", 3))
+    files = a.names(s, d).select(F.col("id").alias("pair_id"), F.col("path").alias("primary_path"), F.concat(F.lit("/out"), "path").alias("synced_path"))
+    return decide.preview_command(plan, files).select("pair_id", F.array_join("arguments", "\n").alias("lines"), "output")
 
 
 @query
