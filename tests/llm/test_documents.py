@@ -553,3 +553,12 @@ def test_language_scores_empty_and_untrained(spark, none):
 def test_folds(spark):
     got = spark.createDataFrame([(i,) for i in (None, 0, 1, 17)], "doc_id long").select("doc_id", in_fold(F.col("doc_id"), 5, 0).alias("x")).collect()
     assert all(r.x == (fold(r.doc_id, 5) == 0) for r in got)
+
+
+def test_an_id_that_many_rows_repeat_gives_one_training_text(spark):
+    from tidemark.llm.common import labelled_sample, labelled_texts
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(1, None), (2, "b"), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, toxic int")
+    got = labelled_texts(docs, labelled_sample(labels, "toxic", 1, 1, 10), "text")
+    assert sorted(map(tuple, got.collect())) == [("", 1), ("b", 0)]

@@ -117,6 +117,9 @@ def labelled_sample(labels: DataFrame, label: str, divisor: int, held_out: int,
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame, text: str) -> DataFrame:
-    """(text, y) of the sampled documents; the sample is bounded, so it is broadcast."""
+    """(text, y) of the sampled documents; the sample is bounded, so it is broadcast.
+
+    Of rows that repeat an id the smallest text counts, so that there are no more texts than labels in the sample.
+    """
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(sample), "doc_id").select("text", "y")
+    return texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
