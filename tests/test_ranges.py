@@ -102,7 +102,46 @@ def test_percentiles_of_hard_groups(spark, values, small):
     assert upper == {None: clean[len(clean) // 2], "b": 7.0}
 
 
+def _walkable(spark, rng, n, pairs=(1, 2), jump=0.1):
+    rows = []
+    for p in pairs:
+        level = 0.0
+        for i in range(n):
+            level = rng.uniform(-20, 20) if rng.random() < jump else level
+            far = rng.random() < 0.15
+            rows.append((p, i, float(i // 2), round(level + (rng.uniform(-9, 9) if far else rng.uniform(-0.2, 0.2)), 3), rng.randrange(12), "x"))
+    return spark.createDataFrame(rows, "pair_id long, id long, target_t double, offset double, hd int, grp string").repartition(3)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 64, 5000])
+def test_walk_in_blocks_equals_the_walk(spark, size):
+    df = _walkable(spark, random.Random(size), 40 if size == 1 else 160)
+    key = lambda x: sorted(map(tuple, x.collect()))
+    want = segments.grouped_samples(df)
+    got = segments.grouped_samples_in_blocks(df, size=size)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert key(got) == key(want) and want.agg(F.max("grp")).first()[0] > 3
+
+
+def test_blocks_walked_again_are_few(spark):
+    rng = random.Random(2)
+    df = _walkable(spark, rng, 3000, (1,), 0.004)
+    parts = ranges.blocks(ranges.numbered(df.where("hd <= 10"), ["pair_id"], ["target_t", "id"]), 1, 100)
+    parts = parts.where("_own OR floor(_place / 100) < _block")
+    _, walked = segments.mean_states(parts)
+    assert walked[0] == parts.select("_block").distinct().count() >= 25
+    assert len(walked) < walked[0] / 2 and sum(walked) <= 5 * walked[0]
+
+
+def test_walk_of_pairs_without_id_and_samples_without_offset(spark):
+    rows = [(None, 1, 0.0, 1.0, 0), (None, 2, 1.0, 1.1, 0), (None, 3, 2.0, None, 0), (None, 4, 3.0, 9.0, 0), (5, 1, 0.0, 2.0, None), (5, 2, 0.0, 2.0, 99)]
+    df = spark.createDataFrame(rows, "pair_id long, id long, target_t double, offset double, hd int")
+    got = [(r["pair_id"], r["id"], r["grp"]) for r in segments.grouped_samples_in_blocks(df, size=2).orderBy("id").collect()]
+    assert got == [(None, 1, 0), (None, 2, 0), (None, 4, 1)]
+
+
 def test_nothing_in_nothing_out(spark):
+    assert segments.grouped_samples_in_blocks(spark.createDataFrame([], "pair_id long, id long, target_t double, offset double, hd int")).collect() == []
     empty = spark.createDataFrame([], "g string, v double")
     assert ranks.percentiles(empty, ["g"], "v", [0.5]).collect() == []
     assert stats.despike_in_blocks(spark.createDataFrame([], "pair_id long, id long, target_t double, offset double")).collect() == []

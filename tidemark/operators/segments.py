@@ -1,7 +1,8 @@
 """Segments of constant offset: walkers along time, boundaries at dark intervals, playback chunks.
 
 The walkers carry state from sample to sample, so each runs once over a pair's samples in order (a pair has some dozens, at
-most some thousands); everything else is windows and joins keyed by pair.
+most some thousands); the one by mean also walks a pair's blocks in parallel (`grouped_samples_in_blocks`). Everything else is
+windows and joins keyed by pair.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from .lineage import written
-from .ranges import BLOCK, blocks, numbered, running_sum
+from .ranges import BLOCK, attach, blocks, numbered, running_sum
 from .stats import upper_median
 
 SAMPLE_TYPES = "pair_id long, id long, target_t double, offset double, hd int, grp int"
@@ -72,6 +73,106 @@ def grouped_samples(samples: DataFrame, walker=walk_by_mean, cfg: Config = DEFAU
     return samples.where(F.col("hd") <= cfg.max_hd).select("pair_id", "id", "target_t", "offset", "hd").groupBy("pair_id").applyInPandas(walk, SAMPLE_TYPES)
 
 
+def walk_block(rows: list[float], before: float | None, total: float, count: int, waits: bool, cfg: Config = DEFAULT) -> tuple[list[int], bool, int, float, int, bool]:
+    """One block of walk_by_mean from the state at its start: the sum and count of the group so far, and whether `before`, the row before, waits.
+
+    Gives the group of each row, counted from the one at the start (-1 for none), whether the row before went into the block's first
+    new group, the number of new groups, the sum and count of the rows that the block adds to the group at its end, and whether its last
+    row waits. A row waits at most until the next one, so one row before the block is all that is needed.
+    """
+    out, opened, group, added, n, last = [-1] * len(rows), False, 0, 0.0, 0, before
+    for i, offset in enumerate(rows):
+        if not count + n or round(abs(offset - (total + added) / (count + n)), 9) <= cfg.new_delta:
+            out[i], added, n, waits = group, added + offset, n + 1, False
+        elif waits and round(abs(offset - last), 9) <= cfg.jump:
+            group += 1
+            out[i] = group
+            if i:
+                out[i - 1] = group
+            else:
+                opened = True
+            total, count, added, n, waits = 0.0, 0, last + offset, 2, False
+        else:
+            waits = True
+        last = offset
+    return out, opened, group, added, n, waits
+
+
+def _entries(effects: DataFrame) -> DataFrame:
+    """The state at the start of each block, from what the blocks before it did: pair_id, _block, e_total, e_count, e_waits, e_base, last."""
+    pair = Window.partitionBy("pair_id").orderBy("_block")
+    since = effects.withColumn("fresh", F.sum(F.when(F.col("opens") > 0, 1).otherwise(0)).over(pair))
+    run = Window.partitionBy("pair_id", "fresh").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    ends = since.withColumns({"total": F.sum("added").over(run), "count": F.sum("n").over(run), "base": F.sum("opens").over(pair)})
+    lag = lambda c, none: F.coalesce(F.lag(c).over(pair), F.lit(none))
+    state = {"e_total": lag("total", 0.0), "e_count": lag("count", 0), "e_waits": lag("waits", False), "e_base": lag("base", 0), "last": F.lead("_block").over(pair).isNull()}
+    return ends.select("pair_id", "_block", *(c.alias(k) for k, c in state.items()))
+
+
+def mean_states(parts: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, list[int]]:
+    """(states, walked): the state of walk_by_mean at the start of each block of `parts` and how many blocks each round walked.
+
+    All blocks are walked from a guess (no group yet), what each adds is summed over the blocks before it, and those whose state at the start
+    differs from the one they were walked from are walked again, until none does. Each round settles at least the first unsettled
+    block of every pair; a block whose decisions do not hang on the guess is settled by the second. Only one row a block is kept between rounds.
+    """
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, first = pdf.sort_values("_place"), pdf.iloc[0]
+        own = pdf["_own"].to_numpy()
+        lead = None if own[0] else float(pdf["offset"].iloc[0])
+        _, _, opens, added, n, waits = walk_block(pdf["offset"][own].tolist(), lead, first["e_total"], first["e_count"], first["e_waits"], cfg)
+        return pd.DataFrame([(first["pair_id"], first["_block"], opens, added, n, waits)], columns=["pair_id", "_block", "opens", "added", "n", "waits"])
+
+    kind = parts.schema["pair_id"].dataType.simpleString()
+    did = f"pair_id {kind}, _block long, opens long, added double, n long, waits boolean"
+    guess = parts.where("_own").select("pair_id", "_block").distinct().select("*", F.lit(0.0).alias("e_total"), F.lit(0).cast("long").alias("e_count"), F.lit(False).alias("e_waits"))
+    todo, effects, used, walked = written(guess), None, None, []
+    states = _entries(parts.sparkSession.createDataFrame([], did))
+    fields = ["e_total", "e_count", "e_waits"]
+    while (left := todo.count()) > 0:
+        walked.append(left)
+        fresh = attach(parts, todo, ["pair_id", "_block"]).groupBy("pair_id", "_block").applyInPandas(walk, did)
+        fresh = written(fresh)
+        at = lambda a, b: a["pair_id"].eqNullSafe(b["pair_id"]) & (a["_block"] == b["_block"])
+        effects = fresh if effects is None else written(effects.join(fresh, at(effects, fresh), "left_anti").unionByName(fresh))
+        used = todo if used is None else written(used.join(todo, at(used, todo), "left_anti").unionByName(todo))
+        states = written(_entries(effects))
+        old = used.select(F.col("pair_id").alias("u_pair"), F.col("_block").alias("u_block"), *(F.col(c).alias(f"u_{c}") for c in fields))
+        other = F.lit(False)
+        for c in fields:
+            other = other | ~F.col(c).eqNullSafe(F.col(f"u_{c}"))
+        met = states.join(old, F.col("pair_id").eqNullSafe(F.col("u_pair")) & (F.col("_block") == F.col("u_block")))
+        todo = written(met.where(other).select("pair_id", "_block", *fields))
+    return states, walked
+
+
+def grouped_samples_in_blocks(samples: DataFrame, cfg: Config = DEFAULT, size: int = BLOCK) -> DataFrame:
+    """grouped_samples with walk_by_mean, of pairs of any number of samples: their blocks are walked side by side.
+
+    The sum of a group is added up by blocks, so its mean may differ from the plain walk's in the last bits, far below the nine digits that are compared.
+    Samples without an offset take no part. Rows that tie in target_t and id may fall in either order.
+    """
+    usable = samples.where((F.col("hd") <= cfg.max_hd) & F.col("offset").isNotNull()).select("pair_id", "id", "target_t", "offset", "hd")
+    placed = numbered(usable, ["pair_id"], ["target_t", "id"])
+    # a block needs the row before it and not the one after
+    parts = written(blocks(placed, 1, size).where(F.col("_own") | (F.floor(F.col("_place") / size) < F.col("_block"))))
+    states, _ = mean_states(parts, cfg)
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_place").reset_index(drop=True)
+        own, first = pdf["_own"].to_numpy(), pdf.iloc[0]
+        lead = None if own[0] else float(pdf["offset"].iloc[0])
+        out, opened, opens, _, _, waits = walk_block(pdf["offset"][own].tolist(), lead, first["e_total"], first["e_count"], first["e_waits"], cfg)
+        if first["last"] and waits and pdf["hd"].iloc[-1] <= cfg.solo_hd:
+            out[-1] = opens + 1
+        pdf["grp"] = ([] if own[0] else [1 if opened else -1]) + out
+        pdf = pdf[pdf["grp"] >= 0]
+        return pdf.assign(grp=pdf["grp"] + int(first["e_base"]))[["pair_id", "id", "target_t", "offset", "hd", "grp"]]
+
+    return attach(parts, states, ["pair_id", "_block"]).groupBy("pair_id", "_block").applyInPandas(walk, SAMPLE_TYPES)
+
+
 def segments_from_groups(grouped: DataFrame, durations: DataFrame) -> DataFrame:
     """pair_id, seg_no, target_start, target_end, offset: bounds midway between groups; durations: pair_id, duration."""
     g = grouped.groupBy("pair_id", "grp").agg(F.avg("offset").alias("offset"), F.min("target_t").alias("first_t"), F.max("target_t").alias("last_t"))

@@ -436,3 +436,4 @@ SELECT pair_id, output, CASE WHEN o < 0 THEN concat_ws(chr(10), '-y', '-ss', pri
 ELSE concat_ws(chr(10), '-y', '-i', path, '-vf', 'tpad=start_duration=' || printf('%.6f', round(o, 3)) || ':start_mode=clone', '-af', 'adelay=' || ms || '|' || ms || ':all=1', '-t', '1440.000000', output) END AS lines FROM f"""
 SQL["preview_command"] = rf"""WITH {MEDIA}, {NAMES}, f AS (SELECT media_id AS pair_id, path, '/out' || path AS synced, regexp_replace('/out' || path, '(\.[^./]*)$', '_diff_preview\1') AS output, printf('%.6f', round(least(30, greatest(0, duration % 50 - 6)), 3)) AS sk FROM m JOIN nm ON id = media_id)
 SELECT pair_id, output, concat_ws(chr(10), '-y', '-ss', sk, '-i', path, '-ss', sk, '-i', synced, '-filter_complex', '[0:v]scale=854:480:force_original_aspect_ratio=decrease,pad=854:480:(ow-iw)/2:(oh-ih)/2,setsar=1[a];[1:v]scale=854:480:force_original_aspect_ratio=decrease,pad=854:480:(ow-iw)/2:(oh-ih)/2,setsar=1[b];[a][b]blend=all_mode=difference[v]', '-map', '[v]', '-t', '5.000000', '-an', output) AS lines FROM f"""
+SQL["segments_sample_walker_blocks"] = SQL["segments_sample_walker"]

@@ -355,6 +355,12 @@ def segments_sample_walker(s, d):
     return rounded(out.withColumns({c: F.round(c, 4) for c in ("target_start", "target_end")}))
 
 
+@query
+def segments_sample_walker_blocks(s, d):
+    out = segments.segments_from_groups(segments.grouped_samples_in_blocks(a.samples(s, d), size=256), _durations(s))
+    return rounded(out.withColumns({c: F.round(c, 4) for c in ("target_start", "target_end")}))
+
+
 @query
 def segments_cluster_walker(s, d):
     return rounded(segments.clusters(segments.merge_first_single(segments.grouped_samples(a.samples(s, d), segments.walk_by_median), a.blacks(s, d))))
