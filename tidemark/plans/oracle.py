@@ -437,3 +437,17 @@ ELSE concat_ws(chr(10), '-y', '-i', path, '-vf', 'tpad=start_duration=' || print
 SQL["preview_command"] = rf"""WITH {MEDIA}, {NAMES}, f AS (SELECT media_id AS pair_id, path, '/out' || path AS synced, regexp_replace('/out' || path, '(\.[^./]*)$', '_diff_preview\1') AS output, printf('%.6f', round(least(30, greatest(0, duration % 50 - 6)), 3)) AS sk FROM m JOIN nm ON id = media_id)
 SELECT pair_id, output, concat_ws(chr(10), '-y', '-ss', sk, '-i', path, '-ss', sk, '-i', synced, '-filter_complex', '[0:v]scale=854:480:force_original_aspect_ratio=decrease,pad=854:480:(ow-iw)/2:(oh-ih)/2,setsar=1[a];[1:v]scale=854:480:force_original_aspect_ratio=decrease,pad=854:480:(ow-iw)/2:(oh-ih)/2,setsar=1[b];[a][b]blend=all_mode=difference[v]', '-map', '[v]', '-t', '5.000000', '-an', output) AS lines FROM f"""
 SQL["segments_sample_walker_blocks"] = SQL["segments_sample_walker"]
+SQL["job_progress"] = """WITH ln AS (SELECT user_id::VARCHAR AS job_id, epoch_us(ts) AS us, epoch_us(ts)::HUGEINT * 1000000000000 + event_id AS o, (user_id % 3) * 10e0 AS duration,
+ CASE event_id % 6 WHEN 0 THEN 'out_time_us=' || event_id * 1000 WHEN 1 THEN 'fps=' || user_id % 60 WHEN 2 THEN 'speed= ' || event_id % 4 || '.5x' WHEN 3 THEN 'progress=continue'
+  WHEN 4 THEN CASE WHEN event_id % 5 = 0 THEN 'progress=end' ELSE 'out_time_ms=' || event_id * 1000 END ELSE CASE WHEN user_id % 3 = 0 THEN 'disk ' || event_id || ' is full' ELSE '' END END AS line
+ FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+ p AS (SELECT *, TRY_CAST(nullif(regexp_extract(line, '^out_time_(us|ms)=([0-9]+)', 2), '') AS DOUBLE) / 1e6 AS pos, TRY_CAST(nullif(regexp_extract(line, '^fps=([0-9.]+)', 1), '') AS DOUBLE) AS f,
+  TRY_CAST(nullif(regexp_extract(line, '^speed= *([0-9.]+)x', 1), '') AS DOUBLE) AS v, CASE WHEN line = 'progress=end' THEN true WHEN line = 'progress=continue' OR line LIKE 'out_time%' THEN false END AS fin,
+  CASE WHEN line <> '' AND line NOT LIKE '%=%' THEN line END AS msg FROM ln),
+ j AS (SELECT job_id, max(us) AS us, count(*) AS n_lines, arg_max(duration, o) AS duration, arg_max(pos, o) FILTER (WHERE pos IS NOT NULL) AS done, arg_max(f, o) FILTER (WHERE f IS NOT NULL) AS fps,
+  arg_max(v, o) FILTER (WHERE v IS NOT NULL) AS speed, arg_max(fin, o) FILTER (WHERE fin IS NOT NULL) AS fin, arg_max(msg, o) FILTER (WHERE msg IS NOT NULL) AS message FROM p GROUP BY job_id)
+ SELECT job_id, round(done, 6) AS done_s, round(CASE WHEN duration > 0 AND done IS NOT NULL THEN least(1e0, done / duration) END, 6) AS share, round(fps, 6) AS fps, round(speed, 6) AS speed,
+  round(CASE WHEN speed > 0 THEN CASE WHEN done >= duration THEN 0 ELSE duration - done END / speed END, 6) AS remaining_s,
+  CASE WHEN coalesce(fin, false) THEN 'ended' WHEN us // 1000 + 259200000 < max(us) OVER () // 1000 - 86400000 THEN 'silent' ELSE 'running' END AS status, message, n_lines,
+  round((us - epoch_us(TIMESTAMP '2024-01-01')) / 1e6, 6) AS at_s FROM j"""
+SQL["job_progress_stream"] = SQL["job_progress"]

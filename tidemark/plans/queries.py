@@ -13,6 +13,7 @@ from ..functions import phash, scalar
 from ..operators import decide, engines, flow, hash_index, nearest, pairing, ranks, sampling, segments, signals, stats, verify
 from ..sources import adapters as a
 from ..sources import logs
+from ..streaming import jobs
 
 FPS = a.FPS
 THRESHOLD = 24
@@ -752,6 +753,30 @@ def progress_parse(s, d):
     return rounded(logs.progress(e.select(F.col("event_id").alias("id"), line.alias("line"), (F.col("user_id") % 3).cast("double").alias("duration"))))
 
 
+def _job_lines(e: DataFrame) -> DataFrame:
+    """Lines of encoders, a job a user, from the events of a table or a stream."""
+    k, n = F.col("event_id") % 6, F.col("event_id")
+    line = F.when(k == 0, F.format_string("out_time_us=%d", n * 1000)).when(k == 1, F.format_string("fps=%d", F.col("user_id") % 60)).when(k == 2, F.format_string("speed= %d.5x", n % 4)).when(k == 3, F.lit("progress=continue"))
+    line = line.when((k == 4) & (n % 5 == 0), F.lit("progress=end")).when(k == 4, F.format_string("out_time_ms=%d", n * 1000)).when(F.col("user_id") % 3 == 0, F.format_string("disk %d is full", n)).otherwise(F.lit(""))
+    return e.select(F.col("user_id").cast("string").alias("job_id"), F.col("ts").cast("timestamp").alias("at"), n.alias("line_no"), line.alias("line"), ((F.col("user_id") % 3) * 10.0).alias("duration"))
+
+
+def _job_rows(states: DataFrame) -> DataFrame:
+    return rounded(states.withColumn("at_s", a.seconds("at")).drop("at"))
+
+
+@query
+def job_progress(s, d):
+    return _job_rows(jobs.job_states(_job_lines(a.read(s, d, "events")), 3 * 86400.0, 86400.0))
+
+
+@query
+def job_progress_stream(s, d):
+    """The same from a stream of the events, to its end."""
+    events = s.readStream.schema(a.read(s, d, "events").schema).parquet(f"{d}/events.parquet*")  # by a pattern, as a stream reads no single file
+    return _job_rows(jobs.last_states(jobs.follow_jobs(_job_lines(events), 3 * 86400.0, 86400.0)))
+
+
 @query
 def pcm_window(s, d):
     pcm = a.events(s, d).select(F.col("event_type").alias("media_id"), F.col("event_id").alias("sample_idx"), F.round(F.col("value") * 10).cast("int").alias("value"))
