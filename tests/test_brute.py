@@ -232,3 +232,11 @@ def test_sample_windows_without_samples(spark):
     assert [x * 32768 for x in got[0].amps] == [2, 3, 4, 5, 6, 7] and got[1].n is None and got[2].amps is None
     with pytest.raises(Exception, match="no samples"):
         pcm_windows(pcm, w, rate=8, strict=True).collect()
+
+
+def test_report_lines_round_doubles_not_their_decimals(spark):
+    drift = spark.createDataFrame([(0, i, float(i), d) for i, d in enumerate((0.575, 1.275, 2.195, -0.575, 1.1275))], "pair_id long, id long, t double, delta_frames double")
+    lines = [r.line for r in verify.report_lines(drift, 24.0).orderBy("line_no").collect()]
+    assert [x.split(" ")[1] for x in lines[1:]] == ["+0.57", "+1.27", "+2.19", "-0.57", "+1.13"]
+    one = verify.report_lines(drift.where("id = 4").withColumn("delta_frames", F.lit(0.5005)), 24.0).where("line_no = 0").first().line
+    assert one == "samples 1, max 0.500 frames, mean 0.500 frames, within half a frame 0.0%"

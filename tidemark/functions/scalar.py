@@ -84,6 +84,12 @@ def rational(text: Column) -> Column:
     return F.expr("1D") * F.call_function("try_divide", F.get(parts, F.lit(0)).cast("double"), F.coalesce(F.get(parts, F.lit(1)), F.lit("1")).cast("double"))
 
 
+def shown(c: Column, places: int) -> Column:
+    """c rounded as a double for printing: what is stored just below a half goes down, although its shortest decimal ends in 5."""
+    scale = float(10**places)
+    return F.round(c * scale) / scale
+
+
 def timecode(t: Column, fps: Column) -> Column:
     """H:MM:SS:FF at the rounded frame rate, '-' before negative times."""
     rate = F.greatest(F.bround(fps), F.lit(1.0)).cast("long")

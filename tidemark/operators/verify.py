@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.scalar import audio_limit_ms, timecode, visual_limit_ms
+from ..functions.scalar import audio_limit_ms, shown, timecode, visual_limit_ms
 
 
 def near_cuts(primary: DataFrame, synced: DataFrame, tolerance: float) -> DataFrame:
@@ -102,7 +102,7 @@ def drift_issues(summaries: DataFrame) -> DataFrame:
     """pair_id, n_issues, issues from pair_id, fps and the greatest drift of each kind in ms (null without samples)."""
     limit, audio = visual_limit_ms(F.col("fps")), audio_limit_ms(F.col("fps"))
     kinds = (("visual_ms", "visual", limit), ("audio_ms", "audio", audio), ("scene_ms", "scene-cut", limit))
-    found = F.array_compact(F.array(*(F.when(F.col(c) > lim, F.format_string(f"{name} max %.2f ms (thr %.2f ms)", F.round(c, 2), F.round(lim, 2))) for c, name, lim in kinds)))
+    found = F.array_compact(F.array(*(F.when(F.col(c) > lim, F.format_string(f"{name} max %.2f ms (thr %.2f ms)", shown(F.col(c), 2), shown(lim, 2))) for c, name, lim in kinds)))
     return summaries.select("pair_id", F.size(found).alias("n_issues"), F.array_join(found, "; ").alias("issues"))
 
 
@@ -110,9 +110,9 @@ def report_lines(drift: DataFrame, fps: float, cfg: Config = DEFAULT) -> DataFra
     """pair_id, line_no, line: a summary line for each pair, then one for each moment over half a frame, in time order."""
     limit = 500.0 / fps
     s = drift_summary(drift, fps)
-    head = s.select("pair_id", F.lit(0).alias("o"), F.lit(-1.0).alias("t"), F.lit(-1).cast("long").alias("id"), F.format_string("samples %d, max %.3f frames, mean %.3f frames, within half a frame %.1f%%", F.col("n"), F.round("max_frames", 3), F.round("mean_frames", 3), F.round(F.col("within_half") * 100, 1)).alias("line"))
+    head = s.select("pair_id", F.lit(0).alias("o"), F.lit(-1.0).alias("t"), F.lit(-1).cast("long").alias("id"), F.format_string("samples %d, max %.3f frames, mean %.3f frames, within half a frame %.1f%%", F.col("n"), shown(F.col("max_frames"), 3), shown(F.col("mean_frames"), 3), shown(F.col("within_half") * 100, 1)).alias("line"))
     over = drift.where(F.round(F.abs(F.col("delta_frames")) * 1000 / fps, 6) > round(limit, 6))
-    body = over.select("pair_id", F.lit(1).alias("o"), "t", "id", F.concat_ws(" ", timecode(F.col("t"), F.lit(fps)), F.format_string("%+.2f", F.round("delta_frames", 2))).alias("line"))
+    body = over.select("pair_id", F.lit(1).alias("o"), "t", "id", F.concat_ws(" ", timecode(F.col("t"), F.lit(fps)), F.format_string("%+.2f", shown(F.col("delta_frames"), 2))).alias("line"))
     w = Window.partitionBy("pair_id").orderBy("o", "t", "id")
     return head.unionByName(body).select("pair_id", (F.row_number().over(w) - 1).alias("line_no"), "line")
 
