@@ -71,3 +71,23 @@ def test_correlation_in_blocks(spark, block, lags):
     got = {(r.pair_id, r.lag): r.x for r in signals.correlate_long(pairs, signal, lags, block).collect()}
     want = {(r.pair_id, r.lag): r.x for r in signals.correlate(pairs, signal, lags).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_lookups_are_no_broadcast_and_compared_pairs_no_rows(spark, monkeypatch):
+    """Bands and flips make many rows of a small table: they are shuffled; comparing all gives k rows a query and tile."""
+    plans, plain = [], hash_index.written
+    monkeypatch.setattr(hash_index, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    rows = recordings(5)
+    frames = spark.createDataFrame(rows, FRAMES)
+    pairs = spark.createDataFrame([(1, "p", "t"), (2, "t", "p")], "pair_id long, primary_id string, target_id string")
+    want = answer(nearest.top_matches_by_scan(pairs, frames, 3))
+    monkeypatch.setattr(hash_index, "WORTH", 1.0)
+    assert answer(hash_index.top_matches(pairs, frames, 3)) == want
+    met = [p for p in plans if "band" in p and "Join" in p]
+    assert met and not any("BroadcastHashJoin [primary_id" in line and "band" in line for p in met for line in p.splitlines())
+    plans.clear()
+    monkeypatch.setattr(hash_index, "WORTH", 0.0)
+    for name, size in (("Q_BLOCK", 16), ("H_BLOCK", 64), ("STEP", 5)):
+        monkeypatch.setattr(hash_index, name, size, raising=False)
+    assert answer(hash_index.top_matches(pairs, frames, 3)) == want
+    assert any("FlatMapCoGroupsInPandas" in p for p in plans)
