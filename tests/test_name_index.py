@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tidemark.operators import name_index, pairing
 
@@ -89,3 +91,21 @@ def test_null_names_and_empty(spark):
     files = spark.createDataFrame([(0, "primary", 1, None), (0, "primary", 2, "/a/b.mkv"), (0, "target", 3, "/a/b.mkv"), (None, "target", 4, "/a/b.mkv")], FILES)
     assert rows(pairing.pair_by_name(files, "folder"), "p_id", "t_id", "score") == [(2, 3, 1.0)]
     assert pairing.pair_by_name(files.where("false"), "folder").count() == 0
+
+
+def test_nearest_edits_by_arrays_of_targets(spark, monkeypatch):
+    """Pairs are no rows of a sort; ties, missing names and several arrays of targets as by comparing all."""
+    rng = np.random.default_rng(4)
+    rows = [(i % 2, "primary" if i % 3 else "target", i, None if i % 41 == 0 else "/m/" + "".join(rng.choice(list("ab"), 3)) + ".mp4") for i in range(120)]
+    files = spark.createDataFrame(rows, "folder long, side string, id long, path string")
+    named = files.withColumn("name", pairing.batch_name(F.col("path")))
+    p, t = (named.where(f"side = '{s}'").select("folder", F.col("id").alias(f"{s[0]}_id"), F.col("name").alias(f"{s[0]}_name")) for s in ("primary", "target"))
+    every = p.join(t, "folder").withColumn("distance", F.levenshtein("p_name", "t_name"))
+    rank = F.row_number().over(Window.partitionBy("folder", "p_id").orderBy("distance", "t_id"))
+    want = sorted(tuple(r) for r in every.withColumn("rank", rank).where("rank <= 3").select("folder", "p_id", "rank", "t_id", "distance").collect())
+    assert sorted(tuple(r) for r in pairing.edit_distance_top(files, "folder", 3).collect()) == want
+    monkeypatch.setattr(pairing, "TILE", 4, raising=False)
+    got = pairing.edit_distance_top(files, "folder", 3)
+    assert sorted(tuple(r) for r in got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" in plan and "BroadcastHashJoin" not in plan

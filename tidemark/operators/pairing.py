@@ -126,11 +126,22 @@ def leftovers(files: DataFrame, paired: DataFrame) -> DataFrame:
     return files.join(used, "id", "left_anti").select("side", "id")
 
 
+#: Targets that lie in one array of edit_distance_top.
+TILE = 256
+
+
 def edit_distance_top(files: DataFrame, group: str, k: int) -> DataFrame:
-    """group, p_id, rank, t_id, distance: the k targets nearest by edits of the normalised names."""
+    """group, p_id, rank, t_id, distance: the k targets nearest by edits of the normalised names.
+
+    A primary meets arrays of at most about TILE targets and keeps k of each, so that the pairs of a group are neither rows nor sorted.
+    """
     named = files.withColumn("name", batch_name(F.col("path")))
     p = named.where("side = 'primary'").select(group, F.col("id").alias("p_id"), F.col("name").alias("p_name"))
-    t = named.where("side = 'target'").select(group, F.col("id").alias("t_id"), F.col("name").alias("t_name"))
-    each = p.join(t, group).select(group, "p_id", "t_id", F.levenshtein("p_name", "t_name").alias("distance"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("id"))
+    t = named.where("side = 'target'").select(group, "id", "name", F.floor((place - 1) / TILE).alias("tile"))
+    tiles = t.groupBy(group, "tile").agg(F.collect_list(F.struct(F.col("id").alias("t_id"), "name")).alias("targets"))
+    near = F.transform("targets", lambda x: F.struct(F.levenshtein("p_name", x["name"]).alias("distance"), x["t_id"].alias("t_id")))
+    # a broadcast of all names would pass through the driver
+    each = p.join(tiles.hint("merge"), group).select(group, "p_id", F.explode(F.slice(F.array_sort(near), 1, k)).alias("s")).select(group, "p_id", "s.t_id", "s.distance")
     rank = F.row_number().over(Window.partitionBy(group, "p_id").orderBy("distance", "t_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select(group, "p_id", "rank", "t_id", "distance")
