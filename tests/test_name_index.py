@@ -109,3 +109,11 @@ def test_nearest_edits_by_arrays_of_targets(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_small_groups_are_walked_without_rounds(spark, monkeypatch):
+    rng = random.Random(6)
+    files = table(spark, [(f, side, "".join(rng.choices("abc_", k=5))) for f in range(4) for side in ("primary", "target") for _ in range(7 + f)])
+    want = rows(pairing.pair_by_all_scores(files, "folder", 0.4), "folder", "p_id", "t_id", "score")
+    monkeypatch.setattr(name_index, "certain_candidates", lambda *a: pytest.fail("no rounds"))
+    assert rows(pairing.pair_by_name(files, "folder", 0.4), "folder", "p_id", "t_id", "score") == want

@@ -10,6 +10,9 @@ these are taken, the walk of that group halts, and its primaries from there on a
 free, with more scores each. So every round pairs at least one primary of each open group, most take all, and the result is
 that of the walk over all scores.
 
+Groups that fit one tile, as most folders do, need no rounds: a task walks many of them, and scores each primary only against the targets
+that are still free, until the best is certain.
+
 A tile holds P_BLOCK primaries and T_BLOCK targets at most; the walk of a group is one task, over a few narrow rows a primary.
 """
 
@@ -29,6 +32,8 @@ CELLS = 64
 P_BLOCK, T_BLOCK = 256, 8192
 #: Scores that a primary gets in a tile, and by how much that grows with a round.
 SCORES, GROWTH = 8, 4
+#: Names of small groups that are walked in one call, on average.
+BATCH = 4096
 
 
 def placed_names(files: DataFrame, group: str, ui: bool = False) -> DataFrame:
@@ -138,14 +143,56 @@ def walk(rows: list[tuple[int, int, float, bool]], primaries: list[int], refused
     return out
 
 
+def walk_names(primaries: list[tuple[int, str]], targets: list[tuple[int, str]], least: float | None, refused: frozenset[tuple[int, int]] = frozenset(), limit: float = 0.0) -> list[tuple[int, int, float]]:
+    """(primary, target, score) of a whole walk over (place, name) of a small group, both in order of place; as `walk` over all scores."""
+    names, places = [n for _, n in targets], np.array([t for t, _ in targets], np.int64)
+    have, lengths = character_counts(names), np.array([len(n) for n in names])
+    free, out = np.ones(len(names), bool), []
+    for (place, name), counts in zip(primaries, character_counts([n for _, n in primaries]), strict=True):
+        at = np.flatnonzero(free)
+        both = lengths[at] + len(name)
+        bounds = np.where(both > 0, 2.0 * np.minimum(have[at], counts).sum(axis=1) / np.maximum(both, 1), 1.0)
+        found, _, _ = best_first(name, bounds, [names[i] for i in at], places[at], 0, least)
+        if not found:
+            continue
+        k, score = min(found, key=lambda x: (-x[1], places[at[x[0]]]))
+        target = int(places[at[k]])
+        if score < limit and ((place, target) in refused or (place, 0) in refused):
+            continue
+        free[at[k]] = False
+        out.append((place, target, score))
+    return out
+
+
+def _walk_small(rows: DataFrame, group: str, batches: int, least: float | None, limit: float) -> DataFrame:
+    """group, p_place, t_place, score of small groups. rows: group, side ('primary', 'target', 'no' for what is refused), place, name, other."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for key, g in pdf.groupby(group, sort=False):
+            of = {side: sorted(zip(x["place"], x["name"], strict=True)) for side, x in g[g["side"] != "no"].groupby("side")}
+            no = g[g["side"] == "no"]
+            got = walk_names(of.get("primary", []), of.get("target", []), least, frozenset(zip(no["place"], no["other"], strict=True)), limit)
+            out += [(key, *x) for x in got]
+        return pd.DataFrame(out, columns=[group, "p_place", "t_place", "score"])
+
+    dealt = rows.withColumn("batch", F.pmod(F.xxhash64(group), F.lit(batches)))
+    # a given number of partitions, as names are small to read and long to compare
+    dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "batch")
+    return dealt.groupBy("batch").applyInPandas(lambda pdf: run(pdf), f"{group} {rows.schema[group].dataType.simpleString()}, p_place int, t_place int, score double")
+
+
 def greedy_pairs_by_index(files: DataFrame, group: str, least: float | None, ui: bool = False, refused: DataFrame | None = None, limit: float = 0.0) -> DataFrame:
     """group, p_id, t_id, score: each primary in order takes the best target left, the first on ties.
 
     With least, a pair must score at least that and above zero. refused (p_id, t_id, null for any): a primary takes none if its
-    best is among them and scores below the limit. Null names take no part. Runs a few jobs a round; most groups are done in the first.
+    best is among them and scores below the limit. Null names take no part. Small groups are walked whole; the others run a few jobs a round, and most are done in the first.
     """
     names = written(placed_names(files, group, ui).where("name IS NOT NULL"))
     primaries, targets = names.where("side = 'primary'"), names.where("side = 'target'")
+    sizes = written(names.where(F.col(group).isNotNull()).groupBy(group).agg(F.count_if(F.col("side") == "primary").alias("ps"), F.count_if(F.col("side") == "target").alias("ts")).where("ps > 0"))
+    fits = (F.col("ps") <= P_BLOCK) & (F.col("ts") <= T_BLOCK)
+    small, large = sizes.where(fits).select(group), sizes.where(~fits).select(group)
     barred = None
     if refused is not None:
         of = lambda df, side: df.select(group, F.col("id").alias(f"{side}_id"), F.col("place").alias(f"{side}_place"))
@@ -161,17 +208,20 @@ def greedy_pairs_by_index(files: DataFrame, group: str, least: float | None, ui:
         out.insert(0, group, key[0])
         return out.astype({"t_place": "Int32"})
 
-    out, scores = None, SCORES
-    open_, free = primaries.select(group, "place", "name"), targets.select(group, "place", "name")
-    while True:
+    n = sizes.where(fits).agg(F.sum(F.col("ps") + F.col("ts"))).first()[0] or 0
+    rows = names.join(small, group, "left_semi").select(group, "side", "place", "name", F.lit(0).alias("other"))
+    if barred is not None:
+        rows = rows.unionByName(barred.join(small, group, "left_semi").select(group, F.lit("no").alias("side"), F.col("p_place").alias("place"), F.lit("").alias("name"), F.col("t_place").alias("other")))
+        barred = barred.join(large, group, "left_semi")
+    out, scores = written(_walk_small(rows, group, max(1, -(-n // BATCH)), least, limit)), SCORES
+    open_, free = (side.join(large, group, "left_semi").select(group, "place", "name") for side in (primaries, targets))
+    while not open_.isEmpty():
         found = certain_candidates(open_, free, group, scores, least).select(group, "p_place", "t_place", "score", "bound", F.lit(False).alias("no"))
         if barred is not None:
             found = found.unionByName(barred.select(group, "p_place", "t_place", F.lit(0.0).alias("score"), F.lit(False).alias("bound"), F.lit(True).alias("no")))
         done = written(found.groupBy(group).cogroup(_apart(open_).groupBy(f"t_{group}")).applyInPandas(run, f"{group} {kind}, p_place int, t_place int, score double"))
-        out = done if out is None else out.unionByName(done)
+        out = out.unionByName(done)
         open_ = written(open_.join(done.select(group, F.col("p_place").alias("place")), [group, "place"], "left_anti"))
-        if open_.isEmpty():
-            break
         free = written(free.join(done.where("t_place IS NOT NULL").select(group, F.col("t_place").alias("place")), [group, "place"], "left_anti"))
         scores *= GROWTH
     p = primaries.select(group, F.col("place").alias("p_place"), F.col("id").alias("p_id"))
