@@ -152,3 +152,15 @@ def test_batch_with_engines_from_frames_to_chunks(spark, words):
     assert plans.first().mode == "segmented"
     got = [(r.kind, round(r.target_start or 0), round(r.duration)) for r in chunks.orderBy("chunk_no").collect()]
     assert got[0] == ("filler", 0, 3) and got[1][0] == "target" and abs(sum(r[2] for r in got) - 140) <= 1
+
+
+def test_search_reads_frames_and_sound_that_are_written_once(spark, sf, monkeypatch):
+    """Every stage of the chain reads them; derived anew, each would number all vectors again."""
+    from tidemark.plans import queries
+
+    given = {}
+    monkeypatch.setattr(queries.engines, "VisualEngine", lambda frames, *a, **k: given.update(frames=frames))
+    monkeypatch.setattr(queries.engines, "AudioEngine", lambda energy, *a, **k: given.update(energy=energy))
+    monkeypatch.setattr(queries.engines, "search", lambda *a, **k: None)
+    queries._search(spark, sf)
+    assert all(df.inputFiles() and all("tidemark-table" in f for f in df.inputFiles()) for df in given.values()) and len(given) == 2

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import phash, scalar
 from ..operators import decide, engines, flow, hash_index, nearest, pairing, ranks, sampling, segments, signals, stats, verify
+from ..operators.lineage import written
 from ..sources import adapters as a
 from ..sources import logs
 from ..streaming import jobs
@@ -517,8 +518,9 @@ CLOCK = replace(DEFAULT, content=40.0, threshold=6, refs_skip_start=40.0, refs_s
 
 
 def _search(s: SparkSession, d: str) -> engines.Search:
-    visual = engines.VisualEngine(a.variant_frames(s, d), 1.0, CLOCK.threshold, CLOCK)
-    audio = engines.AudioEngine(signals.rms(a.variant_energy(s, d)), a.BINS, 1.0, CLOCK)
+    # what several stages read is written once: its windows run over whole recordings
+    visual = engines.VisualEngine(written(a.variant_frames(s, d)), 1.0, CLOCK.threshold, CLOCK)
+    audio = engines.AudioEngine(written(signals.rms(a.variant_energy(s, d))), a.BINS, 1.0, CLOCK)
     cuts = engines.CutEngine(a.variant_cuts(s, d), a.BINS, 1.0, CLOCK)
     return engines.search(a.variant_pairs(s), visual, audio, cuts, "fallback", "fallback", CLOCK)
 
@@ -545,7 +547,7 @@ def _contents(s: SparkSession, d: str) -> DataFrame:
 @query
 def process_batch(s, d):
     """The files of every folder paired by name, and each pair of recordings that they hold searched by its frames."""
-    engine = engines.VisualEngine(a.variant_frames(s, d), 1.0, CLOCK.threshold, CLOCK, references="off")
+    engine = engines.VisualEngine(written(a.variant_frames(s, d)), 1.0, CLOCK.threshold, CLOCK, references="off")
     return rounded(flow.run_batch(a.names(s, d), "folder", engines.by_content(engine, _contents(s, d)))[0])
 
 
