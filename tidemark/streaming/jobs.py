@@ -1,8 +1,8 @@
 """Progress of many encoders at once: the last known position, speed and remaining time of each job, and which jobs fell silent.
 
 Lines: job_id string, at timestamp, line_no long, line, duration (seconds, may be null). What holds of a job is for each item the value
-of its latest line by (at, line_no), so lines may arrive in any order, and the stream's state is one small row a job. A line without
-a job or a time is no line of any job.
+of its latest line by (at, line_no), so lines may arrive in any order. The stream keeps jobs by groups of a hash, each group's items as
+columns: a batch costs a call of Python for each group, not for each job. A line without a job or a time is no line of any job.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,13 @@ from ..operators.lineage import shared_dir
 ITEMS = {"done_s": "double", "fps": "double", "speed": "double", "ended": "boolean", "message": "string", "duration": "double"}
 COLUMNS = ["job_id", "at", "done_s", "share", "fps", "speed", "remaining_s", "status", "message", "n_lines"]
 
+GROUPS = 1024
+NEVER, ENDLESS = -(2**63), 2**63 - 1
+# what a group holds of its jobs, with the value before any line; c_at and c_no are the place of the line that told c
+HELD = {"job_id": ("string", None), "at_us": ("long", NEVER), "n_lines": ("long", 0), "due_ms": ("long", ENDLESS)}
+HELD |= {k: v for c, kind in ITEMS.items() for k, v in {c: (kind, np.nan if kind == "double" else None), f"{c}_at": ("long", NEVER), f"{c}_no": ("long", NEVER)}.items()}
+DTYPES = {"string": object, "boolean": object, "long": np.int64, "double": np.float64}
+
 
 def parsed(lines: DataFrame) -> DataFrame:
     """job_id, at, line_no, at_us and the items that a line tells; others are null.
@@ -60,45 +68,68 @@ def job_states(lines: DataFrame, silence: float, late: float) -> DataFrame:
     return _shown(latest.join(F.broadcast(mark)).withColumn("silent", gone))
 
 
-def follow_jobs(lines: DataFrame, silence: float, late: float) -> DataFrame:
+def _with_lines(held: dict[str, np.ndarray], lines: pd.DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a group with what lines tell; of lines at one place the one that came last holds."""
+    lines = lines.sort_values(["at_us", "line_no"], kind="stable", ignore_index=True)
+    code, ids = pd.factorize(np.concatenate([held["job_id"], lines["job_id"].to_numpy(object)]))
+    old, n = len(held["job_id"]), len(ids)  # those held come first and are distinct, so they keep their places
+    job = code[old:]
+    held = {c: np.concatenate([v, np.full(n - old, HELD[c][1], v.dtype)]) for c, v in held.items()} | {"job_id": ids}
+    at, no = lines["at_us"].to_numpy(), lines["line_no"].to_numpy()
+    np.maximum.at(held["at_us"], job, at)
+    held["n_lines"] += np.bincount(job, minlength=n)
+    for c in ITEMS:
+        told, last = np.flatnonzero(lines[c].notna()), np.full(n, -1)
+        last[job[told]] = told  # the last of a job stays
+        to = np.flatnonzero(last >= 0)
+        line, was_at, was_no = last[to], held[f"{c}_at"][to], held[f"{c}_no"][to]
+        newer = (at[line] > was_at) | ((at[line] == was_at) & (no[line] >= was_no))
+        to, line = to[newer], line[newer]
+        held[c][to], held[f"{c}_at"][to], held[f"{c}_no"][to] = lines[c].to_numpy(held[c].dtype)[line], at[line], no[line]
+    return held
+
+
+def follow_jobs(lines: DataFrame, silence: float, late: float, groups: int = GROUPS) -> DataFrame:
     """A stream (update mode) of job states: a row for each job that a batch told of, and one when a job falls silent.
 
     A job is silent when the watermark (`late` seconds behind the newest line) passes its last line by `silence`; a new line makes it run again.
     The state of a job that ended goes at that time, without a row.
+    A group of jobs is read and written whole when a batch tells of one of them or one falls silent: with many millions of jobs take more
+    `groups`. A stream must be restarted with the same number.
     """
     wait = int(silence * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get) if state.exists else [None, 0] + [None] * (3 * len(ITEMS))
-        silent = state.hasTimedOut
+        kept = state.get if state.exists else [[]] * len(HELD)
+        held = {c: np.array(v, DTYPES[kind]) for (c, (kind, _)), v in zip(HELD.items(), kept)}
+        before = held["n_lines"]
         for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.sort_values(["at_us", "line_no"], na_position="first")
-            newest = int(pdf["at_us"].iloc[-1])
-            kept[0], kept[1] = newest if kept[0] is None else max(kept[0], newest), kept[1] + len(pdf)
-            for i, c in enumerate(ITEMS):
-                told = pdf[pdf[c].notna()]
-                if len(told):
-                    row, at = told.iloc[-1], 2 + 3 * i
-                    no = -(2**63) if pd.isna(row["line_no"]) else int(row["line_no"])
-                    if kept[at + 1] is None or (int(row["at_us"]), no) >= (kept[at + 1], kept[at + 2]):
-                        value = row[c]
-                        kept[at : at + 3] = [{"double": float, "boolean": bool, "string": str}[ITEMS[c]](value), int(row["at_us"]), no]
-        items = {c: kept[2 + 3 * i] for i, c in enumerate(ITEMS)}
-        if silent and items["ended"]:
+            if len(pdf):
+                held = _with_lines(held, pdf)
+        mark = state.getCurrentWatermarkMs()
+        told = held["n_lines"] != np.concatenate([before, np.zeros(len(held["n_lines"]) - len(before), np.int64)])
+        held["due_ms"][told] = np.maximum(held["at_us"][told] // 1000 + wait, mark + 1)
+        silent = held["due_ms"] < mark
+        held["due_ms"][silent] = ENDLESS
+        gone = silent & held["ended"].astype(bool)
+        left = {c: v[~gone] for c, v in held.items()}
+        if len(left["job_id"]):
+            state.update(tuple(v.tolist() for v in left.values()))
+            due = int(left["due_ms"].min())
+            if due < ENDLESS:
+                state.setTimeoutTimestamp(due)
+        elif state.exists:
             state.remove()
-            return
-        state.update(tuple(kept))
-        if not silent:
-            state.setTimeoutTimestamp(max(kept[0] // 1000 + wait, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([{"job_id": key[0], "at_us": kept[0], "n_lines": kept[1], "silent": silent, **items}])
+        said = told | (silent & ~gone)
+        yield pd.DataFrame({"job_id": held["job_id"], "at_us": held["at_us"], "n_lines": held["n_lines"], "silent": silent, **{c: held[c] for c in ITEMS}})[said]
 
-    held = "at_us long, n_lines long, " + ", ".join(f"{c} {kind}, {c}_at long, {c}_no long" for c, kind in ITEMS.items())
+    kept = ", ".join(f"{c} array<{kind}>" for c, (kind, _) in HELD.items())
     out = "job_id string, at_us long, n_lines long, silent boolean, " + ", ".join(f"{c} {kind}" for c, kind in ITEMS.items())
     # sub-second parts of `late` are kept: the watermark counts in milliseconds
     timed = parsed(lines).withWatermark("at", f"{int(late * 1000)} milliseconds")
-    return _shown(timed.groupBy("job_id").applyInPandasWithState(step, out, held, "update", GroupStateTimeout.EventTimeTimeout))
+    # a missing number comes first, as in job_states; with none missing, pandas keeps whole numbers
+    timed = timed.withColumns({"line_no": F.coalesce("line_no", F.lit(NEVER)), "job_group": F.pmod(F.xxhash64("job_id"), F.lit(groups))})
+    return _shown(timed.groupBy("job_group").applyInPandasWithState(step, out, kept, "update", GroupStateTimeout.EventTimeTimeout))
 
 
 def last_states(stream: DataFrame) -> DataFrame:
